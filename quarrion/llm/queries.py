@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, secret_ledger
+from . import bpe, ctph, hilbert, langid, secret_ledger, simhash, toxicity
 from .common import table
 
 
@@ -12,14 +12,30 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_hyperdimensional_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_bpe, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op7_covering_simhash, op10_secret_ledger)}
 
 ORACLE_SQL: dict[str, str] = {}
