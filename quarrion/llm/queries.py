@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctph, hilbert, langid, secret_ledger, simhash, toxicity
+from . import bpe, ctph, hilbert, langid, secret_ledger, simhash, substrings, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_hyperdimensional_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op7_covering_simhash, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op6_fm_substrings, op7_covering_simhash, op10_secret_ledger)}
 
 ORACLE_SQL: dict[str, str] = {}
