@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctph, hilbert, langid, secret_ledger, simhash, substrings, toxicity
+from . import bpe, ctph, hilbert, langid, lsa, secret_ledger, simhash, substrings, toxicity, urltree
 from .common import table
 
 
@@ -36,10 +36,18 @@ def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op6_fm_substrings, op7_covering_simhash, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op6_fm_substrings, op7_covering_simhash, op8_latent_leaks, op9_template_tree, op10_secret_ledger)}
 
 ORACLE_SQL: dict[str, str] = {}
