@@ -88,8 +88,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of every whole text and of its edited text, with likeness to the edited text and to the next one's.
 
     The next document is the one with the next smaller id, after the last the
-    first; of rows with one id, equal texts included, the one whose packed text
-    comes next. A null text counts as empty. A table of one row is its own
+    first; rows of one id are in order of a hash of their texts. A null text counts as empty. A table of one row is its own
     next; an empty table gives none; other columns are not read.
 
     The packed texts cross one range exchange on the id. Each partition runs
@@ -97,7 +96,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     partition, and these, two for each partition, are matched by a join.
     """
     key = docs.schema[id_col].dataType.simpleString()
-    kind = None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
@@ -136,7 +134,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield frame(out, kind)
 
     packed = docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {key}, data binary")
-    order = [F.col(id_col).desc_nulls_last(), F.col("data")]
+    # The exchange samples its keys on the driver: they are narrow.
+    order = [F.col(id_col).desc_nulls_last(), F.xxhash64("data")]
     through = packed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
     through = materialise(through.withColumn("part", F.spark_partition_id()), "pieces")
 
