@@ -1,24 +1,591 @@
-"""Registered queries of the catalogue operators with their SQL oracles."""
+"""Registered queries of the catalogue operators with their SQL oracles.
+
+The tables stand in for a catalogue: ``part`` has records by brand (vendor)
+and type (architecture), ``documents`` and ``labels`` sparse texts, ``pages``
+HTML, ``events`` sequences by user, ``conversations`` chains.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules, scalars, text
+from ..operators import aggregates, enrich, extract, filters, provenance, quality, resolve, search, setops, windows
+from ..sources import catalog, sinks
+from ..streaming import batches, limits
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under the function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    part = _read(spark, sf, "part")
-    return part.groupBy("p_brand").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.coalesce("p_retailprice", F.lit(0.0))), 3).alias("avg_price"),
-    )
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """``part`` as catalogue records."""
+    return read(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("vendor"), F.col("p_type").alias("architecture"),
+        F.col("p_size").alias("cores"), F.col("p_retailprice").alias("completeness"), F.concat(F.lit("SM"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("model"),
+    )
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
+
+
+def scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base}/catalogue-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- filters, sorts, pages
+
+
+@query("""SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part
+WHERE lower(p_brand) = 'brand#11' OR (contains(lower(p_type), 'a') AND coalesce(p_size, 0) >= 25 AND coalesce(p_retailprice, 0) >= 1500)""")
+def facet_filter(spark, sf):
+    p = read(spark, sf, "part")
+    facets = {"vendor": ("p_brand", filters.equals_ci), "arch": ("p_type", filters.contains_ci), "size": ("p_size", filters.at_least), "price": ("p_retailprice", filters.at_least)}
+    a = filters.facet_filter(p, facets, vendor="Brand#11")
+    b = filters.facet_filter(p, facets, arch="A", size=25, price=1500.0)
+    out = a.unionByName(b.join(a.select("p_partkey"), "p_partkey", "left_anti").select(*p.columns))
+    return out.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+
+
+@query("SELECT count(*) AS total FROM part WHERE lower(p_brand) = 'brand#12' AND coalesce(p_size, 0) >= 10")
+def facet_total(spark, sf):
+    facets = {"vendor": ("p_brand", filters.equals_ci), "size": ("p_size", filters.at_least)}
+    return filters.facet_filter(read(spark, sf, "part"), facets, vendor="BRAND#12", size=10).agg(F.count("*").alias("total"))
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 20 OFFSET 40")
+def sorted_page(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return filters.page(filters.sort_rows(p, "p_size", True, ("p_partkey",)), 20, 40)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 77")
+def point_lookup(spark, sf):
+    return catalog.by_id(read(spark, sf, "customer"), 77, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def projection_heavy_drop(spark, sf):
+    return filters.project(read(spark, sf, "documents"), heavy=("text",))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def cursor_page(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+    return filters.cursor_page(o, 1 << 30, filters.encode_cursor(100), 50)[0]
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def keyset_page(spark, sf):
+    return filters.keyset_page(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 50)
+
+
+@query(r"""SELECT doc_id, coalesce(CASE WHEN w IN ('the','to','of') THEN false WHEN length(w) < 2 THEN false WHEN regexp_matches(w, '^[\d.,\s%-]+$') THEN false
+ELSE regexp_matches(w, '[a-z]') END, false) AS valid FROM (SELECT doc_id, lower(trim(string_split(text, ' ')[1])) AS w FROM documents)""")
+def valid_names(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", filters.valid_name(F.split("text", " ")[0], ("the", "to", "of")).alias("valid"))
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query("""SELECT p_brand AS vendor, count(*) AS count, round(avg(coalesce(p_retailprice, 0.0)), 3) AS avg_completeness FROM part GROUP BY 1""")
+def vendor_summary(spark, sf):
+    return aggregates.group_summary(parts(spark, sf))
+
+
+@query("""SELECT count(*) AS total, count(DISTINCT o_custkey) AS groups, min(year(o_orderdate))::INT AS year_min, max(year(o_orderdate))::INT AS year_max,
+round(avg(coalesce(o_totalprice, 0.0)), 3) AS avg_score, sum(CASE WHEN o_orderstatus <> '' THEN 1 ELSE 0 END)::BIGINT AS with_o_orderstatus,
+sum(CASE WHEN o_totalprice <> 0 THEN 1 ELSE 0 END)::BIGINT AS with_o_totalprice FROM orders""")
+def global_stats(spark, sf):
+    o = read(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    return aggregates.global_stats(o, "o_custkey", "y", "o_totalprice", ("o_orderstatus", "o_totalprice"))
+
+
+@query("""SELECT source, count(*) AS count, round(avg(coalesce(quality, 0)::DOUBLE), 3) AS avg_quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def coalesced_left_stats(spark, sf):
+    return aggregates.group_summary(labelled(spark, sf), "source", "quality")
+
+
+@query("SELECT round(avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 3) AS avg_score FROM customer")
+def positive_average(spark, sf):
+    return aggregates.positive_average(read(spark, sf, "customer"), "c_acctbal")
+
+
+@query("""SELECT source AS _file, arg_min(lang, doc_id) AS vendor, count(*) AS count, round(avg(n_chars::DOUBLE), 3) AS avg_completeness FROM documents GROUP BY 1""")
+def file_index(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("source").alias("_file"), F.col("doc_id").alias("_pos"), F.col("lang").alias("vendor"), F.col("n_chars").cast("double").alias("completeness"))
+    return sinks.build_index(d)
+
+
+# ---------------------------------------------------------------- quality
+
+_LABELLED = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+_FILL = {"n_chars": "n_chars <> 0", "source": "source <> ''", "quality": "quality <> 0", "toxic": "toxic <> 0"}
+
+
+def _fill_sql(group: str | None) -> str:
+    g, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
+    return " UNION ALL ".join(f"SELECT {g}'{f}' AS field, round(sum(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 4) AS fill_rate FROM {_LABELLED}{by} HAVING count({f}) > 0" for f, c in _FILL.items())
+
+
+@query(_fill_sql(None))
+def fill_rate(spark, sf):
+    return quality.fill_rates(labelled(spark, sf), list(_FILL))
+
+
+@query(_fill_sql("lang"))
+def fill_rate_by_group(spark, sf):
+    return quality.fill_rates_by(labelled(spark, sf), "lang", list(_FILL))
+
+
+_GROUPS = {"size": ["n_chars"], "marks": ["quality", "toxic"]}
+
+
+@query(f"""SELECT CASE WHEN field = 'n_chars' THEN 'size' ELSE 'marks' END AS field_group, round(avg(fill_rate), 4) AS avg_rate, count(*) AS fields
+FROM ({_fill_sql(None)}) WHERE field IN ('n_chars', 'quality', 'toxic') GROUP BY 1""")
+def field_group_summary(spark, sf):
+    return quality.group_rates(quality.fill_rates(labelled(spark, sf), list(_FILL)), _GROUPS)
+
+
+@query(f"""SELECT lang, field, fill_rate FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fill_rate DESC, field) AS r FROM ({_fill_sql("lang")})) WHERE r <= 2""")
+def top_fields(spark, sf):
+    return quality.top_fields(quality.fill_rates_by(labelled(spark, sf), "lang", list(_FILL)), "lang", 2)
+
+
+@query("""SELECT user_id::VARCHAR AS user_id, count(DISTINCT event_type) AS unique_sources, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS sources, count(*) AS entries, count(*) AS records
+FROM events GROUP BY 1""")
+def source_diversity(spark, sf):
+    e = read(spark, sf, "events").select("user_id", F.create_map(F.lit("event"), F.col("event_type")).alias("provenance"))
+    return quality.source_diversity(e, "user_id").withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""SELECT lang, sum((n > 1)::INT)::BIGINT AS conflicts, count(*) AS fields, round(sum((n > 1)::INT)::DOUBLE / count(*), 4) AS conflict_rate
+FROM (SELECT lang, 'b' || (doc_id % 16) AS field, count(DISTINCT source) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""")
+def conflict_rate(spark, sf):
+    d = read(spark, sf, "documents").select("lang", F.create_map(F.concat(F.lit("b"), (F.col("doc_id") % 16).cast("string")), F.col("source")).alias("provenance"))
+    return quality.conflict_rate(d, "lang")
+
+
+@query(f"""SELECT doc_id, round((CASE WHEN lang <> '' THEN 5 ELSE 0 END + CASE WHEN coalesce(quality, 0) <> 0 THEN 3 ELSE 0 END + CASE WHEN coalesce(toxic, 0) <> 0 THEN 1 ELSE 0 END
++ CASE WHEN n_chars <> 0 THEN 1 ELSE 0 END)::DOUBLE / 10, 4) AS score FROM {_LABELLED}""")
+def completeness_score(spark, sf):
+    d = labelled(spark, sf)
+    return d.select("doc_id", quality.completeness(d, ["lang", "quality", "toxic", "n_chars"], {"lang": 5, "quality": 3}).alias("score"))
+
+
+@query("""SELECT event_type AS source, 0.5::DOUBLE AS coverage, 'z' AS missing, '' AS unexpected, true AS drift FROM events GROUP BY 1""")
+def drift_check(spark, sf):
+    keys = read(spark, sf, "events").select(F.col("event_type").alias("source"), F.explode(F.json_object_keys("props")).alias("key"))
+    expected = keys.select("source").distinct().withColumn("expected", F.array(F.lit("k"), F.lit("z")))
+    out = quality.drift(keys, expected)
+    return out.withColumn("missing", F.array_join("missing", ",")).withColumn("unexpected", F.array_join("unexpected", ","))
+
+
+@query("""SELECT 'missing_quality' AS rule, count(*) FILTER (coalesce(quality, 0) = 0)::BIGINT AS broken FROM """ + _LABELLED + """
+UNION ALL SELECT 'type_lang', count(*) FILTER (lang IS NOT NULL AND try_cast(lang AS BIGINT) IS NULL)::BIGINT FROM documents
+UNION ALL SELECT 'duplicate_source', count(*)::BIGINT FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1)""")
+def constraint_report(spark, sf):
+    return quality.constraint_report(labelled(spark, sf), ["quality"], "source", ["lang"])
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("""SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 5""")
+def topk_per_group(spark, sf):
+    return windows.top_per_group(read(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.col("p_retailprice").desc(), "p_partkey"], 5)
+
+
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+def first_wins_dedup(spark, sf):
+    return windows.first_wins(read(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def last_wins_upsert(spark, sf):
+    return windows.last_wins(read(spark, sf, "events").select("user_id", "event_id", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""SELECT event_id, CASE WHEN v IS NULL THEN last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE v END AS filled
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN NULL ELSE event_id END AS v FROM events)""")
+def carry_forward(spark, sf):
+    e = read(spark, sf, "events").withColumn("v", F.when(F.col("event_type") != "click", F.col("event_id")))
+    return windows.carry_forward(e, ["user_id"], ["ts", "event_id"], "v", "filled").select("event_id", "filled")
+
+
+# ---------------------------------------------------------------- rules and scalars
+
+
+@query("""SELECT o_orderkey, CASE WHEN y >= 2000 THEN 'new' WHEN y >= 1998 THEN 'mid' WHEN y >= 1996 THEN 'old' ELSE 'oldest' END AS era FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)""")
+def asof_ladder(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", rules.ladder(F.year("o_orderdate"), [(2000, "new"), (1998, "mid"), (1996, "old")], "oldest").alias("era"))
+
+
+def _ladder_sql(steps, value="y") -> str:
+    pairs, default = steps
+    return "CASE " + " ".join(f"WHEN {value} >= {a} THEN '{b}'" for a, b in pairs) + f" ELSE '{default}' END"
+
+
+@query(f"""SELECT o_orderkey, {_ladder_sql(enrich.YEAR_WIFI)} AS wifi, {_ladder_sql(enrich.YEAR_BLUETOOTH)} AS bluetooth, {_ladder_sql(enrich.YEAR_STORAGE)} AS storage_type
+FROM (SELECT o_orderkey, year(o_orderdate) + 20 AS y FROM orders)""")
+def ladder_suite(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", (F.year("o_orderdate") + 20).alias("year"))
+    return enrich.infer_storage(enrich.infer_bluetooth(enrich.infer_wifi(o))).drop("year")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type WHEN p_brand IN ('Brand#11','Brand#12') THEN 'one' WHEN p_brand = 'Brand#13' THEN 'two' END AS kind FROM part""")
+def lookup_fill(spark, sf):
+    p = read(spark, sf, "part")
+    dim = spark.createDataFrame([("Brand#11", "one"), ("Brand#12", "one"), ("Brand#13", "two")], "p_brand string, kind string")
+    own = F.when(F.col("p_size") > 25, F.col("p_type"))
+    return p.join(F.broadcast(dim), "p_brand", "left").select("p_partkey", F.coalesce(own, "kind").alias("kind"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 1 WHEN contains(p_name, 'e') THEN 2 WHEN contains(p_name, 'a') THEN 3 END AS hit FROM part""")
+def contains_first_match(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", rules.first_match(F.col("p_name"), [("red", 1), ("e", 2), ("a", 3)]).alias("hit"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN n >= 1000 THEN 2025 WHEN n >= 100 THEN 2020 WHEN n >= 10 THEN 2015 ELSE 2010 END AS year FROM (SELECT c_custkey, try_cast(regexp_extract(c_name, '(\d+)', 1) AS INT) AS n FROM customer)""")
+def regex_rule_chain(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", rules.ladder(rules.number(F.col("c_name"), r"(\d+)"), [(1000, 2025), (100, 2020), (10, 2015)], 2010).alias("year"))
+
+
+@query(r"""WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\[\w+\]', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, length(t)::INT AS n, md5(t) AS digest FROM c""")
+def clean_text(spark, sf):
+    t = text.clean(F.col("html"))
+    return read(spark, sf, "pages").select("page_id", F.length(t).alias("n"), F.md5(t).alias("digest"))
+
+
+@query(r"""SELECT c_custkey, try_cast(regexp_extract(c_name, '(\d+)', 1) AS INT) AS number, CASE WHEN regexp_matches(s, '(?i)[\d.]+\s*(?:MHz|GHz)') THEN trim(regexp_extract(s, '(?i)[\d.]+\s*(?:MHz|GHz)')) END AS freq,
+CASE WHEN regexp_matches(s, '(?i)\d+\s*nm') THEN regexp_extract(s, '(?i)\d+\s*nm') END AS process
+FROM (SELECT *, c_name || ' at ' || c_nationkey || '.5 GHz, ' || (c_nationkey + 3) || ' nm' AS s FROM customer)""")
+def extract_scalars(spark, sf):
+    c = read(spark, sf, "customer")
+    s = F.concat(F.col("c_name"), F.lit(" at "), F.col("c_nationkey").cast("string"), F.lit(".5 GHz, "), (F.col("c_nationkey") + 3).cast("string"), F.lit(" nm"))
+    return c.select("c_custkey", scalars.extract_int(F.col("c_name")).alias("number"), scalars.extract_freq(s).alias("freq"), scalars.extract_process(s).alias("process"))
+
+
+@query(r"""WITH a AS (SELECT p_partkey, list_filter(string_split_regex(regexp_replace(replace(replace(lower(p_name), '+', 'p'), '-', '_'), '[^a-z0-9_ ]', '', 'g'), ' +'), lambda w: w <> '' AND w NOT IN ('with','and','the','for')) AS w,
+regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS m FROM part), b AS (SELECT p_partkey, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], '_') ELSE 'chip' END AS s, m FROM a)
+SELECT p_partkey, trim(regexp_replace(CASE WHEN m <> '' AND NOT contains(s, m) THEN s || '_' || m ELSE s END, '_+', '_', 'g'), '_') AS slug FROM b""")
+def slugify(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", text.slug(F.col("p_name"), F.col("p_brand")).alias("slug"))
+
+
+@query("""WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(trim(p_brand)) || ':' || lower(trim(p_name)))) AS h FROM part)
+SELECT p_partkey, h[1:12] || '5' || h[14:16] || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17:17]), 1) || h[18:32] AS uuid FROM h""")
+def uuid5(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", text.record_uuid(F.col("p_brand"), F.col("p_name")).alias("uuid"))
+
+
+@query(r"""SELECT doc_id, count(*) AS lines, sum((contains(lower(l), 'token'))::INT)::BIGINT AS with_token, sum(regexp_matches(l, '\d')::INT)::BIGINT AS with_digit
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1""")
+def keyword_classify(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(scalars.keyword_match(F.col("l"), "token").cast("int")).alias("with_token"), F.sum(F.col("l").rlike(r"\d").cast("int")).alias("with_digit"))
+
+
+@query("""SELECT p_partkey, md5('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}') AS etag FROM part""")
+def etags(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", scalars.etag("p_partkey", "p_name").alias("etag"))
+
+
+@query(r"""SELECT p_partkey, 'LPDDR5' AS memory_type, 3200 AS memory_clock, p_size AS memory_max, 64 AS memory_bus FROM part""")
+def parse_memory(spark, sf):
+    s = F.concat(F.lit("up to "), F.col("p_size").cast("string"), F.lit(" GB LPDDR5X, 3200 MHz, 64-bit"))
+    return read(spark, sf, "part").select("p_partkey", scalars.parse_memory(s).alias("m")).select("p_partkey", "m.*")
+
+
+# ---------------------------------------------------------------- pages and semi-structured data
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages""")
+def html_links(spark, sf):
+    return extract.elements(read(spark, sf, "pages"), "page_id", ["a"]).select("page_id", "href")
+
+
+@query(r"""SELECT page_id, count(*) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li[ >]')) AS l FROM pages) GROUP BY 1""")
+def html_list_items(spark, sf):
+    return extract.elements(read(spark, sf, "pages"), "page_id", ["li"]).groupBy("page_id").agg(F.count("*").alias("items"))
+
+
+def _part_pages(p: DataFrame) -> DataFrame:
+    """Tables of parts, a page for each brand and size."""
+    row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_type"), F.lit("</td></tr>"))
+    rows = p.withColumn("h", row).groupBy("p_brand", "p_size").agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias("h"))
+    head = "<h2>Parts</h2><table><tr><th>Model</th><th>Product name</th><th>Technology</th></tr>"
+    return rows.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("page"), F.concat(F.lit(head), "h", F.lit("</table>")).alias("html"))
+
+
+@query("SELECT p_brand || '/' || p_size AS page, p_partkey::VARCHAR AS model, p_name AS name, p_type AS process FROM part")
+def html_table_cells(spark, sf):
+    cells = extract.table_cells(_part_pages(read(spark, sf, "part")), "page")
+    f = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return extract.standard_records(cells, "page").select("page", f("model"), f("name"), f("process"))
+
+
+@query("SELECT p_brand || '/' || p_size AS page, p_name AS name, p_partkey::INT AS single FROM part WHERE p_partkey > 100")
+def html_scores(spark, sf):
+    p = read(spark, sf, "part")
+    row = F.concat(F.lit("<tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.format_number("p_partkey", 0), F.lit("</td></tr>"))
+    pages = p.withColumn("h", row).groupBy("p_brand", "p_size").agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias("h"))
+    pages = pages.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("page"), F.concat(F.lit("<table>"), "h", F.lit("</table>")).alias("html"))
+    return extract.score_rows(extract.table_cells(pages, "page"), "page").select("page", "name", "single")
+
+
+@query("SELECT p_brand AS page, p_name AS name, p_partkey::INT AS single FROM part")
+def jsonld_items(spark, sf):
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("singleCoreScore"))
+    lists = read(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.lit("ItemList").alias("@type"), F.collect_list(F.struct(item.alias("item"))).alias("itemListElement"))).alias("j"))
+    pages = lists.select(F.col("p_brand").alias("page"), F.concat(F.lit('<script type="application/ld+json">'), "j", F.lit("</script>")).alias("html"))
+    return extract.jsonld_records(extract.jsonld(pages, "page"), "page").select("page", "name", "single")
+
+
+@query("SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
+def json_extract(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("total"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'token')")
+def substring_search(spark, sf):
+    return search.search_like(read(spark, sf, "documents"), "The TOKEN", ["text"]).select("doc_id")
+
+
+@query("""SELECT p_partkey FROM part WHERE contains(lower('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}'), 'red')""")
+def serialised_search(spark, sf):
+    return search.search_serialised(read(spark, sf, "part").select("p_partkey", "p_name"), "RED").select("p_partkey")
+
+
+@query(r"""SELECT DISTINCT doc_id AS id FROM (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\s+')) AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'with')""")
+def token_and_search(spark, sf):
+    return search.token_and(search.inverted_index(read(spark, sf, "documents"), "doc_id", ["text"]), "With the")
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
+p AS (SELECT doc_id, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf FROM t, (VALUES ('the'), ('with')) v(w)), q AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS k, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM p JOIN q USING (w), s WHERE tf > 0 GROUP BY 1)
+SELECT doc_id AS id, round(score, 6) AS score FROM r WHERE k = 2 ORDER BY round(score, 6) DESC, doc_id LIMIT 20""")
+def bm25_topk(spark, sf):
+    d = read(spark, sf, "documents")
+    out = search.search(d, "the with", "doc_id", ["text"]).withColumn("score", F.round("score", 6))
+    return out.orderBy(F.col("score").desc(), "id").limit(20)
+
+
+@query()
+def bm25_stemmed(spark, sf):
+    return search.search(read(spark, sf, "documents"), "reading tokens", "doc_id", ["text"], 20, stems=True)
+
+
+# ---------------------------------------------------------------- entity resolution
+
+
+@query("""SELECT a.doc_id AS doc_id, min(b.doc_id) AS first_id FROM documents a JOIN documents b ON upper(trim(a.text)) = upper(trim(b.text)) GROUP BY 1""")
+def exact_match_join(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.xxhash64(F.upper(F.trim("text"))).alias("h"), F.sha2(F.upper(F.trim("text")), 256).alias("k"))
+    first = d.groupBy("k").agg(F.min("doc_id").alias("first_id"))
+    return d.join(first, "k").select("doc_id", "first_id")
+
+
+@query("""SELECT p_partkey, min(alias) AS alias FROM part JOIN (VALUES ('red'), ('blue'), ('green')) v(alias) ON contains(lower(p_name), alias) GROUP BY 1""")
+def alias_join(spark, sf):
+    aliases = spark.createDataFrame([("red",), ("blue",), ("green",)], "alias string")
+    return read(spark, sf, "part").join(F.broadcast(aliases), F.lower("p_name").contains(F.col("alias"))).groupBy("p_partkey").agg(F.min("alias").alias("alias"))
+
+
+@query()
+def fuzzy_match(spark, sf):
+    n = parts(spark, sf).select("name", F.lit("v").alias("vendor")).distinct()
+    side = lambda p: n.select(F.col("name").alias(p + "id"), F.col("name").alias(p + "name"), F.col("vendor").alias(p + "vendor"))
+    return resolve.fuzzy_candidates(side("n_"), side("e_"), 80.0).select(F.col("n_id").alias("name"), F.col("e_id").alias("other"), F.round("score", 4).alias("score"))
+
+
+@query("""WITH e AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand AS vendor, 'SM' || lpad(p_partkey::VARCHAR, 5, '0') AS model FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_partkey::VARCHAR AS id, 'x ' || p_partkey AS name, 'none ' || p_partkey AS vendor, CASE WHEN p_partkey % 3 = 0 THEN 'sm' || lpad(p_partkey::VARCHAR, 5, '0') ELSE '' END AS model, CASE WHEN p_partkey % 3 = 1 THEN 'SM' || lpad(p_partkey::VARCHAR, 5, '0') ELSE '' END AS hint FROM part)
+SELECT n.id, min(e.id) AS match_id, CASE WHEN min(e.id) IS NULL THEN 'no_match' WHEN n.model <> '' THEN 'exact_model' ELSE 'regex' END AS strategy
+FROM n LEFT JOIN e ON upper(CASE WHEN n.model <> '' THEN n.model ELSE n.hint END) = e.model GROUP BY n.id, n.model""")
+def match_cascade(spark, sf):
+    p = read(spark, sf, "part")
+    model = F.concat(F.lit("SM"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
+    e = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("vendor"), model.alias("model"))
+    hint = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), model)).otherwise("")
+    n = p.select(
+        F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("x "), F.col("p_partkey").cast("string"), hint).alias("name"),
+        F.concat(F.lit("none "), F.col("p_partkey").cast("string")).alias("vendor"), F.when(F.col("p_partkey") % 3 == 0, F.lower(model)).otherwise("").alias("model"),
+    )
+    return resolve.match(n, e)
+
+
+@query("""SELECT d.doc_id AS doc_id, CASE WHEN coalesce(l.quality, 0) <> 0 THEN l.quality ELSE d.n_chars % 2 END::INT AS quality, d.lang AS lang FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def merge_fill(spark, sf):
+    a = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), "lang")
+    return resolve.merge_records(a, read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_type AS model, p_retailprice / 2000 AS c, p_partkey % 7 = 0 AS m FROM part),
+t AS (SELECT DISTINCT upper(trim(model)) AS m, lower(name) AS n FROM p WHERE m), s AS (SELECT DISTINCT p.id FROM p JOIN t ON upper(trim(p.model)) = t.m WHERE NOT p.m AND coalesce(c, 0) >= 0.28
+AND (contains(lower(p.name), t.n) OR contains(t.n, lower(p.name)) OR len(list_filter(string_split_regex(t.n, '\\s+'), lambda w: length(w) > 2 AND contains(lower(p.name), w))) > 0))
+SELECT id FROM p WHERE m OR (coalesce(c, 0) >= 0.28 AND id NOT IN (SELECT id FROM s))""".replace("\\\\", "\\"))
+def prune_stale(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("model"), (F.col("p_retailprice") / 2000).alias("completeness"), (F.col("p_partkey") % 7 == 0).alias("m"))
+    return resolve.prune(p, p.where("m").select("id")).select("id")
+
+
+@query("""SELECT * FROM (SELECT 'p_name' AS field, a.p_name AS value_a, b.p_name AS value_b, a.p_name IS NOT DISTINCT FROM b.p_name AS same FROM part a, part b WHERE a.p_partkey = 1 AND b.p_partkey = 2
+UNION ALL SELECT 'p_brand', a.p_brand, b.p_brand, a.p_brand IS NOT DISTINCT FROM b.p_brand FROM part a, part b WHERE a.p_partkey = 1 AND b.p_partkey = 2
+UNION ALL SELECT 'p_size', a.p_size::VARCHAR, b.p_size::VARCHAR, a.p_size IS NOT DISTINCT FROM b.p_size FROM part a, part b WHERE a.p_partkey = 1 AND b.p_partkey = 2)""")
+def compare_records(spark, sf):
+    return resolve.compare(read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), 1, 2, "p_partkey")
+
+
+@query("""SELECT 'mismatch' AS kind, 'o_totalprice' AS field, count(*) FILTER (o_orderkey % 10 = 3 AND o_orderkey % 11 <> 0)::BIGINT AS n FROM orders
+UNION ALL SELECT 'mismatch', 'o_orderstatus', 0::BIGINT UNION ALL SELECT 'missing', '', count(*) FILTER (o_orderkey % 11 = 0)::BIGINT FROM orders UNION ALL SELECT 'extra', '', 0::BIGINT""")
+def validate_datasets(spark, sf):
+    a = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    b = a.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return resolve.compare_tables(a, b, "o_orderkey")
+
+
+@query("""SELECT 'missing' AS op, count(*) AS n FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'common', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)
+UNION ALL SELECT 'union', count(*) FROM (SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier)""")
+def set_ops(spark, sf):
+    c, o = read(spark, sf, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    frames = {"missing": setops.missing(c, o, "k"), "common": setops.common(c, o, "k"), "union": setops.union_all([c, s])}
+    return setops.union_all([d.agg(F.lit(op).alias("op"), F.count("*").alias("n")) for op, d in frames.items()])
+
+
+@query(f"""SELECT doc_id, (CASE WHEN lang <> '' THEN 'base' END) AS lang_source, (CASE WHEN coalesce(quality, 0) <> 0 THEN 'label' END) AS quality_source FROM {_LABELLED}""")
+def provenance_track(spark, sf):
+    d = labelled(spark, sf)
+    d = d.withColumn("provenance", provenance.track(d, "base", ["lang"]))
+    d = d.withColumn("provenance", provenance.track(d, "label", ["quality", "lang"]))
+    get = provenance.get_source
+    return d.select("doc_id", get(F.col("provenance"), "lang").alias("lang_source"), get(F.col("provenance"), "quality").alias("quality_source"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'b' ELSE 'a' END AS value FROM orders""")
+def resolve_conflict(spark, sf):
+    o = read(spark, sf, "orders")
+    first = F.when(F.col("o_orderstatus") == "O", "low").otherwise("high")
+    return o.select("o_orderkey", provenance.resolve(F.lit("a"), F.lit("b"), first, F.lit("mid"), ["high", "mid"]).alias("value"))
+
+
+@query("""SELECT r_name AS vendor, 'map' AS kind, 'k' || n.n_nationkey AS key, CASE WHEN n.n_nationkey % 3 = 0 THEN 'override' WHEN n.n_nationkey % 2 = 0 THEN 'second' ELSE n_name END AS value
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def kb_merge(spark, sf):
+    n = read(spark, sf, "nation").join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    base = n.select(F.col("r_name").alias("vendor"), F.lit("map").alias("kind"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"), "n_nationkey")
+    second, third = base.where("n_nationkey % 2 = 0").withColumn("value", F.lit("second")), base.where("n_nationkey % 3 = 0").withColumn("value", F.lit("override"))
+    return resolve.merge_layers([base, second, third])
+
+
+# ---------------------------------------------------------------- state, streams, sinks
+
+
+@query()
+def rate_limit(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "user_id", "ts")
+    return limits.limit_batch(e, "user_id", "ts", "event_id", 5, 86_400.0).select("event_id", "allowed", "remaining")
+
+
+@query("""SELECT event_id, round(greatest(0::DOUBLE, coalesce(600::DOUBLE - (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::DOUBLE / 1e6::DOUBLE, 0::DOUBLE)), 3) AS wait FROM events""")
+def pacing_gaps(spark, sf):
+    return limits.gaps(read(spark, sf, "events"), "user_id", "ts", "event_id", 600.0).select("event_id", F.round("wait", 3).alias("wait"))
+
+
+@query(f"SELECT o_orderkey, {_ladder_sql(enrich.YEAR_WIFI)} AS wifi FROM (SELECT o_orderkey, year(o_orderdate) + 20 AS y FROM orders)")
+def resumable_batches(spark, sf):
+    o, base = read(spark, sf, "orders"), scratch(spark)
+    o.select("o_orderkey", (F.year("o_orderdate") + 20).alias("year")).repartition(4).write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    for _ in range(2):  # the second run finds nothing new
+        batches.run_batches(spark, f"{base}/in", schema, enrich.infer_wifi, f"{base}/out", f"{base}/state", 2)
+    return spark.read.parquet(f"{base}/out").select("o_orderkey", "wifi")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, event_type, count(*) AS n, sum(value) FILTER (false) AS nothing FROM events GROUP BY 1, 2""")
+def stream_windows(spark, sf):
+    out = batches.tumbling(read(spark, sf, "events"), "ts", "1 day", ["event_type"], {"n": F.count("*"), "nothing": F.lit(None).cast("double")})
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "nothing")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 hour THEN 0 ELSE 1 END AS s FROM events),
+k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS window_start, count(*) AS n FROM k GROUP BY user_id, k""")
+def session_windows(spark, sf):
+    return batches.sessions(read(spark, sf, "events"), "ts", "1 hour", ["user_id"], {"n": F.count("*")}).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand AS vendor, p_type AS architecture, p_size AS cores FROM part")
+def export_csv_roundtrip(spark, sf):
+    path = scratch(spark)
+    sinks.export(parts(spark, sf), path, "csv")
+    out = spark.read.option("header", True).csv(path)
+    return out.select("id", "name", "vendor", "architecture", F.col("cores").cast("int").alias("cores"))
+
+
+@query("""SELECT p_brand AS vendor, count(*) AS n, min(p_partkey)::BIGINT AS least FROM part GROUP BY 1""")
+def vendor_partitions(spark, sf):
+    path = scratch(spark)
+    sinks.write_vendors(parts(spark, sf), path)
+    return spark.read.parquet(path).groupBy("vendor").agg(F.count("*").alias("n"), F.min(F.col("id").cast("bigint")).alias("least"))
+
+
+@query("""SELECT a.conv_id AS conv_id, a.turn AS root, b.turn AS reached FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + 2""")
+def include_expand(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn")
+    front = c.select("conv_id", F.col("turn").alias("root"), F.col("turn").alias("at"))
+    every = front
+    for _ in range(2):
+        front = front.join(c, (front.conv_id == c.conv_id) & (c.turn == front["at"] + 1)).select(front.conv_id, "root", F.col("turn").alias("at"))
+        every = every.unionByName(front)
+    return every.select("conv_id", "root", F.col("at").alias("reached"))
+
+
+@query()
+def enrich_records(spark, sf):
+    p = parts(spark, sf).withColumn("vendor", F.when(F.col("cores") % 2 == 0, "Qualcomm").otherwise("MediaTek"))
+    p = p.withColumn("model", F.when(F.col("vendor") == "Qualcomm", F.concat(F.lit("SM8"), F.lpad((F.col("cores") * 15).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("MT"), F.lpad((F.col("cores") * 150 + 4000).cast("string"), 4, "0"))))
+    out = enrich.enrich(p)
+    return out.select("id", "vendor", "model", "year", "architecture", "memory_type", "process_nm", "gpu", "modem", "wifi", "uuid", "completeness")
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running FROM lineitem""")
+def running_total(spark, sf):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("running"))
 
 
-QUERIES = {"group_summary": group_summary}
-ORACLE_SQL = {
-    "group_summary": "SELECT p_brand, count(*) AS n, round(avg(coalesce(p_retailprice, 0.0)), 3) AS avg_price FROM part GROUP BY p_brand",
-}
+# The flagship: facets, then the summary by vendor.
+@query("""SELECT p_brand AS vendor, count(*) AS count, round(avg(coalesce(p_retailprice, 0.0)), 3) AS avg_completeness FROM part WHERE coalesce(p_size, 0) >= 10 GROUP BY 1""")
+def group_summary(spark, sf):
+    return aggregates.group_summary(filters.facet_filter(parts(spark, sf), min_cores=10))
