@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,8 +27,10 @@ from .fmindex import FmIndex
 GRAM = 4
 #: Segments and keys that a shard or bucket holds on average.
 SEGMENTS, KEYS = 15_000, 400_000
-#: A key that over this share of all documents has, and over as many of them, deals out its windows one by one.
-HOT_SHARE, HOT_LEAST = 0.001, 20
+#: A key that more segments than this have, a third of a shard, deals out its windows one by one.
+HOT = 5_000
+#: Hot keys are sent to all tasks up to this number (eight bytes each), joined beyond it.
+HOT_SENT = 500_000
 _WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,14 +80,12 @@ def segments(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return g[at[first]], first, last
 
 
-def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
+def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col: str, most: int = HOT) -> tuple[DataFrame, DataFrame]:
     """((id, key) of every document's segments whose key occurs elsewhere too, hot keys).
 
     A task sends each of its keys once, whatever the number of documents that
     have it; keys that two of its own segments have are known to repeat. So a
-    key of a third of all documents costs a bucket one record a task. There
-    are no more hot keys than a document's mean number of segments over
-    HOT_SHARE.
+    key of a third of all documents costs a bucket one record a task.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"bucket int, data binary, `{id_col}` {kind}, key long, hot long"
@@ -103,7 +104,7 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
             count = np.diff(np.concatenate([first, [len(flat)]]))
             many = np.repeat(count > 1, count)
             hot = np.zeros(len(flat), np.int64)  # the count, once for each key
-            hot[first] = count * (count > max(2, HOT_SHARE * len(ids) / 4))
+            hot[first] = count * (count > 1)
             local = np.flatnonzero(many)
             id_array = pa.array(ids)
             k = len(local)
@@ -162,75 +163,67 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
     met = materialise(docs.select(id_col, text_col).mapInArrow(spread, schema), "segment-keys")
     across = met.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, f"`{id_col}` {kind}, key long")
     local = met.where("bucket is null")
-    total = local.where("hot > 0").groupBy("key").agg(F.sum("hot").alias("n")).where(F.col("n") > max(HOT_LEAST, HOT_SHARE * rows))
-    return local.select(id_col, "key").unionByName(across), [r.key for r in total.select("key").collect()]
-
-
-def _distinct_segments(blobs: list[bytes]) -> tuple[list, np.ndarray, list[str]]:
-    """(ids, firsts, texts) of all segments of a shard, in the order of (id, first)."""
-    ids, firsts, texts = [], [], []
-    for blob in blobs:
-        t = pa.ipc.open_stream(pa.BufferReader(blob)).read_all()
-        ids += t.column("id").to_pylist()
-        firsts.append(t.column("first").to_numpy())
-        texts += t.column("text").to_pylist()
-    firsts = np.concatenate(firsts)
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], firsts[i]))
-    return [ids[i] for i in order], firsts[order], [texts[i] for i in order]
-
-
-def shard_repeats(ids: list, firsts: np.ndarray, texts: list[str], window: int) -> list[tuple]:
-    """(id, start, end) of the words that repeated windows cover, for segments in order of their positions."""
-    out, met, keep = [], set(), []
-    for i, t in enumerate(texts):
-        if t in met:  # the whole segment stands earlier
-            out.append((ids[i], int(firsts[i]), int(firsts[i]) + t.count(" ") + 1))
-        else:
-            met.add(t)
-            keep.append(i)
-    codes: dict[str, int] = {}
-    pieces, starts, owner = [], [], []
-    at = 0
-    for i in keep:
-        words = texts[i].split(" ")
-        pieces += [codes.setdefault(w, len(codes) + 1) for w in words]
-        pieces.append(0)
-        n = len(words) - window + 1
-        starts.append(np.arange(at, at + n))
-        owner.append(np.full(n, i))
-        at += len(words) + 1
-    if not keep:
-        return out
-    starts, owner = np.concatenate(starts), np.concatenate(owner)
-    least = FmIndex(np.array(pieces, np.int64), window).repeats(starts, window)
-    hit = np.flatnonzero(least < starts)
-    if not len(hit):
-        return out
-    first_of = dict(zip(owner[::-1].tolist(), starts[::-1].tolist()))
-    run = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) != 0)]))
-    for a, b in zip(run, np.concatenate([run[1:], [len(hit)]])):
-        o = int(owner[hit[a]])
-        base = int(firsts[o]) - first_of[o]
-        out.append((ids[o], base + int(starts[hit[a]]), base + int(starts[hit[b - 1]]) + window))
-    return out
-
-
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    total = local.where("hot > 0").groupBy("key").agg(F.sum("hot").alias("n")).where(F.col("n") > most)
+    return local.select(id_col, "key").unionByName(across), materialise(total.select("key"), "hot-keys")
+
+
+def shard_repeats(blobs: list[pa.Buffer], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(ids, starts, ends) of the words that repeated windows cover, from a shard's packed segments."""
+    table = pa.concat_tables([pa.ipc.open_stream(pa.BufferReader(b)).read_all() for b in blobs])
+    table = table.sort_by([("id", "ascending"), ("first", "ascending")]).combine_chunks()
+    first = table.column("first").to_numpy().astype(np.int64)
+    code = table.column("text").combine_chunks().dictionary_encode()
+    _, keep = np.unique(code.indices.to_numpy(), return_index=True)
+    keep.sort()
+    words = pc.split_pattern(code.dictionary, " ")  # distinct texts, in the order of their first places
+    length = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    every = length[code.indices.to_numpy()]
+    again = np.ones(len(first), bool)
+    again[keep] = False
+    again = np.flatnonzero(again)  # the whole segment stands earlier
+    # The text of the index: words by number from 1 on, a 0 after each segment.
+    number = words.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(keep)), length)
+    symbols = np.zeros(len(number) + len(keep), np.int64)
+    symbols[np.arange(len(number)) + owner] = number
+    begin = np.cumsum(length + 1) - (length + 1)
+    windows = length - window + 1
+    owner = np.repeat(np.arange(len(keep)), windows)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
+    hit = np.flatnonzero(FmIndex(symbols, window).repeats(starts, window) < starts)
+    a, b = first[again], first[again] + every[again]
+    rows = again
+    if len(hit):
+        new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) != 0)])
+        run = np.flatnonzero(new)
+        end = np.concatenate([run[1:], [len(hit)]]) - 1
+        own = owner[hit[run]]
+        shift = first[keep[own]] - begin[own]
+        rows = np.concatenate([again, keep[own]])
+        a = np.concatenate([a, shift + starts[hit[run]]])
+        b = np.concatenate([b, shift + starts[hit[end]] + window])
+    return table.column("id").combine_chunks().take(pa.array(rows)), a.astype(np.int32), b.astype(np.int32)
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = HOT) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256): what is left of every text without words in repeated windows.
 
     A window is repeated if its words also start earlier: in a row of a
     smaller id, or earlier in the same row. Null, empty and short texts have
     no window and keep all their words. Rows that share an id are taken as
     the same positions, so neither is earlier than the other, and each loses
-    what any of them does. Ids must not be null. An empty table gives no rows;
+    what any of them does. Rows without an id keep all their words and don't
+    count as earlier. An empty table gives no rows;
     other columns are not read. ``with_text`` adds ``kept``, the words that
     stay, joined by one space.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.count()
-    keys, hot_keys = repeated_keys(docs, window, rows, id_col, text_col)
-    hot = np.sort(np.array(hot_keys, np.int64).view(np.uint64))
-    pack_keys = keys.groupBy(id_col).agg(F.collect_set("key").alias("keys"))
+    keys, hot = repeated_keys(docs, window, rows, id_col, text_col, most)
+    hot = hot.withColumn("hot", F.lit(True))
+    hot = F.broadcast(hot) if hot.count() <= HOT_SENT else hot
+    keys = keys.join(hot, "key", "left")
+    pack_keys = keys.groupBy(id_col).agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
@@ -243,63 +236,70 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     names = ["shard", "data", id_col, "start", "end"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple] = {}
-        again: list[tuple] = []
+        best: dict[str, tuple] = {}  # text of a segment to its first place here
         place: dict[str, int] = {}
+        again: dict[object, list[list[int]]] = {}  # id to ranges of words that stand earlier
+
+        def late(i, a: int, b: int) -> None:
+            ranges = again.setdefault(i, [])
+            if ranges and ranges[-1][0] <= a <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], b)
+            else:
+                ranges.append([a, b])
 
         def out() -> Iterator[pa.RecordBatch]:
-            if again:
-                k = len(again)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array([x[0] for x in again], id_type), pa.array([x[1] for x in again], pa.int32()), pa.array([x[2] for x in again], pa.int32())], names)
+            rows = [(i, a, b) for i, ranges in again.items() for a, b in ranges]
+            if rows:
+                ids, starts, ends = zip(*rows)
+                k = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids, id_type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names)
             by: dict[int, list[str]] = {}
-            for t, s in place.items():
-                by.setdefault(s, []).append(t)
-            for s, ts in by.items():
+            for t, x in place.items():
+                by.setdefault(x, []).append(t)
+            for x, ts in by.items():
                 sink = pa.BufferOutputStream()
-                t = pa.record_batch([pa.array([best[x][0] for x in ts], id_type), pa.array([best[x][1] for x in ts], pa.int32()), pa.array(ts, pa.string())], ["id", "first", "text"])
+                t = pa.record_batch([pa.array([best[y][0] for y in ts], id_type), pa.array([best[y][1] for y in ts], pa.int32()), pa.array(ts, pa.string())], ["id", "first", "text"])
                 with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(t)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names)
 
         id_type, held = pa.int64(), 0
         for batch in batches:
             id_type = batch.column(id_col).type
-            for i, data, some in zip(*(batch.column(c).to_pylist() for c in (id_col, "data", "keys"))):
+            for i, data, some, hot in zip(*(batch.column(c).to_pylist() for c in (id_col, "data", "keys", "hot"))):
                 words = WORD.findall(expand(data))
                 h = word_hashes(words)
                 key, first, last = segments(h, window)
-                known = np.isin(key, np.array(some, np.int64).view(np.uint64))
-                dealt = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
-                runs = [(int(key[k]), int(first[k]), int(last[k])) for k in np.flatnonzero(known & ~dealt).tolist()]
-                if dealt.any():
-                    each = np.concatenate([np.arange(first[k], last[k] + 1) for k in np.flatnonzero(dealt).tolist()])
-                    whole = _rolled(h, window)[each]
-                    runs += [(x, w, w) for x, w in zip(whole.tolist(), each.tolist())]
-                if runs:
-                    for x, a, b in runs:
-                        t = " ".join(words[a : b + window])
-                        old = best.get(t)
-                        if old is None:
-                            best[t] = (i, a)
-                            place[t] = int(x >> 7) % shards
-                            held += len(t)
-                        elif old == (i, a):
-                            pass  # a row of the same id
-                        else:
-                            late = max(old, (i, a))
-                            best[t] = min(old, (i, a))
-                            again.append((*late, late[1] + b - a + window))
-                if held > 60_000_000 or len(again) > 500_000:
+                some = {x & 0xFFFFFFFFFFFFFFFF for x in some}
+                runs = [r for r in zip(key.tolist(), first.tolist(), last.tolist()) if r[0] in some]
+                if hot:
+                    hot = {x & 0xFFFFFFFFFFFFFFFF for x in hot}
+                    each = np.concatenate([np.arange(a, b + 1) for x, a, b in zip(key.tolist(), first.tolist(), last.tolist()) if x in hot])
+                    runs += zip(_rolled(h, window)[each].tolist(), each.tolist(), each.tolist())
+                text = " ".join(words)
+                at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                at = [0, *at.tolist()]
+                for x, a, b in runs:
+                    t = text[at[a] : at[b + window] - 1]
+                    old = best.get(t)
+                    if old is None:
+                        best[t] = (i, a)
+                        place[t] = (x >> 7) % shards
+                        held += len(t)
+                    elif old < (i, a):
+                        late(i, a, b + window)
+                    elif old != (i, a):  # else a row of the same id
+                        best[t] = (i, a)
+                        late(old[0], old[1], old[1] + b - a + window)
+                if held > 60_000_000:
                     yield from out()
-                    best, again, place, held = {}, [], {}, 0
+                    best, place, again, held = {}, {}, {}, 0
         yield from out()
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, firsts, texts = _distinct_segments([b.as_buffer() for b in table.column("data")])
-        found = shard_repeats(ids, firsts, texts, window)
-        return pa.table({id_col: pa.array([x[0] for x in found], id_pa), "start": pa.array([x[1] for x in found], pa.int32()), "end": pa.array([x[2] for x in found], pa.int32())})
+        ids, starts, ends = shard_repeats([b.as_buffer() for b in table.column("data")], window)
+        return pa.table({id_col: ids, "start": pa.array(starts), "end": pa.array(ends)})
 
-    id_pa = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     chosen = packed.join(pack_keys, id_col)
     parts = materialise(chosen.mapInArrow(cut, schema), "segments")
     local = parts.where("shard is null").select(id_col, "start", "end")
