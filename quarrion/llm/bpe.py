@@ -25,7 +25,7 @@ from .common import slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker keeps the ids of this many words, and of as many before those; longer words are not kept.
-WORDS_KEPT, LONGEST_KEPT = 300_000, 48
+WORDS_KEPT, LONGEST_KEPT = 200_000, 48
 
 
 def byte_letters() -> list[str]:

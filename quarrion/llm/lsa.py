@@ -36,7 +36,7 @@ _PUNCTUATION = ".,;:!?\"'()[]{}<>|#*%$&-_"
 class _Terms(dict):
     def __missing__(self, word: str) -> int:
         t = zlib.crc32((word.strip(_PUNCTUATION) or word).encode()) & (TERMS - 1)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = t
         return t
@@ -202,8 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return
         best: dict[int, float] = {}
         spans: dict[int, list[tuple[int, int]]] = {}
-        for start in range(0, len(ids), 32_000):  # a long text in pieces that overlap by a passage
-            own = ids[start : start + 32_000 + length]
+        for start in range(0, len(ids), 8_000):  # a long text in pieces that overlap by a passage
+            own = ids[start : start + 8_000 + length]
             runs = np.arange(0, len(own), STRIDE)
             part = np.add.reduceat(weighted[row[own]], runs)
             mass = np.add.reduceat(square[own], runs)

@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 def keep_one(docs: DataFrame, radius: int = 7, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but one, that of the smallest id, of each group of near duplicates.
 
-    Rows that share an id share a group; one of them stays if the id does.
+    Rows that share an id stay or go together; rows without an id stay.
     """
     found = near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col, text_col)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
