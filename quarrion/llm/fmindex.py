@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Masks of the bits below each place of a word.
+_LOW = (np.uint64(1) << np.arange(32, dtype=np.uint64)).astype(np.uint32) - np.uint32(1)
+
 
 class Bits:
-    """A bit vector with rank: 64-bit words and the count of ones before each."""
+    """A bit vector with rank: 32-bit words and the count of ones before each."""
 
     def __init__(self, bits: np.ndarray):
         n = len(bits)
-        padded = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
+        padded = np.zeros(-(-(n + 1) // 32) * 32, np.uint8)
         padded[:n] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(ones)[:-1]])
+        self.words = np.packbits(padded, bitorder="little").view(np.uint32)
+        ones = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(ones, dtype=np.int32) - ones
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
-        at = i >> 6
-        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        at = i >> 5
+        low = _LOW[i & 31]
         return self.before[at] + np.bitwise_count(self.words[at] & low)
 
 
@@ -31,7 +34,7 @@ class Wavelet:
         for k in range(levels - 1, -1, -1):
             bit = (symbols >> k) & 1
             self.rows.append(Bits(bit.astype(np.uint8)))
-            self.zeros.append(int(len(bit) - bit.sum()))
+            self.zeros.append(np.int32(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
     def follow(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -67,15 +70,15 @@ class FmIndex:
     """Index of a sequence of symbols in 1..alphabet, 0 being the separator; patterns of ``depth`` symbols at most."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.n, self.text = len(text), text
+        self.n, self.text = len(text), text.astype(np.int32)
         self.order = suffix_order(text, depth)
-        transform = text[self.order - 1]  # position 0 is preceded by the last symbol, a separator
+        transform = self.text[self.order - 1]  # position 0 is preceded by the last symbol, a separator
         top = int(text.max()) if self.n else 0
         self.wavelet = Wavelet(transform, max(1, top.bit_length()))
         count = np.bincount(text, minlength=top + 1)
-        self.first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        every = np.arange(top + 1)
-        self.base = self.wavelet.follow(every, np.zeros(top + 1, np.int64))
+        self.first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int32)
+        every = np.arange(top + 1, dtype=np.int32)
+        self.base = self.wavelet.follow(every, np.zeros(top + 1, np.int32))
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern from those of the patterns."""
@@ -88,12 +91,11 @@ class FmIndex:
 
         Patterns are matched backward from their last symbol, all at once; one
         whose interval has shrunk to itself alone has a matching statistic below
-        the length and is dropped there. Every further pattern that contains
-        the part matched so far is unique as well and is not searched.
+        the length and is dropped there.
         """
         out = starts.copy()
         todo = np.arange(len(starts))
-        low, high = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
+        low, high = np.zeros(len(todo), np.int32), np.full(len(todo), self.n, np.int32)
         for k in range(length - 1, -1, -1):
             low, high = self.step(self.text[starts[todo] + k], low, high)
             alive = high - low > 1

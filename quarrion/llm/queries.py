@@ -50,4 +50,15 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op6_fm_substrings, op7_covering_simhash, op8_latent_leaks, op9_template_tree, op10_secret_ledger)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are beyond SQL: CRC-32, XXH64, tokenizers, training, graphs, and the places of pattern matches.
+ORACLE_SQL: dict[str, str] = {
+    # Windows by the digest of their words; all but the first of each are gone with the words that they cover.
+    "op6_fm_substrings": r"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+19], ' ')) AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i) WHERE len(w) >= 20),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY 1),
+pos AS (SELECT d.doc_id, unnest(d.w) AS word, unnest(range(1, len(d.w) + 1)) AS p FROM d JOIN gone USING (doc_id)),
+kept AS (SELECT pos.doc_id, array_to_string(list(word ORDER BY pos.p), ' ') AS t, count(*) AS n FROM pos ANTI JOIN (SELECT doc_id, unnest(p) AS p FROM gone) g ON pos.doc_id = g.doc_id AND pos.p = g.p GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, CASE WHEN g.doc_id IS NULL THEN 0 ELSE len(d.w) - coalesce(k.n, 0) END::BIGINT AS n_removed,
+sha256(CASE WHEN g.doc_id IS NULL THEN array_to_string(d.w, ' ') ELSE coalesce(k.t, '') END) AS kept_sha256 FROM d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+}

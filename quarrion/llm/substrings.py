@@ -16,12 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, expand, materialise, slices, squeeze
+from .common import materialise, pack_bytes, slices, unpack_bytes
 from .fmindex import FmIndex
 
 GRAM = 4
@@ -31,53 +29,78 @@ SEGMENTS, KEYS = 15_000, 400_000
 HOT = 5_000
 #: Hot keys are sent to all tasks up to this number (eight bytes each), joined beyond it.
 HOT_SENT = 500_000
-_WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def canonical(text: str | None) -> bytes:
+    """The words of a text, joined by one space; bytes split at the very white space that words are cut at."""
+    return b" ".join((text or "").encode().split())
 
 
 def _rolled(h: np.ndarray, length: int) -> np.ndarray:
     """A mixed hash of each run of ``length`` values."""
     n = len(h) - length + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(length):
-        out = out * _MIX + h[k : k + n]
+    out = h[:n].copy()
+    for k in range(1, length):
+        out *= _MIX
+        out += h[k : k + n]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
-def segments(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of each run of windows whose minimizer stands at one place; none of a shorter text."""
-    if len(h) < window:
-        e = np.empty(0, np.int64)
-        return e.astype(np.uint64), e, e
-    g = _rolled(h, GRAM)
-    span = window - GRAM + 1
-    at, k = np.arange(len(g)), 1  # place of the leftmost smallest gram in each run of k
-    while k < span:
-        step = min(k, span - k)
-        x, y = at[: len(at) - step], at[step:]
-        at = np.where(g[x] <= g[y], x, y)
-        k += step
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    return g[at[first]], first, last
+class Stream:
+    """The words of several canonical texts in a row: where they begin, their hashes, and what text they are of.
+
+    Texts of fewer words than the window are left out; ``texts`` has the places of the others.
+    """
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.texts = np.array([k for k, t in enumerate(texts) if t.count(b" ") >= window - 1], np.int64)
+        self.data = b"\n".join([texts[k] for k in self.texts])
+        raw = np.frombuffer(self.data, np.uint8)
+        if not len(raw):
+            self.begin, self.row, self.hash = (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+            return
+        gap = np.flatnonzero((raw == 32) | (raw == 10))
+        self.begin = np.concatenate([[0], gap + 1])  # a word ends one before the next begins
+        self.row = np.concatenate([[0], np.cumsum(raw[gap] == 10)])
+        length = np.diff(np.append(self.begin, len(raw) + 1)) - 1
+        # A word's hash: its bytes by powers of an odd number, by place in the word.
+        place = np.arange(len(raw)) - np.repeat(self.begin, np.minimum(length + 1, len(raw) - self.begin))
+        power = np.full(int(length.max()) + 1, _MIX)
+        power[0] = 0x2545F4914F6CDD1D
+        power = np.multiply.accumulate(power)
+        value = (raw.astype(np.uint64) + np.uint64(1)) * power[place]
+        value[gap] = 0
+        h = np.add.reduceat(value, self.begin)
+        h ^= h >> np.uint64(31)
+        self.hash = h * np.uint64(0x94D049BB133111EB)
+
+    def text(self, first: int, last: int) -> bytes:
+        """Words from one to another, both included."""
+        end = int(self.begin[last + 1]) - 1 if last + 1 < len(self.begin) else len(self.data)
+        return self.data[int(self.begin[first]) : end]
+
+    def segments(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, first window, last window) of each run of windows whose minimizer stands at one place."""
+        if len(self.hash) < window:
+            e = np.empty(0, np.int64)
+            return e.astype(np.uint64), e, e
+        g = _rolled(self.hash, GRAM)
+        span = window - GRAM + 1
+        low, k = g, 1
+        while k < span:
+            step = min(k, span - k)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            k += step
+        # The leftmost minimizer moves on where the smallest value changes or where the window leaves it behind.
+        fits = self.row[: len(low)] == self.row[window - 1 :]
+        new = np.concatenate([[True], (low[1:] != low[:-1]) | (g[: len(low) - 1] == low[:-1]) | ~fits[:-1]])
+        at = np.flatnonzero(new & fits)
+        # A run ends before the next one, or before a window that would reach into the next text.
+        ends = np.flatnonzero(np.append(new[1:] | ~fits[1:], True) & fits)
+        return low[at], at, ends
 
 
 def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col: str, most: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -92,12 +115,7 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
     buckets = max(1, -(-rows * 64 // KEYS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            sizes = [len(k) for k in keys]
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            if not len(flat):
-                return
-            row = np.repeat(np.arange(len(ids)), sizes)
+        def out(id_array: pa.Array, flat: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.argsort(flat, kind="stable")
             flat, row = flat[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -106,7 +124,6 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
             hot = np.zeros(len(flat), np.int64)  # the count, once for each key
             hot[first] = count * (count > 1)
             local = np.flatnonzero(many)
-            id_array = pa.array(ids)
             k = len(local)
             if k:
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), id_array.take(pa.array(row[local])), pa.array(flat[local].view(np.int64)), pa.array(hot[local])], names)
@@ -128,18 +145,21 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, id_array.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
 
         names = ["bucket", "data", id_col, "key", "hot"]
-        ids, keys, n = [], [], 0
+        ids, keys, rows, n = [], [], [], 0
         for part in slices(batches, text_col):
-            for i, text in zip(part.column(id_col).to_pylist(), part.column(text_col).to_pylist()):
-                key, _, _ = segments(word_hashes(WORD.findall(text or "")), window)
-                if len(key):
-                    ids.append(i)
-                    keys.append(key)
-                    n += len(key)
+            stream = Stream([canonical(t) for t in part.column(text_col).to_pylist()], window)
+            key, first, _ = stream.segments(window)
+            if len(key):
+                own = part.column(id_col).take(pa.array(stream.texts))
+                rows.append(stream.row[first] + sum(map(len, ids)))
+                ids.append(own)
+                keys.append(key)
+                n += len(key)
             if n > 2_000_000:
-                yield from out(ids, keys)
-                ids, keys, n = [], [], 0
-        yield from out(ids, keys)
+                yield from out(pa.concat_arrays(ids), np.concatenate(keys), np.concatenate(rows))
+                ids, keys, rows, n = [], [], [], 0
+        if n:
+            yield from out(pa.concat_arrays(ids), np.concatenate(keys), np.concatenate(rows))
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, ids, twice = [], [], []
@@ -227,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            data = pa.array([squeeze(t) if t else None for t in part.column(text_col).to_pylist()], pa.binary())
+            data = pa.array([pack_bytes(canonical(t)) for t in part.column(text_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(id_col), data], [id_col, "data"])
 
     packed = docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {kind}, data binary")
@@ -236,8 +256,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     names = ["shard", "data", id_col, "start", "end"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple] = {}  # text of a segment to its first place here
-        place: dict[str, int] = {}
+        best: dict[bytes, tuple] = {}  # text of a segment to its first place here
+        place: dict[bytes, int] = {}
         again: dict[object, list[list[int]]] = {}  # id to ranges of words that stand earlier
 
         def late(i, a: int, b: int) -> None:
@@ -253,12 +273,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 ids, starts, ends = zip(*rows)
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids, id_type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names)
-            by: dict[int, list[str]] = {}
+            by: dict[int, list[bytes]] = {}
             for t, x in place.items():
                 by.setdefault(x, []).append(t)
             for x, ts in by.items():
                 sink = pa.BufferOutputStream()
-                t = pa.record_batch([pa.array([best[y][0] for y in ts], id_type), pa.array([best[y][1] for y in ts], pa.int32()), pa.array(ts, pa.string())], ["id", "first", "text"])
+                t = pa.record_batch([pa.array([best[y][0] for y in ts], id_type), pa.array([best[y][1] for y in ts], pa.int32()), pa.array(ts, pa.binary())], ["id", "first", "text"])
                 with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(t)
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names)
@@ -266,31 +286,38 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         id_type, held = pa.int64(), 0
         for batch in batches:
             id_type = batch.column(id_col).type
-            for i, data, some, hot in zip(*(batch.column(c).to_pylist() for c in (id_col, "data", "keys", "hot"))):
-                words = WORD.findall(expand(data))
-                h = word_hashes(words)
-                key, first, last = segments(h, window)
-                some = {x & 0xFFFFFFFFFFFFFFFF for x in some}
-                runs = [r for r in zip(key.tolist(), first.tolist(), last.tolist()) if r[0] in some]
-                if hot:
-                    hot = {x & 0xFFFFFFFFFFFFFFFF for x in hot}
-                    each = np.concatenate([np.arange(a, b + 1) for x, a, b in zip(key.tolist(), first.tolist(), last.tolist()) if x in hot])
-                    runs += zip(_rolled(h, window)[each].tolist(), each.tolist(), each.tolist())
-                text = " ".join(words)
-                at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                at = [0, *at.tolist()]
-                for x, a, b in runs:
-                    t = text[at[a] : at[b + window] - 1]
+            for part in slices([batch], "data"):
+                ids = part.column(id_col).to_pylist()
+                stream = Stream([unpack_bytes(x.as_buffer()) for x in part.column("data")], window)
+                key, first, last = stream.segments(window)
+                of = lambda c: part.column(c).flatten().to_numpy().view(np.uint64)
+                # A key that is known to repeat does so in every document that has it.
+                known, dealt = np.isin(key, of("keys")), np.isin(key, of("hot"))
+                base = np.searchsorted(stream.row, np.arange(len(stream.texts)))  # first word of each text
+                runs = [(key[known], first[known], last[known])]
+                if dealt.any():
+                    n = (last - first + 1)[dealt]
+                    each = np.repeat(first[dealt], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    runs.append((_rolled(stream.hash, window)[each], each, each))
+                x, a, b = (np.concatenate(c) for c in zip(*runs))
+                row = stream.row[a]
+                to = ((x >> np.uint64(7)) % np.uint64(shards)).tolist()
+                begin = stream.begin[a].tolist()
+                end = np.append(stream.begin, len(stream.data) + 1)[b + window].tolist()
+                at, data = (a - base[row]).tolist(), stream.data
+                size, who = (b - a + window).tolist(), [ids[k] for k in stream.texts[row].tolist()]
+                for p, q, i, w, n, shard in zip(begin, end, who, at, size, to):
+                    t = data[p : q - 1]
                     old = best.get(t)
                     if old is None:
-                        best[t] = (i, a)
-                        place[t] = (x >> 7) % shards
-                        held += len(t)
-                    elif old < (i, a):
-                        late(i, a, b + window)
-                    elif old != (i, a):  # else a row of the same id
-                        best[t] = (i, a)
-                        late(old[0], old[1], old[1] + b - a + window)
+                        best[t] = (i, w)
+                        place[t] = shard
+                        held += q - p
+                    elif old < (i, w):
+                        late(i, w, w + n)
+                    elif old != (i, w):  # else a row of the same id
+                        best[t] = (i, w)
+                        late(old[0], old[1], old[1] + n)
                 if held > 60_000_000:
                     yield from out()
                     best, place, again, held = {}, {}, {}, 0
@@ -312,7 +339,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         for batch in batches:
             n, removed, sha, kept = [], [], [], []
             for data, gone in zip(batch.column("data"), batch.column("gone").to_pylist()):
-                words = WORD.findall(expand(data.as_py()))
+                words = unpack_bytes(data.as_buffer()).split()
                 n.append(len(words))
                 if gone:
                     out = np.ones(len(words), bool)
@@ -320,8 +347,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                         out[r["start"] : r["end"]] = False
                     words = [w for w, k in zip(words, out.tolist()) if k]
                 removed.append(n[-1] - len(words))
-                text = " ".join(words)
-                sha.append(hashlib.sha256(text.encode()).hexdigest())
+                text = b" ".join(words)
+                sha.append(hashlib.sha256(text).hexdigest())
                 kept.append(text)
             columns = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
             if with_text:

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quarrion.llm import bpe, components, ctph, fmindex, hilbert, langid, lsa, secret_ledger, simhash, substrings, toxicity, urltree
-from quarrion.llm.common import WORD, table
+from quarrion.llm.common import WORD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, data string, fp string, key string, shard string"
 
