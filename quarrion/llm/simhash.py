@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, slices
+from .common import materialise, slices
 from .components import components
 
 BITS = 64
@@ -25,23 +25,38 @@ BITS = 64
 BLOCK = 60_000
 #: A bucket of more fingerprints is cut again, by parts of the bits that its mask hides.
 LARGE = 2_000
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64 (seed 42); zero without a word."""
-    words = WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return 0
-    data = " ".join(words).encode()
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(data, 42)
-    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
-    starts = [0, *(e + 1 for e in ends)]
-    ends.append(len(data))
+#: Bytes with A to Z in lower case; bytes of other letters stay.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; of a shorter text of the whole sequence; none without a word."""
+    data = b" ".join((text or "").encode().translate(_LOWER).split())
+    if not data:
+        return np.empty(0, np.uint64)
+    gap = np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])], "<u8")
-    return _majority(h)
+    if len(gap) < shingle:
+        return np.array([digest(data, 42)], np.uint64)
+    starts = [0, *(e + 1 for e in gap)]
+    ends = [*gap[shingle - 1 :], len(data)]
+    return np.array([digest(data[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
+
+
+def simhash(text: str | None, shingle: int = 4, number: int = 0) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes; zero without a word.
+
+    A further fingerprint (number over 0) is the same over the hashes mixed anew.
+    """
+    return _fingerprint(shingle_hashes(text, shingle), number)
+
+
+def _fingerprint(h: np.ndarray, number: int) -> int:
+    for _ in range(number):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(32))
+    return _majority(h.astype("<u8", copy=False)) if len(h) else 0
 
 
 def _majority(h: np.ndarray) -> int:
@@ -52,16 +67,18 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp holds the fingerprint's bits as a long. A narrow step; a null text is like an empty one."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", number: int = 1) -> DataFrame:
+    """(id, fp0, fp1, ...): fingerprints as longs. A narrow step; a null text is like an empty one."""
     key = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{k}" for k in range(number)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            fp = np.array([simhash(t, shingle) for t in part.column(text_col).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fp)], [id_col, "fp"])
+            hashes = [shingle_hashes(t, shingle) for t in part.column(text_col).to_pylist()]
+            fps = [pa.array(np.array([_fingerprint(h, k) for h in hashes], np.uint64).view(np.int64)) for k in range(number)]
+            yield pa.RecordBatch.from_arrays([part.column(id_col), *fps], [id_col, *names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, ", ".join([f"`{id_col}` {key}", *(f"{n} long" for n in names)]))
 
 
 def masks(radius: int, seed: int = 7) -> np.ndarray:
@@ -140,14 +157,14 @@ def _large(fps: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, n
     return np.concatenate(left or [np.empty(0, np.uint64)]), np.concatenate(right or [np.empty(0, np.uint64)])
 
 
-def covering_links(distinct: DataFrame, radius: int, rows: int) -> DataFrame:
+def covering_links(distinct: DataFrame, radius: int, rows: int, seed: int = 7) -> DataFrame:
     """(src, dst) among distinct fingerprints (fp): links within the radius that connect all that such links connect.
 
     Tasks deal out packed arrays of fingerprints by (table, part of the masked
     key): eight bytes cross the exchange for each fingerprint and table, and no
     block grows with the input, as their number does.
     """
-    table_masks = masks(radius)
+    table_masks = masks(radius, seed)
     parts = max(1, -(-rows // BLOCK))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,30 +194,50 @@ def covering_links(distinct: DataFrame, radius: int, rows: int) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(meet, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id): rows whose fingerprints are connected by links of radius differing bits or fewer.
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", number: int = 1, total: int | None = None) -> DataFrame:
+    """(id, fingerprint, component_id): rows connected by links between fingerprints of radius differing bits or fewer.
 
+    With a number over 1 texts have further fingerprints, and rows link if any
+    one of them is near: more of the pairs beyond the radius are found. With a
+    total, links whose fingerprints differ in more bits together are dropped.
     component_id is the smallest id of a component. Null, empty and blank texts
-    have fingerprint zero and link like any other; repeated rows each give a row;
-    an empty table gives none; other columns are not read. Equal fingerprints
-    are one row before any link is sought, so a group of copies costs no more
-    than one text.
+    have fingerprint zero and link like any other; repeated rows each give a
+    row; rows without an id have the component of rows with the same
+    fingerprints, null if there are none; an empty table gives no rows; other
+    columns are not read. Equal fingerprints are one row before any link is
+    sought, so a group of copies costs no more than one text.
     """
-    marks = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = materialise(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    links = materialise(covering_links(distinct, radius, distinct.count()), "simhash-links")
-    label = components(links)  # only fingerprints with a link
-    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 7, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    names = [f"fp{k}" for k in range(number)]
+    marks = materialise(fingerprints(docs, shingle, id_col, text_col, number), "simhash")
+    distinct = materialise(marks.groupBy(*names).agg(F.min(id_col).alias("node")), "simhash-distinct")
+    edges = None
+    for k, name in enumerate(names):
+        # A fingerprint's node is the smallest id that has it.
+        own = distinct.where(F.col("node").isNotNull())
+        if number > 1:
+            own = materialise(own.groupBy(name).agg(F.min("node").alias("node"), *[F.min_by(n, "node").alias(n) for n in names if n != name]), "simhash-nodes")
+        links = materialise(covering_links(own.select(F.col(name).alias("fp")), radius, own.count(), seed=7 + k), "simhash-links")
+        side = lambda df, p: df.select(F.col("node").alias(p), *[F.col(n).alias(p + n) for n in names])
+        a, b = side(own, "src_"), side(own, "dst_")
+        found = links.join(a, F.col("src") == F.col(f"src_{name}")).join(b, F.col("dst") == F.col(f"dst_{name}")).drop("src", "dst")
+        if number > 1:
+            every = side(distinct.where(F.col("node").isNotNull()), "src_")
+            found = found.unionByName(every.join(b, F.col(f"src_{name}") == F.col(f"dst_{name}")).where("src_ <> dst_"))
+        if total is not None:
+            differ = sum((F.bit_count(F.col(f"src_{n}").bitwiseXOR(F.col(f"dst_{n}"))) for n in names), F.lit(0))
+            found = found.where(differ <= total)
+        found = found.select(F.col("src_").alias("src"), F.col("dst_").alias("dst"))
+        edges = found if edges is None else edges.unionByName(found)
+    label = components(edges)  # only nodes with a link
+    named = distinct.join(label, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return marks.join(named, names).select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 7, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", number: int = 2, total: int | None = 18) -> DataFrame:
     """The documents without all but one, that of the smallest id, of each group of near duplicates.
 
     Rows that share an id stay or go together; rows without an id stay.
     """
-    found = near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col, text_col)
+    found = near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col, text_col, number, total)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
