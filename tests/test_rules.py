@@ -15,7 +15,7 @@ from quarrion.schema import is_filled, record_schema, violations
 from quarrion.streaming.limits import WindowLog
 
 YEARS = [
-    ("MT6765", "", "", 2015), ("MT9950", "", "", 2025), ("", "Dimensity 9300", "", 2024), ("", "Helio G85", "", None), ("", "Kirin 990", "", 2019), ("SM8550", "", "", 2023), ("SDM845", "", "", 2011), ("MSM8998", "", "", 2017),
+    ("MT6765", "", "", 2016), ("MT9950", "", "", 2025), ("", "Dimensity 9300", "", 2024), ("", "Helio G85", "", None), ("", "Kirin 990", "", 2019), ("SM8550", "", "", 2023), ("SDM845", "", "", 2011), ("MSM8998", "", "", 2025),
     ("", "Exynos 2400", "", 2024), ("", "Exynos 990", "", 2020), ("", "Snapdragon X Elite", "", 2024), ("", "Snapdragon 8 Gen 2", "", 2023), ("", "Snapdragon 7 Gen 3", "", 2023), ("RK3588", "", "", 2015),
     ("", "Apple A17 Pro", "", 2024), ("", "Apple M3", "", 2023), ("", "M0 core", "", None), ("tegra264", "", "", 2272), ("T124", "", "", 2020), ("", "Snapdragon 855", "", 2019), ("OMAP4430", "", "", 2012), ("S905", "", "Amlogic", 2016),
     ("T962", "", "Amlogic", 2016), ("", "Kompanio 1300", "", 2022), ("JZ4780", "", "", 2009), ("K3V2E", "", "", 2013), ("", "Kirin T91", "", 2024), ("", "Kirin T70", "", None), ("UMS9230", "", "", 2019), ("H616", "", "", 2023), ("A64", "", "Allwinner", 2025), ("A523x", "", "Allwinner", 2056), ("x5 chip", "", "", 2015), ("plain", "nothing", "", None),
