@@ -7,8 +7,6 @@ import zlib
 import numpy as np
 import pytest
 import regex
-from pyspark.sql import functions as F
-
 from quarrion.llm import bpe, components, ctph, fmindex, hilbert, langid, lsa, secret_ledger, simhash, substrings, toxicity, urltree
 from quarrion.llm.common import WORD
 
@@ -383,7 +381,7 @@ def test_templates_rejected_by_purity(spark):
     pages = spark.createDataFrame(rows_, "page_id long, url string")
     labels = spark.createDataFrame([(k, 1) for k in range(40)] + [(100 + k, 0) for k in range(40)], "page_id long, bad int")
     got = {r.page_id: (r.verdict, r.template) for r in urltree.judge(pages, labels, rules=()).collect()}
-    assert got[300] == ("block", "*/{n}") or got[300][0] in ("block", "allow")
+    assert got[300] == ("block", "*/{n}")  # so many siblings are one wildcard
     few = urltree.judge(pages.where("page_id < 200 or page_id = 300"), labels, rules=())
     got = {r.page_id: (r.verdict, r.template) for r in few.collect()}
     assert got[300] == ("block", "bad/{n}") and got[100] == ("allow", "good/{n}.html")
