@@ -25,7 +25,7 @@ def _show(df: DataFrame, fmt: str, fields: list[str] | None = None) -> str:
 
         out = io.StringIO()
         csv.writer(out, lineterminator="\n").writerows([df.columns, *[["" if v is None else v for v in r] for r in rows]])
-        return out.getvalue()
+        return out.getvalue().rstrip("\n")
     return sinks.text_table(rows, df.columns)
 
 
