@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .components import components
+from .components import components, spanning_forest
 
 BITS = 64
 #: Fingerprints that one block of a table holds on average.
@@ -98,100 +98,111 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def links_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among a bucket's distinct fingerprints: enough of the pairs within the radius to connect whatever they connect."""
-    n = len(fps)
-    todo = np.arange(n)
-    left, right = [], []
-    # A pair that is already joined needs no further link: rows near the pivot are linked to it and leave;
-    # each becomes a pivot later, so that no chain is lost.
+def _near(rows: np.ndarray, one: np.ndarray, radius: int, total: int | None) -> np.ndarray:
+    """Which rows differ from one in radius bits or fewer of the first fingerprint, and in total bits or fewer of all."""
+    differ = np.bitwise_count(rows ^ one)
+    near = differ[:, 0] <= radius
+    return near if total is None else near & (differ.sum(1) <= total)
+
+
+def links_within(fps: np.ndarray, radius: int, total: int | None = None) -> tuple[list[int], list[int]]:
+    """Links (places) among a bucket's rows of fingerprints: enough of the pairs that are near to connect whatever they connect.
+
+    Rows near the pivot are linked to it and leave; each becomes a pivot
+    later, so no chain is lost and no pair that is joined already is linked.
+    """
+    todo = np.arange(len(fps))
+    left: list[int] = []
+    right: list[int] = []
     queue: list[int] = []
-    while len(todo) or queue:
+    while len(todo) and (queue or len(todo) > 1):
         if queue:
             p = queue.pop()
         else:
-            p, todo = todo[0], todo[1:]
-        near = np.bitwise_count(fps[todo] ^ fps[p]) <= radius
-        found = todo[near]
-        if len(found):
-            left += [fps[p]] * len(found)
-            right += fps[found].tolist()
-            queue += found.tolist()
+            p, todo = int(todo[0]), todo[1:]
+        near = _near(fps[todo], fps[p], radius, total)
+        found = todo[near].tolist()
+        if found:
+            left += [p] * len(found)
+            right += found
+            queue += found
             todo = todo[~near]
-    return np.array(left, np.uint64), np.array(right, np.uint64)
+    return left, right
 
 
-def table_links(fps: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius among those of distinct fingerprints that agree under the mask."""
-    order = np.argsort(fps & mask, kind="stable")
-    fps = fps[order]
-    key = fps & mask
+def table_links(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) among rows of fingerprints whose first agree under the mask."""
+    order = np.argsort(fps[:, 0] & mask, kind="stable")
+    own = fps[order]
+    key = own[:, 0] & mask
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
-    left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     two = first[size == 2]
-    close = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
-    left.append(fps[two[close]])
-    right.append(fps[two[close] + 1])
+    differ = np.bitwise_count(own[two] ^ own[two + 1])
+    close = differ[:, 0] <= radius
+    if total is not None:
+        close &= differ.sum(1) <= total
+    left, right = [two[close]], [two[close] + 1]
     for a, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-        x, y = links_within(fps[a : a + k], radius) if k <= LARGE else _large(fps[a : a + k], mask, radius)
-        left.append(x)
-        right.append(y)
-    return np.concatenate(left), np.concatenate(right)
+        x, y = links_within(own[a : a + k], radius, total) if k <= LARGE else _large(own[a : a + k], mask, radius, total)
+        left.append(np.array(x, np.int64) + a)
+        right.append(np.array(y, np.int64) + a)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _large(fps: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _large(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None) -> tuple[list[int], list[int]]:
     """The same for a large bucket: of radius + 1 parts of the hidden bits, a pair agrees in one at least."""
     hidden = [i for i in range(BITS) if not int(mask) >> i & 1]
-    left, right = [], []
+    left: list[int] = []
+    right: list[int] = []
     for k in range(radius + 1):
-        part = np.uint64(sum(1 << i for i in hidden[k :: radius + 1]))
-        key = fps & part
+        key = fps[:, 0] & np.uint64(sum(1 << i for i in hidden[k :: radius + 1]))
         order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.diff(key[order])) + 1
-        for own in np.split(order, cut):
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:
-                x, y = links_within(fps[own], radius)
-                left.append(x)
-                right.append(y)
-    return np.concatenate(left or [np.empty(0, np.uint64)]), np.concatenate(right or [np.empty(0, np.uint64)])
+                x, y = links_within(fps[own], radius, total)
+                left += own[x].tolist()
+                right += own[y].tolist()
+    return left, right
 
 
-def covering_links(distinct: DataFrame, radius: int, rows: int, seed: int = 7) -> DataFrame:
-    """(src, dst) among distinct fingerprints (fp): links within the radius that connect all that such links connect.
+def covering_links(nodes: DataFrame, names: list[str], radius: int, rows: int, total: int | None = None, seed: int = 7) -> DataFrame:
+    """(src, dst) among rows (node, fingerprints): links that connect all that nearness of the first fingerprint connects.
 
-    Tasks deal out packed arrays of fingerprints by (table, part of the masked
-    key): eight bytes cross the exchange for each fingerprint and table, and no
-    block grows with the input, as their number does.
+    Tasks deal out packed arrays by (table, part of the masked key): eight
+    bytes for each fingerprint and the node cross the exchange for each table,
+    and no block grows with the input, as their number does.
     """
     table_masks = masks(radius, seed)
-    parts = max(1, -(-rows // BLOCK))
+    parts, width = max(1, -(-rows // BLOCK)), len(names) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (*names, "node")], 1))
             if sum(map(len, held)) >= 200_000:
                 yield from packed(np.concatenate(held))
                 held = []
         if held:
             yield from packed(np.concatenate(held))
 
-    def packed(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for t, mask in enumerate(table_masks):
-            part = (_mix(fps & mask) % np.uint64(parts)).astype(np.int64)
+            part = (_mix(rows[:, 0] & mask) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(t * parts + p, fps[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["block", "data"])
+            out = [(t * parts + p, rows[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "data"])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        fps = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]))
-        a, b = table_links(fps, table_masks[key[0].as_py() // parts], radius)
-        return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
+        rows = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(-1, width) for x in table.column("data")])
+        rows = rows[np.argsort(rows[:, -1].view(np.int64), kind="stable")]  # the smallest node of a bucket is its first pivot
+        a, b = table_links(rows[:, :-1], table_masks[key[0].as_py() // parts], radius, total)
+        node = rows[:, -1].view(np.int64)
+        return pa.table({"src": pa.array(node[a]), "dst": pa.array(node[b])})
 
-    blocks = distinct.select("fp").mapInArrow(deal, "block long, data binary")
-    return blocks.groupBy("block").applyInArrow(meet, "src long, dst long").distinct()
+    blocks = nodes.select("node", *names).mapInArrow(deal, "block long, data binary")
+    return blocks.groupBy("block").applyInArrow(meet, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", number: int = 1, total: int | None = None) -> DataFrame:
@@ -210,25 +221,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     names = [f"fp{k}" for k in range(number)]
     marks = materialise(fingerprints(docs, shingle, id_col, text_col, number), "simhash")
     distinct = materialise(marks.groupBy(*names).agg(F.min(id_col).alias("node")), "simhash-distinct")
-    edges = None
+    nodes = distinct.where(F.col("node").isNotNull()).select(F.col("node").cast("long").alias("node"), *names)
+    count, edges = nodes.count(), None
     for k, name in enumerate(names):
-        # A fingerprint's node is the smallest id that has it.
-        own = distinct.where(F.col("node").isNotNull())
-        if number > 1:
-            own = materialise(own.groupBy(name).agg(F.min("node").alias("node"), *[F.min_by(n, "node").alias(n) for n in names if n != name]), "simhash-nodes")
-        links = materialise(covering_links(own.select(F.col(name).alias("fp")), radius, own.count(), seed=7 + k), "simhash-links")
-        side = lambda df, p: df.select(F.col("node").alias(p), *[F.col(n).alias(p + n) for n in names])
-        a, b = side(own, "src_"), side(own, "dst_")
-        found = links.join(a, F.col("src") == F.col(f"src_{name}")).join(b, F.col("dst") == F.col(f"dst_{name}")).drop("src", "dst")
-        if number > 1:
-            every = side(distinct.where(F.col("node").isNotNull()), "src_")
-            found = found.unionByName(every.join(b, F.col(f"src_{name}") == F.col(f"dst_{name}")).where("src_ <> dst_"))
-        if total is not None:
-            differ = sum((F.bit_count(F.col(f"src_{n}").bitwiseXOR(F.col(f"dst_{n}"))) for n in names), F.lit(0))
-            found = found.where(differ <= total)
-        found = found.select(F.col("src_").alias("src"), F.col("dst_").alias("dst"))
-        edges = found if edges is None else edges.unionByName(found)
-    label = components(edges)  # only nodes with a link
+        links = covering_links(nodes, [name, *(n for n in names if n != name)], radius, count, total, seed=7 + k)
+        edges = links if edges is None else edges.unionByName(links)
+    label = components(spanning_forest(edges))  # only nodes with a link
     named = distinct.join(label, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return marks.join(named, names).select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 

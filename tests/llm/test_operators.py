@@ -276,7 +276,7 @@ def test_large_buckets(monkeypatch):
     sets = []
     for most in (2_000, 50):
         monkeypatch.setattr(simhash, "LARGE", most)
-        a, b = simhash.table_links(fps, mask, 4)
+        a, b = simhash.table_links(fps[:, None], mask, 4)
         root = {int(f): int(f) for f in fps}
 
         def find(x):
@@ -284,7 +284,7 @@ def test_large_buckets(monkeypatch):
                 x = root[x]
             return x
 
-        for x, y in zip(a.tolist(), b.tolist()):
+        for x, y in zip(fps[a].tolist(), fps[b].tolist()):
             root[find(x)] = find(y)
         groups = {}
         for f in root:
@@ -299,6 +299,37 @@ def test_components(spark):
     assert got == {i: 100 for i in range(100, 161)} | {5: 5, 7: 5, 9: 5, -4: -4, 900: -4}
 
 
+def test_spanning_forest(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(400)] + [(100, 101), (101, 100), (5, 5)]
+    forest = components.spanning_forest(spark.createDataFrame(links, "src long, dst long"))
+    assert forest.count() <= 61
+    same = lambda ls: rows(components.components(ls), "node", "component")
+    assert same(forest) == same(spark.createDataFrame(links, "src long, dst long"))
+
+
+def test_several_fingerprints(spark):
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        base = words(400 + g, 200, 5000).split()
+        for k in range(4):
+            t = list(base)
+            for _ in range(2 * k):
+                t[rng.randrange(200)] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(t))
+    fps = [[simhash.simhash(t, 5, k) for k in (0, 1)] for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                bits = [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j])]
+                if min(bits) <= 7 and sum(bits) <= 18:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = rows(simhash.near_duplicates(frame(spark, texts), 7, 5, number=2, total=18), "doc_id", "component_id")
+    assert got == sorted(enumerate(comp), key=repr) and len(set(comp)) < 30
+
+
 def test_keep_one(spark):
     t = words(1, 300)
     docs = spark.createDataFrame([(4, t), (2, t), (9, words(2, 300)), (None, t)], "doc_id long, text string")
