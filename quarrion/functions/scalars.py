@@ -273,3 +273,69 @@ def api_url(title: Column, base: str) -> Column:
 
 def etag(*columns: str) -> Column:
     return F.md5(F.to_json(F.struct(*columns)))
+
+
+def trailing_model(name: Column) -> Column:
+    """Digits, three at least, that end a name, with what follows them; else the last word that has three digits."""
+    end = F.nullif(F.ltrim(F.regexp_extract(F.trim(name), r"[- ]?(\d{3,}[A-Za-z0-9]*)$", 1)), F.lit(""))
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w.rlike(r"\d{3,}"))
+    return F.coalesce(end, F.try_element_at(words, F.lit(-1)))
+
+
+# Patterns of processor names in the order in which they are tried.
+PROCESSOR_NAMES = (
+    r"(?i)Intel\s+(?:Core\s+(?:Ultra\s+\d+\s+)?\w+\s*-?\d{3,}|Xeon\s+\w+\s*\d{3,}|Pentium|Celeron|Atom\s+\w+)",
+    r"(?i)AMD\s+(?:Ryzen\s+(?:\w+\s+)?\d{3,}|EPYC\s+\d{3,}|Threadripper|Athlon\s+\w+\s*\d{3,})",
+    r"(?i)\b(?:Core|Ryzen)\s+\w+\s*\d{3,}",
+)
+
+
+def processor_name(text: Column) -> Column:
+    return F.coalesce(*[F.trim(_first(text, p)) for p in PROCESSOR_NAMES])
+
+
+def apple_chip(text: Column) -> Column:
+    """Name of an M or A series chip with its suffix, as it is written."""
+    m, a = r"(?i)\bM([1-4])\s*(Pro|Max|Ultra)?\b", r"(?i)\bA(1[5-9])\s*(Bionic|Pro)?\b"
+    named = lambda letter, p: F.when(text.rlike(p), F.concat_ws(" ", F.concat(F.lit(letter), F.regexp_extract(text, p, 1)), F.nullif(F.regexp_extract(text, p, 2), F.lit(""))))
+    return F.coalesce(named("M", m), named("A", a))
+
+
+def record_name(cell: Column, heading: Column, prefixes: tuple[str, ...]) -> Column:
+    """A record's name: the cell if it begins like one, else the heading of its section."""
+    text = F.trim(F.regexp_replace(cell, r"\s*\[.*?\]\s*", " "))
+    begins = lambda c: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: c.startswith(p))
+    before = lambda c: F.trim(F.split(c, r"\[")[0])
+    return (
+        F.when(begins(text), before(text))
+        .when(text.rlike(r"^[A-Z][A-Za-z0-9]{2,}\d{2,}"), F.left(before(text), F.lit(60)))
+        .when(begins(heading), before(heading))
+        .otherwise(_first(heading, r"(?i)(Tegra\s+\d\w*|i\.MX\s+[\d\w]+|Atom\s+\w+)", 1))
+    )
+
+
+def heading_name(vendor: Column, heading: Column) -> Column:
+    """Name that a section's heading gives to its records, for vendors whose tables have none."""
+    return (
+        F.when(vendor == "Nvidia", _first(heading, r"(?i)(Tegra\s+\d+\w*)", 1))
+        .when(vendor == "NXP i.MX", F.replace(_first(heading, r"(?i)(i\.MX[\s-]*\d\w*)", 1), F.lit("-"), F.lit(" ")))
+        .when(vendor == "Intel Atom", F.concat(F.lit("Atom "), _first(heading, r"Atom\s+\w+")))
+    )
+
+
+# Texts that are labels of specifications, not of records.
+SPEC_LABELS = (
+    r"armv\d", r"^\d+\s*(nm|bit|gb|mb|ghz|mhz|gflops|tops|core)", r"(mhz|ghz|gb/s|mb/s|gflops|tops|nm)$", r"^(october|november|december|january|february|march|april|may|june|july|august|september)\b",
+    r"^\d{4}-\d{2}-\d{2}", r"octa.nucleo|nona.core|hexa.core|quad.core|dual.core", r"^64.bits?|^32.bits?", r"\d×\d+\s*bit", r"lpddr|ddr\d", r"ufs\s*\d\.", r"wifi|bluetooth|gnss|nfc",
+    r"^(feature|device|model number|part number|codename|fabrication|manufacturer|memory|storage|connectivity|charging|video|camera|display)", r"^trustzone|^trusty\s+os", r"^edge\s+tpu",
+    r"^gen\s+\d+\s+edge\s+tpu", r"exynos\s+\d+\w?\b", r"^mali\b", r"^\d+x\s+\d+-bit", r"^quad-channel", r"^1st\s+gen|^2nd\s+gen|^3rd\s+gen|^\d+th\s+gen",
+)
+SUB_LABELS = ("launch date", "type", "frequency", "speed", "bandwidth", "bit width", "bus width", "model number", "part number", "codename", "μarch", "isa", "fabrication", "manufacturer")
+
+
+def is_spec_label(text: Column) -> Column:
+    return F.lower(F.trim(text)).rlike("|".join(f"(?:{p})" for p in SPEC_LABELS))
+
+
+def is_sub_label(text: Column) -> Column:
+    return F.lower(F.trim(text)).isin(*SUB_LABELS)

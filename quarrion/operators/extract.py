@@ -7,7 +7,21 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cell_text, detect_column, parse_score
+from ..functions.scalars import (
+    cell_text,
+    detect_column,
+    extract_int,
+    model_token,
+    parse_benchmark_value,
+    parse_cache_size,
+    parse_clock,
+    parse_core_thread,
+    parse_memory_max,
+    parse_process_node,
+    parse_score,
+    parse_tdp,
+)
+from ..functions.text import slug
 from .windows import first_wins
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -189,3 +203,108 @@ def binding_records(bindings: DataFrame, qid: str = "item", pos: str = "pos") ->
     rows = bindings.withColumn("values", F.transform_values("binding", lambda k, v: v["value"]))
     rows = rows.withColumn("qid", F.regexp_extract(F.try_element_at("values", F.lit(qid)), r"(Q\d+)$", 1)).where("qid <> ''")
     return first_wins(rows, ["qid"], [pos]).select("qid", "values")
+
+
+def largest_or_named(cells: DataFrame, key: str, words: tuple[str, ...]) -> DataFrame:
+    """Cells of one table a page: the first whose beginning has one of the words, else the one of most rows."""
+    head = F.lower(F.left(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "col_no", "text"))), lambda c: c["text"]), " "), F.lit(200)))
+    per = cells.groupBy(key, "table_no").agg(head.alias("_head"), F.max("row_no").alias("_rows"))
+    named = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.col("_head").contains(w))
+    order = [(~named).cast("int"), F.when(named, F.col("table_no")).otherwise(-F.col("_rows")), "table_no"]
+    chosen = first_wins(per, [key], order).select(key, "table_no")
+    return cells.join(chosen, [key, "table_no"], "left_semi")
+
+
+def benchmark_records(cells: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(key, row_no, name, fields): each row's numbers by field; ``columns`` maps field to the pattern of its header.
+
+    Plain header words (processor, core, clock, tdp) go before the patterns,
+    so a header that has both is the plain field.
+    """
+    low, text = F.lower(F.col("text")), F.col("text")
+    pattern = F.lit(None).cast("string")
+    for f, p in reversed(columns.items()):
+        pattern = F.when(text.rlike(p), F.lit(f)).otherwise(pattern)
+    field = (
+        F.when(low.rlike("processor|name|model"), "name")
+        .when(low.contains("core") & ~low.rlike("thread|clock"), "cores")
+        .when(low.rlike("clock|speed"), "clock")
+        .when(low.rlike("tdp|power"), "tdp")
+        .otherwise(pattern)
+    )
+    head = cells.where("row_no = 0").select(key, "table_no", "col_no", field.alias("field")).where("field is not null")
+    body = cells.where("row_no > 0 and trim(text) <> ''").join(head, [key, "table_no", "col_no"])
+    value = parse_benchmark_value(F.col("text"))
+    rows = body.groupBy(key, "table_no", "row_no").agg(
+        F.min_by(F.when(F.col("field") == "name", F.col("text")), F.when(F.col("field") == "name", F.col("col_no"))).alias("name"),
+        F.sort_array(F.collect_list(F.when((F.col("field") != "name") & value.isNotNull(), F.struct("field", value.alias("value"))))).alias("f"),
+    )
+    # Of columns of one field the largest value stays, so that a map can hold it.
+    latest = F.aggregate("f", F.create_map().cast("map<string,double>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["field"]), F.create_map(x["field"], x["value"])))
+    return rows.where("name is not null").select(key, "table_no", "row_no", "name", latest.alias("fields"))
+
+
+def positional_records(cells: DataFrame, key: str) -> DataFrame:
+    """Processor rows: name, cores/threads, clock, process and TDP by place, the rest by what their text looks like.
+
+    Of the remaining cells the first of each kind counts; a cell is of the
+    first kind that fits: memory, cache, graphics, socket, year.
+    """
+    rows = cells.where("row_no > 0").groupBy(key, "table_no", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "text"))), lambda c: c["text"]).alias("c")).where(F.size("c") >= 6)
+    at = lambda k: F.get("c", F.lit(k))
+    rest = F.filter(F.slice("c", 6, 1 << 20), lambda t: ~F.trim(t).isin("", "—", "-", "N/A"))
+    year_of = lambda t: extract_int(t)
+    kinds = (
+        ("memory", lambda t: t.rlike(r"(?i)(?:LP)?DDR\d")),
+        ("cache", lambda t: t.rlike(r"(?i)L2|L3")),
+        ("gpu", lambda t: t.rlike(r"(?i)Intel|AMD|Radeon|Iris|UHD|Graphics|Adreno|Mali")),
+        ("socket", lambda t: t.rlike(r"(?i)LGA|Socket|AM\d|BGA|sTR|SP\d")),
+        ("year", lambda t: year_of(t).between(2000, 2026)),
+    )
+
+    def kind(t):
+        out = F.lit(None).cast("string")
+        for name, fits in reversed(kinds):
+            out = F.when(fits(t), F.lit(name)).otherwise(out)
+        return out
+
+    pick = lambda k: F.get(F.filter(rest, lambda t: kind(t) == k), F.lit(0))
+    name = F.trim(at(0))
+    cores, clock = parse_core_thread(at(1)), parse_clock(at(2))
+    memory = F.upper(F.nullif(F.regexp_extract(pick("memory"), r"(?i)((?:LP)?DDR\dX?)", 1), F.lit("")))
+    out = rows.select(
+        key, "row_no", name.alias("name"), model_token(name).alias("model"), slug(name, F.coalesce(model_token(name), F.lit(""))).alias("id"), cores["cores"].alias("cores"), cores["threads"].alias("threads"),
+        clock["clock"].alias("clock"), clock["boost"].alias("boost"), parse_process_node(at(3)).alias("process_nm"), parse_tdp(at(4)).alias("tdp"), memory.alias("memory_type"), parse_memory_max(pick("memory")).alias("memory_max"),
+        F.when(F.upper(pick("cache")).contains("L2"), parse_cache_size(pick("cache"))).alias("l2_cache"), F.when(~F.upper(pick("cache")).contains("L2"), parse_cache_size(pick("cache"))).alias("l3_cache"),
+        pick("gpu").alias("gpu"), pick("socket").alias("socket"), year_of(pick("year")).alias("year"),
+    )
+    return first_wins(out, ["id"], [key, "row_no"])
+
+
+def spec_records(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, specs): specification fields from rows of (key, place, k, v), the label's words deciding; the first row of a field counts."""
+    k, v = F.lower(F.col("k")), F.trim(F.col("v"))
+    shown = F.when(~v.isin("—", "-", "", "N/A"), v)
+    text = lambda c: c.cast("string")
+    named = F.array_compact(
+        F.array(*[
+            F.when(fits & value.isNotNull(), F.struct(F.lit(name).alias("field"), value.alias("value")))
+            for name, fits, value in (
+                ("cores", k.contains("core") & ~k.contains("thread"), text(parse_core_thread(v)["cores"])),
+                ("threads", k.contains("thread") | k.contains("core"), text(F.when(k.contains("thread"), parse_core_thread(v)["cores"]).otherwise(parse_core_thread(v)["threads"]))),
+                ("clock", k.rlike("clock|frequency|speed"), text(parse_clock(v)["clock"])),
+                ("boost", k.rlike("clock|frequency|speed"), text(parse_clock(v)["boost"])),
+                ("tdp", k.rlike("tdp|power"), text(parse_tdp(v))),
+                ("l2_cache", k.contains("cache") & k.rlike("l2|level 2"), parse_cache_size(v)),
+                ("l3_cache", k.contains("cache") & ~k.rlike("l2|level 2"), parse_cache_size(v)),
+                ("process_nm", k.rlike("process|lithography"), text(parse_process_node(v))),
+                ("memory_type", k.rlike("memory|ram"), F.upper(F.nullif(F.regexp_extract(v, r"(?i)((?:LP)?DDR\d)", 1), F.lit("")))),
+                ("memory_max", k.rlike("memory|ram"), parse_memory_max(v)),
+                ("gpu", k.rlike("graphics|gpu"), shown),
+                ("socket", k.contains("socket"), shown),
+                ("year", k.rlike("year|launch|introduced"), text(F.when(extract_int(v).between(2000, 2026), extract_int(v)))),
+            )
+        ])
+    )
+    rows = first_wins(pairs.select(key, "place", F.explode(named).alias("s")).select(key, "place", "s.field", "s.value"), [key, "field"], ["place"])
+    return rows.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("specs"))

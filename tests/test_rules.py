@@ -168,3 +168,13 @@ def test_window_log():
 
 def test_schema():
     assert len(record_schema()) > 95 and record_schema()["_extra"].dataType.simpleString() == "map<string,string>"
+
+
+def test_names(spark):
+    t = F.col("t")
+    assert one(spark, scalars.trailing_model(t), t="Core i7-13700K") == "13700K" and one(spark, scalars.trailing_model(t), t="Xeon E5530 server") == "E5530"
+    assert one(spark, scalars.processor_name(t), t="the new AMD Ryzen 9 7950X is") == "AMD Ryzen 9 7950" and one(spark, scalars.processor_name(t), t="none") is None
+    assert [one(spark, scalars.apple_chip(t), t=x) for x in ("Apple M3 Max chip", "A17 Pro", "A18", "B2")] == ["M3 Max", "A17 Pro", "A18", None]
+    assert one(spark, scalars.heading_name(F.col("v"), t), v="NXP i.MX", t="The i.MX-8M family") == "i.MX 8M"
+    assert one(spark, scalars.record_name(t, F.lit("Tegra 4 series"), ("Snapdragon",)), t="Snapdragon 8 [note] x") == "Snapdragon 8 x"
+    assert one(spark, scalars.is_spec_label(t), t="LPDDR5 memory") and not one(spark, scalars.is_spec_label(t), t="Snapdragon") and one(spark, scalars.is_sub_label(t), t=" Type ")

@@ -148,3 +148,23 @@ def test_pages_and_unions(spark):
     assert r.get("a") is len and list(r.all()) == ["a"]
     with pytest.raises(ValueError):
         r.register("a")(len)
+
+
+ROWS = """<table><tr><th>Other</th></tr><tr><td>x</td></tr></table><table><tr><th>Processor</th><th>Cinebench R23</th><th>Cores</th></tr><tr><td>Ryzen 9</td><td>1,234</td><td>16</td></tr></table>"""
+CPU = "<table><tr>" + "<th>h</th>" * 9 + "</tr><tr><td>AMD Ryzen 7950X</td><td>16 / 32</td><td>4.5 GHz to 5.7 GHz</td><td>5 nm</td><td>170 W</td><td>DDR5 128 GB</td><td>L3 64 MB</td><td>Radeon Graphics</td><td>Socket AM5</td></tr></table>"
+
+
+def test_benchmark_and_positional_rows(spark):
+    cells = extract.table_cells(spark.createDataFrame([(1, ROWS)], "k int, html string"), "k")
+    one = extract.largest_or_named(cells, "k", ("processor", "cinebench"))
+    r = extract.benchmark_records(one, "k", {"cinebench_r23": "(?i)cinebench r23"}).first()
+    assert (r.table_no, r.name, r.fields) == (1, "Ryzen 9", {"cinebench_r23": 1234.0, "cores": 16.0})
+    r = extract.positional_records(extract.table_cells(spark.createDataFrame([(1, CPU)], "k int, html string"), "k"), "k").first()
+    assert (r.name, r.model, r.cores, r.threads, r.clock, r.boost, r.process_nm, r.tdp) == ("AMD Ryzen 7950X", "Ryzen 7950X", 16, 32, 4.5, 5.7, 5, 170)
+    assert (r.memory_type, r.memory_max, r.l3_cache, r.gpu, r.socket) == ("DDR5", "128 GB", "64 MB", "Radeon Graphics", "Socket AM5")
+
+
+def test_spec_pairs(spark):
+    pairs = [(1, 0, "CPU Cores", "8"), (1, 1, "Max frequency", "3.2 GHz"), (1, 2, "Lithography", "Intel 7"), (1, 3, "L2 cache", "12 mb"), (1, 4, "GPU", "—"), (1, 5, "Launch", "Q1 2023"), (1, 6, "Memory", "LPDDR5 16 GB")]
+    r = extract.spec_records(spark.createDataFrame(pairs, "k int, place int, k2 string, v string").withColumnRenamed("k", "page").withColumnRenamed("k2", "k"), "page").first()
+    assert r.specs == {"cores": "8", "threads": "8", "clock": "3.2", "process_nm": "10", "l2_cache": "12 MB", "memory_type": "LPDDR5", "memory_max": "16 GB"}
