@@ -99,10 +99,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _near(rows: np.ndarray, one: np.ndarray, radius: int, total: int | None) -> np.ndarray:
-    """Which rows differ from one in radius bits or fewer of the first fingerprint, and in total bits or fewer of all."""
-    differ = np.bitwise_count(rows ^ one)
-    near = differ[:, 0] <= radius
-    return near if total is None else near & (differ.sum(1) <= total)
+    """Which rows differ from one in radius bits or fewer of the fingerprint, and in total bits or fewer with the check bits."""
+    differ = np.bitwise_count(rows["fp"] ^ one["fp"])
+    near = differ <= radius
+    return near if total is None else near & (differ + np.bitwise_count(rows["check"] ^ one["check"]) <= total)
 
 
 def links_within(fps: np.ndarray, radius: int, total: int | None = None) -> tuple[list[int], list[int]]:
@@ -132,16 +132,13 @@ def links_within(fps: np.ndarray, radius: int, total: int | None = None) -> tupl
 
 def table_links(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (places) among rows of fingerprints whose first agree under the mask."""
-    order = np.argsort(fps[:, 0] & mask, kind="stable")
+    order = np.argsort(fps["fp"] & mask, kind="stable")
     own = fps[order]
-    key = own[:, 0] & mask
+    key = own["fp"] & mask
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     two = first[size == 2]
-    differ = np.bitwise_count(own[two] ^ own[two + 1])
-    close = differ[:, 0] <= radius
-    if total is not None:
-        close &= differ.sum(1) <= total
+    close = _near(own[two], own[two + 1], radius, total)
     left, right = [two[close]], [two[close] + 1]
     for a, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
         x, y = links_within(own[a : a + k], radius, total) if k <= LARGE else _large(own[a : a + k], mask, radius, total)
@@ -156,7 +153,7 @@ def _large(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None) ->
     left: list[int] = []
     right: list[int] = []
     for k in range(radius + 1):
-        key = fps[:, 0] & np.uint64(sum(1 << i for i in hidden[k :: radius + 1]))
+        key = fps["fp"] & np.uint64(sum(1 << i for i in hidden[k :: radius + 1]))
         order = np.argsort(key, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:
@@ -166,20 +163,25 @@ def _large(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None) ->
     return left, right
 
 
-def covering_links(nodes: DataFrame, names: list[str], radius: int, rows: int, total: int | None = None, seed: int = 7) -> DataFrame:
-    """(src, dst) among rows (node, fingerprints): links that connect all that nearness of the first fingerprint connects.
+def covering_links(rows: DataFrame, radius: int, count: int, total: int | None = None, seed: int = 7) -> DataFrame:
+    """(src, dst) among distinct fingerprints (fp, and check, an int, if there is a total): links that connect all that nearness connects.
 
     Tasks deal out packed arrays by (table, part of the masked key): eight
-    bytes for each fingerprint and the node cross the exchange for each table,
-    and no block grows with the input, as their number does.
+    bytes for a fingerprint and four for check bits cross the exchange for
+    each table, and no block grows with the input, as their number does.
     """
     table_masks = masks(radius, seed)
-    parts, width = max(1, -(-rows // BLOCK)), len(names) + 1
+    parts = max(1, -(-count // BLOCK))
+    names = ["fp"] if total is None else ["fp", "check"]
+    kind = [("fp", np.uint64), ("check", np.uint32)][: len(names)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (*names, "node")], 1))
+            own = np.empty(batch.num_rows, kind)
+            for name, of in kind:
+                own[name] = batch.column(name).to_numpy(zero_copy_only=False).view(of)
+            held.append(own)
             if sum(map(len, held)) >= 200_000:
                 yield from packed(np.concatenate(held))
                 held = []
@@ -188,20 +190,20 @@ def covering_links(nodes: DataFrame, names: list[str], radius: int, rows: int, t
 
     def packed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for t, mask in enumerate(table_masks):
-            part = (_mix(rows[:, 0] & mask) % np.uint64(parts)).astype(np.int64)
+            part = (_mix(rows["fp"] & mask) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             out = [(t * parts + p, rows[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "data"])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(-1, width) for x in table.column("data")])
-        rows = rows[np.argsort(rows[:, -1].view(np.int64), kind="stable")]  # the smallest node of a bucket is its first pivot
-        a, b = table_links(rows[:, :-1], table_masks[key[0].as_py() // parts], radius, total)
-        node = rows[:, -1].view(np.int64)
-        return pa.table({"src": pa.array(node[a]), "dst": pa.array(node[b])})
+        rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("data")])
+        rows = rows[np.argsort(rows["fp"], kind="stable")]
+        a, b = table_links(rows, table_masks[key[0].as_py() // parts], radius, total)
+        fp = rows["fp"].astype(np.uint64).view(np.int64)
+        return pa.table({"src": pa.array(fp[a]), "dst": pa.array(fp[b])})
 
-    blocks = nodes.select("node", *names).mapInArrow(deal, "block long, data binary")
+    blocks = rows.select(*names).mapInArrow(deal, "block long, data binary")
     return blocks.groupBy("block").applyInArrow(meet, "src long, dst long")
 
 
@@ -210,7 +212,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 
     With a number over 1 texts have further fingerprints, and rows link if any
     one of them is near: more of the pairs beyond the radius are found. With a
-    total, links whose fingerprints differ in more bits together are dropped.
+    total, a link must not differ in more bits of all fingerprints together,
+    as the fingerprint and 31 bits of the next one show.
     component_id is the smallest id of a component. Null, empty and blank texts
     have fingerprint zero and link like any other; repeated rows each give a
     row; rows without an id have the component of rows with the same
@@ -222,11 +225,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     marks = materialise(fingerprints(docs, shingle, id_col, text_col, number), "simhash")
     distinct = materialise(marks.groupBy(*names).agg(F.min(id_col).alias("node")), "simhash-distinct")
     nodes = distinct.where(F.col("node").isNotNull()).select(F.col("node").cast("long").alias("node"), *names)
-    count, edges = nodes.count(), None
+    edges = None
     for k, name in enumerate(names):
-        links = covering_links(nodes, [name, *(n for n in names if n != name)], radius, count, total, seed=7 + k)
-        edges = links if edges is None else edges.unionByName(links)
-    label = components(spanning_forest(edges))  # only nodes with a link
+        # A fingerprint's node is the smallest id that has it.
+        own, other = nodes, [n for n in names if n != name]
+        if other:
+            own = materialise(own.groupBy(name).agg(F.min("node").alias("node"), *[F.min_by(n, "node").alias(n) for n in other]), "simhash-nodes")
+        check = F.col(other[0]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if other else F.lit(0)
+        # The check has 31 bits of the next fingerprint: its share of the total.
+        share = None if total is None or not other else round(total * (BITS + 31) / (BITS * number))
+        links = spanning_forest(covering_links(own.select(F.col(name).alias("fp"), check.alias("check")), radius, own.count(), share, seed=7 + k))
+        a, b = own.select(F.col(name).alias("src"), F.col("node").alias("u")), own.select(F.col(name).alias("dst"), F.col("node").alias("v"))
+        found = links.join(a, "src").join(b, "dst").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+        if other:
+            # Texts that share this fingerprint but not the others.
+            to = own.select(F.col(name), F.col("node").alias("dst"), *[F.col(n).alias("to_" + n) for n in other])
+            twins = nodes.withColumnRenamed("node", "src").join(to, name).where("src <> dst")
+            if total is not None:
+                twins = twins.where(sum((F.bit_count(F.col(n).bitwiseXOR(F.col("to_" + n))) for n in other), F.lit(0)) <= total)
+            found = found.unionByName(twins.select("src", "dst"))
+        edges = found if edges is None else edges.unionByName(found)
+    label = components(edges)  # only nodes with a link
     named = distinct.join(label, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return marks.join(named, names).select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
