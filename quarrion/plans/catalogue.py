@@ -376,9 +376,9 @@ def json_extract(spark, sf):
 # ---------------------------------------------------------------- search
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'token')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with.')")
 def substring_search(spark, sf):
-    return search.search_like(read(spark, sf, "documents"), "The TOKEN", ["text"]).select("doc_id")
+    return search.search_like(read(spark, sf, "documents"), "The WITH.", ["text"]).select("doc_id")
 
 
 @query("""SELECT p_partkey FROM part WHERE contains(lower('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}'), 'red')""")
@@ -403,7 +403,7 @@ def bm25_topk(spark, sf):
 
 @query()
 def bm25_stemmed(spark, sf):
-    return search.search(read(spark, sf, "documents"), "reading tokens", "doc_id", ["text"], 20, stems=True)
+    return search.search(read(spark, sf, "documents"), "these with", "doc_id", ["text"], 20, stems=True)
 
 
 # ---------------------------------------------------------------- entity resolution
