@@ -11,11 +11,31 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-
 #: Links that one task of spanning_forest reads.
 TASK_LINKS = 500_000
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between long nodes those that connect all that the links connect, without a circle."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    node, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(node)))
+    keep = []
+    for k, (x, y) in enumerate(zip(code[: len(a)].tolist(), code[len(a) :].tolist())):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return a[keep], b[keep]
+
+
 def spanning_forest(links: DataFrame) -> DataFrame:
     """Links (src, dst) of long nodes without those that close a circle inside a task's share.
 
@@ -25,26 +45,9 @@ def spanning_forest(links: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column("src").to_numpy(), b.column("dst").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        a, b = (np.concatenate(x) for x in zip(*parts))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        node, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = list(range(len(node)))
-        keep = []
-        for k, (x, y) in enumerate(zip(code[: len(a)].tolist(), code[len(a) :].tolist())):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            while root[y] != y:
-                root[y] = root[root[y]]
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["src", "dst"])
+        if parts:
+            a, b = forest(*(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
     held = materialise(links.select("src", "dst"), "links")
     return held.coalesce(max(1, -(-held.count() // TASK_LINKS))).mapInArrow(run, "src long, dst long")

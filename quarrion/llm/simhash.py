@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .components import components, spanning_forest
+from .components import components, forest, spanning_forest
 
 BITS = 64
 #: Fingerprints that one block of a table holds on average.
-BLOCK = 60_000
+BLOCK = 30_000
+#: Tables whose blocks one task takes together, so that it can leave out links that another table has shown.
+TOGETHER = 8
 #: A bucket of more fingerprints is cut again, by parts of the bits that its mask hides.
 LARGE = 2_000
 #: Bytes with A to Z in lower case; bytes of other letters stay.
@@ -193,17 +195,25 @@ def covering_links(rows: DataFrame, radius: int, count: int, total: int | None =
             part = (_mix(rows["fp"] & mask) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(t * parts + p, rows[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "data"])
+            out = [(t // TOGETHER * parts + p, t, rows[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["block", "table", "data"])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("data")])
-        rows = rows[np.argsort(rows["fp"], kind="stable")]
-        a, b = table_links(rows, table_masks[key[0].as_py() // parts], radius, total)
-        fp = rows["fp"].astype(np.uint64).view(np.int64)
-        return pa.table({"src": pa.array(fp[a]), "dst": pa.array(fp[b])})
-
-    blocks = rows.select(*names).mapInArrow(deal, "block long, data binary")
+        by: dict[int, list[np.ndarray]] = {}
+        for t, data in zip(table.column("table").to_pylist(), table.column("data")):
+            by.setdefault(t, []).append(np.frombuffer(data.as_py(), kind))
+        left, right = [], []
+        for t, found in by.items():
+            rows = np.concatenate(found)
+            rows = rows[np.argsort(rows["fp"], kind="stable")]
+            a, b = table_links(rows, table_masks[t], radius, total)
+            fp = rows["fp"].astype(np.uint64).view(np.int64)
+            left.append(fp[a])
+            right.append(fp[b])
+        a, b = forest(np.concatenate(left), np.concatenate(right))
+        return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+
+    blocks = rows.select(*names).mapInArrow(deal, "block long, table int, data binary")
     return blocks.groupBy("block").applyInArrow(meet, "src long, dst long")
 
 
