@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages are weighted by TF-IDF, with document frequencies of the
-whole corpus, and a distributed randomised SVD gives the space they span. All
-passages of all documents are projected into it and compared by cosine; near
-ones are checked by the longest common subsequence of words and by the
-presence of the item's answer, its last part, so paraphrases are found as well
-as copies.
+whole corpus, and a distributed randomised SVD gives the space that each block
+of at most RANK of them spans, so a space has a direction for each of its
+passages however many blocks there are. All passages of all documents are
+projected into the spaces and compared by cosine; near ones are checked by the
+longest common subsequence of words and by the presence of the item's answer,
+its last part, so paraphrases are found as well as copies.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -24,9 +25,12 @@ from .common import materialise, slices
 TERMS = 1 << 15
 #: A passage is PARTS runs of STRIDE words; one begins with each run.
 STRIDE, PARTS = 16, 3
+#: Passages of the benchmark that share a space, and so its rank at most.
 RANK, OVERSAMPLE, POWER = 160, 16, 2
-#: Cosine from which a passage is checked.
+#: Cosine from which a passage is checked, for an item's passage that keeps its whole norm in its space.
 NEAR = 0.3
+#: Share of a passage's own weight from which it is checked as well, whatever words stand around it; a copy has all.
+HELD = 0.5
 #: Shares of the item's words in common order from which it is a copy, or a paraphrase if the answer is there as well.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
 ANSWER_WORDS = 8
@@ -151,6 +155,29 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def _block(spark: SparkSession, cuts: list[tuple[int, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block of passages (item's place, terms), by their space: terms, passages and the products of the two that are not zero; the norms that unit passages keep; the passages' own weights.
+
+    A space has a direction for each passage of its block, so a term that a
+    passage lacks has no product with it, and the products are few.
+    """
+    used, space = latent_space(spark.createDataFrame([(bytearray(t.tobytes()),) for _, t in cuts], "terms binary"), idf)
+    index = np.stack([w @ space[np.searchsorted(used, t)] for t, w in (_tfidf(t, idf) for _, t in cuts)])
+    kept = np.linalg.norm(index, axis=1)
+    product = space @ (index / np.maximum(kept, 1e-9)[:, None]).T
+    t, c = np.nonzero(np.abs(product) > 1e-4)
+    weight = [np.linalg.norm(idf[x] * n) for x, n in (np.unique(t, return_counts=True) for _, t in cuts)]
+    return used[t], c, product[t, c] * idf[used[t]], kept, np.array(weight)
+
+
+def _sums(part: np.ndarray) -> np.ndarray:
+    """Sums of PARTS runs from each on."""
+    total = part.copy()
+    for k in range(1, PARTS):
+        total[:-k] += part[k:] if len(part) > k else 0
+    return total
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, cosine, common, answer) of each document and benchmark item that it holds, copied or paraphrased.
 
@@ -161,7 +188,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item; empty tables give no rows; other columns are not read.
 
     The benchmark is read to the driver and sent to the tasks: its size is
-    bounded by what the benchmark is, not by the corpus. Documents take one
+    bounded by what the benchmark is, not by the corpus; the search takes time in
+    proportion to its passages. Documents take one
     narrow pass to term ids (two bytes a word, in the shared folder), one to
     document frequencies and one to search; nothing of them is shuffled.
     """
@@ -176,15 +204,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return docs.sparkSession.createDataFrame([], result)
     length = STRIDE * PARTS
     cuts = [(k, t[a : a + length]) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - length // 2), length // 2)]
-    passages = docs.sparkSession.createDataFrame([(bytearray(t.tobytes()),) for _, t in cuts], "terms binary")
-    used, space = latent_space(passages, idf)
-    space = space.astype(np.float32)
-    index = np.stack([w @ space[np.searchsorted(used, t)] for t, w in (_tfidf(t, idf) for _, t in cuts)])
-    index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
-    index, owner = index.astype(np.float32).T.copy(), np.array([k for k, _ in cuts])
-    row = np.full(TERMS, len(used), np.int32)
-    row[used] = np.arange(len(used))
-    weighted = np.concatenate([space * idf[used, None].astype(np.float32), np.zeros((1, space.shape[1]), np.float32)])
+    blocks = [_block(docs.sparkSession, cuts[a : a + RANK], idf) for a in range(0, len(cuts), RANK)]
+    own = [np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] + k * RANK for k, b in enumerate(blocks)]), np.concatenate([b[2] for b in blocks])]
+    order = np.argsort(own[0], kind="stable")
+    column, value = own[1][order].astype(np.int32), own[2][order].astype(np.float32)
+    first = np.searchsorted(own[0][order], np.arange(TERMS + 1))
+    kept, weight = np.concatenate([b[3] for b in blocks]), np.concatenate([b[4] for b in blocks])
+    near, held, owner = NEAR * kept, HELD * kept * weight, np.array([k for k, _ in cuts])
+    piece = min(500, max(40, 2_000_000 // len(cuts))) * STRIDE  # bounds the table of runs and passages
     square = (idf * idf).astype(np.float32)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,18 +229,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return
         best: dict[int, float] = {}
         spans: dict[int, list[tuple[int, int]]] = {}
-        for start in range(0, len(ids), 8_000):  # a long text in pieces that overlap by a passage
-            own = ids[start : start + 8_000 + length]
+        for start in range(0, len(ids), piece):  # a long text in pieces that overlap by a passage
+            own = ids[start : start + piece + length].astype(np.int64)
             runs = np.arange(0, len(own), STRIDE)
-            part = np.add.reduceat(weighted[row[own]], runs)
-            mass = np.add.reduceat(square[own], runs)
-            for k in range(1, PARTS):  # sums of PARTS runs from each on
-                if k == 1:
-                    part_sum, mass_sum = part.copy(), mass.copy()
-                part_sum[:-k] += part[k:] if len(part) > k else 0
-                mass_sum[:-k] += mass[k:] if len(mass) > k else 0
-            cos = (part_sum @ index) / np.sqrt(np.maximum(mass_sum, 1e-9))[:, None]
-            for p, c in zip(*np.nonzero(cos >= NEAR)):
+            norm = np.sqrt(np.maximum(_sums(np.add.reduceat(square[own], runs)), 1e-9))[:, None]
+            many = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cell = np.repeat(np.arange(len(own)) // STRIDE, many) * len(cuts) + column[at]
+            part = _sums(np.bincount(cell, value[at], len(runs) * len(cuts)).reshape(len(runs), -1))
+            cos = part / norm
+            for p, c in zip(*np.nonzero((cos >= near) | (part >= held))):
                 k = int(owner[c])
                 best[k] = max(best.get(k, 0.0), float(cos[p, c]))
                 a = start + int(p) * STRIDE

@@ -357,6 +357,14 @@ def test_leaks(spark, odd_texts):
     assert sorted(r[0] for r in rows(lsa.keep_clean(frame(spark, texts), bench), "doc_id")) == [i for i in range(len(texts)) if i not in (n, n + 1, n + 2)]
 
 
+def test_leaks_of_a_benchmark_beyond_one_space(spark):
+    items = [words(3000 + i, 16, 20_000) for i in range(8 * lsa.RANK)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    held = list(range(0, len(items), 40))
+    texts = [f"{words(5000 + i, 150, 20_000)} {items[i]} {words(7000 + i, 150, 20_000)}" for i in held]
+    assert rows(lsa.contaminated(frame(spark, texts, held), bench), "doc_id", "item_id") == sorted(((i, i) for i in held), key=repr)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
