@@ -19,17 +19,23 @@ SLICE_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB at most: texts differ in length, and each batch stands in the JVM and in Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; in local mode, if that is unset, one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrion.scratch", None)
     if not where:
-        where = spark.conf.get("quarrion.scratch", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="quarrion-")
-            spark.conf.set("quarrion.scratch", where)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="quarrion-")
+        spark.conf.set("quarrion.scratch", where)
     return where
 
 
@@ -40,6 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     stands before, and every later reader sees the very same rows.
     """
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

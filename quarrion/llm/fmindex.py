@@ -66,19 +66,40 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _groups(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Where, in the suffix order, the first ``depth`` symbols differ from those of the suffix before."""
+    new = np.ones(len(order), bool)
+    alike = np.arange(1, len(order))
+    padded = np.append(text, np.zeros(depth, text.dtype))
+    for k in range(depth):
+        alike = alike[padded[order[alike] + k] == padded[order[alike - 1] + k]]
+    new[alike] = False
+    return new
+
+
 class FmIndex:
-    """Index of a sequence of symbols in 1..alphabet, 0 being the separator; patterns of ``depth`` symbols at most."""
+    """Compressed index of a sequence of symbols in 1..alphabet, 0 being the separator, for matches of ``depth`` symbols at most.
+
+    It keeps the wavelet matrix of the Burrows-Wheeler transform, the symbols'
+    first places, and for each interval of suffixes that share ``depth``
+    symbols its beginning and its smallest position if it has two suffixes or
+    more. The text and the suffix order are not kept.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.n, self.text = len(text), text.astype(np.int32)
-        self.order = suffix_order(text, depth)
-        transform = self.text[self.order - 1]  # position 0 is preceded by the last symbol, a separator
+        self.n, self.depth = len(text), depth
+        order = suffix_order(text, depth).astype(np.int32)
         top = int(text.max()) if self.n else 0
-        self.wavelet = Wavelet(transform, max(1, top.bit_length()))
+        # Position 0 is preceded by the last symbol, a separator.
+        self.wavelet = Wavelet(text[order - 1].astype(np.int32), max(1, top.bit_length()))
         count = np.bincount(text, minlength=top + 1)
         self.first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int32)
         every = np.arange(top + 1, dtype=np.int32)
         self.base = self.wavelet.follow(every, np.zeros(top + 1, np.int32))
+        begin = np.flatnonzero(_groups(text, order, depth))
+        many = np.diff(np.append(begin, self.n)) > 1
+        self.begin = begin[many].astype(np.int32)
+        self.least = np.minimum.reduceat(order, begin)[many] if self.n else order
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern from those of the patterns."""
@@ -86,28 +107,26 @@ class FmIndex:
         shift = self.first[symbol] - self.base[symbol]
         return both[: len(low)] + shift, both[len(low) :] + shift
 
-    def repeats(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """For each start of a pattern in the text itself: the smallest position at which it occurs.
+    def statistics(self, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(matching statistics, smallest positions) of the windows of ``depth`` symbols that begin at ``starts`` of a streamed sequence.
 
-        Patterns are matched backward from their last symbol, all at once; one
-        whose interval has shrunk to itself alone has a matching statistic below
-        the length and is dropped there.
+        The statistic of a window is the number of its last symbols, ``depth``
+        at most, that occur twice or more in the index; a window that reaches
+        ``depth`` has an interval of occurrences, whose smallest position goes
+        along (else n). All windows are extended to the left together, a symbol a step; one whose
+        interval has shrunk to a single suffix is done.
         """
-        out = starts.copy()
+        reach = np.zeros(len(starts), np.int32)
+        least = np.full(len(starts), self.n, np.int64)
         todo = np.arange(len(starts))
         low, high = np.zeros(len(todo), np.int32), np.full(len(todo), self.n, np.int32)
-        for k in range(length - 1, -1, -1):
-            low, high = self.step(self.text[starts[todo] + k], low, high)
+        for k in range(self.depth - 1, -1, -1):
+            low, high = self.step(stream[starts[todo] + k], low, high)
             alive = high - low > 1
             if not alive.all():
                 todo, low, high = todo[alive], low[alive], high[alive]
             if not len(todo):
-                return out
-        lows, place = np.unique(low, return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[place] = high
-        # Minima over the disjoint intervals of the suffix order.
-        edges = np.stack([lows, highs], 1).ravel()
-        least = np.minimum.reduceat(np.append(self.order, self.n), edges)[::2]
-        out[todo] = least[place]
-        return out
+                return reach, least
+            reach[todo] += 1
+        least[todo] = self.least[np.searchsorted(self.begin, low)]
+        return reach, least

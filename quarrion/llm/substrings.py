@@ -3,14 +3,17 @@
 A window's minimizer, the smallest hash of its four-word grams, decides its
 shard, so equal windows meet in one shard wherever they stand, and each shard
 is searched only with what can match there. Runs of windows whose minimizer
-stands at one place are a segment. A shard's distinct segments are indexed; backward search over
-the wavelet matrix finds for every window the interval of its occurrences, and
-the smallest position in it is the occurrence that stays.
+stands at one place are a segment. A shard's segments are indexed, and every
+segment is streamed against the index: backward search over the wavelet matrix
+gives at each word the matching statistic (up to the window) and the interval
+of its occurrences; windows that reach the threshold and whose interval holds
+an earlier occurrence are reported.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +22,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_bytes, slices, unpack_bytes
+from .common import materialise, pack_bytes, unpack_bytes
 from .fmindex import FmIndex
 
 GRAM = 4
-#: Segments and keys that a shard or bucket holds on average.
-SEGMENTS, KEYS = 15_000, 400_000
+#: Bytes of text hashed at a time; a longer text is cut inside, with a window's overlap.
+PIECE = 512_000
+#: Words of a piece of a longer text.
+PIECE_WORDS = 50_000
+#: Segments and keys that a shard or bucket holds on average; a segment begins at about every 40 bytes of text.
+SEGMENTS, KEYS, SEGMENT_BYTES = 15_000, 400_000, 40
+#: Keys, and bytes of distinct segments with what each takes beside its text, that a task holds before it sends them.
+HELD_KEYS, HELD_BYTES, ENTRY = 500_000, 32_000_000, 400
 #: A key that more segments than this have, a third of a shard, deals out its windows one by one.
 HOT = 5_000
+#: Windows that are streamed against an index at a time.
+STREAMED = 200_000
 #: Hot keys are sent to all tasks up to this number (eight bytes each), joined beyond it.
 HOT_SENT = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0D]+")
+
+
 def canonical(text: str | None) -> bytes:
-    """The words of a text, joined by one space; bytes split at the very white space that words are cut at."""
-    return b" ".join((text or "").encode().split())
+    """The words of a text, joined by one space."""
+    return _SPACES.sub(b" ", (text or "").encode()).strip(b" ")
+
+
+def pieces(texts: Iterator[bytes], window: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Groups of (places of texts, their first words, bytes) of about PIECE bytes, of canonical texts with a window.
+
+    A text beyond PIECE is cut so that each window stands in one piece alone.
+    """
+    places, first, data, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        if text.count(b" ") < window - 1:
+            continue
+        if size and size + len(text) > PIECE:
+            yield places, first, data
+            places, first, data, size = [], [], [], 0
+        if len(text) > PIECE:
+            gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            for a in range(0, len(gap) + 2 - window, PIECE_WORDS):
+                begin = int(gap[a - 1]) + 1 if a else 0
+                last = a + PIECE_WORDS + window - 2
+                yield [k], [a], [text[begin : int(gap[last]) if last < len(gap) else len(text)]]
+            continue
+        places.append(k)
+        first.append(0)
+        data.append(text)
+        size += len(text)
+    if places:
+        yield places, first, data
 
 
 def _rolled(h: np.ndarray, length: int) -> np.ndarray:
@@ -50,18 +91,11 @@ def _rolled(h: np.ndarray, length: int) -> np.ndarray:
 
 
 class Stream:
-    """The words of several canonical texts in a row: where they begin, their hashes, and what text they are of.
-
-    Texts of fewer words than the window are left out; ``texts`` has the places of the others.
-    """
+    """The words of several canonical texts in a row: where they begin, their hashes, and what text they are of."""
 
-    def __init__(self, texts: list[bytes], window: int):
-        self.texts = np.array([k for k, t in enumerate(texts) if t.count(b" ") >= window - 1], np.int64)
-        self.data = b"\n".join([texts[k] for k in self.texts])
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
-        if not len(raw):
-            self.begin, self.row, self.hash = (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-            return
         gap = np.flatnonzero((raw == 32) | (raw == 10))
         self.begin = np.concatenate([[0], gap + 1])  # a word ends one before the next begins
         self.row = np.concatenate([[0], np.cumsum(raw[gap] == 10)])
@@ -103,16 +137,17 @@ class Stream:
         return low[at], at, ends
 
 
-def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col: str, most: int = HOT) -> tuple[DataFrame, DataFrame]:
+def repeated_keys(docs: DataFrame, window: int, size: int, id_col: str, text_col: str, most: int = HOT) -> tuple[DataFrame, DataFrame]:
     """((id, key) of every document's segments whose key occurs elsewhere too, hot keys).
 
     A task sends each of its keys once, whatever the number of documents that
     have it; keys that two of its own segments have are known to repeat. So a
-    key of a third of all documents costs a bucket one record a task.
+    key of a third of all documents costs a bucket one record a task. Buckets
+    are as many as ``size``, the bytes of all texts, asks for.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"bucket int, data binary, `{id_col}` {kind}, key long, hot long"
-    buckets = max(1, -(-rows * 64 // KEYS))
+    buckets = max(1, -(-size // (SEGMENT_BYTES * KEYS)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(id_array: pa.Array, flat: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -145,19 +180,20 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, id_array.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
 
         names = ["bucket", "data", id_col, "key", "hot"]
-        ids, keys, rows, n = [], [], [], 0
-        for part in slices(batches, text_col):
-            stream = Stream([canonical(t) for t in part.column(text_col).to_pylist()], window)
-            key, first, _ = stream.segments(window)
-            if len(key):
-                own = part.column(id_col).take(pa.array(stream.texts))
-                rows.append(stream.row[first] + sum(map(len, ids)))
-                ids.append(own)
+        ids, keys, rows, n, base = [], [], [], 0, 0
+        for batch in batches:
+            column, id_array = batch.column(text_col), batch.column(id_col)
+            for places, _, data in pieces((canonical(t.as_py()) for t in column), window):
+                stream = Stream(data)
+                key, first, _ = stream.segments(window)
+                rows.append(stream.row[first] + base)
+                ids.append(id_array.take(pa.array(places)))
                 keys.append(key)
                 n += len(key)
-            if n > 2_000_000:
-                yield from out(pa.concat_arrays(ids), np.concatenate(keys), np.concatenate(rows))
-                ids, keys, rows, n = [], [], [], 0
+                base += len(places)
+                if n > HELD_KEYS:
+                    yield from out(pa.concat_arrays(ids), np.concatenate(keys), np.concatenate(rows))
+                    ids, keys, rows, n, base = [], [], [], 0, 0
         if n:
             yield from out(pa.concat_arrays(ids), np.concatenate(keys), np.concatenate(rows))
 
@@ -188,40 +224,54 @@ def repeated_keys(docs: DataFrame, window: int, rows: int, id_col: str, text_col
 
 
 def shard_repeats(blobs: list[pa.Buffer], window: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(ids, starts, ends) of the words that repeated windows cover, from a shard's packed segments."""
+    """(ids, starts, ends) of the words that repeated windows cover, from a shard's packed segments.
+
+    Segments of equal text (one a task at most, as tasks send each text once)
+    are one pattern of the search and one entry of the index, that of the
+    first place; each takes the answer for its own place.
+    """
     table = pa.concat_tables([pa.ipc.open_stream(pa.BufferReader(b)).read_all() for b in blobs])
     table = table.sort_by([("id", "ascending"), ("first", "ascending")]).combine_chunks()
     first = table.column("first").to_numpy().astype(np.int64)
-    code = table.column("text").combine_chunks().dictionary_encode()
-    _, keep = np.unique(code.indices.to_numpy(), return_index=True)
-    keep.sort()
-    words = pc.split_pattern(code.dictionary, " ")  # distinct texts, in the order of their first places
+    code = table.column("text").combine_chunks().dictionary_encode()  # codes in the order of first places
+    of = code.indices.to_numpy()
+    words = pc.split_pattern(code.dictionary, " ")
     length = np.diff(words.offsets.to_numpy()).astype(np.int64)
-    every = length[code.indices.to_numpy()]
-    again = np.ones(len(first), bool)
-    again[keep] = False
-    again = np.flatnonzero(again)  # the whole segment stands earlier
     # The text of the index: words by number from 1 on, a 0 after each segment.
-    number = words.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    owner = np.repeat(np.arange(len(keep)), length)
-    symbols = np.zeros(len(number) + len(keep), np.int64)
-    symbols[np.arange(len(number)) + owner] = number
+    number = words.values.dictionary_encode().indices.to_numpy().astype(np.int32) + np.int32(1)
+    symbols = np.zeros(len(number) + len(length), np.int32)
+    symbols[np.arange(len(number)) + np.repeat(np.arange(len(length)), length)] = number
+    index = FmIndex(symbols, window)
+    # Of each text's windows, whether the index has an earlier occurrence of it.
     begin = np.cumsum(length + 1) - (length + 1)
     windows = length - window + 1
-    owner = np.repeat(np.arange(len(keep)), windows)
-    starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
-    hit = np.flatnonzero(FmIndex(symbols, window).repeats(starts, window) < starts)
-    a, b = first[again], first[again] + every[again]
-    rows = again
-    if len(hit):
-        new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) != 0)])
-        run = np.flatnonzero(new)
-        end = np.concatenate([run[1:], [len(hit)]]) - 1
-        own = owner[hit[run]]
-        shift = first[keep[own]] - begin[own]
-        rows = np.concatenate([again, keep[own]])
-        a = np.concatenate([a, shift + starts[hit[run]]])
-        b = np.concatenate([b, shift + starts[hit[end]] + window])
+    of_window = np.cumsum(windows) - windows
+    earlier = np.empty(int(windows.sum()), bool)
+    at = 0
+    while at < len(length):  # streamed in parts of bounded size
+        to = max(at + 1, int(np.searchsorted(of_window, of_window[at] + STREAMED)))
+        n = windows[at:to]
+        starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts += np.repeat(begin[at:to] - begin[at], n)
+        last = int(begin[to]) if to < len(length) else len(symbols)
+        reach, least = index.statistics(symbols[int(begin[at]) : last], starts)
+        earlier[int(of_window[at]) : int(of_window[at]) + len(starts)] = (reach >= window) & (least < starts + begin[at])
+        at = to
+    # A text's first segment loses its windows that stand earlier; of the others, all do.
+    again = np.ones(len(of), bool)
+    _, keep = np.unique(of, return_index=True)
+    again[keep] = False
+    copy = np.flatnonzero(again)
+    every = length[of]
+    hit = np.flatnonzero(earlier)
+    owner = np.repeat(np.arange(len(length)), windows)[hit]
+    run = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner) != 0)])) if len(hit) else hit
+    end = np.append(run[1:], len(hit))[: len(run)] - 1
+    own = owner[run]
+    shift = first[keep[own]] - of_window[own]
+    rows = np.concatenate([copy, keep[own]])
+    a = np.concatenate([first[copy], shift + hit[run]])
+    b = np.concatenate([first[copy] + every[copy], shift + hit[end] + window])
     return table.column("id").combine_chunks().take(pa.array(rows)), a.astype(np.int32), b.astype(np.int32)
 
 
@@ -238,20 +288,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     stay, joined by one space.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.count()
-    keys, hot = repeated_keys(docs, window, rows, id_col, text_col, most)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    keys, hot = repeated_keys(docs, window, size, id_col, text_col, most)
     hot = hot.withColumn("hot", F.lit(True))
     hot = F.broadcast(hot) if hot.count() <= HOT_SENT else hot
-    keys = keys.join(hot, "key", "left")
+    keys = materialise(keys.join(hot, "key", "left"), "repeated-keys")
+    shards = max(1, -(-keys.count() // SEGMENTS))
     pack_keys = keys.groupBy(id_col).agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            data = pa.array([pack_bytes(canonical(t)) for t in part.column(text_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(id_col), data], [id_col, "data"])
+        for batch in batches:
+            data = pa.array([pack_bytes(canonical(t.as_py())) for t in batch.column(text_col)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), data], [id_col, "data"])
 
     packed = docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {kind}, data binary")
-    shards = max(1, -(-rows * 12 // SEGMENTS))
     schema = f"shard int, data binary, `{id_col}` {kind}, start int, end int"
     names = ["shard", "data", id_col, "start", "end"]
 
@@ -285,15 +335,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
         id_type, held = pa.int64(), 0
         for batch in batches:
-            id_type = batch.column(id_col).type
-            for part in slices([batch], "data"):
-                ids = part.column(id_col).to_pylist()
-                stream = Stream([unpack_bytes(x.as_buffer()) for x in part.column("data")], window)
+            id_type, ids = batch.column(id_col).type, batch.column(id_col)
+            every_key, every_hot = batch.column("keys"), batch.column("hot")
+            for places, origin, texts in pieces((unpack_bytes(x.as_buffer()) for x in batch.column("data")), window):
+                stream = Stream(texts)
                 key, first, last = stream.segments(window)
-                of = lambda c: part.column(c).flatten().to_numpy().view(np.uint64)
+                mine, at = pa.array(places), np.array(origin)
+                of = lambda c: c.take(mine).flatten().to_numpy().view(np.uint64)
                 # A key that is known to repeat does so in every document that has it.
-                known, dealt = np.isin(key, of("keys")), np.isin(key, of("hot"))
-                base = np.searchsorted(stream.row, np.arange(len(stream.texts)))  # first word of each text
+                known, dealt = np.isin(key, of(every_key)), np.isin(key, of(every_hot))
+                base = np.searchsorted(stream.row, np.arange(len(texts))) - at  # from words of the stream to those of the text
                 runs = [(key[known], first[known], last[known])]
                 if dealt.any():
                     n = (last - first + 1)[dealt]
@@ -304,21 +355,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 to = ((x >> np.uint64(7)) % np.uint64(shards)).tolist()
                 begin = stream.begin[a].tolist()
                 end = np.append(stream.begin, len(stream.data) + 1)[b + window].tolist()
-                at, data = (a - base[row]).tolist(), stream.data
-                size, who = (b - a + window).tolist(), [ids[k] for k in stream.texts[row].tolist()]
-                for p, q, i, w, n, shard in zip(begin, end, who, at, size, to):
+                start, data = (a - base[row]).tolist(), stream.data
+                size, who = (b - a + window).tolist(), ids.take(mine).take(pa.array(row)).to_pylist()
+                for p, q, i, w, n, shard in zip(begin, end, who, start, size, to):
                     t = data[p : q - 1]
                     old = best.get(t)
                     if old is None:
                         best[t] = (i, w)
                         place[t] = shard
-                        held += q - p
+                        held += q - p + ENTRY
                     elif old < (i, w):
                         late(i, w, w + n)
+                        held += ENTRY // 4
                     elif old != (i, w):  # else a row of the same id
                         best[t] = (i, w)
                         late(old[0], old[1], old[1] + n)
-                if held > 60_000_000:
+                        held += ENTRY // 4
+                if held > HELD_BYTES:
                     yield from out()
                     best, place, again, held = {}, {}, {}, 0
         yield from out()
@@ -338,16 +391,26 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, sha, kept = [], [], [], []
-            for data, gone in zip(batch.column("data"), batch.column("gone").to_pylist()):
-                words = unpack_bytes(data.as_buffer()).split()
-                n.append(len(words))
-                if gone:
-                    out = np.ones(len(words), bool)
-                    for r in gone:
-                        out[r["start"] : r["end"]] = False
-                    words = [w for w, k in zip(words, out.tolist()) if k]
-                removed.append(n[-1] - len(words))
-                text = b" ".join(words)
+            ranges = batch.column("gone")
+            first, last = (ranges.values.field(k).to_numpy() for k in (0, 1))
+            offsets, has = ranges.offsets.to_pylist(), ranges.is_valid().to_pylist()
+            for k, data in enumerate(batch.column("data")):
+                text = unpack_bytes(data.as_buffer())
+                n.append(text.count(b" ") + 1 if text else 0)
+                removed.append(0)
+                if has[k]:
+                    gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+                    begin, stop = np.append(0, gap + 1), np.append(gap, len(text))
+                    parts, at = [], 0
+                    for a, b in sorted(zip(first[offsets[k] : offsets[k + 1]].tolist(), last[offsets[k] : offsets[k + 1]].tolist())):
+                        if a > at:
+                            parts.append(text[int(begin[at]) : int(stop[a - 1])])
+                        if b > at:
+                            removed[-1] += b - max(a, at)
+                            at = b
+                    if at < n[-1]:
+                        parts.append(text[int(begin[at]) :])
+                    text = b" ".join(parts)
                 sha.append(hashlib.sha256(text).hexdigest())
                 kept.append(text)
             columns = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
