@@ -1,17 +1,16 @@
 """URL filters by rules and by a path-template tree for each host.
 
 A host's paths form a tree of segments. Segments that look like numbers or
-identifiers become wildcards at once; below a node with many children all
-children become one wildcard. Sibling templates whose labels and use do not
-differ statistically are merged, and a template is rejected if the smoothed
-share of bad labels in it is high.
+identifiers are wildcards at once. Below each node, branches whose share of bad
+labels does not differ statistically from that of their siblings are one
+wildcard, those that differ upward or downward are merged apart, and one without
+labels, which nothing shows to be like another, stays by itself. A template is rejected if the share of bad labels in it
+is high, smoothed towards what is known above it: its host, the
+host's parent domains, and the same path on all hosts.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +19,13 @@ from .common import materialise
 #: (host, path prefix, verdict) of the curated rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Levels of the tree; what is deeper is one wildcard.
-DEPTH = 6
-#: A node with more children than this has them as one wildcard.
-CHILDREN = 24
-#: Smoothing: so many labels at the prior share of bad ones count for every template.
+#: Smoothing: so many labels at the share expected from above count for every template, host and domain; with nothing above, the share is PRIOR.
 STRENGTH, PRIOR = 4.0, 0.3
 REJECT = 0.8
-#: Siblings merge below this z of their shares of bad labels, with so many labels each, or none at all.
-ALIKE_Z, ALIKE_LABELS = 1.64, 5
+#: A branch differs from its siblings from this z of their shares of bad labels on.
+ALIKE_Z = 1.64
+#: Shares weigh in as evidence no further than so near to 0 and 1.
+SURE = 0.02
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -50,7 +47,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path as an array, with numbers, dates and long identifiers as wildcards, at most DEPTH of them."""
+    """Segments of a path as an array, with numbers, dates and long identifiers as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(s: Column) -> Column:
@@ -58,63 +55,65 @@ def shape(path: Column) -> Column:
         s = F.regexp_replace(s, r"^\d{4}-\d{2}(-\d{2})?$", "{date}")
         return F.regexp_replace(s, r"^[0-9A-Fa-f-]{12,}$", "{id}")
 
-    parts = F.transform(parts, general)
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
-
-
-def templates(shapes: DataFrame) -> DataFrame:
-    """Adds ``template`` to rows of (host, parts): level by level, the children of a node with more than CHILDREN of them become ``*``."""
-    out = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(DEPTH):
-        part = F.get("parts", F.lit(level))
-        kids = out.where(part.isNotNull()).select("host", "template", part.alias("part")).distinct()
-        wide = kids.groupBy("host", "template").agg(F.count("*").alias("_kids")).where(F.col("_kids") > CHILDREN)
-        out = out.join(wide, ["host", "template"], "left")
-        step = F.when(part.isNull(), F.lit(None)).when(F.col("_kids").isNotNull(), F.lit("*")).otherwise(part)
-        out = out.withColumn("template", F.when(step.isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))).drop("_kids")
-    return out
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Siblings in order of their labels: each joins the group before it from which it does not differ."""
-    rows = rows.sort_values(["bad", "good", "n", "last"], ascending=[False, True, False, True]).reset_index(drop=True)
-    group, groups = [], []
-    for r in rows.itertuples():
-        for k, (bad, labels, n) in enumerate(groups):
-            mine = r.bad + r.good
-            if labels == 0 and mine == 0:
-                break
-            if min(labels, mine) >= ALIKE_LABELS:
-                p = (bad + r.bad) / (labels + mine)
-                sd = math.sqrt(max(p * (1 - p), 1e-9) * (1 / labels + 1 / mine))
-                if abs(bad / labels - r.bad / mine) / sd < ALIKE_Z:
-                    break
-        else:
-            k = len(groups)
-            groups.append((0, 0, 0))
-        bad, labels, n = groups[k]
-        groups[k] = (bad + r.bad, labels + r.bad + r.good, n + r.n)
-        group.append(k)
-    rows["t_bad"] = [int(groups[k][0]) for k in group]
-    rows["t_labels"] = [int(groups[k][1]) for k in group]
-    rows["branch"] = ["|".join(rows["last"][[g == k for g in group]].sort_values()) for k in group]
-    return rows[["host", "template", "branch", "t_bad", "t_labels"]]
+    return F.transform(parts, general)
+
+
+def templates(urls: DataFrame) -> DataFrame:
+    """(host, parts, template) of rows of (host, parts, bad, good), one for each host and shape.
+
+    A node of the tree is a host and the beginning of a path. Each is held
+    against its siblings by sums alone, so a node with any number of children
+    is no unbounded group, and the levels of all trees are done at once.
+    """
+    level = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.slice("parts", F.lit(1), k))).alias("level", "node")
+    on_way = urls.where(F.size("parts") > 0).select("host", "parts", "bad", "good", level)
+    nodes = on_way.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    nodes = materialise(nodes.withColumn("above", F.slice("node", F.lit(1), F.size("node") - 1)), "url-nodes")
+    around = nodes.groupBy("host", "above").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+    own, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
+    share = F.col("all_bad") / F.greatest(own + rest, F.lit(1))
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / F.greatest(own, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
+    z = (F.col("bad") / F.greatest(own, F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))) / spread
+    differs = F.when(own == 0, "?").when(rest == 0, "*").when(z >= ALIKE_Z, "+").when(z <= -ALIKE_Z, "-").otherwise("*")
+    classed = nodes.join(around, ["host", "above"]).select("host", "node", "above", F.element_at("node", -1).alias("part"), differs.alias("branch"))
+    # A branch of one segment, or without labels, keeps its name.
+    alone = classed.groupBy("host", "above", "branch").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    named = classed.join(alone, ["host", "above", "branch"]).select("host", "node", F.when((F.col("branch") == "?") | (F.col("a") == F.col("b")), F.element_at("node", -1)).otherwise(F.col("branch")).alias("step"))
+    steps = on_way.select("host", "parts", "level", "node").join(named, ["host", "node"])
+    found = steps.groupBy("host", "parts").agg(F.sort_array(F.collect_list(F.struct("level", "step"))).alias("steps"))
+    found = found.select("host", "parts", F.transform("steps", lambda s: s["step"]).alias("template"))
+    return found.unionByName(urls.where(F.size("parts") == 0).select("host", "parts", F.array().cast("array<string>").alias("template")))
+
+
+def _smooth(bad: Column, labels: Column, expected: Column) -> Column:
+    return (bad + F.lit(STRENGTH) * expected) / (labels + F.lit(STRENGTH))
+
+
+def _evidence(share: Column) -> Column:
+    share = F.least(F.greatest(share, F.lit(SURE)), F.lit(1 - SURE))
+    return F.log(share / (1 - share))
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
-    """(host, parts, template, method verdict) from rows of (host, parts, n, bad, good), one for each host and shape."""
-    tree = materialise(templates(urls), "templates")
-    leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # Siblings share all but their first segment that is a word; wildcards have none.
-    word = F.filter(F.col("template"), lambda s: ~s.rlike(r"^(\*\*?|\{.*)$"))
-    last = F.coalesce(F.get(word, F.lit(0)), F.lit(""))
-    around = F.concat_ws("/", F.transform("template", lambda s: F.when(s == last, F.lit("<>")).otherwise(s)))
-    leaves = leaves.withColumn("last", last).withColumn("around", around)
-    # A group holds the children of a node, CHILDREN at most, since more of them are one wildcard.
-    merged = leaves.groupBy("host", "around").applyInPandas(_merge, "host string, template array<string>, branch string, t_bad long, t_labels long")
-    share = (F.col("t_bad") + F.lit(STRENGTH * PRIOR)) / (F.col("t_labels") + F.lit(STRENGTH))
-    merged = merged.withColumn("impurity", share).withColumn("method", F.when(share >= REJECT, "block").otherwise("allow"))
-    return tree.select("host", "parts", "template").join(merged, ["host", "template"])
+    """(host, parts, template, impurity, method) from rows of (host, parts, bad, good), one for each host and shape.
+
+    Shares of bad labels are smoothed downward: all below a domain of two
+    labels towards PRIOR, a host towards its domain, a template towards what its
+    host and its path on all hosts say together (their log-odds added).
+    """
+    tree = urls.join(templates(urls), ["host", "parts"])
+    tree = materialise(tree.withColumn("domain", F.substring_index("host", ".", -2)), "url-templates")
+    both = [F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("labels")]
+    hosts = tree.groupBy("domain", "host").agg(*both)
+    domains = hosts.groupBy("domain").agg(_smooth(F.sum("bad"), F.sum("labels"), F.lit(PRIOR)).alias("of_domain"))
+    hosts = hosts.join(domains, "domain").select("host", _smooth(F.col("bad"), F.col("labels"), F.col("of_domain")).alias("of_host"))
+    paths = tree.groupBy("parts").agg(*both).select("parts", _smooth(F.col("bad"), F.col("labels"), F.lit(PRIOR)).alias("of_path"))
+    # A template of several shapes takes the mean of what they have on all hosts.
+    leaves = tree.join(paths, "parts").groupBy("host", "template").agg(*both, F.avg("of_path").alias("of_path")).join(hosts, "host")
+    odds = _evidence(F.col("of_host")) + _evidence(F.col("of_path")) - _evidence(F.lit(PRIOR))
+    impurity = _smooth(F.col("bad"), F.col("labels"), 1 / (1 + F.exp(-odds)))
+    leaves = leaves.select("host", "template", impurity.alias("impurity"), F.when(impurity >= REJECT, "block").otherwise("allow").alias("method"))
+    return tree.select("host", "parts", "template").join(leaves, ["host", "template"])
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -136,7 +135,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col
     else:
         known = rows.join(labels.select(F.col(id_col), F.col("bad").cast("int").alias("_bad")).dropDuplicates([id_col]), id_col, "left")
     urls = known.groupBy("host", "parts").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"), F.count(F.when(F.col("_bad") == 0, 1)).alias("good")
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"), F.count(F.when(F.col("_bad") == 0, 1)).alias("good")
     )
     judged = template_verdicts(urls).select("host", "parts", F.concat_ws("/", "template").alias("template"), "method", "impurity")
     out = rows.join(judged, ["host", "parts"])
