@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 DIMENSIONS = 1024
-#: Symbols: 0 for whatever is no letter, the others for letters, by code point up to U+024F and by remainder beyond.
+#: Symbols: 0 for whatever is no letter, 1 to 26 for a to z, the others for further letters, by remainder of the code point.
 SYMBOLS = 64
 SEED = 20
 
@@ -30,12 +30,10 @@ def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane: a to z are 1 to 26, further letters share what is left."""
-    out = np.zeros(0x10000, np.int64)
-    for cp in range(0x10000):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
-            out[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % (SYMBOLS - 27)
-    return out
+    """Symbol of each code point of all planes: a to z are 1 to 26, further letters share what is left; 0 is no letter."""
+    cp = np.arange(0x110000)
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return np.where(letter, np.where((cp >= 97) & (cp <= 122), cp - 96, 27 + cp % (SYMBOLS - 27)), 0).astype(np.uint8)
 
 
 class Encoder:
@@ -68,7 +66,7 @@ class Encoder:
     def grams(self, text: str) -> np.ndarray:
         """Trigram codes of the lower-cased letters, runs of anything else as one gap; none if there is no letter."""
         cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.where(cp < 0x10000, self.symbols[np.minimum(cp, 0xFFFF)], 27 + cp % (SYMBOLS - 27))
+        s = self.symbols[cp].astype(np.int64)
         if not s.any():
             return s[:0]
         s = np.concatenate([[0], s, [0]])
@@ -153,7 +151,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
-    """Learn from the rows whose CRC-32 of the id is not in the held-out fold; predict all rows."""
+    """Learn from the rows whose CRC-32 of the id is not in the held-out fold; predict all rows.
+
+    Texts that are null or have no letter of any plane are ``und``; repeated
+    rows each give a row; an empty table gives none; other columns are not read.
+    """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
     found = predict(docs, prototypes(docs.where(fold != held), text_col, lang_col), id_col, text_col)
     return found.select(id_col, (fold == held).alias("held_out"), "lang_pred", "score")
