@@ -1,55 +1,79 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons mined from labelled rows, each of other
-words and word beginnings, and patterns of shouting and address. A generative
-label model finds, from how often the voters fire together over the whole
-corpus, their accuracies and their correlations, and gives each pattern of
-votes a posterior. A linear classifier over word features learns those
-posteriors and scores every text.
+Many voters look at a text. Lexicon voters differ in what they read (whole
+words, word beginnings, beginnings that several words share) and in the third
+of the labelled rows that they were mined from, so no row is behind two of a
+kind; pattern voters look for shouting and address. A generative label model
+finds, from how often the voters fire together over the whole corpus, their
+accuracies and their correlations, and gives each pattern of votes a
+posterior. A linear classifier over word features learns those posteriors, and
+nothing else, and scores every text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import expand, materialise, pack_bytes, slices, squeeze, table, unpack_bytes
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Labelled rows of each label that lexicons and classifier are fitted on: those of the smallest hashes of the id.
+#: Labelled rows of each label that the classifier is fitted on at most: those of the smallest hashes of the id. All counts cover all rows.
 SAMPLE_ROWS = 4_000
-#: Lexicon voters; an entry of the lexicons goes to the next voter in turn.
-LEXICONS = 9
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = range(4, 9)
-#: Entries of all lexicons together, and features that the classifier weighs, at most.
-ENTRIES, FEATURES = 600, 4_000
-#: A feature counts from this many standard errors between the labels on.
-SIGNIFICANT = 4.0
+#: Families of features: whole words, beginnings, beginnings that several words of a text share.
+WORD, BEGINNING, SHARED = range(3)
+FAMILIES = 3
+#: Parts of the labelled rows, each with lexicons of its own.
+PARTS = 3
+LEXICONS = FAMILIES * PARTS
+#: A feature counts from this many standard errors between the labels on, in a lexicon from so many rows of label 1.
+SIGNIFICANT, LEAST = 4.0, 3
 THRESHOLD = 0.7
-#: Accuracy of a given label, as a voter beside the others.
-LABEL_ACCURACY = 0.98
+#: Counters of features of label 1, by which rarer ones are left out before the exact count, and how many of them are a row of its exchange.
+COUNTERS, BLOCK = 1 << 22, 1 << 16
 _SHOUT = re.compile(r"[!?]{2,}")
 _CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
 _ADDRESS = re.compile(r"\b(?:you|your|du|dein|tu|ton|tes|usted)\b", re.IGNORECASE)
 VOTERS = LEXICONS + 3
 
 
-def word_features(word: str) -> list[str]:
-    """The whole word, marked, and its beginnings."""
-    return ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
+def word_features(word: str) -> tuple[int, ...]:
+    """64-bit keys of the whole word and of its beginnings; the family is in the two lowest bits."""
+    key = lambda x, family: xxhash.xxh64_intdigest(x) & 0x7FFFFFFFFFFFFFFC | family
+    return (key(word, WORD), *(key(word[:k], BEGINNING) for k in BEGINNINGS if len(word) >= k))
 
 
-def text_features(text: str | None) -> list[str]:
-    """Features of a text's distinct words; a beginning that two or more of them share is one more, marked by 2."""
-    met = Counter(f for w in set(LETTERS.findall((text or "").lower())) for f in word_features(w))
-    return [*met, *("2" + f for f, n in met.items() if n > 1)]
+class Words(dict):
+    """Features of the words met in a task, those alone that ``known`` holds for true."""
+
+    def __init__(self, known: Callable[[int], bool]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 100_000:
+            self.clear()
+        out = self[word] = tuple(f for f in word_features(word) if self.known(f) or f & 3 == BEGINNING and self.known(f + 1))
+        return out
+
+    def features(self, text: str | None) -> set[int]:
+        """Features of a text's distinct words; a beginning that two or more of them share is one more."""
+        met: list[int] = []
+        for w in set(LETTERS.findall((text or "").lower())):
+            met += self[w]
+        out = set(met)
+        if len(met) > len(out):
+            out.update(f + 1 for f, n in Counter(met).items() if n > 1 and f & 3 == BEGINNING)
+        return out
 
 
 def patterns(text: str | None) -> list[bool]:
@@ -59,81 +83,135 @@ def patterns(text: str | None) -> list[bool]:
 
 
 class Model:
-    """What the workers need: lexicon entries to voters, feature weights and the offset."""
+    """What the workers need: the voters of each lexicon entry as bits, feature weights and the offset."""
 
     def __init__(self):
-        self.voter: dict[str, int] = {}
-        self.weight: dict[str, float] = {}
+        self.voters: dict[int, int] = {}
+        self.weight: dict[int, float] = {}
         self.offset = -4.0
 
     def start(self) -> None:
-        """Begin a task: words met, with those of their features that the model knows."""
-        self.seen: dict[str, tuple[str, ...]] = {}
-        known = {*self.voter, *self.weight}
-        self.known = known | {f[1:] for f in known if f[0] == "2"}
-
-    def fired(self, text: str | None) -> set[str]:
-        met: list[str] = []
-        seen = self.seen
-        for w in set(LETTERS.findall((text or "").lower())):
-            if (got := seen.get(w)) is None:
-                if len(seen) >= 200_000:
-                    seen.clear()
-                got = seen[w] = tuple(f for f in word_features(w) if f in self.known)
-            met += got
-        out = set(met)
-        if len(met) > len(out):
-            out.update("2" + f for f, n in Counter(met).items() if n > 1)
-        return out
+        """Begin a task."""
+        self.words = Words({*self.voters, *self.weight}.__contains__)
 
-    def votes(self, fired: set[str], text: str | None) -> int:
+    def votes(self, features: set[int], text: str | None) -> int:
         out = 0
-        for f in fired:
-            if (k := self.voter.get(f)) is not None:
-                out |= 1 << k
+        for f in features:
+            out |= self.voters.get(f, 0)
         for k, yes in enumerate(patterns(text), LEXICONS):
             out |= yes << k
         return out
 
     def score(self, text: str | None) -> float:
-        x = self.offset + sum(self.weight[f] for f in sorted(self.fired(text)) if f in self.weight)
+        x = self.offset + sum(self.weight[f] for f in sorted(self.words.features(text)) if f in self.weight)
         return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
 
 
-def mine(sample: DataFrame, n1: int, n0: int, text_col: str) -> tuple[list[str], list[str]]:
-    """(lexicon entries, classifier features), each in order of evidence.
+def often_toxic(rows: DataFrame) -> np.ndarray:
+    """COUNTERS bits: whether a counter that features share was met in LEAST rows of label 1 or more."""
 
-    Rows of the sample that have a feature are counted by label. A feature is
-    kept if its share of label 1 is significantly off the sample's; it is a
-    lexicon entry if, besides, the lower bound of that share is high.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = Words(lambda f: True), np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for data in batch.column("data"):
+                own = np.fromiter(words.features(expand(data.as_py())), np.int64) >> 2
+                n[np.unique(own % COUNTERS)] += 1
+        for k in range(0, COUNTERS, BLOCK):
+            own = n[k : k + BLOCK]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack_bytes(own.tobytes())], pa.binary())], ["at", "n"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(unpack_bytes(x.as_buffer()), np.int32).astype(np.int64) for x in table.column("n"))
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([pack_bytes(np.packbits(total >= LEAST).tobytes())], pa.binary())})
+
+    out = np.zeros(COUNTERS // 8, np.uint8)
+    for at, n in rows.select("data").mapInArrow(count, "at int, n binary").groupBy("at").applyInArrow(add, "at int, n binary").collect():
+        out[at // 8 : (at + BLOCK) // 8] = np.frombuffer(unpack_bytes(bytes(n)), np.uint8)
+    return out
+
+
+def mine(rows: DataFrame, often: np.ndarray, total: list[int]) -> DataFrame:
+    """(f, voters, lean) of features that lean to label 1 by SIGNIFICANT standard errors, counted over all rows of (data, _part, _label).
+
+    voters has a bit for each part of the rows that has the feature in its
+    lexicon: it leans so in that part alone, and by the lower bound of its
+    share there most rows that have it are of label 1.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, every = Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([one[f] for f in every], pa.int64()), pa.array(list(every.values()), pa.int64())], ["f", "a", "n"])
+        words = Words(lambda f: often[(k := (f >> 2) % COUNTERS) >> 3] >> (7 - (k & 7)) & 1)
+        got = [Counter() for _ in range(2 * PARTS)]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, c in enumerate(got):
+                if c:
+                    ones = np.full(len(c), k % 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(np.full(len(c), k // 2, np.int32)), pa.array(list(c.values()), pa.int64()), pa.array(ones.astype(np.int32))], ["f", "part", "n", "y"])
+                    c.clear()
+
+        for batch in batches:
+            for data, part, y in zip(batch.column("data"), batch.column("_part").to_pylist(), batch.column("_label").to_pylist()):
+                got[2 * part + y].update(words.features(expand(data.as_py())))
+                if sum(map(len, got)) > 300_000:
+                    yield from out()
+        yield from out()
+
+    counts = rows.select("data", "_part", "_label").mapInArrow(count, "f long, part int, n long, y int")
+    own = lambda k, y: F.coalesce(F.sum(F.when((F.col("part") == k) & (F.col("y") == y), F.col("n"))), F.lit(0))
+    counts = counts.groupBy("f").agg(*(own(k, y).alias(f"n{k}{y}") for k in range(PARTS) for y in (0, 1)))
+    base, z = total[1] / sum(total), 1.64
+
+    def lean(one: Column, zero: Column) -> Column:
+        n = F.greatest(one + zero, F.lit(1))
+        return (one - n * base) / F.sqrt(n * base * (1 - base))
+
+    def sure(k: int) -> Column:
+        one, n = F.col(f"n{k}1"), F.greatest(F.col(f"n{k}1") + F.col(f"n{k}0"), F.lit(1))
+        p = one / n
+        low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return (one >= LEAST) & (lean(one, F.col(f"n{k}0")) >= SIGNIFICANT) & (low > 0.5)
+
+    every = [sum((F.col(f"n{k}{y}") for k in range(PARTS)), F.lit(0)) for y in (0, 1)]
+    voters = sum((F.when(sure(k), 1 << k).otherwise(0) for k in range(PARTS)), F.lit(0))
+    return counts.select("f", voters.alias("voters"), lean(every[1], every[0]).alias("lean")).where("voters > 0")
+
+
+def credit(rows: DataFrame, strength: dict[int, float]) -> dict[int, int]:
+    """The lexicons of each entry as bits, once each row speaks only for its strongest entries.
+
+    What merely stands beside a telling word, as in copies of a text, has rows
+    of label 1 to its name only where the telling word is. So a row counts for
+    entries of half the standard errors of its strongest one or more, and an entry
+    stays in a part's lexicon if most of the rows that speak for it there are still of label 1.
+    """
 
-        for part in slices(batches, text_col):
-            for text, y in zip(part.column(text_col).to_pylist(), part.column("_label").to_pylist()):
-                fs = text_features(text)
-                every.update(fs)
-                if y:
-                    one.update(fs)
-                if len(every) > 300_000:
-                    yield out()
-                    one, every = Counter(), Counter()
-        yield out()
-
-    base, z = n1 / (n1 + n0), 2.5
-    n, p = F.col("n"), F.col("a") / F.col("n")
-    counts = sample.mapInArrow(count, "f string, a long, n long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    lean = (F.col("a") - n * base) / F.sqrt(n * base * (1 - base))
-    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    counts = counts.withColumn("lean", lean).withColumn("low", low).where(F.abs("lean") >= SIGNIFICANT)
-    best = counts.orderBy(F.abs("lean").desc(), "f").limit(FEATURES).collect()
-    sure = [r for r in best if r.a >= 3 and r.low > min(0.9, max(3 * base, 0.3) if base < 0.25 else 0.75)]
-    return [r.f for r in sure[:ENTRIES]], [r.f for r in best]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, got = Words(strength.__contains__), Counter()
+        for batch in batches:
+            for data, part, y in zip(batch.column("data"), batch.column("_part").to_pylist(), batch.column("_label").to_pylist()):
+                own = {f: strength[f] for f in words.features(expand(data.as_py())) if f in strength}
+                if own:
+                    top = max(own.values()) / 2
+                    got.update((f, part, y) for f, v in own.items() if v >= top)
+        cols = list(zip(*(k for k in got))) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:]), pa.array(list(got.values()), pa.int64())], ["f", "part", "y", "n"])
+
+    counts = rows.select("data", "_part", "_label").mapInArrow(count, "f long, part int, y int, n long").groupBy("f", "part", "y").agg(F.sum("n").alias("n"))
+    n: dict[tuple[int, int], list[int]] = {}
+    for f, part, y, k in counts.collect():  # as many as entries
+        n.setdefault((f, part), [0, 0])[y] = k
+    out: dict[int, int] = {}
+    for (f, part), (zero, one) in sorted(n.items()):
+        if one >= LEAST and lower_bound(one, one + zero) > 0.5:
+            out[f] = out.get(f, 0) | 1 << part
+    return out
+
+
+def lower_bound(one: int, n: int, z: float = 1.64) -> float:
+    """Of a share of which so many were seen, by the score interval."""
+    p = one / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
 
 def label_model(votes: dict[int, int], cast_by: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 200) -> dict[int, float]:
@@ -160,22 +238,22 @@ def label_model(votes: dict[int, int], cast_by: np.ndarray, y: np.ndarray, weigh
         odds = np.log(prior / (1 - prior)) + x @ (weight * np.log(p1 / p0)) + (1 - x) @ (weight * np.log((1 - p1) / (1 - p0)))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-    for step in range(rounds):
+    for _ in range(rounds):
         q = posterior()
         a, b = n * q, n * (1 - q)
         prior = min(max((a.sum() + 1) / (n.sum() + 10), 1e-4), 0.5)
         p1 = np.clip((a @ x + 0.5) / (a.sum() + 1), 1e-4, 1 - 1e-4)
         p0 = np.clip((b @ x + 0.5) / (b.sum() + 10), 1e-5, 1 - 1e-4)
-        if step == rounds // 2:  # correlations within the classes, weighted by their share
-            tied = np.zeros((VOTERS, VOTERS))
-            for w, p in ((a, p1), (b, p0)):
-                d = x - p
-                cov = (d * w[:, None]).T @ d / max(w.sum(), 1)
-                sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-                tied += w.sum() / n.sum() * np.abs(cov / np.outer(sd, sd))
-            tied[tied < 0.1] = 0
-            np.fill_diagonal(tied, 0)
-            weight = 1 / (1 + tied.sum(1))
+    # Correlations within the classes, weighted by their share, found last: with shared evidence alone the rates would not be determined.
+    tied = np.zeros((VOTERS, VOTERS))
+    for w, p in ((a, p1), (b, p0)):
+        d = x - p
+        cov = (d * w[:, None]).T @ d / max(w.sum(), 1)
+        sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
+        tied += w.sum() / n.sum() * np.abs(cov / np.outer(sd, sd))
+    tied[tied < 0.1] = 0
+    np.fill_diagonal(tied, 0)
+    weight = 1 / (1 + tied.sum(1))
     return dict(zip(keys.tolist(), posterior().tolist()))
 
 
@@ -202,63 +280,70 @@ def _fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-4), 1 - 1e-4)
-    return float(np.log(p / (1 - p)))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1) -> Model:
     """Voters, label model and classifier from the rows outside the held-out fold.
 
-    Lexicons and classifier see SAMPLE_ROWS labelled rows of each label at
-    most, vote patterns are counted over all rows outside the fold.
+    Lexicons come from all labelled rows and vote patterns from all rows
+    outside the fold; the classifier is fitted on at most SAMPLE_ROWS labelled
+    rows of each label. Labelled texts cross one exchange, packed.
     """
     model = Model()
+    kind = docs.schema[id_col].dataType.simpleString()
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (_fold(id_col, folds) != held))
     known = known.groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_label"))
-    share = dict(tuple(r) for r in known.groupBy("_label").count().collect())
-    take = lambda y: known.where(F.col("_label") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
-    # At most 2 * SAMPLE_ROWS narrow rows are broadcast.
-    sample = materialise(docs.select(id_col, text_col).join(F.broadcast(take(0).unionByName(take(1))), id_col), "toxicity-sample")
-    n = dict(tuple(r) for r in sample.groupBy("_label").count().collect())
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    known = known.withColumn("_part", (F.xxhash64(id_col).bitwiseAND(F.lit(0xFFFF)) % PARTS).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([squeeze(t.as_py() or "") for t in batch.column(text_col)], pa.binary())], [id_col, "data"])
+
+    fit = docs.where(F.col(id_col).isNotNull() & (_fold(id_col, folds) != held)).select(id_col, text_col)
+    rows = materialise(fit.mapInArrow(pack, f"`{id_col}` {kind}, data binary").join(known, id_col), "toxicity-rows")
+    share = {(r[0], r[1]): r[2] for r in rows.groupBy("_part", "_label").count().collect()}
+    total = [sum(n for (_, y), n in share.items() if y == k) for k in (0, 1)]
+    if not all(total):
         return model
-    lexicon, chosen = mine(sample, n1, n0, text_col)
+    found = mine(rows, often_toxic(rows.where("_label = 1")), total).collect()  # what sets toxic rows apart, a matter of vocabulary and not of rows
+    strong = credit(rows, {r.f: r.lean for r in found}) if found else {}
+    model.voters = {f: v << (f & 3) * PARTS for f, v in strong.items()}
+    chosen = sorted(model.voters)
     if not chosen:
         return model
-    model.voter = {f: k % LEXICONS for k, f in enumerate(lexicon)}
     model.weight = dict.fromkeys(chosen, 0.0)
     place = {f: i for i, f in enumerate(chosen)}
+    # Of each label the rows of the smallest hashes; a repeated id counts once.
+    every = rows.groupBy(id_col).agg(F.min("_label").alias("y"), F.min("data").alias("data"))
+    take = lambda y: every.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
-        for part in slices(batches, text_col):
-            rows = []
-            for text in part.column(text_col).to_pylist():
-                fired = model.fired(text)
-                rows.append((model.votes(fired, text), sorted(place[f] for f in fired if f in place)))
-            yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("_label"), pa.array([v for v, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.int32()))], [id_col, "y", "votes", "fs"])
-
-    key = docs.schema[id_col].dataType.simpleString()
-    seen = sample.mapInArrow(look, f"`{id_col}` {key}, y int, votes int, fs array<int>").toArrow().to_pylist()  # bounded like the sample
+        for batch in batches:
+            found = []
+            for data in batch.column("data"):
+                text = expand(data.as_py())
+                fired = model.words.features(text)
+                found.append((model.votes(fired, text), sorted(place[f] for f in fired if f in place)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("y"), pa.array([v for v, _ in found], pa.int32()), pa.array([f for _, f in found], pa.list_(pa.int32()))], [id_col, "y", "votes", "fs"])
+
+    seen = take(0).unionByName(take(1)).mapInArrow(look, f"`{id_col}` {kind}, y int, votes int, fs array<int>").toArrow().to_pylist()  # bounded like the sample
     seen.sort(key=lambda r: (r[id_col], r["fs"]))
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
-        for part in slices(batches, text_col):
-            got = Counter(model.votes(model.fired(t), t) for t in part.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], ["votes", "n"])
+        got: Counter = Counter()
+        for batch in batches:
+            got.update(model.votes(model.words.features(t), t) for t in (x.as_py() for x in batch.column(text_col)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], ["votes", "n"])
 
     pool = docs.where(_fold(id_col, folds) != held).select(text_col)
     votes = dict(tuple(r) for r in pool.mapInArrow(cast, "votes int, n long").groupBy("votes").agg(F.sum("n")).collect())  # 2**VOTERS rows at most
     y = np.array([r["y"] for r in seen], np.float64)
     cast_by = np.array([r["votes"] for r in seen], np.int64)
-    weights = np.where(y > 0, share.get(1, 0) / n1, share.get(0, 0) / n0)
+    ones = max(y.sum(), 1)
+    weights = np.where(y > 0, total[1] / ones, total[0] / max(len(y) - ones, 1))
     posterior = label_model(votes, cast_by, y, weights)
-    # The row's own label is one more voter, of known accuracy.
-    odds = np.array([_logit(posterior.get(int(v), 0.5)) for v in cast_by]) + np.where(y > 0, 1, -1) * _logit(LABEL_ACCURACY)
-    w, model.offset = fit_linear([r["fs"] for r in seen], 1 / (1 + np.exp(-odds)), weights, len(chosen))
+    target = np.array([posterior.get(int(v), 0.5) for v in cast_by])  # a row that left the corpus may have votes of its own
+    w, model.offset = fit_linear([r["fs"] for r in seen], target, weights, len(chosen))
     model.weight = {f: float(v) for f, v in zip(chosen, w)}
     return model
 
@@ -270,7 +355,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
         for part in slices(batches, text_col):
-            s = [model.score(t) for t in part.column(text_col).to_pylist()]
+            s = [model.score(t.as_py()) for t in part.column(text_col)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(s, pa.float64())], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, score double")
@@ -296,6 +381,6 @@ def keep_clean(docs: DataFrame, sf_dir: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
         for part in slices(batches, text_col):
-            yield part.filter(pa.array([model.score(t) < THRESHOLD for t in part.column(text_col).to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([model.score(t.as_py()) < THRESHOLD for t in part.column(text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
