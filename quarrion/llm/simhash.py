@@ -5,6 +5,10 @@ non-zero vector v of r + 1 bits a mask keeps the positions whose vector has
 an odd inner product with v. The positions in which two fingerprints differ, r at
 most, span no more than r dimensions, so some v is orthogonal to all of them,
 and its mask hides every difference: the pair collides in that table, always.
+
+``near_duplicates`` links by the fingerprints alone. ``similar`` takes them for
+the search only: each row carries check bits of its shingles through the
+tables, and what collides is linked by the similarity that they show.
 """
 
 from __future__ import annotations
@@ -19,14 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices
 from .components import components, forest, spanning_forest
+from .substrings import Stream, _rolled
 
 BITS = 64
 #: Fingerprints that one block of a table holds on average.
 BLOCK = 30_000
 #: Tables whose blocks one task takes together, so that it can leave out links that another table has shown.
 TOGETHER = 8
+#: Rows that a task holds before it deals them out.
+DEALT = 200_000
 #: A bucket of more fingerprints is cut again, by parts of the bits that its mask hides.
 LARGE = 2_000
+#: Check bits: one of each of so many min-hashes, in longs of 64.
+CHECKS = 2
+#: Standard errors by which check bits may fall short of the similarity asked for.
+SLACK = 1.5
 #: Bytes with A to Z in lower case; bytes of other letters stay.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -45,19 +56,9 @@ def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
     return np.array([digest(data[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
 
 
-def simhash(text: str | None, shingle: int = 4, number: int = 0) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes; zero without a word.
-
-    A further fingerprint (number over 0) is the same over the hashes mixed anew.
-    """
-    return _fingerprint(shingle_hashes(text, shingle), number)
-
-
-def _fingerprint(h: np.ndarray, number: int) -> int:
-    for _ in range(number):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = h ^ (h >> np.uint64(32))
+def simhash(text: str | None, shingle: int = 4) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes; zero without a word."""
+    h = shingle_hashes(text, shingle)
     return _majority(h.astype("<u8", copy=False)) if len(h) else 0
 
 
@@ -69,18 +70,62 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", number: int = 1) -> DataFrame:
-    """(id, fp0, fp1, ...): fingerprints as longs. A narrow step; a null text is like an empty one."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): fingerprints as longs. A narrow step; a null text is like an empty one."""
     key = docs.schema[id_col].dataType.simpleString()
-    names = [f"fp{k}" for k in range(number)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            hashes = [shingle_hashes(t, shingle) for t in part.column(text_col).to_pylist()]
-            fps = [pa.array(np.array([_fingerprint(h, k) for h in hashes], np.uint64).view(np.int64)) for k in range(number)]
-            yield pa.RecordBatch.from_arrays([part.column(id_col), *fps], [id_col, *names])
+            fps = np.array([simhash(t, shingle) for t in part.column(text_col).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fps.view(np.int64))], [id_col, "fp"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, fp long")
+
+
+def _multipliers(n: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _check_bits(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A bit of the smallest of the hashes under each multiplier, packed into longs."""
+    least = np.full(len(multipliers), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 1024):
+        part = h[at : at + 1024, None] * multipliers
+        part ^= part >> np.uint64(32)  # order by all bits
+        np.minimum(least, part.min(0), out=least)
+    least = _mix(least) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.packbits((least >> np.uint64(63)).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketch(text: str | None, shingle: int = 5, multipliers: np.ndarray | None = None) -> tuple[int, list[int]]:
+    """(fingerprint, check bits) of a text in lower case: SimHash of its set of words, one-bit min-hashes of its set of shingles.
+
+    A text of fewer words than a shingle is one shingle; without a word everything is zero.
+    """
+    data = b" ".join((text or "").encode().translate(_LOWER).split())
+    multipliers = _multipliers(64 * CHECKS) if multipliers is None else multipliers
+    if not data:
+        return 0, [0] * (len(multipliers) // 64)
+    words = Stream([data]).hash
+    grams = np.unique(_rolled(words, min(shingle, len(words))))
+    words = np.unique(words)
+    words = _mix(_mix(words) * np.uint64(0xBF58476D1CE4E5B9))
+    return _majority(words.astype("<u8", copy=False)), _check_bits(grams, multipliers).tolist()
 
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join([f"`{id_col}` {key}", *(f"{n} long" for n in names)]))
+
+def sketches(docs: DataFrame, keys: list[str], shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """(keys, fp, c0, c1, ...) of every whole text, as longs. A narrow step; a null text is like an empty one."""
+    names = [f"c{k}" for k in range(CHECKS)]
+    kinds = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "fp long", *(f"{n} long" for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers(64 * len(names))
+        for batch in batches:
+            found = [sketch(t.as_py(), shingle, multipliers) for t in batch.column(text_col)]
+            rows = np.array([[fp, *c] for fp, c in found], np.uint64).reshape(-1, 1 + len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], [*keys, "fp", *names])
+
+    return docs.select(*keys, text_col).mapInArrow(run, kinds)
 
 
 def masks(radius: int, seed: int = 7) -> np.ndarray:
@@ -100,20 +145,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _near(rows: np.ndarray, one: np.ndarray, radius: int, total: int | None) -> np.ndarray:
-    """Which rows differ from one in radius bits or fewer of the fingerprint, and in total bits or fewer with the check bits."""
-    differ = np.bitwise_count(rows["fp"] ^ one["fp"])
-    near = differ <= radius
-    return near if total is None else near & (differ + np.bitwise_count(rows["check"] ^ one["check"]) <= total)
+class Nearness:
+    """What links two rows that collide: bits of the fingerprint, or check bits, that differ."""
+
+    def __init__(self, radius: int, apart: int | None = None):
+        self.radius, self.apart = radius, apart
+        self.kind = [("fp", "<u8")] if apart is None else [("fp", "<u8"), ("check", "<u8", (CHECKS,))]
+
+    def __call__(self, rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+        if self.apart is None:
+            return np.bitwise_count(rows["fp"] ^ one["fp"]) <= self.radius
+        return np.bitwise_count(rows["check"] ^ one["check"]).sum(1, dtype=np.int16) <= self.apart
+
+    def ids(self, rows: np.ndarray) -> np.ndarray:
+        """A number for each row: the fingerprint, or a hash of fingerprint and check bits (64 bits)."""
+        out = rows["fp"].astype(np.uint64)
+        if self.apart is not None:
+            for k in range(CHECKS):
+                out = _mix(_mix(out) * np.uint64(0xBF58476D1CE4E5B9) + rows["check"][:, k].astype(np.uint64))
+        return out.view(np.int64)
 
 
-def links_within(fps: np.ndarray, radius: int, total: int | None = None) -> tuple[list[int], list[int]]:
-    """Links (places) among a bucket's rows of fingerprints: enough of the pairs that are near to connect whatever they connect.
+def links_within(rows: np.ndarray, near: Nearness) -> tuple[list[int], list[int]]:
+    """Links (places) among a bucket's rows: enough of the pairs that are near to connect whatever they connect.
 
     Rows near the pivot are linked to it and leave; each becomes a pivot
     later, so no chain is lost and no pair that is joined already is linked.
     """
-    todo = np.arange(len(fps))
+    todo = np.arange(len(rows))
     left: list[int] = []
     right: list[int] = []
     queue: list[int] = []
@@ -122,69 +181,71 @@ def links_within(fps: np.ndarray, radius: int, total: int | None = None) -> tupl
             p = queue.pop()
         else:
             p, todo = int(todo[0]), todo[1:]
-        near = _near(fps[todo], fps[p], radius, total)
-        found = todo[near].tolist()
+        close = near(rows[todo], rows[p])
+        found = todo[close].tolist()
         if found:
             left += [p] * len(found)
             right += found
             queue += found
-            todo = todo[~near]
+            todo = todo[~close]
     return left, right
 
 
-def table_links(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) among rows of fingerprints whose first agree under the mask."""
-    order = np.argsort(fps["fp"] & mask, kind="stable")
-    own = fps[order]
+def table_links(rows: np.ndarray, mask: np.uint64, near: Nearness) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) among rows whose fingerprints agree under the mask."""
+    order = np.argsort(rows["fp"] & mask, kind="stable")
+    own = rows[order]
     key = own["fp"] & mask
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     two = first[size == 2]
-    close = _near(own[two], own[two + 1], radius, total)
+    close = near(own[two], own[two + 1])
     left, right = [two[close]], [two[close] + 1]
     for a, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-        x, y = links_within(own[a : a + k], radius, total) if k <= LARGE else _large(own[a : a + k], mask, radius, total)
+        x, y = links_within(own[a : a + k], near) if k <= LARGE else _large(own[a : a + k], mask, near)
         left.append(np.array(x, np.int64) + a)
         right.append(np.array(y, np.int64) + a)
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _large(fps: np.ndarray, mask: np.uint64, radius: int, total: int | None) -> tuple[list[int], list[int]]:
-    """The same for a large bucket: of radius + 1 parts of the hidden bits, a pair agrees in one at least."""
+def _large(rows: np.ndarray, mask: np.uint64, near: Nearness) -> tuple[list[int], list[int]]:
+    """The same for a large bucket: of radius + 1 parts of the hidden bits, a pair within the radius agrees in one at least."""
     hidden = [i for i in range(BITS) if not int(mask) >> i & 1]
     left: list[int] = []
     right: list[int] = []
-    for k in range(radius + 1):
-        key = fps["fp"] & np.uint64(sum(1 << i for i in hidden[k :: radius + 1]))
+    for k in range(near.radius + 1):
+        key = rows["fp"] & np.uint64(sum(1 << i for i in hidden[k :: near.radius + 1]))
         order = np.argsort(key, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:
-                x, y = links_within(fps[own], radius, total)
+                x, y = links_within(rows[own], near)
                 left += own[x].tolist()
                 right += own[y].tolist()
     return left, right
 
 
-def covering_links(rows: DataFrame, radius: int, count: int, total: int | None = None, seed: int = 7) -> DataFrame:
-    """(src, dst) among distinct fingerprints (fp, and check, an int, if there is a total): links that connect all that nearness connects.
+def covering_links(rows: DataFrame, near: Nearness, count: int, seed: int = 7) -> DataFrame:
+    """(src, dst) among distinct rows of fp, and c0, c1, ... if check bits decide: links that connect all that nearness connects.
 
-    Tasks deal out packed arrays by (table, part of the masked key): eight
-    bytes for a fingerprint and four for check bits cross the exchange for
-    each table, and no block grows with the input, as their number does.
+    Rows are named by ``Nearness.ids``. Tasks deal out packed arrays by (table,
+    part of the masked key): only fingerprint and check bits cross the exchange
+    for each table, and no block grows with the input, as their number does.
     """
-    table_masks = masks(radius, seed)
+    table_masks = masks(near.radius, seed)
     parts = max(1, -(-count // BLOCK))
-    names = ["fp"] if total is None else ["fp", "check"]
-    kind = [("fp", np.uint64), ("check", np.uint32)][: len(names)]
+    names = ["fp"] if near.apart is None else ["fp", *(f"c{k}" for k in range(CHECKS))]
+    kind = near.kind
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             own = np.empty(batch.num_rows, kind)
-            for name, of in kind:
-                own[name] = batch.column(name).to_numpy(zero_copy_only=False).view(of)
+            columns = [batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names]
+            own["fp"] = columns[0]
+            if len(columns) > 1:
+                own["check"] = np.stack(columns[1:], 1)
             held.append(own)
-            if sum(map(len, held)) >= 200_000:
+            if sum(map(len, held)) >= DEALT:
                 yield from packed(np.concatenate(held))
                 held = []
         if held:
@@ -205,11 +266,12 @@ def covering_links(rows: DataFrame, radius: int, count: int, total: int | None =
         left, right = [], []
         for t, found in by.items():
             rows = np.concatenate(found)
-            rows = rows[np.argsort(rows["fp"], kind="stable")]
-            a, b = table_links(rows, table_masks[t], radius, total)
-            fp = rows["fp"].astype(np.uint64).view(np.int64)
-            left.append(fp[a])
-            right.append(fp[b])
+            ids = near.ids(rows)
+            order = np.argsort(ids, kind="stable")
+            rows, ids = rows[order], ids[order]
+            a, b = table_links(rows, table_masks[t], near)
+            left.append(ids[a])
+            right.append(ids[b])
         a, b = forest(np.concatenate(left), np.concatenate(right))
         return pa.table({"src": pa.array(a), "dst": pa.array(b)})
 
@@ -217,54 +279,79 @@ def covering_links(rows: DataFrame, radius: int, count: int, total: int | None =
     return blocks.groupBy("block").applyInArrow(meet, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", number: int = 1, total: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): rows connected by links between fingerprints of radius differing bits or fewer.
 
-    With a number over 1 texts have further fingerprints, and rows link if any
-    one of them is near: more of the pairs beyond the radius are found. With a
-    total, a link must not differ in more bits of all fingerprints together,
-    as the fingerprint and 31 bits of the next one show.
     component_id is the smallest id of a component. Null, empty and blank texts
     have fingerprint zero and link like any other; repeated rows each give a
     row; rows without an id have the component of rows with the same
-    fingerprints, null if there are none; an empty table gives no rows; other
-    columns are not read. Equal fingerprints are one row before any link is
-    sought, so a group of copies costs no more than one text.
+    fingerprint, null if there are none; an empty table gives no rows; other
+    columns are not read. Ids of any type that has an order will do. Equal
+    fingerprints are one row before any link is sought, so a group of copies
+    costs no more than one text.
     """
-    names = [f"fp{k}" for k in range(number)]
-    marks = materialise(fingerprints(docs, shingle, id_col, text_col, number), "simhash")
-    distinct = materialise(marks.groupBy(*names).agg(F.min(id_col).alias("node")), "simhash-distinct")
-    nodes = distinct.where(F.col("node").isNotNull()).select(F.col("node").cast("long").alias("node"), *names)
-    edges = None
-    for k, name in enumerate(names):
-        # A fingerprint's node is the smallest id that has it.
-        own, other = nodes, [n for n in names if n != name]
-        if other:
-            own = materialise(own.groupBy(name).agg(F.min("node").alias("node"), *[F.min_by(n, "node").alias(n) for n in other]), "simhash-nodes")
-        check = F.col(other[0]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if other else F.lit(0)
-        # The check has 31 bits of the next fingerprint: its share of the total.
-        share = None if total is None or not other else round(total * (BITS + 31) / (BITS * number))
-        links = spanning_forest(covering_links(own.select(F.col(name).alias("fp"), check.alias("check")), radius, own.count(), share, seed=7 + k))
-        a, b = own.select(F.col(name).alias("src"), F.col("node").alias("u")), own.select(F.col(name).alias("dst"), F.col("node").alias("v"))
-        found = links.join(a, "src").join(b, "dst").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-        if other:
-            # Texts that share this fingerprint but not the others.
-            to = own.select(F.col(name), F.col("node").alias("dst"), *[F.col(n).alias("to_" + n) for n in other])
-            twins = nodes.withColumnRenamed("node", "src").join(to, name).where("src <> dst")
-            if total is not None:
-                twins = twins.where(sum((F.bit_count(F.col(n).bitwiseXOR(F.col("to_" + n))) for n in other), F.lit(0)) <= total)
-            found = found.unionByName(twins.select("src", "dst"))
-        edges = found if edges is None else edges.unionByName(found)
-    label = components(edges)  # only nodes with a link
-    named = distinct.join(label, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, names).select(id_col, F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 7, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", number: int = 2, total: int | None = 18) -> DataFrame:
-    """The documents without all but one, that of the smallest id, of each group of near duplicates.
-
-    Rows that share an id stay or go together; rows without an id stay.
+    marks = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    distinct = materialise(marks.groupBy("fp").agg(F.min(id_col).alias("node")), "simhash-distinct")
+    links = spanning_forest(covering_links(distinct, Nearness(radius), distinct.count()))
+    label = components(links).withColumnRenamed("node", "fp")  # only fingerprints with a link
+    named = distinct.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = materialise(named.groupBy("component").agg(F.min("node").alias("component_id")), "simhash-components")
+    named = named.join(least, "component").select("fp", "component_id")
+    return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def most_apart(similarity: float) -> int:
+    """Check bits that may differ: the number expected at a Jaccard similarity, and SLACK standard errors."""
+    n, p = 64 * CHECKS, (1 - similarity) / 2
+    return round(n * p + SLACK * (n * p * (1 - p)) ** 0.5)
+
+
+def similar(docs: DataFrame, keys: list[str], similarity: float = 0.8, radius: int = 6, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """(keys, component) of every row: rows connected by links of similar texts; components are numbers without meaning.
+
+    Two texts link if the SimHash fingerprints of their sets of words collide in a covering
+    table, as all within the radius do, and if the check bits of their sets of
+    shingles differ in no more bits than ``most_apart`` of the similarity. (In a bucket of over LARGE
+    rows only pairs within the radius are sure to be seen.) Each distinct
+    (fingerprint, check bits) is a row of its own in the search; its name is a
+    64-bit hash. Null, empty and blank texts are alike; repeated rows each give
+    a row; an empty table gives no rows.
+    """
+    names = ["fp", *(f"c{k}" for k in range(CHECKS))]
+    near = Nearness(radius, most_apart(similarity))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.empty(batch.num_rows, near.kind)
+            columns = [batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names]
+            rows["fp"], rows["check"] = columns[0], np.stack(columns[1:], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.ids(rows))], [*batch.schema.names, "node"])
+
+    own = sketches(docs, keys, shingle, text_col)
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "node long"])
+    marks = materialise(own.mapInArrow(name, kinds), "simhash")
+    distinct = materialise(marks.select(*names, "node").distinct(), "simhash-distinct")
+    links = spanning_forest(covering_links(distinct, near, distinct.count()))
+    label = components(links)
+    return marks.join(label, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates (see ``similar``), that of the smallest id; rows without an id come after all others.
+
+    Of rows that share the id, the one of the smallest hash of the text stays,
+    of repeated rows any one. Null, empty and blank texts are one group.
     """
-    found = near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col, text_col, number, total)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    mark = F.xxhash64(F.col(text_col))
+    marked = docs.select(F.col(id_col).alias("_id"), mark.alias("_mark"), F.col(text_col).alias("_text"))
+    found = materialise(similar(marked, ["_id", "_mark"], similarity, shingle=shingle, text_col="_text"), "near-duplicates")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_mark")).alias("best")
+    best = materialise(found.groupBy("component").agg(best, F.count("*").alias("n")).select("best._id", "best._mark"), "kept")
+    rows = found.join(best, found["_id"].eqNullSafe(best["_id"]) & (found["_mark"] == best["_mark"]), "left_semi")
+    again = materialise(rows.groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark"), "kept-again")
+    same = lambda own, other: own[id_col].eqNullSafe(other["_id"]) & (F.xxhash64(own[text_col]) == other["_mark"])
+    kept = docs.join(best, same(docs, best), "left_semi")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same(kept, again), "left_anti")
+    return once.unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates([id_col, text_col]))

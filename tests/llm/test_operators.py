@@ -163,15 +163,26 @@ def test_language(spark):
         k = rng.choice(list(sounds))
         texts.append(" ".join("".join(rng.choice(sounds[k]) for _ in range(3)) for _ in range(12)))
         lang.append(k)
-    texts += [None, "", "12 34 !!", "ΑΒΓ δεζ"]
-    lang += [None, "aa", None, None]
+    texts += [None, "", "12 34 !!", "ΑΒΓ δεζ", "\U0001f600 \U0001f680", "\U00020000\U00010400"]
+    lang += [None, "aa", None, None, None, None]
     docs = spark.createDataFrame(list(zip(range(len(texts)), texts, lang)), "doc_id long, text string, lang string")
     out = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert all(out[i].lang_pred == lang[i] for i in range(200))
-    assert [out[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3 and out[203].lang_pred in ("aa", "bb")
+    assert [out[i].lang_pred for i in (200, 201, 202, 204)] == ["und"] * 4 and out[205].lang_pred != "und" and out[203].lang_pred in ("aa", "bb")
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
 
 
+def test_letters_of_all_planes():
+    table = langid.symbol_table()
+    assert all(bool(table[c]) == chr(c).isalpha() for c in range(0x110000))
+
+
+def test_language_with_clashing_columns(spark):
+    docs = frame(spark, ["ka to mi"] * 6 + ["sch ung ber"] * 6 + [None]).withColumnRenamed("key", "lang_pred").withColumnRenamed("shard", "score")
+    out = langid.identify(docs)
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == 13
+
+
 def test_profile_is_the_sum_of_bound_vectors():
     e = langid.Encoder(64)
     v = e.letters
@@ -213,16 +224,38 @@ def test_substrings_without_id(spark):
     assert rows(substrings.remove_repeats(docs), "doc_id", "n_removed") == [(1, 0), (2, 50), (None, 0)]
 
 
-def test_backward_search_counts():
+def test_matching_statistics():
     rng = np.random.default_rng(3)
-    text = np.concatenate([np.append(rng.integers(1, 4, 40), 0) for _ in range(30)])
+    text = np.concatenate([np.append(rng.integers(1, 4, 40), 0) for _ in range(30)]).astype(np.int32)
     index = fmindex.FmIndex(text, 6)
     starts = np.array([s for s in range(len(text) - 6) if 0 not in text[s : s + 6]])
-    least = index.repeats(starts, 6)
-    first = {}
-    for s in starts:
-        first.setdefault(tuple(text[s : s + 6]), s)
-    assert [first[tuple(text[s : s + 6])] for s in starts] == least.tolist()
+    reach, least = index.statistics(text, starts)
+    first, n = {}, {}
+    for s in range(len(text)):
+        for k in range(1, 7):
+            first.setdefault(tuple(text[s : s + k]), s)
+            n[tuple(text[s : s + k])] = n.get(tuple(text[s : s + k]), 0) + 1
+    for s, r, p in zip(starts.tolist(), reach.tolist(), least.tolist()):
+        assert r == max((k for k in range(7) if not k or n[tuple(text[s + 6 - k : s + 6])] > 1), default=0)
+        assert p == (first[tuple(text[s : s + 6])] if r == 6 else len(text))
+
+
+@pytest.mark.parametrize("cuts", [(3_000, 100), (400, 30)])
+def test_substrings_of_texts_cut_inside(spark, odd_texts, monkeypatch, cuts):
+    passage = words(50, 60)
+    texts = [*odd_texts, words(60, 700) + " " + passage + " " + words(61, 500), words(62, 95) + " " + passage + " " + words(63, 300), passage + " x " + passage]
+    # The limits are read where the tasks run, so the function is called here.
+    monkeypatch.setattr(substrings, "PIECE", cuts[0])
+    monkeypatch.setattr(substrings, "PIECE_WORDS", cuts[1])
+    for t in texts:
+        w = substrings.canonical(t)
+        want = [] if w.count(b" ") < 19 else [b" ".join(w.split()[k : k + 20]) for k in range(w.count(b" ") - 18)]
+        got = []
+        for _, origin, data in substrings.pieces(iter([w]), 20):
+            stream = substrings.Stream(data)
+            for _, a, b in zip(*stream.segments(20)):
+                got += [(origin[0] + k, stream.text(k, k + 19)) for k in range(a, b + 1)]
+        assert [t for _, t in sorted(got)] == want and [k for k, _ in sorted(got)] == list(range(len(want)))
 
 
 # ---------------------------------------------------------------- SimHash
@@ -276,7 +309,7 @@ def test_large_buckets(monkeypatch):
     sets = []
     for most in (2_000, 50):
         monkeypatch.setattr(simhash, "LARGE", most)
-        a, b = simhash.table_links(fps.astype([("fp", np.uint64)]), mask, 4)
+        a, b = simhash.table_links(fps.astype([("fp", np.uint64)]), mask, simhash.Nearness(4))
         root = {int(f): int(f) for f in fps}
 
         def find(x):
@@ -308,37 +341,80 @@ def test_spanning_forest(spark):
     assert same(forest) == same(spark.createDataFrame(links, "src long, dst long"))
 
 
-def test_several_fingerprints(spark):
+def jaccard(a, b, k=5):
+    """Of the sets of word shingles of two texts."""
+    own = []
+    for t in (a, b):
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        own.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return len(own[0] & own[1]) / max(1, len(own[0] | own[1]))
+
+
+def edited(rng, base, edits):
+    t = list(base)
+    for _ in range(edits):
+        t[rng.randrange(len(t))] = f"new{rng.randrange(9999)}"
+    return " ".join(t)
+
+
+def joined(pairs, n):
+    comp = list(range(n))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        comp[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_similar_is_what_collides_and_agrees(spark, odd_texts):
+    """Against all pairs by the rule, with texts that share a fingerprint but not their check bits."""
     rng = random.Random(3)
-    texts = []
+    texts = list(odd_texts)
     for g in range(12):
         base = words(400 + g, 200, 5000).split()
-        for k in range(4):
-            t = list(base)
-            for _ in range(2 * k):
-                t[rng.randrange(200)] = f"new{rng.randrange(99)}"
-            texts.append(" ".join(t))
-    fps = [[simhash.simhash(t, 5, k) for k in (0, 1)] for t in texts]
-    low = 0x7FFFFFFF
-
-    def near(i, j):
-        x, y = ((a ^ b) for a, b in zip(fps[i], fps[j]))
-        return x.bit_count() <= 7 and x.bit_count() + (y & low).bit_count() <= 13 or y.bit_count() <= 7 and y.bit_count() + (x & low).bit_count() <= 13
-
-    comp = list(range(len(texts)))
-    for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                if near(i, j):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-    got = rows(simhash.near_duplicates(frame(spark, texts), 7, 5, number=2, total=18), "doc_id", "component_id")
-    assert got == sorted(enumerate(comp), key=repr) and len(set(comp)) < 30
+        texts += [edited(rng, base, 2 * k) for k in range(5)]
+        turned = list(base)
+        rng.shuffle(turned)  # the same fingerprint, other shingles
+        texts += [" ".join(turned), edited(rng, turned, 1)]
+    own = [simhash.sketch(t) for t in texts]
+    masks = [int(m) for m in simhash.masks(6)]
+    most = simhash.most_apart(0.8)
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if apart(own[i][1], own[j][1]) <= most and any((own[i][0] ^ own[j][0]) & m == 0 for m in masks)]
+    docs = frame(spark, texts)
+    got = dict(rows(simhash.similar(docs, ["doc_id"]), "doc_id", "component"))
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, []).append(i)
+    want = joined(pairs, len(texts))
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in range(len(texts)) if want[i] == c) for c in set(want))
+    assert own[len(odd_texts)][0] == own[len(odd_texts) + 5][0] and want[len(odd_texts)] != want[len(odd_texts) + 5]
+
+
+def test_similar_finds_what_is_similar(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(150):
+        base = words(7000 + g, rng.randrange(60, 400), 3000).split()
+        texts += [" ".join(base), edited(rng, base, rng.randrange(1, 2 + len(base) // 40))]
+    got = dict(rows(simhash.similar(frame(spark, texts), ["doc_id"]), "doc_id", "component"))
+    near = [(i, i + 1) for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    far = [(i, i + 1) for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) < 0.5]
+    assert len(near) > 80 and sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert not any(got[i] == got[j] for i, j in far) and len({got[i] for i in range(0, len(texts), 2)}) == 150
 
 
 def test_keep_one(spark):
     t = words(1, 300)
-    docs = spark.createDataFrame([(4, t), (2, t), (9, words(2, 300)), (None, t)], "doc_id long, text string")
-    assert rows(simhash.keep_one(docs), "doc_id") == [(2,), (9,), (None,)]
+    docs = spark.createDataFrame([(4, t), (2, t), (2, t), (9, words(2, 300)), (None, t), (None, words(4, 80)), (11, words(4, 80)), (None, words(5, 90)), (3, None), (7, ""), (None, "  ")], "doc_id long, text string")
+    assert rows(simhash.keep_one(docs), "doc_id", "text") == sorted([(2, t), (9, words(2, 300)), (11, words(4, 80)), (None, words(5, 90)), (3, None)], key=repr)
+    named = spark.createDataFrame([("b", t, 1), ("a", t, 2), ("c", words(2, 300), 3)], "doc_id string, text string, _mark int")
+    assert rows(simhash.keep_one(named), "doc_id", "_mark") == [("a", 2), ("c", 3)]
 
 
 # ---------------------------------------------------------------- decontamination
@@ -420,15 +496,104 @@ def test_rules(spark):
         assert got[i].verdict == (best[2] if best else "allow")
 
 
+def plain_templates(pages, labels, strength=4.0, prior=0.3):
+    """(template, impurity) of each page, by loops over each host's tree."""
+    from math import exp, log, sqrt
+
+    def general(p):
+        p = regex.sub(r"^\d+(?=\.[A-Za-z0-9]{1,5}$|$)", "{n}", p)
+        p = regex.sub(r"^\d{4}-\d{2}(-\d{2})?$", "{date}", p)
+        return regex.sub(r"^[0-9A-Fa-f-]{12,}$", "{id}", p)
+
+    leaf = {}
+    for i, u in pages:
+        host, path = plain_host_path(u)
+        leaf[i] = (host, tuple(general(p) for p in path.split("/") if p))
+    count = {}
+
+    def add(key, y):
+        n = count.setdefault(key, [0, 0])
+        if y is not None:
+            n[y] += 1
+
+    nodes = set()
+    for i, (host, parts) in leaf.items():
+        y = labels.get(i)
+        for k in range(1, len(parts) + 1):
+            nodes.add((host, parts[:k]))
+            add(("node", host, parts[:k]), y)
+            add(("around", host, parts[: k - 1]), y)
+        add(("host", host), y)
+        add(("domain", ".".join(host.split(".")[-2:])), y)
+        add(("path", parts), y)
+    branch = {}
+    for host, node in nodes:
+        (good, bad), (all_good, all_bad) = count["node", host, node], count["around", host, node[:-1]]
+        own, rest = good + bad, all_good + all_bad - good - bad
+        if not own or not rest:
+            branch[host, node] = "*" if own else "?"
+            continue
+        p = all_bad / (own + rest)
+        z = (bad / own - (all_bad - bad) / rest) / sqrt(max(p * (1 - p), 1e-9) * (1 / own + 1 / rest))
+        branch[host, node] = "+" if z >= 1.64 else "-" if z <= -1.64 else "*"
+    members = {}
+    for (host, node), c in branch.items():
+        members.setdefault((host, node[:-1], c), set()).add(node[-1])
+
+    def step(host, node):
+        c = branch[host, node]
+        return node[-1] if c == "?" or len(members[host, node[:-1], c]) == 1 else c
+
+    template = {i: (h, tuple(step(h, parts[:k]) for k in range(1, len(parts) + 1))) for i, (h, parts) in leaf.items()}
+    smooth = lambda n, expected: (n[1] + strength * expected) / (sum(n) + strength)
+    odds = lambda p: log((q := min(max(p, 0.02), 0.98)) / (1 - q))
+    out = {}
+    for i, t in template.items():
+        shapes = {leaf[j] for j in leaf if template[j] == t}
+        n = [sum(labels.get(j) == y for j in leaf if template[j] == t) for y in (0, 1)]
+        above = smooth(count["host", t[0]], smooth(count["domain", ".".join(t[0].split(".")[-2:])], prior))
+        path = sum(smooth(count["path", p], prior) for _, p in shapes) / len(shapes)
+        out[i] = ("/".join(t[1]), smooth(n, 1 / (1 + exp(-(odds(above) + odds(path) - odds(prior))))))
+    return out
+
+
+def check_templates(spark, pages, labels):
+    frame_ = spark.createDataFrame([(i, b) for i, b in labels.items()], "page_id long, bad int")
+    got = {r.page_id: r for r in urltree.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(3), frame_, rules=()).collect()}
+    want = plain_templates(pages, labels)
+    assert set(got) == set(want)
+    for i, (template, impurity) in want.items():
+        assert got[i].template == template and abs(got[i].impurity - impurity) < 1e-9 and got[i].verdict == ("block" if impurity >= 0.8 else "allow")
+    return got
+
+
 def test_templates_rejected_by_purity(spark):
-    rows_ = [(k, f"http://h.x/bad/{k}") for k in range(40)] + [(100 + k, f"http://h.x/good/{k}.html") for k in range(40)] + [(200 + k, f"http://h.x/wild{k}/page") for k in range(60)] + [(300, "http://h.x/bad/999")]
-    pages = spark.createDataFrame(rows_, "page_id long, url string")
-    labels = spark.createDataFrame([(k, 1) for k in range(40)] + [(100 + k, 0) for k in range(40)], "page_id long, bad int")
-    got = {r.page_id: (r.verdict, r.template) for r in urltree.judge(pages, labels, rules=()).collect()}
-    assert got[300] == ("block", "*/{n}")  # so many siblings are one wildcard
-    few = urltree.judge(pages.where("page_id < 200 or page_id = 300"), labels, rules=())
-    got = {r.page_id: (r.verdict, r.template) for r in few.collect()}
-    assert got[300] == ("block", "bad/{n}") and got[100] == ("allow", "good/{n}.html")
+    pages = [(k, f"http://h.x/bad/{k}") for k in range(40)] + [(100 + k, f"http://h.x/good/{k}.html") for k in range(40)] + [(200 + k, f"http://h.x/wild{k}/page") for k in range(60)] + [(300, "http://h.x/bad/999"), (301, "http://h.x/"), (302, None)]
+    labels = {k: 1 for k in range(40)} | {100 + k: 0 for k in range(40)}
+    got = check_templates(spark, pages, labels)
+    assert (got[300].verdict, got[300].template) == ("block", "bad/{n}") and (got[100].verdict, got[100].template) == ("allow", "good/{n}.html")
+    assert got[205].template == "wild5/page"
+
+
+def test_templates_of_random_trees(spark):
+    rng = random.Random(6)
+    pages, labels = [], {}
+    for i in range(400):
+        host = rng.choice(["a.x.com", "b.x.com", "c.y.org", "www.c.y.org", "z"])
+        parts = [rng.choice(["en", "de", "blog", "shop", "7", "2020-01-02"]) for _ in range(rng.randrange(5))]
+        pages.append((i, f"http://{host}/" + "/".join(parts)))
+        if rng.random() < 0.6:
+            labels[i] = int(rng.random() < (0.9 if "shop" in parts or host == "b.x.com" else 0.1))
+    check_templates(spark, pages, labels)
+
+
+def test_labels_reach_urls_without_a_rule(spark):
+    pages = [(k, f"http://s{k % 3}.example.com/de/{k}") for k in range(30)] + [(50 + k, f"http://t.example.net/{x}/{k}") for x in ("es", "en") for k in range(30)]
+    pages += [(200 + k, f"http://u.example.org/fr/{k}") for k in range(30)]
+    pages += [(100, "http://s1.example.com/es/7"), (101, "http://s1.example.com/en/7"), (102, "http://u.example.org/es/7"), (103, "http://new.host/about")]
+    got = {r.page_id: r for r in urltree.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    # Bad as a host and bad as a path elsewhere; each alone is not enough.
+    assert [got[i].verdict for i in (100, 101, 102, 103)] == ["block", "allow", "allow", "allow"] and all(got[i].rule is None for i in (100, 101, 102, 103))
 
 
 # ---------------------------------------------------------------- secrets

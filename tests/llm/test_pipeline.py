@@ -24,10 +24,10 @@ def test_stages(spark, sf):
             trained = {i for i in gone if i in labels and zlib.crc32(str(i).encode()) % 3 != 1}
             assert all(labels[i] for i in trained) and len(gone) < 0.3 * len(a)
         elif name == "simhash_near_dedup":
-            fps = {i: [simhash.simhash(r.text, 5, k) for k in (0, 1)] for i, r in a.items()}
-            bits = lambda x, y: x.bit_count() <= 7 and x.bit_count() + (y & 0x7FFFFFFF).bit_count() <= 13
-            both = lambda i, j: [x ^ y for x, y in zip(fps[i], fps[j])]
-            near = lambda i, j: bits(*both(i, j)) or bits(*both(i, j)[::-1])
+            own = {i: simhash.sketch(r.text) for i, r in a.items()}
+            masks, most = [int(m) for m in simhash.masks(6)], simhash.most_apart(0.8)
+            apart = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(own[i][1], own[j][1]))
+            near = lambda i, j: apart(i, j) <= most and any((own[i][0] ^ own[j][0]) & m == 0 for m in masks)
             assert gone and not any(near(i, j) for i in b for j in b if i < j)
             assert all(any(near(i, j) for j in a if j != i) for i in gone)
         elif name == "benchmark_decontamination":
