@@ -45,7 +45,7 @@ def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))[0]
+    return secret_ledger.scan_documents(table(spark, sf_dir, "documents"), secret_ledger.ledger_path(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_ctph, op3_bpe, op4_weak_toxicity, op5_hyperdimensional_lang, op6_fm_substrings, op7_covering_simhash, op8_latent_leaks, op9_template_tree, op10_secret_ledger)}

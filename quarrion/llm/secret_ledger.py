@@ -1,23 +1,26 @@
 """Secret scans over an incremental ledger of blobs.
 
-Every version of a text is addressed by the SHA-256 of its bytes. The ledger
-holds the (blob, rule version) pairs already scanned with their findings; a
-run scans only pairs that it lacks, each once however many paths share the
-blob, and joins findings back to all paths.
+Every version of a text is addressed by the SHA-256 of its bytes; rows that
+share an id are versions of one path. The ledger is a folder to which each run
+adds the (blob, rule version) pairs that it has scanned, with their findings; a
+run scans only pairs that the ledger lacks, each once however many paths share
+the blob, and joins findings back to all paths.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import expand, materialise, slices, squeeze
+from .common import expand, materialise, shared_dir, slices, squeeze
 
 RULE_VERSION = 1
 
@@ -102,42 +105,79 @@ def scan_blobs(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
     return blobs.select("blob", "data").mapInArrow(run, _LEDGER)
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings of every row, new rows of the ledger).
+def ledger_path(spark: SparkSession) -> str:
+    """The folder of the ledger: the setting ``quarrion.ledger``, by which runs share what they have scanned, or a new one for this run."""
+    return spark.conf.get("quarrion.ledger", None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
-    A null text is the empty blob. Repeated rows share a blob and each get its
-    findings; an empty table gives none; other columns are not read. The text
-    crosses one exchange, packed, once for each blob and map slice; a blob that
-    a third of the rows hold is one row after its partial aggregation, and the
-    join back to paths is on narrow rows, which adaptive execution can split.
+
+def read_ledger(spark: SparkSession, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """The ledger's rows of a rule version, one for each blob, though runs at the same time may have scanned it twice; none if there is no ledger yet."""
+    try:
+        rows = spark.read.schema(_LEDGER).parquet(f"{path}/run-*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LEDGER)
+    return rows.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+
+
+def update_ledger(docs: DataFrame, path: str, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan the blobs that the ledger lacks and add them as a run of their own; returns the new rows.
+
+    The text crosses one exchange, packed, once for each blob and map slice; a
+    blob that a third of the rows hold is one row after its partial
+    aggregation.
     """
+    spark = docs.sparkSession
     at = versions(docs, id_col, text_col)
     fresh = at.where(F.col("data").isNotNull()).select("blob", "data")
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
-        fresh = fresh.join(known.select("blob"), "blob", "left_anti")
-    found = materialise(scan_blobs(fresh.dropDuplicates(["blob"]), rule_version), "ledger")
-    every = found if ledger is None else found.unionByName(known.select(*found.columns))
-    paths = docs.select(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
-    return paths.join(every.drop("rule_version"), "blob").drop("blob"), found
+    fresh = fresh.join(read_ledger(spark, path, rule_version).select("blob"), "blob", "left_anti")
+    run = f"{path}/run-{uuid.uuid4().hex}"
+    scan_blobs(fresh.dropDuplicates(["blob"]), rule_version).write.option("compression", "zstd").parquet(run)
+    return spark.read.schema(_LEDGER).parquet(run)
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every found span replaced by the mask, overlapping ones by one mask.
+def _blob(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
-    Rows without a span stay as they are, null texts too. A blob's findings are
-    a function of its text, so the rewriting reads them where the text is; the
-    ledger serves reports and re-scans.
+
+def scan_documents(docs: DataFrame, path: str, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings of every row: id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    A null text is the empty blob. Repeated rows and versions that share a blob
+    each get its findings, whatever pairs the ledger holds twice; an empty table gives none; other columns are
+    not read. The join back to paths is on narrow rows, which adaptive
+    execution can split.
     """
+    update_ledger(docs, path, rule_version, id_col, text_col)
+    paths = docs.select(id_col, _blob(text_col).alias("blob"))
+    return paths.join(read_ledger(docs.sparkSession, path, rule_version).drop("rule_version"), "blob").drop("blob")
+
+
+def redact(docs: DataFrame, path: str, mask: str = "[secret]", rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with every span that the ledger has for their blobs replaced by the mask, overlapping ones by one mask.
+
+    Blobs that the ledger lacks are scanned first. Rows without a span stay as
+    they are, null texts too; repeated rows all stay; an empty table gives none.
+    """
+    update_ledger(docs, path, rule_version, id_col, text_col)
+    blob, own = (n + "_" * (1 + max(map(len, docs.columns))) for n in ("blob", "spans"))  # names that no column has
+    found = read_ledger(docs.sparkSession, path, rule_version).where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(own))
+    found = materialise(found, "secret-spans")
     fields, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            texts = [t if t is None else cover(t, [(a, b) for _, a, b in scan(t)[1]], mask) for t in part.column(text_col).to_pylist()]
-            at = fields.index(text_col)
-            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-
-    return docs.mapInArrow(run, schema)
+        for batch in batches:
+            at, texts = fields.index(text_col), []
+            for text, spans in zip(batch.column(at), batch.column(len(fields))):
+                text = text.as_py()
+                if spans.is_valid:
+                    text = cover(text, [tuple(map(int, s.split(":")[1:])) for s in spans.as_py().split(",")], mask)
+                texts.append(text)
+            plain = pa.RecordBatch.from_arrays(batch.columns[: len(fields)], fields)
+            yield plain.set_column(at, plain.schema.field(at), pa.array(texts, plain.schema.field(at).type))
+
+    return docs.join(found, _blob(text_col) == F.col(blob), "left").select(*(f"`{c}`" for c in fields), own).mapInArrow(run, schema)
 
 
 def cover(text: str, spans: list[tuple[int, int]], mask: str) -> str:
