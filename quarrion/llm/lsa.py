@@ -11,6 +11,7 @@ its last part, so paraphrases are found as well as copies.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .common import materialise, slices
+from .common import materialise
 
-#: Words are hashed to so many terms; ids fit two bytes.
+#: Words are kept as hashes of four bytes, whose lowest bits are the terms of the space.
 TERMS = 1 << 15
+#: Words of the benchmark that are searched for in one pass over the documents; more of them are more passes.
+PASS_WORDS = 1_000_000
 #: A passage is PARTS runs of STRIDE words; one begins with each run.
 STRIDE, PARTS = 16, 3
 #: Passages of the benchmark that share a space, and so its rank at most.
@@ -39,7 +44,7 @@ _PUNCTUATION = ".,;:!?\"'()[]{}<>|#*%$&-_"
 
 class _Terms(dict):
     def __missing__(self, word: str) -> int:
-        t = zlib.crc32((word.strip(_PUNCTUATION) or word).encode()) & (TERMS - 1)
+        t = zlib.crc32((word.strip(_PUNCTUATION) or word).encode())
         if len(self) >= 200_000:
             self.clear()
         self[word] = t
@@ -49,21 +54,26 @@ class _Terms(dict):
 _terms = _Terms()
 
 
-def term_ids(text: str | None) -> np.ndarray:
+def word_ids(text: str | None) -> np.ndarray:
+    """Words as hashes, which the longest common subsequence compares; its terms are ``ids & (TERMS - 1)``."""
     words = (text or "").lower().split()
-    return np.fromiter(map(_terms.__getitem__, words), np.uint16, len(words))
+    return np.fromiter(map(_terms.__getitem__, words), np.uint32, len(words))
+
 
+def term_ids(text: str | None) -> np.ndarray:
+    return (word_ids(text) & (TERMS - 1)).astype(np.uint16)
 
-def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms): the hashed words of every whole text, two bytes each."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def term_table(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, terms): the hashed words of every whole text, four bytes each."""
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            data = [term_ids(t).tobytes() for t in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(data, pa.binary())], [id_col, "terms"])
+        for batch in batches:
+            data = [word_ids(t.as_py()).tobytes() for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(data, pa.binary())], [*keys, "terms"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, terms binary")
+    return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, terms binary")
 
 
 def document_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
@@ -73,7 +83,7 @@ def document_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
         df, n = np.zeros(TERMS + 1, np.int64), 0
         for batch in batches:
             for data in batch.column("terms"):
-                df[np.unique(np.frombuffer(data.as_buffer(), np.uint16))] += 1
+                df[np.unique(np.frombuffer(data.as_buffer(), np.uint32) & (TERMS - 1))] += 1
                 n += 1
         df[TERMS] = n
         at = np.flatnonzero(df)
@@ -178,33 +188,51 @@ def _sums(part: np.ndarray) -> np.ndarray:
     return total
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, cosine, common, answer) of each document and benchmark item that it holds, copied or paraphrased.
 
     common is the share of the item's words found in common order, answer that
     of its last ANSWER_WORDS words, cosine that of the nearest passage. Items
     without a word, null texts and texts without a word match nothing; repeated
     rows of a document each give their rows, equal items are reported for each
-    item; empty tables give no rows; other columns are not read.
-
-    The benchmark is read to the driver and sent to the tasks: its size is
-    bounded by what the benchmark is, not by the corpus; the search takes time in
-    proportion to its passages. Documents take one
-    narrow pass to term ids (two bytes a word, in the shared folder), one to
-    document frequencies and one to search; nothing of them is shuffled.
+    item; empty tables give no rows; other columns are not read. Ids of any type
+    will do, and several columns may name a document.
+
+    The benchmark is the query set: it is read and sent to the tasks PASS_WORDS
+    words at a time, with one pass over the documents' words for each, and the search
+    takes time in proportion to its passages. Documents take one
+    narrow pass to word hashes (four bytes a word, in the shared folder), one to
+    document frequencies and the passes of the search; nothing of them is shuffled.
     """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    terms = materialise(term_table(docs, id_col, text_col), "terms")
+    keys = [id_col] if isinstance(id_col, str) else id_col
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    result = f"{kinds}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, cosine double, common double, answer double"
+    empty = docs.sparkSession.createDataFrame([], result)
+    terms = materialise(term_table(docs, keys, text_col), "terms")
     df, n = document_frequencies(terms)
+    if not n:
+        return empty
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    items = [(i, term_ids(t)) for i, t in benchmark.select(item_col, item_text).orderBy(item_col).toLocalIterator()]
-    items = [(i, t) for i, t in items if len(t)]
-    result = f"`{id_col}` {kind}, `{item_col}` {item_kind}, cosine double, common double, answer double"
-    if not items or not n:
-        return docs.sparkSession.createDataFrame([], result)
+    found, held, size = [], [], 0
+    for i, t in benchmark.select(item_col, item_text).orderBy(item_col).toLocalIterator():
+        ids = word_ids(t)
+        if not len(ids):
+            continue
+        if size and size + len(ids) > PASS_WORDS:
+            found.append(_search(terms, keys, held, item_col, benchmark.schema[item_col].dataType, idf, result))
+            held, size = [], 0
+        held.append((i, ids))
+        size += len(ids)
+    if held:
+        found.append(_search(terms, keys, held, item_col, benchmark.schema[item_col].dataType, idf, result))
+    return functools.reduce(DataFrame.unionByName, found, empty) if len(found) != 1 else found[0]
+
+
+def _search(terms: DataFrame, keys: list[str], items: list[tuple], item_col: str, item_kind: DataType, idf: np.ndarray, result: str) -> DataFrame:
     length = STRIDE * PARTS
-    cuts = [(k, t[a : a + length]) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - length // 2), length // 2)]
-    blocks = [_block(docs.sparkSession, cuts[a : a + RANK], idf) for a in range(0, len(cuts), RANK)]
+    short = lambda t: (t & (TERMS - 1)).astype(np.uint16)
+    cuts = [(k, short(t[a : a + length])) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - length // 2), length // 2)]
+    blocks = [_block(terms.sparkSession, cuts[a : a + RANK], idf) for a in range(0, len(cuts), RANK)]
     own = [np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] + k * RANK for k, b in enumerate(blocks)]), np.concatenate([b[2] for b in blocks])]
     order = np.argsort(own[0], kind="stable")
     column, value = own[1][order].astype(np.int32), own[2][order].astype(np.float32)
@@ -214,15 +242,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     piece = min(500, max(40, 2_000_000 // len(cuts))) * STRIDE  # bounds the table of runs and passages
     square = (idf * idf).astype(np.float32)
 
+    item_type = to_arrow_type(item_kind)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for i, data in zip(batch.column(id_col).to_pylist(), batch.column("terms")):
-                ids = np.frombuffer(data.as_buffer(), np.uint16)
-                found += [(i, items[k][0], *rest) for k, *rest in _matches(ids)]
-            cols = list(zip(*found)) or [[]] * 5
-            types = [batch.schema.field(id_col).type, pa_type(item_kind), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], [id_col, item_col, "cosine", "common", "answer"])
+            for i, data in enumerate(batch.column("terms")):
+                found += [(i, items[k][0], *rest) for k, *rest in _matches(np.frombuffer(data.as_buffer(), np.uint32))]
+            if found:
+                cols, at = list(zip(*found)), pa.array([f[0] for f in found])
+                held_by = [batch.column(k).take(at) for k in keys]
+                yield pa.RecordBatch.from_arrays([*held_by, pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], [*keys, item_col, "cosine", "common", "answer"])
 
     def _matches(ids: np.ndarray) -> Iterator[tuple[int, float, float, float]]:
         if not len(ids):
@@ -230,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         best: dict[int, float] = {}
         spans: dict[int, list[tuple[int, int]]] = {}
         for start in range(0, len(ids), piece):  # a long text in pieces that overlap by a passage
-            own = ids[start : start + piece + length].astype(np.int64)
+            own = (ids[start : start + piece + length] & (TERMS - 1)).astype(np.int64)
             runs = np.arange(0, len(own), STRIDE)
             norm = np.sqrt(np.maximum(_sums(np.add.reduceat(square[own], runs)), 1e-9))[:, None]
             many = first[own + 1] - first[own]
@@ -265,11 +295,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return terms.mapInArrow(search, result)
 
 
-def pa_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = materialise(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), "leaks")
-    return docs.join(found, id_col, "left_anti")
+    """The documents that hold no benchmark item; rows without an id, and rows of one id with other texts, are judged by their own text."""
+    mark = F.xxhash64(F.col(text_col))
+    marked = docs.select(F.col(id_col).alias("_id"), mark.alias("_mark"), F.col(text_col).alias("_text"))
+    found = contaminated(marked, benchmark, ["_id", "_mark"], "_text")
+    found = materialise(found.select("_id", "_mark").distinct(), "leaks")
+    return docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (mark == found["_mark"]), "left_anti")

@@ -37,7 +37,7 @@ LARGE = 2_000
 #: Check bits: one of each of so many min-hashes, in longs of 64.
 CHECKS = 2
 #: Standard errors by which check bits may fall short of the similarity asked for.
-SLACK = 1.5
+SLACK = 1.0
 #: Bytes with A to Z in lower case; bytes of other letters stay.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -108,8 +108,7 @@ def sketch(text: str | None, shingle: int = 5, multipliers: np.ndarray | None =
         return 0, [0] * (len(multipliers) // 64)
     words = Stream([data]).hash
     grams = np.unique(_rolled(words, min(shingle, len(words))))
-    words = np.unique(words)
-    words = _mix(_mix(words) * np.uint64(0xBF58476D1CE4E5B9))
+    words = _finish(np.unique(words))
     return _majority(words.astype("<u8", copy=False)), _check_bits(grams, multipliers).tolist()
 
 
@@ -145,6 +144,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _finish(h: np.ndarray) -> np.ndarray:
+    """Mixed until every bit depends on every bit, as a majority of bits asks for."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
 class Nearness:
     """What links two rows that collide: bits of the fingerprint, or check bits, that differ."""
 

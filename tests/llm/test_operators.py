@@ -441,6 +441,64 @@ def test_leaks_of_a_benchmark_beyond_one_space(spark):
     assert rows(lsa.contaminated(frame(spark, texts, held), bench), "doc_id", "item_id") == sorted(((i, i) for i in held), key=repr)
 
 
+def plain_leaks(texts, items):
+    """Pairs whose item is a copy or a paraphrase, by the longest common subsequence in every stretch of a text."""
+
+    def flat(t):
+        return [w.strip(lsa._PUNCTUATION) or w for w in (t or "").lower().split()]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    out = []
+    for i, t in enumerate(texts):
+        w = flat(t)
+        for k, item in enumerate(items):
+            x = flat(item)
+            if not x or len(set(x) & set(w)) < 0.5 * len(set(x)):
+                continue
+            best = [w[a : a + 3 * len(x)] for a in range(0, max(1, len(w) - len(x)), max(1, len(x) // 2))]
+            found = [(lcs(x, r) / len(x), lcs(x[-8:], r) / len(x[-8:])) for r in best]
+            if any(c >= lsa.COPY or c >= lsa.PARAPHRASE and a >= lsa.ANSWER for c, a in found):
+                out.append((i, k))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Recall of copies and paraphrases among long texts of one vocabulary."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    some = lambda n: [vocabulary[min(int(rng.expovariate(0.002)), 3999)] for _ in range(n)]
+    items = [" ".join(some(rng.randrange(20, 60))) for _ in range(40)]
+    texts = []
+    for k in range(120):
+        t = some(rng.randrange(100, 500))
+        if k % 2:
+            x = items[k % 40].split()
+            for j in rng.sample(range(len(x) - 8), k % 7 * (len(x) - 8) // 25):
+                x[j] = rng.choice(vocabulary)
+            at = rng.randrange(len(t))
+            t[at:at] = x
+        texts.append(" ".join(t))
+    want = set(plain_leaks(texts, items))
+    got = set(rows(lsa.contaminated(frame(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")), "doc_id", "item_id"))
+    assert len(want) > 40 and len(got & want) >= 0.95 * len(want) and not any(i % 2 == 0 for i, _ in got)
+
+
+def test_leaks_in_passes_and_without_id(spark, monkeypatch):
+    items = [words(900 + i, 30, 5000) for i in range(6)]
+    bench = spark.createDataFrame([(f"item{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    docs = spark.createDataFrame([(None, items[1]), (None, words(1, 40, 5000)), ("a", items[5] + " x"), ("a", "other"), ("b", None), ("c", items[1]), ("c", items[1])], "doc_id string, text string")
+    monkeypatch.setattr(lsa, "PASS_WORDS", 70)
+    assert rows(lsa.contaminated(docs, bench), "doc_id", "item_id") == sorted([(None, "item1"), ("a", "item5"), ("c", "item1"), ("c", "item1")], key=repr)
+    assert rows(lsa.keep_clean(docs, bench), "doc_id", "text") == sorted([(None, words(1, 40, 5000)), ("a", "other"), ("b", None)], key=repr)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -615,11 +673,15 @@ SECRETS = [
 ]
 
 
-def test_secrets(spark):
+@pytest.fixture
+def ledger(tmp_path):
+    return f"file://{tmp_path}/ledger"
+
+
+def test_secrets(spark, ledger):
     docs = frame(spark, SECRETS * 2)
-    found, ledger = secret_ledger.scan_documents(docs)
-    got = {r.doc_id: r for r in found.collect()}
-    assert len(got) == 2 * len(SECRETS) and ledger.count() == len({s or "" for s in SECRETS})
+    got = {r.doc_id: r for r in secret_ledger.scan_documents(docs, ledger).collect()}
+    assert len(got) == 2 * len(SECRETS) and secret_ledger.read_ledger(spark, ledger).count() == len({s or "" for s in SECRETS})
     for i, t in enumerate(SECRETS * 2):
         base = plain_spans(t or "")
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
@@ -628,17 +690,59 @@ def test_secrets(spark):
         assert set(filter(None, text.split(","))) <= set(got[i].spans.split(","))
 
 
-def test_ledger_is_incremental(spark):
-    first, ledger = secret_ledger.scan_documents(frame(spark, SECRETS[:4]))
-    found, new = secret_ledger.scan_documents(frame(spark, SECRETS), ledger)
-    assert new.count() == len({s or "" for s in SECRETS}) - 4
-    assert rows(found, "doc_id", "spans") == rows(secret_ledger.scan_documents(frame(spark, SECRETS))[0], "doc_id", "spans")
-    assert secret_ledger.scan_documents(frame(spark, SECRETS), ledger, rule_version=2)[1].count() == len({s or "" for s in SECRETS})
-
-
-def test_redact(spark):
-    out = dict(rows(secret_ledger.redact(frame(spark, SECRETS)), "doc_id", "text"))
+def test_added_spans():
+    random_ = "q7Rz0LmX9vBt3KpWc5YdHs8NfJ2gEu6A"
+    texts = {
+        "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----": [("pem", 0, 66)],
+        "x eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl y": [("jwt", 2, 40)],
+        f"see {random_} there": [("entropy", 4, 36)],
+        f"{'abcd' * 10} {'A1b' * 12} {random_[:31]}": [],  # few kinds of characters, or too short
+        f"token={random_}": [],  # covered by a base span
+    }
+    for t, want in texts.items():
+        base, spans = secret_ledger.scan(t)
+        assert base == plain_spans(t) and [s for s in spans if s not in base] == want
+
+
+def test_ledger_is_incremental(spark, ledger, tmp_path):
+    own = lambda n: secret_ledger.read_ledger(spark, ledger, n)
+    assert own(1).count() == 0
+    assert secret_ledger.update_ledger(frame(spark, SECRETS[:4]), ledger).count() == 4
+    assert secret_ledger.update_ledger(frame(spark, SECRETS), ledger).count() == len({s or "" for s in SECRETS}) - 4
+    assert secret_ledger.update_ledger(frame(spark, SECRETS), ledger).count() == 0
+    fresh = secret_ledger.scan_documents(frame(spark, SECRETS), f"file://{tmp_path}/other")
+    assert rows(secret_ledger.scan_documents(frame(spark, SECRETS), ledger), "doc_id", "spans") == rows(fresh, "doc_id", "spans")
+    assert secret_ledger.update_ledger(frame(spark, SECRETS), ledger, rule_version=2).count() == len({s or "" for s in SECRETS})
+    assert own(1).count() == own(2).count() == len({s or "" for s in SECRETS})
+
+
+def test_ledger_with_repeated_pairs_and_versions(spark, ledger):
+    secret_ledger.update_ledger(frame(spark, SECRETS[:4]), ledger)
+    own = secret_ledger.read_ledger(spark, ledger)
+    own.write.parquet(f"{ledger}/run-again")
+    docs = frame(spark, [SECRETS[0], SECRETS[1], SECRETS[0]], [5, 5, 6])  # two versions of a path, a blob of two paths
+    got = rows(secret_ledger.scan_documents(docs, ledger), "doc_id", "n_assign")
+    assert got == sorted([(5, 1), (5, len([s for s in plain_spans(SECRETS[1]) if s[0] == "assign"])), (6, 1)], key=repr)
+    assert secret_ledger.redact(docs, ledger).count() == 3
+
+
+def test_ledger_in_a_setting(spark, ledger):
+    spark.conf.set("quarrion.ledger", ledger)
+    try:
+        assert secret_ledger.ledger_path(spark) == ledger
+    finally:
+        spark.conf.unset("quarrion.ledger")
+    assert secret_ledger.ledger_path(spark) != secret_ledger.ledger_path(spark)
+
+
+def test_redact(spark, ledger):
+    docs = frame(spark, SECRETS).withColumnRenamed("data", "_spans").withColumnRenamed("key", "_blob")
+    got = secret_ledger.redact(docs, ledger)
+    assert got.columns == docs.columns
+    out = dict(rows(got, "doc_id", "text"))
     assert out[8] is None and out[9] == "" and "deadbeef" not in out[4] and out[0] == '[secret]" x' and out[4] == "[secret] cafebabe"
+    for i, t in enumerate(SECRETS):
+        assert out[i] == (t and secret_ledger.cover(t, [s[1:] for s in secret_ledger.scan(t)[1]], "[secret]"))
 
 
 # ---------------------------------------------------------------- empty tables
@@ -650,7 +754,8 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for out in (
         hilbert.shard_documents(docs), ctph.fingerprint_documents(docs), bpe.encode_decode(docs), toxicity.score_documents(docs, labels), langid.identify(docs), substrings.remove_repeats(docs),
-        simhash.near_duplicates(docs), lsa.contaminated(docs, bench), lsa.contaminated(frame(spark, ["a b c"]), bench.limit(0)), secret_ledger.scan_documents(docs)[0],
+        simhash.near_duplicates(docs), lsa.contaminated(docs, bench), lsa.contaminated(frame(spark, ["a b c"]), bench.limit(0)), secret_ledger.scan_documents(docs, secret_ledger.ledger_path(spark)),
+        secret_ledger.redact(docs, secret_ledger.ledger_path(spark)), simhash.keep_one(docs),
         urltree.judge(spark.createDataFrame([], "page_id long, url string")),
     ):
         assert out.collect() == []
