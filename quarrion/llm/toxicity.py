@@ -46,23 +46,34 @@ _ADDRESS = re.compile(r"\b(?:you|your|du|dein|tu|ton|tes|usted)\b", re.IGNORECAS
 VOTERS = LEXICONS + 3
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    """64-bit keys of the whole word and of its beginnings; the family is in the two lowest bits."""
-    key = lambda x, family: xxhash.xxh64_intdigest(x) & 0x7FFFFFFFFFFFFFFC | family
-    return (key(word, WORD), *(key(word[:k], BEGINNING) for k in BEGINNINGS if len(word) >= k))
+def word_features(word: str) -> list[tuple[str, int]]:
+    """Spelling and family of the whole word and of its beginnings, from the shortest on, the word last."""
+    return [*((word[:k], BEGINNING) for k in BEGINNINGS if len(word) >= k), (word, WORD)]
+
+
+def feature_key(spelling: str, family: int) -> int:
+    """64-bit key; the family is in the two lowest bits, so that of a shared beginning follows that of the beginning."""
+    return xxhash.xxh64_intdigest(spelling) & 0x7FFFFFFFFFFFFFFC | family
 
 
 class Words(dict):
-    """Features of the words met in a task, those alone that ``known`` holds for true."""
+    """Keys of the features of the words met in a task, those alone whose counter is set in ``often`` (one byte each)."""
 
-    def __init__(self, known: Callable[[int], bool]):
+    def __init__(self, often: bytes | None = None):
         super().__init__()
-        self.known = known
+        self.often = often
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= 100_000:
             self.clear()
-        out = self[word] = tuple(f for f in word_features(word) if self.known(f) or f & 3 == BEGINNING and self.known(f + 1))
+        out = []
+        for spelling, family in word_features(word):
+            f = feature_key(spelling, family)
+            if self.often is None or self.often[(f >> 2) % COUNTERS]:
+                out.append(f)
+            else:
+                break  # what begins so is no more frequent
+        out = self[word] = tuple(out)
         return out
 
     def features(self, text: str | None) -> set[int]:
@@ -76,6 +87,27 @@ class Words(dict):
         return out
 
 
+class Entries:
+    """The same for a small set of entries (spelling, family), as places in it: most words are passed over by their first letters."""
+
+    def __init__(self, entries: list[tuple[str, int]]):
+        self.place = {e: i for i, e in enumerate(entries)}
+        least = min(BEGINNINGS)
+        self.least, self.starts = least, {s[:least] for s, _ in entries}
+
+    def features(self, text: str | None) -> set[int]:
+        met: list[tuple[str, int]] = []
+        starts, least = self.starts, self.least
+        for w in set(LETTERS.findall((text or "").lower())):
+            if w[:least] in starts:
+                met += word_features(w)
+        out = {self.place[f] for f in met if f in self.place}
+        if met:
+            shared = ((s, SHARED) for (s, family), n in Counter(met).items() if n > 1 and family == BEGINNING)
+            out.update(self.place[f] for f in shared if f in self.place)
+        return out
+
+
 def patterns(text: str | None) -> list[bool]:
     """Votes of the pattern voters: repeated marks, words in capitals, address of the reader."""
     t = text or ""
@@ -83,35 +115,39 @@ def patterns(text: str | None) -> list[bool]:
 
 
 class Model:
-    """What the workers need: the voters of each lexicon entry as bits, feature weights and the offset."""
+    """What the workers need: lexicon entries with their voters as bits, their weights and the offset."""
 
     def __init__(self):
-        self.voters: dict[int, int] = {}
-        self.weight: dict[int, float] = {}
+        self.entries: list[tuple[str, int]] = []
+        self.voters: list[int] = []
+        self.weight: list[float] = []
         self.offset = -4.0
 
     def start(self) -> None:
         """Begin a task."""
-        self.words = Words({*self.voters, *self.weight}.__contains__)
+        self.words = Entries(self.entries)
 
     def votes(self, features: set[int], text: str | None) -> int:
         out = 0
         for f in features:
-            out |= self.voters.get(f, 0)
+            out |= self.voters[f]
         for k, yes in enumerate(patterns(text), LEXICONS):
             out |= yes << k
         return out
 
     def score(self, text: str | None) -> float:
-        x = self.offset + sum(self.weight[f] for f in sorted(self.words.features(text)) if f in self.weight)
+        x = self.offset + sum(self.weight[f] for f in sorted(self.words.features(text)))
         return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
 
 
-def often_toxic(rows: DataFrame) -> np.ndarray:
-    """COUNTERS bits: whether a counter that features share was met in LEAST rows of label 1 or more."""
+def often_toxic(rows: DataFrame) -> bytes:
+    """COUNTERS bits: whether a counter that features share was met in LEAST rows of label 1 or more.
+
+    A shared beginning counts with its beginning, in whose rows it is.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = Words(lambda f: True), np.zeros(COUNTERS, np.int32)
+        words, n = Words(), np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for data in batch.column("data"):
                 own = np.fromiter(words.features(expand(data.as_py())), np.int64) >> 2
@@ -128,10 +164,10 @@ def often_toxic(rows: DataFrame) -> np.ndarray:
     out = np.zeros(COUNTERS // 8, np.uint8)
     for at, n in rows.select("data").mapInArrow(count, "at int, n binary").groupBy("at").applyInArrow(add, "at int, n binary").collect():
         out[at // 8 : (at + BLOCK) // 8] = np.frombuffer(unpack_bytes(bytes(n)), np.uint8)
-    return out
+    return out.tobytes()
 
 
-def mine(rows: DataFrame, often: np.ndarray, total: list[int]) -> DataFrame:
+def mine(rows: DataFrame, often: bytes, total: list[int]) -> DataFrame:
     """(f, voters, lean) of features that lean to label 1 by SIGNIFICANT standard errors, counted over all rows of (data, _part, _label).
 
     voters has a bit for each part of the rows that has the feature in its
@@ -140,7 +176,7 @@ def mine(rows: DataFrame, often: np.ndarray, total: list[int]) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lambda f: often[(k := (f >> 2) % COUNTERS) >> 3] >> (7 - (k & 7)) & 1)
+        words = Words(np.unpackbits(np.frombuffer(often, np.uint8)).tobytes())
         got = [Counter() for _ in range(2 * PARTS)]
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -177,8 +213,8 @@ def mine(rows: DataFrame, often: np.ndarray, total: list[int]) -> DataFrame:
     return counts.select("f", voters.alias("voters"), lean(every[1], every[0]).alias("lean")).where("voters > 0")
 
 
-def credit(rows: DataFrame, strength: dict[int, float]) -> dict[int, int]:
-    """The lexicons of each entry as bits, once each row speaks only for its strongest entries.
+def credit(rows: DataFrame, strength: dict[int, float]) -> dict[tuple[str, int], int]:
+    """The lexicons of each entry (spelling, family) as bits, once each row speaks only for its strongest entries.
 
     What merely stands beside a telling word, as in copies of a text, has rows
     of label 1 to its name only where the telling word is. So a row counts for
@@ -187,27 +223,50 @@ def credit(rows: DataFrame, strength: dict[int, float]) -> dict[int, int]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, got = Words(strength.__contains__), Counter()
+        words, got = Entered(strength), Counter()
         for batch in batches:
             for data, part, y in zip(batch.column("data"), batch.column("_part").to_pylist(), batch.column("_label").to_pylist()):
-                own = {f: strength[f] for f in words.features(expand(data.as_py())) if f in strength}
+                own = {f: strength[f] for f in words.features(expand(data.as_py()))}
                 if own:
                     top = max(own.values()) / 2
-                    got.update((f, part, y) for f, v in own.items() if v >= top)
-        cols = list(zip(*(k for k in got))) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:]), pa.array(list(got.values()), pa.int64())], ["f", "part", "y", "n"])
-
-    counts = rows.select("data", "_part", "_label").mapInArrow(count, "f long, part int, y int, n long").groupBy("f", "part", "y").agg(F.sum("n").alias("n"))
-    n: dict[tuple[int, int], list[int]] = {}
-    for f, part, y, k in counts.collect():  # as many as entries
-        n.setdefault((f, part), [0, 0])[y] = k
-    out: dict[int, int] = {}
-    for (f, part), (zero, one) in sorted(n.items()):
+                    got.update((words.spelt[f & ~3 | BEGINNING if f & 3 == SHARED else f], f, part, y) for f, v in own.items() if v >= top)
+        cols = list(zip(*got)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:]), pa.array(list(got.values()), pa.int64())], ["s", "f", "part", "y", "n"])
+
+    counts = rows.select("data", "_part", "_label").mapInArrow(count, "s string, f long, part int, y int, n long").groupBy("s", "f", "part", "y").agg(F.sum("n").alias("n"))
+    n: dict[tuple[str, int, int], list[int]] = {}
+    for spelling, f, part, y, k in counts.collect():  # as many as entries
+        n.setdefault((spelling, f & 3, part), [0, 0])[y] = k
+    out: dict[tuple[str, int], int] = {}
+    for (spelling, family, part), (zero, one) in sorted(n.items()):
         if one >= LEAST and lower_bound(one, one + zero) > 0.5:
-            out[f] = out.get(f, 0) | 1 << part
+            out[spelling, family] = out.get((spelling, family), 0) | 1 << part
     return out
 
 
+class Entered(Words):
+    """Features of the words met in a task that are among the entries, by key, and how these are spelt."""
+
+    def __init__(self, entries: dict[int, float]):
+        super().__init__()
+        self.entries, self.spelt = entries, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 100_000:
+            self.clear()
+        out = []
+        for spelling, family in word_features(word):
+            f = feature_key(spelling, family)
+            if f in self.entries or family == BEGINNING and f + 1 in self.entries:
+                out.append(f)
+                self.spelt[f] = spelling
+        out = self[word] = tuple(out)
+        return out
+
+    def features(self, text: str | None) -> set[int]:
+        return {f for f in super().features(text) if f in self.entries}
+
+
 def lower_bound(one: int, n: int, z: float = 1.64) -> float:
     """Of a share of which so many were seen, by the score interval."""
     p = one / n
@@ -298,19 +357,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([squeeze(t.as_py() or "") for t in batch.column(text_col)], pa.binary())], [id_col, "data"])
 
     fit = docs.where(F.col(id_col).isNotNull() & (_fold(id_col, folds) != held)).select(id_col, text_col)
-    rows = materialise(fit.mapInArrow(pack, f"`{id_col}` {kind}, data binary").join(known, id_col), "toxicity-rows")
+    rows = materialise(fit.mapInArrow(pack, f"`{id_col}` {kind}, data binary").join(known.hint("merge"), id_col), "toxicity-rows")  # at any size the same join
     share = {(r[0], r[1]): r[2] for r in rows.groupBy("_part", "_label").count().collect()}
     total = [sum(n for (_, y), n in share.items() if y == k) for k in (0, 1)]
     if not all(total):
         return model
     found = mine(rows, often_toxic(rows.where("_label = 1")), total).collect()  # what sets toxic rows apart, a matter of vocabulary and not of rows
     strong = credit(rows, {r.f: r.lean for r in found}) if found else {}
-    model.voters = {f: v << (f & 3) * PARTS for f, v in strong.items()}
-    chosen = sorted(model.voters)
-    if not chosen:
+    if not strong:
         return model
-    model.weight = dict.fromkeys(chosen, 0.0)
-    place = {f: i for i, f in enumerate(chosen)}
+    model.entries = sorted(strong)
+    model.voters = [strong[e] << e[1] * PARTS for e in model.entries]
+    model.weight = [0.0] * len(model.entries)
     # Of each label the rows of the smallest hashes; a repeated id counts once.
     every = rows.groupBy(id_col).agg(F.min("_label").alias("y"), F.min("data").alias("data"))
     take = lambda y: every.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
@@ -322,7 +380,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for data in batch.column("data"):
                 text = expand(data.as_py())
                 fired = model.words.features(text)
-                found.append((model.votes(fired, text), sorted(place[f] for f in fired if f in place)))
+                found.append((model.votes(fired, text), sorted(fired)))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("y"), pa.array([v for v, _ in found], pa.int32()), pa.array([f for _, f in found], pa.list_(pa.int32()))], [id_col, "y", "votes", "fs"])
 
     seen = take(0).unionByName(take(1)).mapInArrow(look, f"`{id_col}` {kind}, y int, votes int, fs array<int>").toArrow().to_pylist()  # bounded like the sample
@@ -343,8 +401,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights = np.where(y > 0, total[1] / ones, total[0] / max(len(y) - ones, 1))
     posterior = label_model(votes, cast_by, y, weights)
     target = np.array([posterior.get(int(v), 0.5) for v in cast_by])  # a row that left the corpus may have votes of its own
-    w, model.offset = fit_linear([r["fs"] for r in seen], target, weights, len(chosen))
-    model.weight = {f: float(v) for f, v in zip(chosen, w)}
+    w, model.offset = fit_linear([r["fs"] for r in seen], target, weights, len(model.entries))
+    model.weight = w.tolist()
     return model
 
 
