@@ -32,7 +32,7 @@ def int_or_null(value: Column) -> Column:
 
 # Core names that stand for an architecture or make a cluster.
 ARCHITECTURES = (("ARMv9", "ARMv9-A"), ("ARMv8", "ARMv8.2-A"), ("ARMv7", "ARMv7-A"))
-ARM_CORES = "Cortex Kryo Swift Hurricane Zephyr Mistral Lightning Thunder Avalanche Blizzard".split()
+ARM_CORES = ("Cortex", "Kryo", "Swift", "Hurricane", "Zephyr", "Mistral", "Lightning", "Thunder", "Avalanche", "Blizzard")
 CLUSTER_CORES = r"Cortex|Kryo|Gold|Silver|A\d+|Avalanche|Blizzard|Lightning|Thunder|Everest|Sawtooth|Mistral|Zephyr|Hurricane|Monsoon|Icestorm|Firestorm|Vortex|Tempest|Typhoon|Cyclone"
 
 
@@ -333,8 +333,14 @@ SPEC_LABELS = (
 SUB_LABELS = ("launch date", "type", "frequency", "speed", "bandwidth", "bit width", "bus width", "model number", "part number", "codename", "μarch", "isa", "fabrication", "manufacturer")
 
 
+#: Fixed value: units that make a label of any text that has them.
+SPEC_UNITS = r"(mhz|ghz|tops|gflops|fps|gbps|mbps)\b"
+
+
 def is_spec_label(text: Column) -> Column:
-    return F.lower(F.trim(text)).rlike("|".join(f"(?:{p})" for p in SPEC_LABELS))
+    """Whether a text is the label of a specification; one without a letter is."""
+    low = F.lower(F.trim(text))
+    return ~low.rlike("[a-z]") | low.rlike("|".join(f"(?:{p})" for p in (SPEC_UNITS, *SPEC_LABELS)))
 
 
 def is_sub_label(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .rules import first_pattern
 
 # Words that a slug leaves out.
-SLUG_STOP = tuple("with and the for integrated support using based cores ghz mhz kryo cortex".split())
+SLUG_STOP = tuple(("with", "and", "the", "for", "integrated", "support", "using", "based", "cores", "ghz", "mhz", "kryo", "cortex"))
 # Model number patterns in the order in which they are tried.
 MODEL_PATTERNS = (
     r"(?i)\b(SM\d{3,}|SDM\d{3,}|MSM\d{3,}|APQ\d{3,}|SC\d{4}|QCS\d{3})\b",

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match, first_prefix, ladder, number
-from ..functions.text import record_uuid, strip_now
+from ..functions.text import canonical_id, strip_now
 from ..functions.years import with_inferred_year
+from ..knowledge import knowledge as default_knowledge
 from ..schema import is_filled
 from .quality import score
 
@@ -62,13 +63,14 @@ def _upper(name: str) -> Column:
 
 
 def _known(field: str, knowledge: dict | None) -> Column:
-    """First entry of the vendor's map whose key is in the model; maps are small parameters and compile to CASE."""
-    out = F.lit(None)
-    for vendor, facts in (knowledge or {}).items():
-        pairs = [(k.upper(), v) for k, v in facts.get(field, {}).items()]
-        if pairs:
-            out = F.when(F.col("vendor") == vendor, first_match(_upper("model"), pairs)).otherwise(out)
-    return out
+    """First entry of the vendor's map whose key is in the model; the maps are one literal, whatever their length."""
+    entry = lambda k, v: F.struct(F.lit(k.upper()).alias("k"), F.lit(str(v)).alias("v"))
+    maps = {vendor: facts[field] for vendor, facts in (knowledge or {}).items() if facts.get(field)}
+    if not maps:
+        return F.lit(None).cast("string")
+    table = F.create_map(*[x for vendor, known in maps.items() for x in (F.lit(vendor), F.array(*[entry(k, v) for k, v in known.items()]))])
+    model = _upper("model")
+    return F.get(F.filter(F.try_element_at(table, F.col("vendor")), lambda e: model.contains(e["k"])), F.lit(0))["v"]
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -79,7 +81,9 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def fill_uuid(df: DataFrame) -> DataFrame:
-    return _set(df, "uuid", record_uuid(F.coalesce("vendor", F.lit("")), F.coalesce("model", F.lit(""))))
+    """The identifier of vendor and model; of a model without a letter or digit a slug of the name."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    return _set(df, "uuid", canonical_id(given("vendor"), given("model"), given("name")))
 
 
 def infer_cpu(df: DataFrame, knowledge: dict | None = None) -> DataFrame:
@@ -182,13 +186,14 @@ def infer_aliases(df: DataFrame) -> DataFrame:
     return _set(df, "aliases", F.when(F.size(found) > 0, found))
 
 
-def enrich(df: DataFrame, knowledge: dict | None = None, on: date = date(2026, 1, 1), strict: bool = False) -> DataFrame:
+def enrich(df: DataFrame, facts: dict | None = None, on: date = date(2026, 1, 1), strict: bool = False) -> DataFrame:
     """All rules in their order; memory, process and graphics run before and after the year is known.
 
-    ``knowledge`` is {vendor: {architecture, process_map, gpu_map}}, a small
-    table that the caller loads. Every rule is a JVM expression; the chain is
+    ``facts`` is {vendor: {architecture, process_map, gpu_map}}, by default
+    what ``quarrion.knowledge`` holds. Every rule is a JVM expression; the chain is
     one narrow projection.
     """
+    knowledge = default_knowledge() if facts is None else facts
     df = _with(
         df, id="string", name="string", vendor="string", model="string", uuid="string", architecture="string", memory_type="string", memory_clock="int", memory_bus="int",
         process_nm="int", process_name="string", gpu="string", year="int", storage_type="string", npu="string", modem="string", wifi="string", bluetooth="string", aliases="array<string>",

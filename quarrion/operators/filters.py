@@ -106,22 +106,30 @@ def filter_records(df: DataFrame, search=None, sort: str | None = None, descendi
     return page(sort_rows(out, sort, descending), limit, offset), out.count()
 
 
-# Names that are no records, for the validity of names.
-NON_NAMES = ("", "n/a", "none", "unknown", "tba", "tbd", "model", "name", "soc", "cpu", "gpu", "memory", "process", "series", "total")
-
-
-def valid_name(c: Column, stop=NON_NAMES) -> Column:
-    """Whether a text can be a record's name: no stop word, number, date, unit, link or overlong text."""
-    low = F.lower(F.trim(c))
-    return F.coalesce(
-        F.when(low.isin(*stop), False)
-        .when(F.length(low) < 2, False)
-        .when(F.length(low) > 80, False)
-        .when(low.rlike(r"^[\d.,\s%-]+$"), False)
-        .when(low.rlike(r"^(19|20)\d{2}$"), False)
-        .when(low.rlike(r"^\d+(\.\d+)?\s*(nm|mhz|ghz|gb|mb|kb|w|v|bit)s?$"), False)
-        .when(low.rlike(r"^https?://"), False)
-        .when(low.rlike(r"^\W+$"), False)
-        .otherwise(low.rlike(r"[a-z]")),
-        F.lit(False),
-    )
+# Texts in place of a name, words that name no record, and beginnings of names that need no digit.
+NO_NAME = ("", "?", "-", "—", "TBC", "TBD")
+NON_NAMES = (
+    "armv7", "armv8", "armv9", "android", "linux", "windows", "unknown", "n/a", "samsung", "intel", "nvidia", "apple", "bluetooth", "wifi", "wi-fi", "ethernet", "usb", "pcie",
+    "lpddr3", "lpddr4", "lpddr4x", "lpddr5", "lpddr5x", "ddr3", "ddr4", "ddr5", "ufs", "nvme", "emmc", "gps", "gnss", "nfc", "isp", "dsp", "npu", "gpu", "cpu", "tbd", "tbc",
+    "announced", "released", "launch", "october", "november", "december", "january", "february", "march", "april", "may", "june", "july", "august", "september",
+    "pixel", "device", "devices", "feature", "features",
+)
+NAME_PREFIXES = (
+    "Snapdragon", "Qualcomm", "Microsoft", "Dimensity", "Helio", "Kompanio", "Pentonic", "Exynos", "Kirin", "Tensor", "Apple", "RK", "RV", "MR", "Allwinner", "OMAP", "AM", "DM",
+    "Atom", "Celeron", "Pentium", "Xeon", "Jz", "JZ", "i.MX", "IMX", "MCIMX", "SC", "SL", "SP",
+)
+# How texts begin that are numbers, architectures, sizes and rates, and words of one capital.
+NAME_REJECTED = r"^\d+[\s.]|^\d+\s*nm|^\d+x\d+|^[\d.]+\s*(?:mhz|ghz|mb/s|gb/s|gflops|tops)|^armv\d"
+ONE_WORD = r"^[A-Z][a-z]{4,}$"
+
+
+def valid_name(c: Column) -> Column:
+    """Whether a text can be a record's name.
+
+    It has a letter and two characters at least, is no listed word, number, size
+    or single capitalised word, and has a digit or a known beginning.
+    """
+    low = F.lower(c)
+    bad = c.isin(*NO_NAME) | low.isin(*NON_NAMES) | (F.length(c) < 2) | ~c.rlike("[a-zA-Z]") | low.rlike(NAME_REJECTED) | c.rlike(ONE_WORD)
+    known = F.exists(F.array(*[F.lit(p) for p in NAME_PREFIXES]), lambda p: c.startswith(p))
+    return F.coalesce(~bad & (c.rlike(r"\d") | known), F.lit(False))

@@ -54,21 +54,25 @@ def match(new: DataFrame, existing: DataFrame, aliases: DataFrame | None = None,
         best = first_wins(pairs, ["n_id"], order)
         found.append(best.select("n_id", "e_id", F.lit(STRATEGIES.index(strategy)).alias("prio")))
 
+    def left(rows: DataFrame) -> DataFrame:
+        """New rows that no strategy so far has matched."""
+        return rows.join(reduce(DataFrame.unionByName, found).select("n_id").distinct(), "n_id", "left_anti")
+
     em = e.withColumn("m", model(F.col("e_model")))
     # One existing row for each key is enough: the first by the strategy's order.
     take(n.withColumn("m", model(F.col("n_model"))).join(first_wins(em, ["m"], [f"e_{pos}", "e_id"]), "m"), "exact_model", [f"e_{pos}", "e_id"])
     if aliases is not None:
-        hit = n.withColumn("m", normal_model(F.col("n_model"))).join(F.broadcast(aliases.select(normal_model(F.col("model")).alias("m"), F.lower("alias").alias("alias"))), "m")
+        hit = n.withColumn("m", normal_model(F.col("n_model"))).join(aliases.select(normal_model(F.col("model")).alias("m"), F.lower("alias").alias("alias")), "m")
         # Alias tables are small by nature; names and models are compared once each.
         low, mod = F.lower(F.coalesce("e_name", F.lit(""))), F.lower(F.coalesce("e_model", F.lit("")))
         fits = (low != "") & (low.contains(F.col("alias")) | F.col("alias").contains(low)) | (mod != "") & (mod == F.col("alias"))
-        known = e.join(F.broadcast(aliases.select(F.lower("alias").alias("alias")).distinct()), fits).select("alias", "e_id").groupBy("alias").agg(F.min("e_id").alias("e_id"))
+        known = e.join(aliases.select(F.lower("alias").alias("alias")).distinct(), fits).select("alias", "e_id").groupBy("alias").agg(F.min("e_id").alias("e_id"))
         take(hit.join(known, "alias"), "alias", ["e_id"])
     text = extract_model(F.concat_ws(" ", "n_name", "n_model"))
     take(n.withColumn("m", text).where("m is not null").join(first_wins(em, ["m"], ["e_id"]), "m"), "regex", ["e_id"])
     qid = first_wins(e.where(F.col("e_wikidata_id") != ""), ["e_wikidata_id"], ["e_id"])
     take(n.join(qid, F.col("n_wikidata_id") == F.col("e_wikidata_id")), "wikidata_qid", ["e_id"])
-    take(fuzzy_candidates(n, e), "fuzzy", [F.col("score").desc(), "e_id"])
+    take(fuzzy_candidates(left(n), e), "fuzzy", [F.col("score").desc(), "e_id"])
     named = first_wins(e.where(F.col("e_name") != "").withColumn("k", F.lower("e_name")), ["k"], ["e_id"])
     take(n.withColumn("k", F.lower("n_name")).join(named, "k"), "name", ["e_id"])
     best = first_wins(reduce(DataFrame.unionByName, found), ["n_id"], ["prio"])
@@ -162,7 +166,16 @@ def compare_tables(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return out.select(F.split("what", ":")[0].alias("kind"), F.split("what", ":")[1].alias("field"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def merge_layers(layers: list[DataFrame]) -> DataFrame:
-    """(vendor, kind, key, value) of several layers; of each key the last layer's value."""
-    tagged = reduce(DataFrame.unionByName, [d.select("vendor", "kind", "key", "value").withColumn("_prio", F.lit(k)) for k, d in enumerate(layers)])
-    return tagged.groupBy("vendor", "kind", "key").agg(F.max_by("value", "_prio").alias("value"))
+def merge_layers(base: DataFrame, live: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(vendor, kind, key, value) of the facts that stand, the live ones and corrections.
+
+    Live facts fill gaps in maps, but a live architecture replaces the one that
+    stands; corrections win over both. Null and empty values are no facts.
+    """
+    layers = [base, live, *([overrides] if overrides is not None else [])]
+    tagged = reduce(DataFrame.unionByName, [d.select("vendor", "kind", "key", "value", F.lit(k).alias("_layer")) for k, d in enumerate(layers)])
+    tagged = tagged.where(F.coalesce(F.col("value"), F.lit("")) != "")
+    weight = F.when(F.col("_layer") == 2, 3).when(F.col("kind") == "architecture", F.col("_layer")).otherwise(1 - F.col("_layer"))
+    # An architecture has no key.
+    key = F.when(F.col("kind") == "architecture", F.lit("")).otherwise(F.col("key")).alias("key")
+    return tagged.select("vendor", "kind", key, "value", weight.alias("_weight")).groupBy("vendor", "kind", "key").agg(F.max_by("value", F.struct("_weight", "value")).alias("value"))

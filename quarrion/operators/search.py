@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.stem import stem
 
@@ -54,30 +55,65 @@ def bm25(post: DataFrame, docs: int, mean_len: float, terms: list[str], k1: floa
     return scored.where(F.col("_terms") == len(terms)).drop("_terms")
 
 
-def search(df: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = None, stems: bool = False) -> DataFrame:
-    """(id, score) by rank: all words of the query must be there; a word with ``*`` is a beginning, a quoted part a phrase.
-
-    A blank query gives nothing. Ties are in order of id.
+@F.pandas_udf(ArrayType(StringType()))
+def all_stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    memory: dict[str, str] = {}
+    for s in batches:
+        yield s.map(lambda words: None if words is None else [memory.get(w) or memory.setdefault(w, stem(w)) for w in words])
+
+
+def _parts(query: str) -> list[tuple[str, list[str]]]:
+    """What a query asks for: words, phrases and beginnings, each with its words."""
+    pieces = query.split('"')
+    out = [("phrase", _plain(p)) for p in pieces[1::2]]
+    for w in (w for part in pieces[::2] for w in part.split()):
+        out.append(("prefix", [w[:-1].lower()]) if w.endswith("*") and len(w) > 1 else ("phrase", _plain(w)))
+    found = []
+    for kind, words in out:
+        if words and (kind, words) not in found:
+            found.append((kind, words))
+    return found
+
+
+def _met(t: Column, kind: str, words: list[str]) -> Column:
+    """How often a part of a query stands in an array of tokens."""
+    if kind == "prefix":
+        return F.size(F.filter(t, lambda x: x.startswith(words[0])))
+    if len(words) == 1:
+        return F.size(F.filter(t, lambda x: x == words[0]))
+    here = lambda x, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w, F.lit(False)) for k, w in enumerate(words)])
+    return F.size(F.filter(t, here))
+
+
+def search(df: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = None, stems: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) by rank: all parts of the query must be there; a word with ``*`` is a beginning, a quoted part a phrase.
+
+    Counts, lengths and frequencies are those of all rows. Each row is counted
+    where it is, and only the counts of the query's parts go on: one pass for
+    the statistics, one for the scores, no exchange of postings. A blank query gives nothing.
+    Ties are in order of id. A query with an odd quote is no query of this
+    syntax: its words are sought as substrings, with a score of 0.
     """
-    phrases = [p.strip() for p in query.split('"')[1::2] if p.strip()]
-    words = [w for part in query.split('"')[::2] for w in part.split()]
-    prefixes = [w[:-1].lower() for w in words if w.endswith("*") and len(w) > 1]
-    plain = [t for w in words if not w.endswith("*") for t in _plain(w)] + [t for p in phrases for t in _plain(p)]
-    if not plain and not prefixes:
+    if query.count('"') % 2:
+        hits = search_like(df, query.replace('"', " "), columns).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).orderBy("id")
+        return hits if limit is None else hits.limit(limit)
+    parts = _parts(query)
+    if not parts:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
-    if phrases or prefixes:
-        padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-        for p in phrases:
-            df = df.where(padded.contains(" " + " ".join(_plain(p)) + " "))
-        for p in prefixes:
-            df = df.where(padded.contains(" " + p))
-    if not plain:
-        return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).orderBy("id")
-    post = postings(df, id_col, columns, stems)
-    sizes = df.select(F.size(tokens(text)).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    terms = [stem(t) for t in plain] if stems else plain
-    out = bm25(post, sizes[0], sizes[1] or 1.0, terms).orderBy(F.col("score").desc(), "id")
+    t = tokens(fold(F.lower(text)) if stems else text)
+    if stems:
+        t, parts = all_stemmed(t), [(kind, words if kind == "prefix" else [stem(w) for w in words]) for kind, words in parts]
+    rows = df.select(F.col(id_col).alias("id"), t.alias("_t"))
+    rows = rows.select("id", F.size("_t").alias("_len"), *[_met(F.col("_t"), *p).alias(f"_n{k}") for k, p in enumerate(parts)])
+    n, mean, *df_of = rows.agg(F.count("*"), F.avg("_len"), *[F.count(F.when(F.col(f"_n{k}") > 0, 1)) for k in range(len(parts))]).first()
+
+    def part(k: int) -> Column:
+        idf = max(log((n - df_of[k] + 0.5) / (df_of[k] + 0.5)), 1e-6)
+        return F.lit(idf) * F.col(f"_n{k}") * (k1 + 1) / (F.col(f"_n{k}") + k1 * (1 - b + b * F.col("_len") / F.lit(mean or 1.0)))
+
+    out = rows.where(reduce(lambda x, y: x & y, [F.col(f"_n{k}") > 0 for k in range(len(parts))]))
+    out = out.select("id", reduce(lambda x, y: x + y, [part(k) for k in range(len(parts))]).alias("score")).orderBy(F.col("score").desc(), "id")
     return out if limit is None else out.limit(limit)
 
 
@@ -108,8 +144,18 @@ def search_serialised(df: DataFrame, query: str) -> DataFrame:
 
 def inverted_index(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(token, id): words between blanks of texts and numbers, each once a row."""
+    return df.select(F.explode(_blank_tokens(columns)).alias("token"), F.col(id_col).alias("id"))
+
+
+def _blank_tokens(columns: list[str]) -> Column:
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
-    return df.select(F.explode(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != ""))).alias("token"), F.col(id_col).alias("id"))
+    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
+
+
+def tokens_and(df: DataFrame, id_col: str, columns: list[str], query: str) -> DataFrame:
+    """(id) of rows that have every token of the query, exactly, without an index: a narrow step."""
+    wanted = sorted({w.lower() for w in query.split()})
+    return df.where(F.size(F.array_intersect(_blank_tokens(columns), F.array(*[F.lit(w) for w in wanted]).cast("array<string>"))) == len(wanted)).select(F.col(id_col).alias("id"))
 
 
 def token_and(index: DataFrame, query: str) -> DataFrame:

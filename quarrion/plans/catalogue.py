@@ -7,15 +7,15 @@ HTML, ``events`` sequences by user, ``conversations`` chains.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
-from ..operators import aggregates, enrich, extract, filters, provenance, quality, resolve, search, setops, windows
+from ..knowledge import PROCESS_NM, knowledge
+from ..operators import aggregates, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, windows
+from ..scratch import scratch
 from ..sources import catalog, sinks
 from ..streaming import batches, limits
 
@@ -51,11 +51,6 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base}/catalogue-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- filters, sorts, pages
 
 
@@ -95,7 +90,7 @@ def projection_heavy_drop(spark, sf):
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def cursor_page(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
-    return filters.cursor_page(o, 1 << 30, filters.encode_cursor(100), 50)[0]
+    return filters.cursor_page(o, o.count(), filters.encode_cursor(100), 50)[0]
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
@@ -103,11 +98,29 @@ def keyset_page(spark, sf):
     return filters.keyset_page(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 50)
 
 
-@query(r"""SELECT doc_id, coalesce(CASE WHEN w IN ('the','to','of') THEN false WHEN length(w) < 2 THEN false WHEN regexp_matches(w, '^[\d.,\s%-]+$') THEN false
-ELSE regexp_matches(w, '[a-z]') END, false) AS valid FROM (SELECT doc_id, lower(trim(string_split(text, ' ')[1])) AS w FROM documents)""")
+def _quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+_SOME_NAMES = (*filters.NON_NAMES, *filters.NAME_PREFIXES, "Tegra X1", "4x12 foo", "7 nm", "3 cores", "SM8550", "2.4 GHz", "ARMv8-A", "Generic", "?", "x")
+
+
+# Names of the rules' own lists and words of the documents.
+@query(rf"""WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents UNION ALL SELECT -i, ([{_quoted(_SOME_NAMES)}])[i] FROM range(1, {len(_SOME_NAMES) + 1}) r(i))
+SELECT doc_id, coalesce(CASE WHEN w IN ({_quoted(filters.NO_NAME)}) OR length(w) < 2 THEN false WHEN regexp_matches(w, '^\d+[\s.]') OR NOT regexp_matches(w, '[a-zA-Z]') THEN false WHEN lower(w) IN ({_quoted(filters.NON_NAMES)}) THEN false
+WHEN regexp_matches(lower(w), '^armv\d') OR regexp_matches(lower(w), '^\d+\s*nm') OR regexp_matches(lower(w), '^\d+x\d+') OR regexp_matches(lower(w), '^[\d.]+[\s]*(mhz|ghz|mb/s|gb/s|gflops|tops)') THEN false
+WHEN length(w) >= 5 AND regexp_full_match(w, '[A-Z][a-z]+') THEN false WHEN regexp_matches(w, '\d') THEN true ELSE len(list_filter([{_quoted(filters.NAME_PREFIXES)}], lambda p: starts_with(w, p))) > 0 END, false) AS valid FROM w""")
 def valid_names(spark, sf):
-    d = read(spark, sf, "documents")
-    return d.select("doc_id", filters.valid_name(F.split("text", " ")[0], ("the", "to", "of")).alias("valid"))
+    own = spark.createDataFrame([(-k - 1, w) for k, w in enumerate(_SOME_NAMES)], "doc_id long, w string")
+    d = read(spark, sf, "documents").select("doc_id", F.split("text", " ")[0].alias("w")).unionByName(own)
+    return d.select("doc_id", filters.valid_name(F.col("w")).alias("valid"))
+
+
+@query(rf"""SELECT doc_id, NOT regexp_matches(w, '[a-z]') OR regexp_matches(w, '{scalars.SPEC_UNITS}') OR {" OR ".join(f"regexp_matches(w, '{p}')" for p in scalars.SPEC_LABELS)} AS label
+FROM (SELECT doc_id, lower(trim(coalesce(string_split(text, chr(10))[1], ''))) AS w FROM documents)""")
+def spec_labels(spark, sf):
+    line = F.coalesce(F.split("text", "\n")[0], F.lit(""))
+    return read(spark, sf, "documents").select("doc_id", scalars.is_spec_label(line).alias("label"))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -258,12 +271,22 @@ def ladder_suite(spark, sf):
     return enrich.infer_storage(enrich.infer_bluetooth(enrich.infer_wifi(o))).drop("year")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type WHEN p_brand IN ('Brand#11','Brand#12') THEN 'one' WHEN p_brand = 'Brand#13' THEN 'two' END AS kind FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type WHEN p_brand IN ('Brand#11','Brand#12') THEN 'one' WHEN p_brand = 'Brand#13' THEN 'two' END AS architecture FROM part""")
 def lookup_fill(spark, sf):
-    p = read(spark, sf, "part")
-    dim = spark.createDataFrame([("Brand#11", "one"), ("Brand#12", "one"), ("Brand#13", "two")], "p_brand string, kind string")
-    own = F.when(F.col("p_size") > 25, F.col("p_type"))
-    return p.join(F.broadcast(dim), "p_brand", "left").select("p_partkey", F.coalesce(own, "kind").alias("kind"))
+    p = read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("vendor"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("architecture"))
+    return enrich.infer_cpu(p, {"Brand#11": {"architecture": "one"}, "Brand#12": {"architecture": "one"}, "Brand#13": {"architecture": "two"}}).drop("vendor")
+
+
+# Facts by a part of the model, the first of the vendor's map that fits.
+@query(f"""WITH m AS (SELECT p_partkey, v.vendor, v.prefix || (p_partkey % 90 + 10) || (p_size * 7) AS model FROM part, (VALUES ('Qualcomm', 'SM8'), ('Qualcomm', 'sdm6'), ('MediaTek', 'MT67')) v(vendor, prefix)),
+k AS (SELECT * FROM (VALUES {", ".join(f"('{v}', {i}, '{m.upper()}', {x})" for v, known in PROCESS_NM.items() for i, (m, x) in enumerate(known.items()))}) k(vendor, place, key, nm))
+SELECT m.p_partkey, m.vendor, m.model, arg_min(k.nm, k.place)::INT AS process_nm FROM m LEFT JOIN k ON k.vendor = m.vendor AND contains(upper(m.model), k.key) GROUP BY 1, 2, 3""")
+def vendor_facts(spark, sf):
+    kinds = F.explode(F.array(*[F.struct(F.lit(v).alias("vendor"), F.lit(x).alias("prefix")) for v, x in (("Qualcomm", "SM8"), ("Qualcomm", "sdm6"), ("MediaTek", "MT67"))]))
+    p = read(spark, sf, "part").select("p_partkey", "p_size", kinds.alias("v"))
+    model = F.concat("v.prefix", (F.col("p_partkey") % 90 + 10).cast("string"), (F.col("p_size") * 7).cast("string"))
+    rows = p.select("p_partkey", "v.vendor", model.alias("model"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("process_name"), F.lit(None).cast("int").alias("process_nm"))
+    return enrich.infer_process(rows, knowledge()).select("p_partkey", "vendor", "model", "process_nm")
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 1 WHEN contains(p_name, 'e') THEN 2 WHEN contains(p_name, 'a') THEN 3 END AS hit FROM part""")
@@ -351,6 +374,26 @@ def html_table_cells(spark, sf):
     return extract.standard_records(cells, "page").select("page", f("model"), f("name"), f("process"))
 
 
+# Pages of tables to typed records.
+@query("""SELECT 'sm' || lpad(p_partkey::VARCHAR, 5, '0') AS id, 'SM' || lpad(p_partkey::VARCHAR, 5, '0') AS name, p_brand AS vendor, 'SM' || lpad(p_partkey::VARCHAR, 5, '0') AS model, 8 AS cores, 'ARMv8.2-A' AS architecture,
+'Adreno ' || p_size || ' at ' || (p_size * 10 + 1) || ' MHz' AS gpu, (p_size * 10 + 1)::INT AS gpu_clock, p_size::INT AS process_nm, 'LPDDR4X' AS memory_type, 1600 AS memory_clock, p_size::INT AS memory_max,
+CASE WHEN p_size BETWEEN 5 AND 30 THEN 2000 + p_size END::INT AS year FROM part""")
+def page_records(spark, sf):
+    p = read(spark, sf, "part")
+    size, model = F.col("p_size").cast("string"), F.concat(F.lit("SM"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
+    cell = lambda *c: F.concat(F.lit("<td>"), *c, F.lit("</td>"))
+    row = F.concat(
+        F.lit("<tr>"), cell(model), cell(F.lit("Adreno "), size, F.lit(" at "), (F.col("p_size") * 10 + 1).cast("string"), F.lit(" MHz")), cell(size, F.lit(" nm")), cell(F.lit("up to "), size, F.lit(" GB LPDDR4X, 1600 MHz")),
+        cell(F.lit("Q1 20"), F.lpad(size, 2, "0")), cell(F.lit("—")), F.lit("</tr>"),
+    )
+    head = "<h2>Chips</h2><table><tr><th>Model</th><th>GPU</th><th>Fabrication</th><th>Memory type</th><th>Released</th><th>Modem</th></tr>"
+    skipped = "<h2>Comparison</h2><table><tr><th>Model</th><th>GPU</th></tr><tr><td>SM99999</td><td>none</td></tr></table>"
+    pages = p.withColumn("h", row).groupBy("p_brand", "p_size").agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias("h"))
+    pages = pages.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("page"), F.concat(F.lit(head), "h", F.lit("</table>" + skipped)).alias("html"))
+    out = extract.page_records(extract.table_cells(pages, "page"), "page", F.split("page", "/")[0])
+    return out.select("id", "name", "vendor", "model", "cores", "architecture", "gpu", "gpu_clock", "process_nm", "memory_type", "memory_clock", "memory_max", "year")
+
+
 @query("SELECT p_brand || '/' || p_size AS page, p_name AS name, p_partkey::INT AS single FROM part WHERE p_partkey > 100")
 def html_scores(spark, sf):
     p = read(spark, sf, "part")
@@ -368,9 +411,6 @@ def jsonld_items(spark, sf):
     return extract.jsonld_records(extract.jsonld(pages, "page"), "page").select("page", "name", "single")
 
 
-@query("SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
-def json_extract(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("total"))
 
 
 # ---------------------------------------------------------------- search
@@ -388,7 +428,24 @@ def serialised_search(spark, sf):
 
 @query(r"""SELECT DISTINCT doc_id AS id FROM (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\s+')) AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'with')""")
 def token_and_search(spark, sf):
-    return search.token_and(search.inverted_index(read(spark, sf, "documents"), "doc_id", ["text"]), "With the")
+    return search.tokens_and(read(spark, sf, "documents"), "doc_id", ["text"], "With the")
+
+
+@query(r"""SELECT source AS id FROM (SELECT source, list_distinct(list_sort(list(lang))) AS t FROM documents GROUP BY 1) WHERE list_contains(t, 'en') AND list_contains(t, 'de')""")
+def token_index_search(spark, sf):
+    d = read(spark, sf, "documents")
+    return search.token_and(search.inverted_index(d, "source", ["lang"]).distinct(), "EN de").distinct()
+
+
+# Statistics are those of all rows, whatever a phrase or a beginning leaves.
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
+p AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS n0, len(list_filter(t, lambda x: starts_with(x, 'wi'))) AS n1,
+len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS n2 FROM t),
+f AS (SELECT sum((n0 > 0)::INT) AS d0, sum((n1 > 0)::INT) AS d1, sum((n2 > 0)::INT) AS d2 FROM p)
+SELECT doc_id AS id, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * dl / a))
++ greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * n2 * 2.2 / (n2 + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score FROM p, s, f WHERE n0 > 0 AND n1 > 0 AND n2 > 0""")
+def bm25_phrase_prefix(spark, sf):
+    return search.search(read(spark, sf, "documents"), 'the wi* "of the"', "doc_id", ["text"]).withColumn("score", F.round("score", 6))
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
@@ -409,17 +466,19 @@ def bm25_stemmed(spark, sf):
 # ---------------------------------------------------------------- entity resolution
 
 
-@query("""SELECT a.doc_id AS doc_id, min(b.doc_id) AS first_id FROM documents a JOIN documents b ON upper(trim(a.text)) = upper(trim(b.text)) GROUP BY 1""")
+@query("""SELECT a.doc_id::VARCHAR AS id, min(b.doc_id::VARCHAR) AS match_id, 'exact_model' AS strategy FROM documents a JOIN documents b ON upper(trim(a.source || '.' || a.n_chars)) = upper(trim(b.source || '.' || b.n_chars)) AND b.doc_id % 2 = 0 GROUP BY 1
+UNION ALL SELECT a.doc_id::VARCHAR, NULL, 'no_match' FROM documents a ANTI JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.source = b.source AND a.n_chars = b.n_chars""")
 def exact_match_join(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.xxhash64(F.upper(F.trim("text"))).alias("h"), F.sha2(F.upper(F.trim("text")), 256).alias("k"))
-    first = d.groupBy("k").agg(F.min("doc_id").alias("first_id"))
-    return d.join(first, "k").select("doc_id", "first_id")
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.concat_ws(".", "source", F.col("n_chars").cast("string")).alias("model"))
+    return resolve.match(d.select("id", F.lower("model").alias("model")), d.where("doc_id % 2 = 0").select("id", "model"))
 
 
-@query("""SELECT p_partkey, min(alias) AS alias FROM part JOIN (VALUES ('red'), ('blue'), ('green')) v(alias) ON contains(lower(p_name), alias) GROUP BY 1""")
+@query("""SELECT v.id AS id, min(p_partkey::VARCHAR) AS match_id, CASE WHEN min(p_partkey) IS NULL THEN 'no_match' ELSE 'alias' END AS strategy
+FROM (VALUES ('a1', 'red'), ('a2', 'blue'), ('a3', 'green'), ('a4', 'no such name')) v(id, alias) LEFT JOIN part ON contains(lower(p_name), alias) GROUP BY 1""")
 def alias_join(spark, sf):
-    aliases = spark.createDataFrame([("red",), ("blue",), ("green",)], "alias string")
-    return read(spark, sf, "part").join(F.broadcast(aliases), F.lower("p_name").contains(F.col("alias"))).groupBy("p_partkey").agg(F.min("alias").alias("alias"))
+    new = spark.createDataFrame([("a1", "AL-1"), ("a2", " al-2"), ("a3", "Al-3!"), ("a4", "al-4")], "id string, model string")
+    aliases = spark.createDataFrame([("al-1", "Red"), ("AL-2", "blue"), ("al-3", "green"), ("al-4", "no such name")], "model string, alias string")
+    return resolve.match(new, parts(spark, sf).select("id", "name", "vendor"), aliases)
 
 
 @query()
@@ -500,19 +559,27 @@ def resolve_conflict(spark, sf):
     return o.select("o_orderkey", provenance.resolve(F.lit("a"), F.lit("b"), first, F.lit("mid"), ["high", "mid"]).alias("value"))
 
 
-@query("""SELECT r_name AS vendor, 'map' AS kind, 'k' || n.n_nationkey AS key, CASE WHEN n.n_nationkey % 3 = 0 THEN 'override' WHEN n.n_nationkey % 2 = 0 THEN 'second' ELSE n_name END AS value
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""")
+@query("""WITH b AS (SELECT r_name AS vendor, n_nationkey AS k, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT vendor, 'process_map' AS kind, 'k' || k AS key, CASE WHEN k % 3 = 0 THEN 'correction' WHEN k % 5 <> 0 THEN name ELSE 'live' END AS value FROM b WHERE k % 3 = 0 OR k % 5 <> 0 OR k % 2 = 0
+UNION ALL SELECT r_name, 'architecture', '', CASE WHEN r_regionkey = 2 THEN 'correction' WHEN r_regionkey % 2 = 0 THEN 'live' ELSE 'base' END FROM region""")
 def kb_merge(spark, sf):
-    n = read(spark, sf, "nation").join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    base = n.select(F.col("r_name").alias("vendor"), F.lit("map").alias("kind"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"), "n_nationkey")
-    second, third = base.where("n_nationkey % 2 = 0").withColumn("value", F.lit("second")), base.where("n_nationkey % 3 = 0").withColumn("value", F.lit("override"))
-    return resolve.merge_layers([base, second, third])
+    n = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    fact = lambda value, kind="process_map": (F.col("r_name").alias("vendor"), F.lit(kind).alias("kind"), (F.lit("") if kind == "architecture" else F.concat(F.lit("k"), F.col("n_nationkey").cast("string"))).alias("key"), value.alias("value"))
+    r = read(spark, sf, "region")
+    base = n.where("n_nationkey % 5 <> 0").select(*fact(F.col("n_name"))).unionByName(r.select(*fact(F.lit("base"), "architecture")))
+    live = n.where("n_nationkey % 2 = 0").select(*fact(F.lit("live"))).unionByName(r.select(*fact(F.when(F.col("r_regionkey") % 2 == 0, "live").otherwise(""), "architecture")))
+    corrections = n.where("n_nationkey % 3 = 0").select(*fact(F.lit("correction"))).unionByName(r.where("r_regionkey = 2").select(*fact(F.lit("correction"), "architecture")))
+    return resolve.merge_layers(base, live, corrections)
 
 
 # ---------------------------------------------------------------- state, streams, sinks
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT user_id, r, event_id, [s] AS log, true AS allowed, 4 AS remaining FROM e WHERE r = 1
+UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN len(k.log) < 5 THEN list_append(k.log, e.s) ELSE k.log END, len(k.log) < 5, greatest(0, 5 - len(k.log) - (len(k.log) < 5)::INT)::INT
+FROM e JOIN (SELECT w.user_id, w.r, list_filter(w.log, lambda x: x >= n.s - 86400.0) AS log FROM w JOIN e n ON n.user_id = w.user_id AND n.r = w.r + 1) k ON e.user_id = k.user_id AND e.r = k.r + 1)
+SELECT event_id, allowed, remaining FROM w""")
 def rate_limit(spark, sf):
     e = read(spark, sf, "events").select("event_id", "user_id", "ts")
     return limits.limit_batch(e, "user_id", "ts", "event_id", 5, 86_400.0).select("event_id", "allowed", "remaining")
@@ -560,15 +627,26 @@ def vendor_partitions(spark, sf):
     return spark.read.parquet(path).groupBy("vendor").agg(F.count("*").alias("n"), F.min(F.col("id").cast("bigint")).alias("least"))
 
 
-@query("""SELECT a.conv_id AS conv_id, a.turn AS root, b.turn AS reached FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + 2""")
+@query("""SELECT a.conv_id || '/' || a.turn AS root, b.conv_id || '/' || b.turn AS path, (b.turn - a.turn)::INT AS depth FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + 2""")
 def include_expand(spark, sf):
-    c = read(spark, sf, "conversations").select("conv_id", "turn")
-    front = c.select("conv_id", F.col("turn").alias("root"), F.col("turn").alias("at"))
-    every = front
-    for _ in range(2):
-        front = front.join(c, (front.conv_id == c.conv_id) & (c.turn == front["at"] + 1)).select(front.conv_id, "root", F.col("turn").alias("at"))
-        every = every.unionByName(front)
-    return every.select("conv_id", "root", F.col("at").alias("reached"))
+    named = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    c = read(spark, sf, "conversations").select(named(F.col("turn")).alias("path"), named(F.col("turn") + 1).alias("target"))
+    found = devicetree.reach(c, c, 2)
+    return found.join(c.select("path"), "path").select("root", "path", "depth")
+
+
+@query(r"""SELECT 'arch/arm64/boot/dts/v' || (p_size % 5) || '/p' || p_partkey || '.dtsi' AS path, (p_size % 8 + 1)::INT AS cores, CASE WHEN p_partkey % 3 = 0 THEN 'ARMv8.2-A' ELSE 'ARMv8-A' END AS architecture, CASE WHEN p_partkey % 3 = 2 THEN 'fallback' ELSE 'compatible' END AS arch_source FROM part
+UNION ALL SELECT 'arch/arm64/boot/dts/w/b' || p_partkey || '.dts', (p_size % 8 + 1)::INT, CASE WHEN p_partkey % 3 = 0 THEN 'ARMv8.2-A' ELSE 'ARMv8-A' END, CASE WHEN p_partkey % 3 = 2 THEN 'fallback' ELSE 'compatible' END FROM part""")
+def processor_nodes(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_size", F.concat(F.lit("v"), (F.col("p_size") % 5).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string")).alias("name"))
+    core = F.when(F.col("p_partkey") % 3 == 0, "arm,cortex-a78").when(F.col("p_partkey") % 3 == 1, "arm,cortex-a53").otherwise("own,core")
+    node = lambda k: F.concat(F.lit("cpu@"), F.lower(F.hex(k)), F.lit(' { compatible = "'), core, F.lit('"; cache { a; }; }; '))
+    nodes = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 8), lambda k: node(k.cast("long"))), "")
+    text = F.concat(F.lit("/ { cpus { "), nodes, F.lit('cpu@0 { compatible = "arm,cortex-a35"; }; }; other { cpu@99 { x; }; }; };'))
+    text = F.when(F.col("p_partkey") % 3 == 2, F.replace(text, F.lit("arm,cortex-a35"), F.lit("own"))).otherwise(text)
+    own = p.select(F.concat(F.lit("arch/arm64/boot/dts/"), "name", F.lit(".dtsi")).alias("path"), text.alias("content"))
+    board = p.select(F.concat(F.lit("arch/arm64/boot/dts/w/b"), F.col("p_partkey").cast("string"), F.lit(".dts")).alias("path"), F.concat(F.lit('#include "../'), "name", F.lit('"\n/ { };')).alias("content"))
+    return devicetree.cpu_info(own.unionByName(board))
 
 
 @query()
@@ -579,10 +657,6 @@ def enrich_records(spark, sf):
     return out.select("id", "vendor", "model", "year", "architecture", "memory_type", "process_nm", "gpu", "modem", "wifi", "uuid", "completeness")
 
 
-@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running FROM lineitem""")
-def running_total(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("running"))
 
 
 # The flagship: facets, then the summary by vendor.

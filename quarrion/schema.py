@@ -15,31 +15,31 @@ video_capture_max isp_config dsp_type security l2_cache l3_cache soc_id package
 INT_FIELDS = """cores threads clock_max clock_mid clock_min process_nm gpu_clock memory_max memory_clock memory_bus
 memory_bandwidth modem_dl modem_ul isps year charging_max_w display_max_refresh camera_max_mp arm_cores_total
 performance_cores efficiency_cores""".split()
-DOUBLE_FIELDS = "tdp gpu_tflops ai_ops completeness ai_int8_tops ai_fp16_tflops".split()
-BOOLEAN_FIELDS = "modem_5g_mmwave video_decode_av1 video_encode_av1 satellite_connectivity av1_decode".split()
-DATE_FIELDS = "announced updated".split()
-ARRAY_FIELDS = "aliases gpu_api devices alternative_names tags".split()
-MAP_FIELDS = "sources provenance _extra".split()
+DOUBLE_FIELDS = ("tdp", "gpu_tflops", "ai_ops", "completeness", "ai_int8_tops", "ai_fp16_tflops")
+BOOLEAN_FIELDS = ("modem_5g_mmwave", "video_decode_av1", "video_encode_av1", "satellite_connectivity", "av1_decode")
+DATE_FIELDS = ("announced", "updated")
+ARRAY_FIELDS = ("aliases", "gpu_api", "devices", "alternative_names", "tags")
+MAP_FIELDS = ("sources", "provenance", "_extra")
 
 # Groups of fields for quality reports, and weights of completeness (1 where none is given).
 FIELD_GROUPS = {
-    "identity": "id name vendor model aliases codename description".split(),
-    "core": "architecture isa cores threads cluster_config clock_max clock_mid clock_min max_freq cache arm_cores_total performance_cores efficiency_cores l2_cache l3_cache".split(),
-    "process": "process_nm process_name process tdp package die_size".split(),
-    "gpu": "gpu gpu_clock gpu_api gpu_tflops".split(),
-    "memory": "memory_type memory_max memory_clock memory_bus memory_bandwidth storage_type".split(),
-    "ai": "npu ai_ops ai_int8_tops ai_fp16_tflops dsp_type".split(),
-    "modem": "modem modem_dl modem_ul cellular modem_5g_mmwave".split(),
-    "media": "video_decode video_encode display_max camera_max isps video_capture video_decode_av1 video_encode_av1 av1_decode display_max_refresh display_resolution camera_max_mp video_capture_max isp_config".split(),
-    "connectivity": "wifi wifi_version bluetooth bluetooth_version usb usb_version navigation gnss charging charging_max_w satellite_connectivity pcie_version".split(),
-    "lifecycle": "year announced revision status market_segment".split(),
-    "provenance": "completeness sources updated datasheet_url wikipedia_url wikidata_id linux_dt_compatible provenance".split(),
-    "metadata": "devices alternative_names parent tags rating benchmarks soc_id security fingerprint".split(),
+    "identity": ("id", "name", "vendor", "model", "aliases", "codename", "description"),
+    "core": ("architecture", "isa", "cores", "threads", "cluster_config", "clock_max", "clock_mid", "clock_min", "max_freq", "cache", "arm_cores_total", "performance_cores", "efficiency_cores", "l2_cache", "l3_cache"),
+    "process": ("process_nm", "process_name", "process", "tdp", "package", "die_size"),
+    "gpu": ("gpu", "gpu_clock", "gpu_api", "gpu_tflops"),
+    "memory": ("memory_type", "memory_max", "memory_clock", "memory_bus", "memory_bandwidth", "storage_type"),
+    "ai": ("npu", "ai_ops", "ai_int8_tops", "ai_fp16_tflops", "dsp_type"),
+    "modem": ("modem", "modem_dl", "modem_ul", "cellular", "modem_5g_mmwave"),
+    "media": ("video_decode", "video_encode", "display_max", "camera_max", "isps", "video_capture", "video_decode_av1", "video_encode_av1", "av1_decode", "display_max_refresh", "display_resolution", "camera_max_mp", "video_capture_max", "isp_config"),
+    "connectivity": ("wifi", "wifi_version", "bluetooth", "bluetooth_version", "usb", "usb_version", "navigation", "gnss", "charging", "charging_max_w", "satellite_connectivity", "pcie_version"),
+    "lifecycle": ("year", "announced", "revision", "status", "market_segment"),
+    "provenance": ("completeness", "sources", "updated", "datasheet_url", "wikipedia_url", "wikidata_id", "linux_dt_compatible", "provenance"),
+    "metadata": ("devices", "alternative_names", "parent", "tags", "rating", "benchmarks", "soc_id", "security", "fingerprint"),
 }
 FIELD_WEIGHTS = (
-    dict.fromkeys("name vendor model".split(), 5)
-    | dict.fromkeys("architecture cores".split(), 4)
-    | dict.fromkeys("process_nm gpu year clock_max ai_int8_tops ai_fp16_tflops arm_cores_total".split(), 3)
+    dict.fromkeys(("name", "vendor", "model"), 5)
+    | dict.fromkeys(("architecture", "cores"), 4)
+    | dict.fromkeys(("process_nm", "gpu", "year", "clock_max", "ai_int8_tops", "ai_fp16_tflops", "arm_cores_total"), 3)
     | dict.fromkeys(
         """memory_type clock_min modem npu wifi bluetooth memory_clock memory_bus display_max camera_max charging cluster_config
         market_segment charging_max_w wifi_version modem_5g_mmwave video_decode_av1 video_encode_av1 pcie_version usb_version
@@ -50,9 +50,9 @@ FIELD_WEIGHTS = (
     )
 )
 #: Fields that are about the record rather than its content.
-SYSTEM_FIELDS = frozenset("id uuid completeness provenance sources updated source".split())
+SYSTEM_FIELDS = frozenset(("id", "uuid", "completeness", "provenance", "sources", "updated", "source"))
 #: Fields left out of listings unless asked for.
-HEAVY_FIELDS = tuple("provenance sources description video_decode video_encode devices alternative_names tags benchmarks rating".split())
+HEAVY_FIELDS = tuple(("provenance", "sources", "description", "video_decode", "video_encode", "devices", "alternative_names", "tags", "benchmarks", "rating"))
 
 
 def record_schema() -> T.StructType:

@@ -6,11 +6,14 @@ import json
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import record_schema
+from ..scratch import written
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -39,14 +42,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def read_catalogue(spark: SparkSession, json_path: str, parquet_path: str, backend: str = "parquet") -> DataFrame:
-    """The table, or the JSON files; a table that is missing or unreadable is built from JSON first."""
+    """The table, or the JSON files; a table that is missing is built from JSON first, any other failure is the caller's to see."""
     if backend == "json":
         return read_json(spark, json_path).drop("_file", "_pos")
     if backend != "parquet":
         raise ValueError(f"unknown backend: {backend}")
     try:
         return spark.read.parquet(parquet_path)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         read_json(spark, json_path).drop("_file", "_pos").write.mode("overwrite").partitionBy("vendor").parquet(parquet_path)
         return spark.read.parquet(parquet_path)
 
@@ -61,19 +66,27 @@ def by_id(df: DataFrame, value, id_col: str = "id") -> DataFrame:
 
 
 class CachedScan:
-    """A frame that is kept for ``ttl`` seconds and read anew after that."""
+    """A frame that is kept for ``ttl`` seconds and read anew after that; where reading fails, the fallback is read in its place."""
 
-    def __init__(self, load: Callable[[], DataFrame], ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
-        self.load, self.ttl, self.clock = load, ttl, clock
+    def __init__(self, load: Callable[[], DataFrame], ttl: float = 300.0, clock: Callable[[], float] = time.monotonic, fallback: Callable[[], DataFrame] | None = None):
+        self.load, self.ttl, self.clock, self.fallback = load, ttl, clock, fallback
         self.frame: DataFrame | None = None
         self.at = 0.0
 
     def get(self) -> DataFrame:
         if self.frame is None or self.clock() - self.at > self.ttl:
             self.clear()
-            self.frame, self.at = self.load().persist(), self.clock()
+            self.frame, self.at = self._read().persist(), self.clock()
         return self.frame
 
+    def _read(self) -> DataFrame:
+        try:
+            return self.load()
+        except (PySparkException, Py4JJavaError):
+            if self.fallback is None:
+                raise
+            return self.fallback()
+
     def clear(self) -> None:
         if self.frame is not None:
             self.frame.unpersist()
@@ -113,19 +126,27 @@ def live_or_baseline(live: DataFrame, baseline: DataFrame) -> DataFrame:
     return baseline if live.isEmpty() else live
 
 
-def follow_pages(pages: DataFrame, start: str, url: str = "url", following: str = "next_url", limit: int = 100) -> DataFrame:
-    """Pages reached from a start by their links to the next one, in order, each once."""
-    found, front = None, pages.where(F.col(url) == start).withColumn("page_no", F.lit(0))
-    for k in range(limit):
-        row = front.first()
-        if row is None:
-            break
-        found = front if found is None else found.unionByName(front)
-        nxt = row[following]
-        if not nxt or not found.where(F.col(url) == nxt).isEmpty():
+def follow_pages(pages: DataFrame, start: str, url: str = "url", following: str = "next_url") -> DataFrame:
+    """Pages reached from a start by their links to the next one, each once, with ``page_no`` from 0 on.
+
+    Links are followed by doubling: after k rounds the pages within 2**k steps
+    are known, so a chain of any length takes a number of rounds that is its
+    logarithm. A link back to a page that was met ends the chain.
+    """
+    links = pages.select(F.col(url).alias("u"), F.nullif(following, F.lit("")).alias("v")).where("v is not null").groupBy("u").agg(F.min("v").alias("v"))
+    links = written(links)
+    reached = written(pages.where(F.col(url) == start).select(F.col(url).alias("u"), F.lit(0).cast("long").alias("page_no")).distinct())
+    jump, step, n = links, 1, reached.count()
+    while True:
+        ahead = reached.join(jump, "u").select(F.col("v").alias("u"), (F.col("page_no") + step).alias("page_no"))
+        reached = written(reached.unionByName(ahead).groupBy("u").agg(F.min("page_no").alias("page_no")))
+        more = reached.count()
+        if more == n:
             break
-        front = pages.where(F.col(url) == nxt).withColumn("page_no", F.lit(k + 1))
-    return found if found is not None else front
+        n, step = more, 2 * step
+        onward = jump.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        jump = written(jump.join(onward, "v").select("u", F.col("w").alias("v")))
+    return pages.join(reached, F.col(url) == F.col("u")).drop("u").dropDuplicates([url]).orderBy("page_no")
 
 
 class Registry:

@@ -52,6 +52,7 @@ def limit_batch(requests: DataFrame, key: str, ts: str, order: str, limit: int,
         for b in batches:
             out = []
             for k, s in zip(b[key], b["_s"]):
+                k = None if pd.isna(k) else k  # requests without a key share a log
                 if k != current:
                     current, log = k, WindowLog(limit, window, inclusive)
                 out.append(log.check(s))

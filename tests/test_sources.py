@@ -3,9 +3,12 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from quarrion import cli
+from quarrion.functions import scalars
 from quarrion.operators import devicetree, enrich, extract
 from quarrion.sources import catalog, sinks
 from quarrion.streaming import batches, limits
@@ -45,6 +48,21 @@ def test_cache(spark):
     scan.get()
     assert len(loads) == 2
     scan.clear()
+    broken = lambda: spark.read.parquet("/nowhere/at/all")
+    assert catalog.CachedScan(broken, fallback=lambda: spark.range(4)).get().count() == 4
+    with pytest.raises(AnalysisException):
+        catalog.CachedScan(broken).get()
+
+
+def test_missing_table_is_built_and_other_failures_are_seen(spark, data, tmp_path):
+    table = str(tmp_path / "t")
+    assert catalog.read_catalogue(spark, str(data / "data"), table).count() == 3
+    before = sorted(p.name for p in (tmp_path / "t").rglob("*.parquet"))
+    for p in (tmp_path / "t").rglob("*.parquet"):
+        p.write_bytes(b"no table")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        catalog.read_catalogue(spark, str(data / "data"), table).collect()
+    assert sorted(p.name for p in (tmp_path / "t").rglob("*.parquet")) == before
 
 
 def test_sinks(spark, data):
@@ -85,8 +103,7 @@ def test_tables(spark):
     assert got == {(0, 1): {"model": "SM1", "gpu": "Adreno & co"}, (0, 2): {"model": "SM2"}}
     got = {r.name: r.fields for r in extract.transposed_records(cells.where("table_no = 1"), "k").collect()}
     assert got == {"One": {"gpu": "G1", "memory": "8 GB"}, "Two": {"gpu": "G2"}}
-    label = lambda t: t.rlike("(?i)gpu|memory")
-    assert {r.table_no: r.transposed for r in extract.is_transposed(cells, "k", label).collect()} == {0: False, 1: True}
+    assert {r.table_no: r.transposed for r in extract.is_transposed(cells, "k", scalars.is_spec_label).collect()} == {0: False, 1: True}
     assert extract.key_value_records(cells.where("table_no = 1"), "k").first().fields["gpu"] == "G1"
 
 
@@ -106,7 +123,12 @@ def test_device_tree(spark):
     got = {r.model: (r.id, r.name, r.vendor) for r in devicetree.records(tree, vendors).collect()}
     # A .dtsi file leaves an i where the pattern takes it.
     assert got == {"SM8550I": ("sm8550i", "Snapdragon SM8550I", "Qualcomm"), "SM8550": ("sm8550", "Snapdragon SM8550", "Qualcomm"), "BCM2711": ("bcm2711", "BCM2711", "Broadcom")}
-    assert devicetree.cpus(DTS, "x") == (2, "ARMv8.2-A", "compatible") and devicetree.cpus("none", "x") == (None, None, None)
+    texts = [(DTS, "x"), ("none", "x"), ("/ { cpus { cpu@0 { a; }; ", "x"), ("cpus { cpu@1 { x { y; }; }; }; cpu@2 { };", "arch/arm64/a"), ("cpus { };", "arch/arm64/b"), (None, "arch/arm64/c")]
+    got = spark.createDataFrame(texts, "t string, p string").select(devicetree.processors(F.col("t"), F.col("p")).alias("c")).collect()
+    assert [tuple(r.c) for r in got] == [(2, "ARMv8.2-A", "compatible"), (None, None, None), (None, None, None), (1, "ARMv8-A", "fallback"), (None, "ARMv8-A", "fallback"), (None, None, None)]
+    paths = [("../b/x.dtsi", "a/c"), ("./y", "a/"), ("z.dts", "a/b"), ("../../../q.dtsi", "a")]
+    got = spark.createDataFrame(paths, "t string, f string").select(devicetree.include_path(F.col("t"), F.col("f")).alias("p")).collect()
+    assert [r.p for r in got] == ["a/b/x.dtsi", "a/y.dtsi", "a/b/z.dts", "q.dtsi"]
     files = spark.createDataFrame([(TREE[0], '#include "inc/cpu.dtsi"'), ("arch/arm64/boot/dts/qcom/inc/cpu.dtsi", DTS)], "path string, content string")
     info = devicetree.cpu_info(files)
     assert {r.path: r.cores for r in info.collect()} == {TREE[0]: 2, "arch/arm64/boot/dts/qcom/inc/cpu.dtsi": 2}
@@ -141,6 +163,10 @@ def test_limit_stream_is_limit_batch(spark, tmp_path, sf):
 def test_pages_and_unions(spark):
     pages = spark.createDataFrame([("u1", "u2"), ("u2", "u3"), ("u3", "u1")], "url string, next_url string")
     assert [r.url for r in catalog.follow_pages(pages, "u1").orderBy("page_no").collect()] == ["u1", "u2", "u3"]
+    chain = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(150)] + [("u150", None), ("u900", "u3")], "url string, next_url string")
+    got = catalog.follow_pages(chain, "u0").collect()
+    assert [r.url for r in got] == [f"u{k}" for k in range(151)] and [r.page_no for r in got] == list(range(151))
+    assert catalog.follow_pages(chain, "none").count() == 0
     triples = spark.createDataFrame([("q1", "instance_of", "soc"), ("q1", "manufacturer", "v"), ("q1", "node", "7"), ("q2", "node", "5")], "s string, p string, o string")
     assert [tuple(r) for r in catalog.triple_query(triples, "v", ["soc"], "node").collect()] == [("q1", "7")]
     r = catalog.Registry()
