@@ -38,6 +38,8 @@ LEXICONS = FAMILIES * PARTS
 #: A feature counts from this many standard errors between the labels on, in a lexicon from so many rows of label 1.
 SIGNIFICANT, LEAST = 4.0, 3
 THRESHOLD = 0.7
+#: Rows of label 1 that a task counts at least, if there are more tasks than TASKS.
+TASK_ROWS, TASKS = 50_000, 16
 #: Counters of features of label 1, by which rarer ones are left out before the exact count, and how many of them are a row of its exchange.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 _SHOUT = re.compile(r"[!?]{2,}")
@@ -362,16 +364,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = [sum(n for (_, y), n in share.items() if y == k) for k in (0, 1)]
     if not all(total):
         return model
-    found = mine(rows, often_toxic(rows.where("_label = 1")), total).collect()  # what sets toxic rows apart, a matter of vocabulary and not of rows
+    found = mine(rows, often_toxic(rows.where("_label = 1").coalesce(max(TASKS, total[1] // TASK_ROWS))), total).collect()  # what sets toxic rows apart, a matter of vocabulary and not of rows
     strong = credit(rows, {r.f: r.lean for r in found}) if found else {}
     if not strong:
         return model
     model.entries = sorted(strong)
     model.voters = [strong[e] << e[1] * PARTS for e in model.entries]
     model.weight = [0.0] * len(model.entries)
-    # Of each label the rows of the smallest hashes; a repeated id counts once.
-    every = rows.groupBy(id_col).agg(F.min("_label").alias("y"), F.min("data").alias("data"))
-    take = lambda y: every.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
+    # Of each label the ids of the smallest hashes, then their rows; a repeated id counts once. At most 2 * SAMPLE_ROWS narrow rows are broadcast.
+    ids = rows.select(id_col, "_label").distinct()
+    take = lambda y: ids.where(F.col("_label") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).select(id_col)
+    sample = rows.join(F.broadcast(take(0).unionByName(take(1))), id_col).groupBy(id_col).agg(F.min("_label").alias("y"), F.min("data").alias("data"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
@@ -383,7 +386,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found.append((model.votes(fired, text), sorted(fired)))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("y"), pa.array([v for v, _ in found], pa.int32()), pa.array([f for _, f in found], pa.list_(pa.int32()))], [id_col, "y", "votes", "fs"])
 
-    seen = take(0).unionByName(take(1)).mapInArrow(look, f"`{id_col}` {kind}, y int, votes int, fs array<int>").toArrow().to_pylist()  # bounded like the sample
+    seen = sample.mapInArrow(look, f"`{id_col}` {kind}, y int, votes int, fs array<int>").toArrow().to_pylist()  # bounded like the sample
     seen.sort(key=lambda r: (r[id_col], r["fs"]))
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
