@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 from quarrion.llm import bpe, components, ctph, fmindex, hilbert, langid, lsa, secret_ledger, simhash, substrings, toxicity, urltree
 from quarrion.llm.common import WORD
 
@@ -59,9 +60,85 @@ def test_shards(spark, odd_texts):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_shards_follow_the_curve_and_prune(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, "x" * int(2 ** rng.uniform(0, 12)), rng.choice("abcd"), f"s{rng.randrange(12)}") for k in range(3000)], "doc_id long, text string, lang string, source string").repartition(5)
+    out = sorted(hilbert.shard_documents(docs, shards=30).collect(), key=lambda r: (r.shard, r.slot))
+    # The plain way: all rows in the order of their cells' index along the curve.
+    cells = [hilbert.category(F.col("lang"), 6), hilbert.category(F.col("source"), 6), hilbert.magnitude(F.octet_length("text") + 16, 6), hilbert.linear(F.col("doc_id"), 0, 2999, 6)]
+    own = docs.select("doc_id", "lang", "source", F.array(*cells).alias("c")).collect()
+    index = hilbert.hilbert_index(np.array([r.c for r in own]).T, 6)
+    curve = {r.doc_id: int(i) for r, i in zip(own, index)}
+    assert [curve[r.doc_id] for r in out] == sorted(curve.values()) and all(r.curve == curve[r.doc_id] for r in out)
+    # A shard has fewer values of each dimension than all rows have.
+    by, kind = {}, {r.doc_id: (r.lang, r.source) for r in own}
+    for r in out:
+        by.setdefault(r.shard, []).append(kind[r.doc_id])
+    sources = sum(len({s for _, s in rows_}) for rows_ in by.values()) / len(by)
+    assert sources < 9 and sum(len({x for x, _ in rows_}) for rows_ in by.values()) / len(by) < 3.5
+
+
 # ---------------------------------------------------------------- piecewise hashing
 
 
+def plain_fingerprint(text):
+    """Byte by byte: a window of seven, a piece's end where it meets the block size."""
+    data = text.encode()
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    out = []
+    for size in (block, 2 * block):
+        signature, start = "", 0
+        for k in range(len(data)):
+            h = 0
+            for j in range(min(7, k + 1)):
+                h += (data[k - j] + 1) * pow(0x01000193, j, 1 << 32)
+            h &= 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            h ^= h >> 13
+            if h % size == size - 1 and len(signature) < 63:
+                signature += letters[zlib.crc32(data[start : k + 1]) % 64]
+                start = k + 1
+        if start < len(data):
+            signature += letters[zlib.crc32(data[start:]) % 64]
+        out.append(signature)
+    return ":".join([str(block), *out])
+
+
+def plain_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x):
+            last, row[0] = row[0], i + 1
+            for j, q in enumerate(y):
+                last, row[j + 1] = row[j + 1], min(last + (p != q), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    def near(x, y):
+        return max(0.0, (1 - distance(x, y) / max(len(x), len(y), 1) - ctph.CHANCE) / (1 - ctph.CHANCE))
+
+    if a == b:
+        return 1.0
+    (p, a1, a2), (q, b1, b2) = a.split(":"), b.split(":")
+    if p == q:
+        return max(near(a1, b1), near(a2, b2))
+    return near(a1, b2) if int(p) == 2 * int(q) else near(a2, b1) if 2 * int(p) == int(q) else 0.0
+
+
+def test_ctph_is_the_plain_way(spark, odd_texts):
+    texts = [*[t for t in odd_texts if t is None or len(t) < 4000], words(70, 300), words(70, 300) + " more", words(71, 90)]
+    got = {r.doc_id: r for r in ctph.fingerprint_documents(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[(i - 1) % len(texts)] or ""
+        k = len(t) // 3
+        marks = [plain_fingerprint(x) for x in (t, t[: len(t) - k] + following[:k], following)]
+        assert [got[i].fingerprint, got[i].edited_fingerprint] == marks[:2]
+        assert abs(got[i].near_edited - plain_likeness(marks[0], marks[1])) < 1e-9 and abs(got[i].near_next - plain_likeness(marks[0], marks[2])) < 1e-9
+
+
 def test_ctph(spark, odd_texts):
     got = {r.doc_id: r for r in ctph.fingerprint_documents(frame(spark, odd_texts)).collect()}
     n = len(odd_texts)
@@ -172,6 +249,37 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
 
 
+def test_language_is_the_nearest_prototype(spark):
+    """Predictions and scores by plain dictionaries of bound trigrams."""
+    rng = random.Random(12)
+    sounds = {"x": ["ka", "to", "mi", "re"], "y": ["sch", "ung", "re", "to"], "z": ["ai", "eau", "mi", "ung"]}
+    texts, lang = [], []
+    for _ in range(90):
+        lang.append(rng.choice("xyz"))
+        texts.append(" ".join("".join(rng.choice(sounds[lang[-1]]) for _ in range(2)) for _ in range(rng.randrange(1, 6))))
+    texts += [None, "..."]
+    lang += ["x", "y"]
+    v = langid.letter_vectors().astype(int)
+
+    def profile(t):
+        s = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        s = " " + " ".join(s.split()) + " " if s.strip() else ""
+        code = lambda c: 0 if c == " " else ord(c) - 96
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            out += np.roll(v[code(a)], 2) * np.roll(v[code(b)], 1) * v[code(c)]
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(texts))]
+    proto = {x: sum(profile(t) for t, g, h in zip(texts, lang, held) if g == x and not h) for x in "xyz"}
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(zip(range(len(texts)), texts, lang)), "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        cos = {x: float(profile(t) @ p / np.linalg.norm(p)) for x, p in proto.items()}
+        best = max(sorted(cos), key=cos.get)
+        has = any(c.isalpha() for c in t or "")
+        assert out[i].lang_pred == (best if has else "und") and abs(out[i].score - (max(0, cos[best]) if has else 0)) < 1e-4
+
+
 def test_letters_of_all_planes():
     table = langid.symbol_table()
     assert all(bool(table[c]) == chr(c).isalpha() for c in range(0x110000))
@@ -745,6 +853,39 @@ def test_redact(spark, ledger):
         assert out[i] == (t and secret_ledger.cover(t, [s[1:] for s in secret_ledger.scan(t)[1]], "[secret]"))
 
 
+# ---------------------------------------------------------------- very long texts and repeated rows
+
+
+def test_very_long_texts(spark):
+    """A text beyond any slice or piece, beside short ones, for each operator that reads texts."""
+    long_ = words(77, 900_000, 5000)
+    texts = ["short text of a few words", long_, long_ + " end", words(78, 40, 5000)]
+    docs = frame(spark, texts)
+    n = [len(t) for t in texts]
+    assert [r.n_chars for r in sorted(ctph.fingerprint_documents(docs).collect())] == n
+    out = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert out[1].n_words == 900_000 and out[2].n_removed == 900_000 and out[2].kept_sha256 == hashlib.sha256(b"end").hexdigest()
+    assert rows(simhash.keep_one(docs), "doc_id") == [(0,), (1,), (3,)]
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id in (1, 2)}) == 1
+    item = " ".join(long_.split()[700_000:700_040])
+    assert rows(lsa.contaminated(docs, spark.createDataFrame([(1, item)], "item_id int, text string")), "doc_id") == [(1,), (2,)]
+    assert langid.identify(docs).count() == 4 and secret_ledger.scan_documents(docs, secret_ledger.ledger_path(spark)).count() == 4
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 4
+
+
+def test_repeated_rows(spark):
+    t = [words(k, 80, 3000) for k in range(4)]
+    texts, ids = [t[0], t[0], t[1], t[2], t[2], None, None], [1, 1, 2, 3, 4, 5, 5]
+    docs = frame(spark, texts, ids)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    for out in (toxicity.score_documents(docs, labels), langid.identify(docs), hilbert.shard_documents(docs), ctph.fingerprint_documents(docs), substrings.remove_repeats(docs), simhash.near_duplicates(docs)):
+        assert sorted(r.doc_id for r in out.collect()) == sorted(ids)
+    assert rows(lsa.contaminated(docs, spark.createDataFrame([(9, t[0])], "item_id long, text string")), "doc_id") == [(1,), (1,)]
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (1, None)], "page_id long, url string")
+    assert rows(urltree.judge(pages), "page_id", "verdict") == [(1, "allow"), (1, "block"), (1, "block")]
+
+
 # ---------------------------------------------------------------- empty tables
 
 
