@@ -99,5 +99,13 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * F.get(table, n) / total)
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of the letters a to z and the digits stands in a text, in either case, and how many other characters there are."""
+    low = F.lower(text)
+    n = lambda c: F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))
+    known = F.array(*[n(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    return F.concat(known, F.array(F.length(low) - F.aggregate(known, F.lit(0), lambda x, y: x + y)))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_ratio(token_sort(a), token_sort(b))

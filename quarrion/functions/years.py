@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,14 +126,25 @@ def infer_year(model: Column, name: Column, vendor: Column) -> Column:
     return F.when(found != _STOP, found)
 
 
-def with_inferred_year(df: DataFrame, out: str, barrier: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Adds infer_year of a frame's model, name and vendor, part by part, so that each is compiled."""
+#: What a text needs to have for any rule to match.
+_ANY = r"\d|THOR|SNAPDRAGON"
+
+
+def with_inferred_year(df: DataFrame, out: str, barrier: Callable[[DataFrame], DataFrame], wanted: Column) -> DataFrame:
+    """Adds infer_year of a frame's model, name and vendor where it is wanted, part by part, so that each is compiled.
+
+    A text that no rule can match, or that comes after one that gave a year,
+    is null to the rules and costs none of their patterns.
+    """
     vendor = F.coalesce("vendor", F.lit(""))
     found = []
     for c in ("model", "name"):
         for part in (0, 1):
+            t = F.upper(F.coalesce(c, F.lit("")))
+            todo = reduce(lambda x, y: x & y, [F.col(f).isNull() for f in found], wanted)
             name = f"_{c}_{part}"
-            df = barrier(df.withColumn(name, _parts(F.upper(F.coalesce(c, F.lit(""))), vendor)[part]))
+            df = barrier(df.withColumn("_t", F.when(todo & t.rlike(_ANY), t)))
+            df = barrier(df.withColumn(name, _parts(F.col("_t"), vendor)[part]))
             found.append(name)
     year = F.coalesce(*found)
-    return df.withColumn(out, F.when(year != _STOP, year)).drop(*found)
+    return df.withColumn(out, F.when(year != _STOP, year)).drop("_t", *found)

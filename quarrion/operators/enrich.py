@@ -125,7 +125,7 @@ def validate_year(df: DataFrame, strict: bool = False) -> DataFrame:
     """Drops years out of range and infers missing ones; inferred years are checked only if strict."""
     low, high = VALID_YEARS
     own = F.when(F.col("year").between(low, high), F.col("year"))
-    df = with_inferred_year(df, "_inferred", barrier)
+    df = with_inferred_year(df, "_inferred", barrier, own.isNull())
     found = F.col("_inferred")
     if strict:
         found = F.when(found.between(low, high), found)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_id, extract_model, normal_model, token_sort_ratio
+from ..functions.text import canonical_id, extract_model, indel_ratio, letter_counts, normal_model, token_sort
 from ..schema import is_filled
 from .windows import first_wins
 
@@ -22,14 +23,24 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
 def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
     """(n_id, e_id, score) of names alike within a vendor.
 
-    Blocked by vendor; pairs whose lengths alone rule the score out are never
-    compared, and equal names are compared once.
+    Blocked by vendor and by length: a name meets only those whose lengths
+    don't rule the score out, by bands of lengths that overlap. Names whose letter counts rule it out
+    are dropped before the score is taken, and equal names are compared once.
     """
-    a = new.where((F.col("n_name") != "") & (F.col("n_vendor") != "")).select(F.lower("n_vendor").alias("v"), "n_name").distinct()
-    b = old.where((F.col("e_name") != "") & (F.col("e_vendor") != "")).select(F.lower("e_vendor").alias("v"), "e_name").distinct()
-    la, lb = F.length("n_name"), F.length("e_name")
-    near = (F.lit(200.0) * F.least(la, lb) / (la + lb)) >= least
-    pairs = a.join(b, "v").where(near).withColumn("score", token_sort_ratio(F.col("n_name"), F.col("e_name"))).where(F.col("score") >= least)
+    ratio = least / (200.0 - least)  # of the lengths of two names that reach the score
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(-log(ratio) + 1e-9)).cast("int")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        named = df.where((F.col(p + "name") != "") & (F.col(p + "vendor") != "")).select(F.lower(p + "vendor").alias("v"), p + "name").distinct()
+        named = named.withColumn(p + "s", token_sort(F.col(p + "name"))).where(F.length(p + "s") > 0)
+        return named.withColumn(p + "len", F.length(p + "s")).withColumn(p + "letters", letter_counts(F.col(p + "s")))
+
+    a, b = side(new, "n_"), side(old, "e_")
+    a = a.withColumn("band", F.explode(F.array(*[band(F.col("n_len")) + k for k in (-1, 0, 1)])))
+    length = F.col("n_len") + F.col("e_len")
+    common = F.aggregate(F.zip_with("n_letters", "e_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    met = a.join(b.withColumn("band", band(F.col("e_len"))), ["v", "band"]).where(F.lit(200.0) * F.least("n_len", "e_len") / length >= least).where(F.lit(200.0) * common / length >= least)
+    pairs = met.withColumn("score", indel_ratio(F.col("n_s"), F.col("e_s"))).where(F.col("score") >= least).select("v", "n_name", "e_name", "score")
     out = new.withColumn("v", F.lower("n_vendor")).join(pairs, ["v", "n_name"]).join(old.withColumn("v", F.lower("e_vendor")), ["v", "e_name"])
     return out.select("n_id", "e_id", "score")
 

@@ -157,6 +157,30 @@ def test_provenance(spark):
     assert [pick("1", "2", "b", "a"), pick("1", "2", "a", "b"), pick("1", "2", "x", "b"), pick("1", "2", "x", "y"), pick("", "2", "a", "b"), pick("1", "", "b", "a")] == ["2", "1", "2", "1", "2", "1"]
 
 
+def test_fuzzy_is_complete(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "Pro", "X1", "20", "é"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+
+    def ratio(a, b):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return 200.0 * row[-1] / (len(a) + len(b))
+
+    rows = [(str(k), n, "v" if k % 3 else "W") for k, n in enumerate(names)]
+    side = lambda p: spark.createDataFrame(rows, f"{p}id string, {p}name string, {p}vendor string")
+    for least in (80.0, 92.0):
+        got = {(r.n_id, r.e_id): r.score for r in resolve.fuzzy_candidates(side("n_"), side("e_"), least).collect()}
+        want = {(a[0], b[0]): ratio(a[1], b[1]) for a in rows for b in rows if a[2] == b[2] and ratio(a[1], b[1]) >= least}
+        assert got == pytest.approx(want)
+
+
 def test_drift(spark):
     keys = spark.createDataFrame([("s", "a"), ("s", "x"), ("t", "a")], "source string, key string")
     want = spark.createDataFrame([("s", ["a", "b"]), ("u", ["a"])], "source string, expected array<string>")
