@@ -45,7 +45,7 @@ _PUNCTUATION = ".,;:!?\"'()[]{}<>|#*%$&-_"
 class _Terms(dict):
     def __missing__(self, word: str) -> int:
         t = zlib.crc32((word.strip(_PUNCTUATION) or word).encode())
-        if len(self) >= 200_000:
+        if len(self) >= 50_000:
             self.clear()
         self[word] = t
         return t

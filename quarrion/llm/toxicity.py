@@ -66,7 +66,7 @@ class Words(dict):
         self.often = often
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 100_000:
+        if len(self) >= 50_000:
             self.clear()
         out = []
         for spelling, family in word_features(word):
@@ -191,7 +191,7 @@ def mine(rows: DataFrame, often: bytes, total: list[int]) -> DataFrame:
         for batch in batches:
             for data, part, y in zip(batch.column("data"), batch.column("_part").to_pylist(), batch.column("_label").to_pylist()):
                 got[2 * part + y].update(words.features(expand(data.as_py())))
-                if sum(map(len, got)) > 300_000:
+                if sum(map(len, got)) > 100_000:
                     yield from out()
         yield from out()
 
@@ -254,7 +254,7 @@ class Entered(Words):
         self.entries, self.spelt = entries, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 100_000:
+        if len(self) >= 50_000:
             self.clear()
         out = []
         for spelling, family in word_features(word):
