@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import first_match, first_prefix, ladder, number
+from ..functions.rules import barrier, first_match, first_prefix, ladder, number
 from ..functions.text import canonical_id, strip_now
 from ..functions.years import with_inferred_year
 from ..knowledge import knowledge as default_knowledge
@@ -208,8 +208,3 @@ def enrich(df: DataFrame, facts: dict | None = None, on: date = date(2026, 1, 1)
     df = barrier(infer_modem(infer_npu(infer_storage(df))))
     df = barrier(infer_aliases(infer_bluetooth(infer_wifi(df))))
     return score(df, on)
-
-
-def barrier(df: DataFrame) -> DataFrame:
-    """A projection that the optimizer doesn't merge with what follows: the row goes through an array of one."""
-    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")

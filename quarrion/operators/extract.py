@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ from ..functions.scalars import (
     parse_year,
     record_name,
 )
+from ..functions.rules import barrier
 from ..functions.text import clean, extract_model, slug
 from .filters import NAME_PREFIXES, valid_name
 from .windows import first_wins
@@ -195,12 +197,16 @@ TYPED = {
 }
 
 
-def typed(fields: Column) -> dict[str, Column]:
-    """What the parsers of a record's fields (a map from field to text) give; a field that a parser doesn't fill is null.
+#: Fields of a page's tables that go to parsers.
+FIELDS = ("cpu", "gpu", "process", "memory", "modem", "connectivity", "video", "display", "camera", "year", "npu", "charging", "storage", "location")
 
-    Each field's text goes to the parser of its kind, text without one is cut to 80 letters.
+
+def typed(text: Callable[[str], Column]) -> dict[str, Column]:
+    """What the parsers of a record's fields give; a field that a parser doesn't fill is null.
+
+    ``text`` gives the text of each of FIELDS; it goes to the parser of its
+    kind, text without one is cut to 80 letters.
     """
-    text = lambda k: F.try_element_at(fields, F.lit(k))
     short = lambda k: F.left(F.trim(text(k)), F.lit(80))
     cpu, gpu, process, memory, modem, radio, camera = (f(text(k)) for f, k in ((parse_cpu, "cpu"), (parse_gpu, "gpu"), (parse_process, "process"), (parse_memory, "memory"), (parse_modem, "modem"), (parse_connectivity, "connectivity"), (parse_camera, "camera")))
     out = {
@@ -235,7 +241,7 @@ def page_records(cells: DataFrame, key: str, vendor: Column) -> DataFrame:
     maker = vendor.alias("vendor")
     rows = rows.withColumn("_cell", clean(F.col("_first"))).select("*", maker)
     name = F.coalesce(heading_name(F.col("vendor"), F.col("_heading")), record_name(F.coalesce("_cell", F.lit("")), F.coalesce("_heading", F.lit("")), NAME_PREFIXES))
-    rows = rows.withColumn("name", name).where(valid_name(F.col("name")))
+    rows = barrier(rows.withColumn("name", name)).where(valid_name(F.col("name")))
     upright = standard_records(plain, key)
     out = rows.join(upright, [key, "table_no", "row_no"], "left").select(key, "table_no", F.col("row_no").alias("_place"), "vendor", "name", F.coalesce(extract_model(F.col("_first")), F.left(F.trim(F.try_element_at("fields", F.lit("model"))), F.lit(120))).alias("model"), "_heading", "fields", F.lit(False).alias("_turned"))
     turned = cells.join(layout.where("transposed").select(key, "table_no"), [key, "table_no"])
@@ -244,11 +250,15 @@ def page_records(cells: DataFrame, key: str, vendor: Column) -> DataFrame:
     # Short or doubtful names go with the vendor's before them.
     given = clean(F.col("name"))
     doubtful = ~valid_name(given) | (F.length(given) <= 4) | given.rlike(r"^G\d|^[A-Z]\d\s*\(")
-    side = side.withColumn("name", F.when(doubtful, F.concat_ws(" ", "vendor", given)).otherwise(given)).where(valid_name(F.col("name")))
+    side = side.withColumn("name", F.when(doubtful, F.concat_ws(" ", "vendor", given)).otherwise(given))
+    side = barrier(side).where(valid_name(F.col("name")))
     out = out.unionByName(side.select(key, "table_no", F.col("col_no").alias("_place"), "vendor", "name", F.lit(None).cast("string").alias("model"), "_heading", "fields", F.lit(True).alias("_turned")))
     year = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"(20[0-2]\d)", 1).try_cast("int")
     fits = lambda c: F.when(year(c).between(2007, 2030), year(c))
-    values = typed(F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    # Each field's text is a column of its own before the parsers look at it.
+    texts = [F.try_element_at("fields", F.lit(k)).alias("_" + k) for k in FIELDS]
+    out = barrier(out.select("*", *texts).drop("fields"))
+    values = typed(lambda k: F.col("_" + k))
     values["year"] = F.coalesce(values["year"], fits(F.col("name")), fits(F.col("model")), fits(F.col("_heading")))
     for k, default in (("cores", DEFAULT_CORES), ("architecture", DEFAULT_ARCHITECTURE)):
         values[k] = F.coalesce(F.when(F.col("_turned"), values[k]), F.lit(default))
