@@ -62,17 +62,27 @@ def _upper(name: str) -> Column:
     return F.upper(F.coalesce(F.col(name), F.lit("")))
 
 
-def _known(field: str, knowledge: dict | None) -> Column:
+def _known(field: str, knowledge: dict | None, upper: bool = False) -> Column:
     """First entry of the vendor's map whose key is in the model; the maps are one literal, whatever their length."""
     entry = lambda k, v: F.struct(F.lit(k.upper()).alias("k"), F.lit(str(v)).alias("v"))
     maps = {vendor: facts[field] for vendor, facts in (knowledge or {}).items() if facts.get(field)}
     if not maps:
         return F.lit(None).cast("string")
     table = F.create_map(*[x for vendor, known in maps.items() for x in (F.lit(vendor), F.array(*[entry(k, v) for k, v in known.items()]))])
-    model = _upper("model")
+    model = F.col("_upper") if upper else _upper("model")
     return F.get(F.filter(F.try_element_at(table, F.col("vendor")), lambda e: model.contains(e["k"])), F.lit(0))["v"]
 
 
+def with_known(df: DataFrame, knowledge: dict | None) -> DataFrame:
+    """Adds what is known of the model as columns, so that rules that run twice look it up once."""
+    df = barrier(df.withColumn("_upper", _upper("model")))
+    return barrier(df.withColumns({f"_{f}": _known(f, knowledge, True) for f in ("process_map", "gpu_map")}).drop("_upper"))
+
+
+def _fact(df: DataFrame, field: str, knowledge: dict | None) -> Column:
+    return F.col(f"_{field}") if f"_{field}" in df.columns else _known(field, knowledge)
+
+
 def clean_names(df: DataFrame) -> DataFrame:
     """Drops ``(now ...)`` notes; a model that is empty becomes the name if that looks like a model, else the id."""
     df = df.withColumn("name", strip_now(F.col("name"))).withColumn("model", strip_now(F.col("model")))
@@ -105,7 +115,7 @@ def infer_memory(df: DataFrame) -> DataFrame:
 
 
 def infer_process(df: DataFrame, knowledge: dict | None = None) -> DataFrame:
-    found = F.coalesce(_known("process_map", knowledge).cast("int"), ladder(F.nullif("year", F.lit(0)), *YEAR_PROCESS))
+    found = F.coalesce(_fact(df, "process_map", knowledge).cast("int"), ladder(F.nullif("year", F.lit(0)), *YEAR_PROCESS))
     had = is_filled(df, "process_nm")
     df = df.withColumn("process_name", F.when(~had & found.isNotNull(), F.concat(found.cast("string"), F.lit("nm"))).otherwise(F.col("process_name")))
     return _set(df, "process_nm", found)
@@ -118,7 +128,7 @@ def infer_gpu(df: DataFrame, knowledge: dict | None = None) -> DataFrame:
         default = F.when(F.col("vendor") == v, g).otherwise(default)
     for v, steps in VENDOR_GPU_BY_YEAR.items():
         default = F.when(F.col("vendor") == v, ladder(year, *steps)).otherwise(default)
-    return _set(df, "gpu", F.coalesce(_known("gpu_map", knowledge).cast("string"), F.when(year.isNotNull(), default)))
+    return _set(df, "gpu", F.coalesce(_fact(df, "gpu_map", knowledge).cast("string"), F.when(year.isNotNull(), default)))
 
 
 def validate_year(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -200,10 +210,10 @@ def enrich(df: DataFrame, facts: dict | None = None, on: date = date(2026, 1, 1)
         completeness="double", sources="map<string,string>", provenance="map<string,string>",
     )
     # Rules read what earlier rules filled in: without barriers their expressions would be copied into one another.
-    df = barrier(fill_uuid(clean_names(df)))
+    df = with_known(fill_uuid(clean_names(df)), knowledge)
     df = infer_gpu(infer_process(barrier(infer_memory(infer_cpu(df, knowledge))), knowledge), knowledge)
     df = barrier(validate_year(barrier(df), strict))
-    df = infer_gpu(infer_process(df, knowledge), knowledge)
+    df = infer_gpu(infer_process(df, knowledge), knowledge).drop("_process_map", "_gpu_map")
     df = barrier(infer_memory(df))
     df = barrier(infer_modem(infer_npu(infer_storage(df))))
     df = barrier(infer_aliases(infer_bluetooth(infer_wifi(df))))
