@@ -10,6 +10,8 @@ arrays, over many entry by entry; both do the same work in linear time.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Entries a bucket has on average from which on a scan goes bucket by bucket.
@@ -81,29 +83,32 @@ def _by_bucket(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.nda
 
 
 def _by_entry(t: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    text, s, n = t.tolist(), small.tolist(), len(t)
+    n = len(t)
     sa = np.full(n, -1, np.int32)
     own = t[lms]
     new = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
-    for_end = np.arange(len(own)) - np.repeat(new[1:], np.diff(new))
-    sa[starts[own + 1] + for_end] = lms
-    sa = sa.tolist()
-    head = starts[:-1].tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = (starts[1:] - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = text[p]
-            sa[tail[c]] = p
-            tail[c] -= 1
+    sa[starts[own + 1] + np.arange(len(own)) - np.repeat(new[1:], np.diff(new))] = lms
+    sa = array("i", sa.tobytes())  # arrays, not lists: places are met in no order, and few bytes stay in the cache
+    # For each position the bucket of the one on its left if that is to be placed, else -1; the last entry is that of empty places.
+    larger, smaller = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+    larger[1:n][~small[:-1]] = t[:-1][~small[:-1]]
+    smaller[1:n][small[:-1]] = t[:-1][small[:-1]]
+    to, at = array("i", larger.tobytes()), starts[:-1].tolist()
+    for i in sa:  # places that are filled on the way are met later
+        c = to[i]
+        if c >= 0:
+            h = at[c]
+            sa[h] = i - 1
+            at[c] = h + 1
+    to, at = array("i", smaller.tobytes()), (starts[1:] - 1).tolist()
+    for i in reversed(sa):
+        c = to[i]
+        if c >= 0:
+            h = at[c]
+            sa[h] = i - 1
+            at[c] = h - 1
     sa[0] = n - 1
-    return np.array(sa, np.int32)
+    return np.frombuffer(sa, np.int32)
 
 
 def induced(t: np.ndarray, small: np.ndarray, top: int, lms: np.ndarray) -> np.ndarray:
