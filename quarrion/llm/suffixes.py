@@ -29,8 +29,8 @@ GRAM = 48
 PIECE = 400_000
 #: Windows that a segment has at most: one symbol over and over gives equal segments, not ever longer ones.
 RUN = 4_096
-#: Bytes of a shard's entries on average, and of a key's entries from which on its windows are dealt out one by one.
-SHARD, HOT = 1_000_000, 250_000
+#: Bytes of a shard's entries on average, and of a key's entries from which on its windows are dealt out to many shards.
+SHARD, HOT = 1_000_000, 1_000_000
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
         ranges = ranges.unionByName(dealt_ranges(entries.join(hot, "key"), width))
     ranges = materialise(ranges, "ranges")
     stand = parts.where("own is null").select("row", "start", "mark")
-    gone = stand.join(ranges, "mark").select("row", "start", "ranges").groupBy("row").agg(F.flatten(F.collect_list(F.transform("ranges", lambda r: F.struct((r["begin"] + F.col("start")).alias("begin"), (r["end"] + F.col("start")).alias("end"))))).alias("gone"))
+    gone = shifted(stand.join(ranges, "mark"), "row")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,56 +256,83 @@ def sorted_ranges(entries: DataFrame, width: int) -> DataFrame:
     return out.where(F.size("ranges") > 0)
 
 
-def dealt_ranges(entries: DataFrame, width: int) -> DataFrame:
-    """The same for keys of many bytes, window by window.
+def bands(own: bytes, ranges: list[tuple[int, int]], span: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first, last) of the windows of some ranges of an entry, by where their gram stands in them, ``span`` places a band.
 
-    Windows are counted by a 64-bit hash, which drops those that stand at one place; each of
-    the others is an entry of its own, keyed by that hash, so that a hot key is spread over all shards.
+    The key is a hash of the bytes that all windows of a band have, and of the
+    band's number, so equal windows have equal keys, and windows that differ where the band says so don't.
     """
+    data = np.frombuffer(own, np.uint8)
+    h = mixed(rolled(data, min(GRAM, width)))
+    at = np.flatnonzero(h == h.min())
+    core = rolled(data, width + 1 - span)
+    s = np.concatenate([np.arange(a, b + 1) for a, b in ranges])
+    p = at[np.searchsorted(at, s)]
+    band = (p - s) // span
+    new = np.flatnonzero(np.append(True, (np.diff(s) != 1) | (np.diff(p) != 0) | (np.diff(band) != 0)))
+    last = np.append(new[1:], len(s)) - 1
+    key = mixed(core[p[new] - band[new] * span] + band[new].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+    return zip(key.tolist(), s[new].tolist(), s[last].tolist())
 
-    def hashes(own: bytes) -> np.ndarray:
-        return mixed(rolled(np.frombuffer(own, np.uint8), width)).view(np.int64)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, n in zip(batch.column("own"), batch.column("n").to_pylist()):
-                h, many = np.unique(hashes(own.as_py()), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(many * n)], ["key", "n"])
 
-    counted = entries.select("own", "n").mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    counted = materialise(counted, "window-keys")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for mark, own in zip(batch.column("mark"), batch.column("own")):
-                h = hashes(own.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([mark.as_py()] * len(h), pa.binary()), pa.array(h), pa.array(np.arange(len(h), dtype=np.int64))], ["parent", "key", "start"])
+def dealt_ranges(entries: DataFrame, width: int) -> DataFrame:
+    """The same for keys of many bytes, whose windows are dealt out by more than their smallest gram.
 
-    stand = entries.select("mark", "own").mapInArrow(place, "parent binary, key long, start long").join(counted, "key")
-    by_entry = stand.groupBy("parent").agg(F.collect_list(F.struct("key", "start")).alias("windows"))
-    stand = materialise(entries.join(by_entry, F.col("mark") == F.col("parent")).select("mark", "own", "n", "windows"), "windows")
+    In rounds of ever narrower bands, windows of a band that stands at one
+    place go; what is left of keys that are small enough is sorted, the others go on to
+    the next round. In the last one a band is a single window, and equal windows are one entry. So a round makes
+    a few rows of an entry, whatever a key's entries.
+    """
+    rest = entries.select("mark", "own", "n", F.array(F.struct(F.lit(0).alias("a"), (F.length("own") - width).alias("b"))).alias("ranges"))
+    found = []
+    for span in (64, 8, 1):
+        span = min(span, width - min(GRAM, width) + 1)
+
+        def deal(batches: Iterator[pa.RecordBatch], span: int = span) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(mark, n, *band) for mark, own, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("mark", "own", "n", "ranges"))) for band in bands(own, [(r["a"], r["b"]) for r in ranges], span, width)]
+                if out:
+                    columns = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:3]), *(pa.array(c, pa.int32()) for c in columns[3:])], ["parent", "n", "key", "a", "b"])
+
+        dealt = materialise(rest.mapInArrow(deal, "parent binary, n long, key long, a int, b int"), "bands")
+        weights = dealt.groupBy("key").agg(F.sum("n").alias("places"), F.sum(F.col("b") - F.col("a") + width).alias("bytes")).where("places > 1")
+        left = materialise(dealt.drop("n").join(weights.select("key", (F.col("bytes") > (HOT if span > 1 else 1 << 62)).alias("hot")), "key"), "left")
+        found.append(left.where("not hot").drop("hot"))
+        on = left.where("hot").groupBy("parent").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+        rest = entries.select("mark", "own", "n").join(on, F.col("mark") == F.col("parent")).drop("parent")
+        if span == 1 or rest.isEmpty():
+            break
+    places = found[0]
+    for more in found[1:]:
+        places = places.unionByName(more)
+    of_entry = places.groupBy("parent").agg(F.collect_list(F.struct("key", "a", "b")).alias("bands"))
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As in ``cut``: where the bands' texts stand in entries, and once a batch the texts with the number of places."""
         for batch in batches:
-            held: dict[bytes, list] = {}
-            for own, n, windows in zip(batch.column("own"), batch.column("n").to_pylist(), batch.column("windows")):
-                own = own.as_py()
-                for w in windows.as_py():
-                    text = own[w["start"] : w["start"] + width]
-                    held.setdefault(digest(text), [w["key"], text, 0])[2] += n
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in held.values()], pa.int64()), pa.array(list(held), pa.binary()), pa.array([v[1] for v in held.values()], pa.binary()), pa.array([v[2] for v in held.values()], pa.int64())], ["key", "mark", "own", "n"])
-
-    single = stand.select("own", "n", "windows").mapInArrow(carve, "key long, mark binary, own binary, n long").groupBy("key", "mark").agg(F.first("own").alias("own"), F.sum("n").alias("n"))
-    hits = sorted_ranges(materialise(single, "single-windows"), width).select(F.col("mark").alias("window"))
-
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for mark, own, windows in zip(batch.column("mark"), batch.column("own"), batch.column("windows")):
-                own, starts = own.as_py(), [w["start"] for w in windows.as_py()]
-                marks = [digest(own[s : s + width]) for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([mark.as_py()] * len(starts), pa.binary()), pa.array(starts, pa.int64()), pa.array(marks, pa.binary())], ["mark", "start", "window"])
-
-    places = stand.select("mark", "own", "windows").mapInArrow(where, "mark binary, start long, window binary")
-    one = F.struct(F.col("start").alias("begin"), (F.col("start") + width).alias("end"))
-    return places.join(hits, "window").groupBy("mark").agg(F.collect_list(one).alias("ranges"))
+            texts: dict[tuple[int, bytes], list] = {}
+            stand: list[tuple[bytes, int, bytes]] = []
+            for mark, own, n, many in zip(*(batch.column(c).to_pylist() for c in ("mark", "own", "n", "bands"))):
+                for band in many:
+                    text = own[band["a"] : band["b"] + width]
+                    unit = digest(text)
+                    texts.setdefault((band["key"], unit), [text, 0])[1] += n
+                    stand.append((mark, band["a"], unit))
+            k, m = len(stand), len(texts)
+            if k:
+                parent, start, unit = zip(*stand)
+                yield pa.RecordBatch.from_arrays([pa.array(parent, pa.binary()), pa.array(start, pa.int64()), pa.array(unit, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array([t[1] for t in texts], pa.binary()), pa.array([t[0] for t in texts], pa.int64()), pa.array([v[0] for v in texts.values()], pa.binary()), pa.array([v[1] for v in texts.values()], pa.int64())], names)
+
+    names = ["parent", "start", "mark", "key", "own", "n"]
+    parts = materialise(entries.select("mark", "own", "n").join(of_entry, F.col("mark") == F.col("parent")).drop("parent").mapInArrow(carve, "parent binary, start long, mark binary, key long, own binary, n long"), "band-texts")
+    units = parts.where("own is not null").groupBy("key", "mark").agg(F.first("own").alias("own"), F.sum("n").alias("n"))
+    hits = sorted_ranges(materialise(units, "band-units"), width)
+    return shifted(parts.where("own is null").select("parent", "start", "mark").join(hits, "mark"), "parent").select(F.col("parent").alias("mark"), F.col("gone").alias("ranges"))
+
+
+def shifted(hits: DataFrame, by: str) -> DataFrame:
+    """(by, gone): the ranges of each hit, from where it stands, of one row or entry."""
+    moved = F.transform("ranges", lambda r: F.struct((r["begin"] + F.col("start")).alias("begin"), (r["end"] + F.col("start")).alias("end")))
+    return hits.select(by, moved.alias("r")).groupBy(by).agg(F.flatten(F.collect_list("r")).alias("gone"))
