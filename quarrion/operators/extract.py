@@ -149,28 +149,6 @@ def elements(pages: DataFrame, key: str, tags: list[str], html: str = "html") ->
     return pages.select(key, html).lateralJoin(Elements(F.col(html).outer(), F.lit(",".join(tags)))).select(key, "tag", "place", "text", "href")
 
 
-def is_transposed(cells: DataFrame, key: str, label) -> DataFrame:
-    """(key, table_no, transposed): whether the records of a table are its columns.
-
-    Its corner is blank, it has three rows or more, two of them with data cells,
-    and either more than two data rows for each column or labels in half of the first five
-    data rows' first cells.
-    """
-    data = F.min_by(F.when(~F.col("is_header"), F.col("text")), F.when(~F.col("is_header"), F.col("col_no")))
-    rows = cells.groupBy(key, "table_no", "row_no").agg(data.alias("first"), F.max(~F.col("is_header")).alias("data"), F.count("*").alias("n"), F.min_by("text", "col_no").alias("corner"))
-    is_data = (F.col("row_no") > 0) & F.col("data")
-    per = rows.groupBy(key, "table_no").agg(
-        (F.max("row_no") + 1).alias("rows"),
-        F.coalesce(F.max(F.when(F.col("row_no") == 0, F.col("corner"))), F.lit("")).alias("corner"),
-        F.coalesce(F.max(F.when(F.col("row_no") == 0, F.col("n"))), F.lit(0)).alias("cols"),
-        F.slice(F.sort_array(F.collect_list(F.when(is_data, F.struct("row_no", "first")))), 1, 5).alias("early"),
-        F.count(F.when(is_data, 1)).alias("data"),
-    )
-    labels = F.size(F.filter("early", lambda r: label(r["first"])))
-    found = (F.col("rows") >= 3) & (F.trim("corner") == "") & (F.col("data") >= 2) & ((F.col("data") > 2 * F.col("cols")) | (2 * labels >= F.size("early")))
-    return per.select(key, "table_no", F.coalesce(found, F.lit(False)).alias("transposed"))
-
-
 def standard_records(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_no, row_no, fields): each row below the header as a map from detected field to text, the first cell of a field."""
     head = cells.where("row_no = 0").select(key, "table_no", "col_no", detect_column(F.lower(F.trim("text"))).alias("field")).where("field is not null")
@@ -179,16 +157,6 @@ def standard_records(cells: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "table_no", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "text")))).alias("fields"))
 
 
-def transposed_records(cells: DataFrame, key: str) -> DataFrame:
-    """(key, table_no, col_no, name, fields): each header cell but the first is a record, row labels choose the fields."""
-    names = cells.where((F.col("row_no") == 0) & (F.col("col_no") > 0) & (F.trim("text") != "")).select(key, "table_no", "col_no", F.col("text").alias("name"))
-    labels = cells.where((F.col("row_no") > 0) & (F.col("col_no") == 0)).select(key, "table_no", "row_no", detect_column(F.lower(F.trim("text"))).alias("field")).where("field is not null")
-    body = cells.where((F.col("row_no") > 0) & (F.col("col_no") > 0)).withColumn("text", cell_text(F.col("text"))).where("text is not null")
-    rows = first_wins(body.join(labels, [key, "table_no", "row_no"]), [key, "table_no", "col_no", "field"], ["row_no"])
-    fields = rows.groupBy(key, "table_no", "col_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "text")))).alias("fields"))
-    return names.join(fields, [key, "table_no", "col_no"], "left")
-
-
 #: Fields of a typed record that parsers fill, with their types.
 TYPED = {
     "cores": "int", "architecture": "string", "gpu": "string", "gpu_clock": "int", "process_nm": "int", "process_name": "string", "memory_type": "string", "memory_clock": "int", "memory_max": "int", "memory_bus": "int",
@@ -223,49 +191,6 @@ DEFAULT_CORES, DEFAULT_ARCHITECTURE = 8, "ARMv8.2-A"
 SKIPPED_SECTIONS = ("features of", "comparison", "acronym", "bluetooth", "qcc", "finances", "acquisitions", "products", "history")
 
 
-def page_records(cells: DataFrame, key: str, vendor: Column) -> DataFrame:
-    """Typed records of pages' tables: id, name, vendor, model and the fields of TYPED, the first record of each (vendor, id).
-
-    Tables of skipped sections give none. A record's name is what its section's heading says for vendors
-    whose tables have none, else its first data cell or the heading; names
-    that can be no record's are left out. Header cells choose each column's
-    field, the first column of a field counts. The given cores and
-    architecture stand; only tables whose records are columns take the parser's.
-    """
-    low = F.lower("heading")
-    skipped = F.exists(F.array(*[F.lit(s) for s in SKIPPED_SECTIONS]), lambda s: low.contains(s))
-    cells = cells.where(~F.coalesce(skipped, F.lit(False)))
-    layout = is_transposed(cells, key, is_spec_label)
-    plain = cells.join(layout.where("not transposed").select(key, "table_no"), [key, "table_no"])
-    rows = plain.where("row_no > 0 and not is_header").groupBy(key, "table_no", "row_no").agg(F.min_by("text", "col_no").alias("_first"), F.first("heading").alias("_heading"), F.count("*").alias("_n")).where("_n >= 2")
-    maker = vendor.alias("vendor")
-    rows = rows.withColumn("_cell", clean(F.col("_first"))).select("*", maker)
-    name = F.coalesce(heading_name(F.col("vendor"), F.col("_heading")), record_name(F.coalesce("_cell", F.lit("")), F.coalesce("_heading", F.lit("")), NAME_PREFIXES))
-    rows = barrier(rows.withColumn("name", name)).where(valid_name(F.col("name")))
-    upright = standard_records(plain, key)
-    out = rows.join(upright, [key, "table_no", "row_no"], "left").select(key, "table_no", F.col("row_no").alias("_place"), "vendor", "name", F.coalesce(extract_model(F.col("_first")), F.left(F.trim(F.try_element_at("fields", F.lit("model"))), F.lit(120))).alias("model"), "_heading", "fields", F.lit(False).alias("_turned"))
-    turned = cells.join(layout.where("transposed").select(key, "table_no"), [key, "table_no"])
-    heading = turned.groupBy(key, "table_no").agg(F.first("heading").alias("_heading"))
-    side = transposed_records(turned, key).join(heading, [key, "table_no"]).select("*", maker)
-    # Short or doubtful names go with the vendor's before them.
-    given = clean(F.col("name"))
-    doubtful = ~valid_name(given) | (F.length(given) <= 4) | given.rlike(r"^G\d|^[A-Z]\d\s*\(")
-    side = side.withColumn("name", F.when(doubtful, F.concat_ws(" ", "vendor", given)).otherwise(given))
-    side = barrier(side).where(valid_name(F.col("name")))
-    out = out.unionByName(side.select(key, "table_no", F.col("col_no").alias("_place"), "vendor", "name", F.lit(None).cast("string").alias("model"), "_heading", "fields", F.lit(True).alias("_turned")))
-    year = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"(20[0-2]\d)", 1).try_cast("int")
-    fits = lambda c: F.when(year(c).between(2007, 2030), year(c))
-    # Each field's text is a column of its own before the parsers look at it.
-    texts = [F.try_element_at("fields", F.lit(k)).alias("_" + k) for k in FIELDS]
-    out = barrier(out.select("*", *texts).drop("fields"))
-    values = typed(lambda k: F.col("_" + k))
-    values["year"] = F.coalesce(values["year"], fits(F.col("name")), fits(F.col("model")), fits(F.col("_heading")))
-    for k, default in (("cores", DEFAULT_CORES), ("architecture", DEFAULT_ARCHITECTURE)):
-        values[k] = F.coalesce(F.when(F.col("_turned"), values[k]), F.lit(default))
-    out = out.select(key, "table_no", "_place", slug(F.col("name")).alias("id"), "name", "vendor", "model", *[v.alias(k) for k, v in values.items()])
-    return first_wins(out, ["vendor", "id"], [key, "table_no", "_place"]).drop("_place")
-
-
 def key_value_records(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_no, fields): tables of two columns as a map from lower-case label to value."""
     label, value = F.max(F.when(F.col("col_no") == 0, F.lower(F.trim("text")))), F.max(F.when(F.col("col_no") == 1, F.trim("text")))

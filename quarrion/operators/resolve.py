@@ -8,8 +8,9 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_id, extract_model, indel_ratio, letter_counts, normal_model, token_sort
+from ..functions.text import canonical_id, extract_model, indel_ratio, letter_counts, normal_model, slug, token_sort
 from ..schema import is_filled
+from ..scratch import written
 from .windows import first_wins
 
 STRATEGIES = ("exact_model", "alias", "regex", "wikidata_qid", "fuzzy", "name")
@@ -20,8 +21,8 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """(n_id, e_id, score) of names alike within a vendor.
+def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST, scoped: bool = False) -> DataFrame:
+    """(n_id, e_id, score) of names alike within a vendor, and within n_scope and e_scope if ``scoped``.
 
     Blocked by vendor and by length: a name meets only those whose lengths
     don't rule the score out, by bands of lengths that overlap. Names whose letter counts rule it out
@@ -42,52 +43,73 @@ def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST)
     met = a.join(b.withColumn("band", band(F.col("e_len"))), ["v", "band"]).where(F.lit(200.0) * F.least("n_len", "e_len") / length >= least).where(F.lit(200.0) * common / length >= least)
     pairs = met.withColumn("score", indel_ratio(F.col("n_s"), F.col("e_s"))).where(F.col("score") >= least).select("v", "n_name", "e_name", "score")
     out = new.withColumn("v", F.lower("n_vendor")).join(pairs, ["v", "n_name"]).join(old.withColumn("v", F.lower("e_vendor")), ["v", "e_name"])
-    return out.select("n_id", "e_id", "score")
+    return (out.where("n_scope = e_scope") if scoped else out).select("n_id", "e_id", "score")
 
 
-def match(new: DataFrame, existing: DataFrame, aliases: DataFrame | None = None, pos: str = "_pos") -> DataFrame:
+def _known_aliases(e: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(scope, alias, e_id) of existing rows that an alias names: their name holds it or is in it, or their model is the alias.
+
+    Names' pieces of the aliases' lengths meet the aliases, aliases' pieces meet the names: joins by equality, whatever the number of either.
+    """
+    alias = aliases.select(F.lower("alias").alias("alias")).where("alias <> ''").distinct()
+    named = e.where(F.coalesce("e_name", F.lit("")) != "").select("e_scope", F.lower("e_name").alias("low"), "e_id").groupBy("e_scope", "low").agg(F.min("e_id").alias("e_id"))
+    lengths = [r.n for r in alias.select(F.length("alias").alias("n")).distinct().collect()]  # as many as the longest alias has letters
+    piece = lambda text, n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    held = named.select("e_scope", "e_id", F.explode(F.array_distinct(F.flatten(F.array(*[piece(F.col("low"), n) for n in lengths])))).alias("alias")).join(alias, "alias") if lengths else named.select("e_scope", "e_id", F.col("low").alias("alias")).limit(0)
+    size = F.length("alias")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("alias"), i, n))))
+    within = alias.select("alias", F.explode(F.array_distinct(spans)).alias("low")).join(named, "low")
+    models = e.select("e_scope", "e_id", F.lower("e_model").alias("alias")).join(alias, "alias")
+    cols = ["e_scope", "alias", "e_id"]
+    return held.select(*cols).unionByName(within.select(*cols)).unionByName(models.select(*cols)).groupBy("e_scope", "alias").agg(F.min("e_id").alias("e_id"))
+
+
+def match(new: DataFrame, existing: DataFrame, aliases: DataFrame | None = None, pos: str = "_pos", within: str | None = None, by_id: bool = False) -> DataFrame:
     """(id, match_id, strategy) of every new row by the first strategy that finds an existing one; else no_match.
 
     Rows have id, name, vendor, model and, where known, wikidata_id; aliases
     are rows of (model, alias). Exact models go by the existing rows' place,
-    the others by id.
+    the others by id. ``within`` names a column that both must share; with ``by_id`` an equal id comes before all strategies.
+
+    Both sides become rows of (strategy, key) and meet in one join; only what
+    that leaves, or finds by name alone, is compared by likeness.
     """
     for c in ("name", "vendor", "model", "wikidata_id"):
         new = new if c in new.columns else new.withColumn(c, F.lit(None).cast("string"))
         existing = existing if c in existing.columns else existing.withColumn(c, F.lit(None).cast("string"))
     if pos not in existing.columns:
         existing = existing.withColumn(pos, F.col("id"))
-    n, e = _side(new.select("id", "name", "vendor", "model", "wikidata_id"), "n_"), _side(existing.select("id", "name", "vendor", "model", "wikidata_id", pos), "e_")
+    scope = F.lit("") if within is None else F.coalesce(F.lower(F.col(within).cast("string")), F.lit(""))
+    n, e = _side(new.select("id", "name", "vendor", "model", "wikidata_id", scope.alias("scope")), "n_"), _side(existing.select("id", "name", "vendor", "model", "wikidata_id", pos, scope.alias("scope")), "e_")
     model = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
-    found = []
-
-    def take(pairs: DataFrame, strategy: str, order: list) -> None:
-        best = first_wins(pairs, ["n_id"], order)
-        found.append(best.select("n_id", "e_id", F.lit(STRATEGIES.index(strategy)).alias("prio")))
-
-    def left(rows: DataFrame) -> DataFrame:
-        """New rows that no strategy so far has matched."""
-        return rows.join(reduce(DataFrame.unionByName, found).select("n_id").distinct(), "n_id", "left_anti")
-
-    em = e.withColumn("m", model(F.col("e_model")))
-    # One existing row for each key is enough: the first by the strategy's order.
-    take(n.withColumn("m", model(F.col("n_model"))).join(first_wins(em, ["m"], [f"e_{pos}", "e_id"]), "m"), "exact_model", [f"e_{pos}", "e_id"])
+    some = lambda c: F.nullif(c, F.lit(""))
+    rank = STRATEGIES.index
+
+    def keyed(df: DataFrame, keys: dict[int, Column], kept: list[str], *more) -> DataFrame:
+        """A row for each strategy for which a row has a key."""
+        both = F.filter(F.array(*[F.struct(F.lit(k).alias("prio"), key.alias("key")) for k, key in keys.items()]), lambda x: x["key"].isNotNull())
+        return df.select(*more, F.explode(both).alias("_k")).select(*kept, "_k.*")
+
+    own = {rank("exact_model"): model(F.col("e_model")), rank("regex"): model(F.col("e_model")), rank("wikidata_qid"): some(F.col("e_wikidata_id")), rank("name"): some(F.lower("e_name"))}
+    sought = {rank("exact_model"): model(F.col("n_model")), rank("regex"): extract_model(F.concat_ws(" ", "n_name", "n_model")), rank("wikidata_qid"): some(F.col("n_wikidata_id")), rank("name"): some(F.lower("n_name"))}
+    if by_id:
+        own[-1], sought[-1] = F.col("e_id").cast("string"), F.col("n_id").cast("string")
+    first = F.when(F.col("prio") == rank("exact_model"), F.min_by("e_id", F.struct(f"e_{pos}", "e_id"))).otherwise(F.min("e_id"))
+    targets = keyed(e, own, ["e_scope", "e_id", f"e_{pos}"], "e_scope", "e_id", f"e_{pos}").groupBy(F.col("e_scope").alias("scope"), "prio", "key").agg(first.alias("e_id"))
+    asked = keyed(n, sought, ["scope", "n_id"], F.col("n_scope").alias("scope"), "n_id")
     if aliases is not None:
-        hit = n.withColumn("m", normal_model(F.col("n_model"))).join(aliases.select(normal_model(F.col("model")).alias("m"), F.lower("alias").alias("alias")), "m")
-        # Alias tables are small by nature; names and models are compared once each.
-        low, mod = F.lower(F.coalesce("e_name", F.lit(""))), F.lower(F.coalesce("e_model", F.lit("")))
-        fits = (low != "") & (low.contains(F.col("alias")) | F.col("alias").contains(low)) | (mod != "") & (mod == F.col("alias"))
-        known = e.join(aliases.select(F.lower("alias").alias("alias")).distinct(), fits).select("alias", "e_id").groupBy("alias").agg(F.min("e_id").alias("e_id"))
-        take(hit.join(known, "alias"), "alias", ["e_id"])
-    text = extract_model(F.concat_ws(" ", "n_name", "n_model"))
-    take(n.withColumn("m", text).where("m is not null").join(first_wins(em, ["m"], ["e_id"]), "m"), "regex", ["e_id"])
-    qid = first_wins(e.where(F.col("e_wikidata_id") != ""), ["e_wikidata_id"], ["e_id"])
-    take(n.join(qid, F.col("n_wikidata_id") == F.col("e_wikidata_id")), "wikidata_qid", ["e_id"])
-    take(fuzzy_candidates(left(n), e), "fuzzy", [F.col("score").desc(), "e_id"])
-    named = first_wins(e.where(F.col("e_name") != "").withColumn("k", F.lower("e_name")), ["k"], ["e_id"])
-    take(n.withColumn("k", F.lower("n_name")).join(named, "k"), "name", ["e_id"])
-    best = first_wins(reduce(DataFrame.unionByName, found), ["n_id"], ["prio"])
-    name = F.element_at(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("prio") + 1)
+        known = _known_aliases(e, aliases).select(F.col("e_scope").alias("scope"), F.lit(rank("alias")).alias("prio"), F.col("alias").alias("key"), "e_id")
+        targets = targets.unionByName(known)
+        of_model = aliases.select(normal_model(F.col("model")).alias("m"), F.lower("alias").alias("key"))
+        asked = asked.unionByName(n.withColumn("m", normal_model(F.col("n_model"))).join(of_model, "m").select(F.col("n_scope").alias("scope"), "n_id", F.lit(rank("alias")).alias("prio"), "key"))
+    met = asked.join(targets, ["scope", "prio", "key"]).groupBy("n_id").agg(F.min(F.struct("prio", "e_id")).alias("best"))
+    found = written(met.select("n_id", "best.*"))
+    # Likeness comes before equal names, so rows found by name alone are compared too.
+    left = n.join(found.where(F.col("prio") < rank("fuzzy")).select("n_id"), "n_id", "left_anti")
+    alike = fuzzy_candidates(left, e, scoped=within is not None)
+    alike = first_wins(alike, ["n_id"], [F.col("score").desc(), "e_id"]).select("n_id", F.lit(rank("fuzzy")).alias("prio"), "e_id")
+    best = found.unionByName(alike).groupBy("n_id").agg(F.min(F.struct("prio", "e_id")).alias("best")).select("n_id", "best.*")
+    name = F.when(F.col("prio") < 0, "id").otherwise(F.get(F.array(*[F.lit(s) for s in STRATEGIES]), F.greatest("prio", F.lit(0))))
     return new.select("id").join(best, F.col("id") == F.col("n_id"), "left").select("id", F.col("e_id").alias("match_id"), F.when(F.col("e_id").isNull(), "no_match").otherwise(name).alias("strategy"))
 
 
@@ -137,6 +159,62 @@ def upsert(existing: DataFrame, new: DataFrame, aliases: DataFrame | None = None
     return both.select(*cols).unionByName(added.select(*[c for c in own if c in added.columns]), allowMissingColumns=True)
 
 
+def folded(df: DataFrame, key: str, pos: str, last: tuple[str, ...] = ("name", "model")) -> DataFrame:
+    """One row for each key: of each field the first content by place, of the fields in ``last`` the last one."""
+    at = {c: F.when(is_filled(df, c), F.col(pos)) for c in df.columns if c != key}
+    return df.groupBy(key).agg(*[(F.max_by if c in last else F.min_by)(c, place).alias(c) for c, place in at.items()])
+
+
+def merge_into(existing: DataFrame, new: DataFrame, aliases: DataFrame | None = None, pos: str = "_pos", within: str | None = "vendor", by_id: bool = False) -> DataFrame:
+    """The existing rows' columns and ``_merge``: kept, updated, renamed or added.
+
+    New rows with one canonical id are one record, and so are those that match one existing row:
+    the last name and model by place, of other fields the first content. A
+    match takes the record's name and model and fills empty fields. If the
+    slug of its name and model is then another id than its own, and no existing or
+    added row has that id, it is renamed, with the identifier (uuid) that
+    belongs to it; of several rows that want an id the one with the smallest own id gets
+    it. A record without a match is added, in place of an unmatched row of
+    its id. Rows only match within one value of ``within``.
+    """
+    own = existing.columns
+    if "uuid" in own:
+        existing = existing.withColumn("uuid", F.coalesce("uuid", canonical_id(F.col("vendor"), F.col("model"), F.col("name"))))
+    if pos not in new.columns:
+        new = new.withColumn(pos, F.col("id"))
+    key = canonical_id(F.coalesce("vendor", F.lit("")), F.coalesce("model", F.lit("")), F.coalesce("name", F.lit("")))
+    scope = [F.coalesce(F.col(within).cast("string"), F.lit(""))] if within else []
+    batch = written(folded(new.withColumn("_key", F.concat_ws("/", *scope, key)), "_key", pos))
+    found = written(batch.join(match(batch, existing, aliases, within=within, by_id=by_id), "id"))
+    hit = folded(found.where("match_id is not null").drop("id", "strategy", "_key"), "match_id", pos)
+    added = first_wins(found.where("match_id is null"), ["id"], [F.col(pos).desc()])
+    n = _side(hit.select("match_id", *[c for c in own if c in hit.columns]), "n_")
+    both = existing.join(n, F.col("id") == F.col("n_match_id"), "left")
+    cols = []
+    for c in own:
+        if f"n_{c}" not in both.columns:
+            cols.append(F.col(c))
+        elif c in ("name", "model"):
+            cols.append(F.when(is_filled(both, f"n_{c}"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.when(is_filled(both, c), F.col(c)).otherwise(F.coalesce(f"n_{c}", c)).alias(c))
+    changed = written(both.select(*cols, F.when(F.col("n_match_id").isNull(), "kept").otherwise("updated").alias("_merge")))
+    want = changed.where("_merge = 'updated'").select("id", slug(F.coalesce("name", F.lit("")), F.col("model")).alias("_want")).where("_want <> id")
+    taken = existing.select("id").unionByName(added.select("id")).select(F.col("id").alias("_want"))
+    granted = first_wins(want.join(taken, "_want", "left_anti"), ["_want"], ["id"])
+    out = changed.join(granted, "id", "left")
+    renamed = F.col("_want").isNotNull()
+    again = canonical_id(F.coalesce("vendor", F.lit("")), F.coalesce("model", F.lit("")), F.coalesce("name", F.lit("")))
+    values = {"id": F.when(renamed, F.col("_want")).otherwise(F.col("id")), "uuid": F.when(renamed, again).otherwise(F.col("uuid")) if "uuid" in own else None}
+    out = out.select(*[values[c].alias(c) if c in values else F.col(c) for c in own], F.when(renamed, "renamed").otherwise(F.col("_merge")).alias("_merge"))
+    out = out.join(added.select("id").withColumn("_over", F.lit(True)), "id", "left").where("_over is null or _merge <> 'kept'").drop("_over")
+    if "uuid" in own and "uuid" not in added.columns:
+        added = added.withColumn("uuid", F.lit(None).cast("string"))
+    if "uuid" in own:
+        added = added.withColumn("uuid", F.coalesce("uuid", again))
+    return out.unionByName(added.select(*[c for c in own if c in added.columns], F.lit("added").alias("_merge")), allowMissingColumns=True).select(*own, "_merge")
+
+
 def prune(existing: DataFrame, matched: DataFrame, least: float = 0.28, prefixes: tuple[str, ...] = ("mali", "adreno", "powervr")) -> DataFrame:
     """Rows that stay: matched ones (by id), and others unless they are poor, or stale twins of a matched one.
 

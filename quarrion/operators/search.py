@@ -62,7 +62,7 @@ def all_stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda words: None if words is None else [memory.get(w) or memory.setdefault(w, stem(w)) for w in words])
 
 
-def _parts(query: str) -> list[tuple[str, list[str]]]:
+def query_parts(query: str) -> list[tuple[str, list[str]]]:
     """What a query asks for: words, phrases and beginnings, each with its words."""
     pieces = query.split('"')
     out = [("phrase", _plain(p)) for p in pieces[1::2]]
@@ -97,7 +97,7 @@ def search(df: DataFrame, query: str, id_col: str, columns: list[str], limit: in
     if query.count('"') % 2:
         hits = search_like(df, query.replace('"', " "), columns).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).orderBy("id")
         return hits if limit is None else hits.limit(limit)
-    parts = _parts(query)
+    parts = query_parts(query)
     if not parts:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
@@ -108,13 +108,18 @@ def search(df: DataFrame, query: str, id_col: str, columns: list[str], limit: in
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(t)).alias("_t"))
     rows = rows.select("id", F.size("_t").alias("_len"), *[_met(F.col("_t"), *p).alias(f"_n{k}") for k, p in enumerate(parts)])
     n, mean, *df_of = rows.agg(F.count("*"), F.avg("_len"), *[F.count(F.when(F.col(f"_n{k}") > 0, 1)) for k in range(len(parts))]).first()
+    return ranked(rows, n, mean or 1.0, df_of, limit, k1, b)
+
+
+def ranked(rows: DataFrame, docs: int, mean_len: float, df_of: list[int], limit: int | None, k1: float, b: float) -> DataFrame:
+    """(id, score) by rank of rows (id, _len, _n0, _n1, ...) that have every part of a query."""
 
     def part(k: int) -> Column:
-        idf = max(log((n - df_of[k] + 0.5) / (df_of[k] + 0.5)), 1e-6)
-        return F.lit(idf) * F.col(f"_n{k}") * (k1 + 1) / (F.col(f"_n{k}") + k1 * (1 - b + b * F.col("_len") / F.lit(mean or 1.0)))
+        idf = max(log((docs - df_of[k] + 0.5) / (df_of[k] + 0.5)), 1e-6)
+        return F.lit(idf) * F.col(f"_n{k}") * (k1 + 1) / (F.col(f"_n{k}") + k1 * (1 - b + b * F.col("_len") / F.lit(mean_len)))
 
-    out = rows.where(reduce(lambda x, y: x & y, [F.col(f"_n{k}") > 0 for k in range(len(parts))]))
-    out = out.select("id", reduce(lambda x, y: x + y, [part(k) for k in range(len(parts))]).alias("score")).orderBy(F.col("score").desc(), "id")
+    out = rows.where(reduce(lambda x, y: x & y, [F.col(f"_n{k}") > 0 for k in range(len(df_of))]))
+    out = out.select("id", reduce(lambda x, y: x + y, [part(k) for k in range(len(df_of))]).alias("score")).orderBy(F.col("score").desc(), "id")
     return out if limit is None else out.limit(limit)
 
 

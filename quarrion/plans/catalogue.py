@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, windows
+from ..operators import aggregates, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
 from ..scratch import scratch
-from ..sources import catalog, sinks
+from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,10 +390,32 @@ def page_records(spark, sf):
     skipped = "<h2>Comparison</h2><table><tr><th>Model</th><th>GPU</th></tr><tr><td>SM99999</td><td>none</td></tr></table>"
     pages = p.withColumn("h", row).groupBy("p_brand", "p_size").agg(F.array_join(F.sort_array(F.collect_list("h")), "").alias("h"))
     pages = pages.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("page"), F.concat(F.lit(head), "h", F.lit("</table>" + skipped)).alias("html"))
-    out = extract.page_records(extract.table_cells(pages, "page"), "page", F.split("page", "/")[0])
+    out = tables.page_records(tables.page_tables(pages, "page"), "page", F.split("page", "/")[0])
     return out.select("id", "name", "vendor", "model", "cores", "architecture", "gpu", "gpu_clock", "process_nm", "memory_type", "memory_clock", "memory_max", "year")
 
 
+# A table whose records are columns, with sub-labels, a short row and rows that come again; an upright one with two columns of a field and an early year.
+@query("""WITH p AS (SELECT p_partkey AS p, p_brand AS vendor, p_size AS s, lpad(p_partkey::VARCHAR, 5, '0') AS m FROM part),
+r AS (SELECT 'SM' || m AS name, vendor, 'XY1' || m AS model, 'alpha' AS codename, CASE WHEN p % 2 = 0 THEN 'Adreno ' || (s + 1) || ' at 5 MHz' ELSE 'Adreno ' || s || ' at ' || (s * 10 + 1) || ' MHz' END AS gpu, CASE WHEN p % 2 = 0 THEN 5 ELSE s * 10 + 1 END AS gpu_clock, 'LPDDR4' AS memory_type, s AS memory_max, 2015 AS year FROM p
+UNION ALL SELECT 'MT' || m, vendor, 'XY2' || m, 'beta', 'Adreno 7 at 70 MHz', 70, 'LPDDR5', s + 1, 2016 FROM p UNION ALL SELECT 'RK' || m, vendor, 'XY3' || m, 'gamma', 'Adreno 8 at 80 MHz', 80, 'DDR3', NULL, 2012 FROM p
+UNION ALL SELECT 'TXA' || m, vendor, 'TXA' || m, NULL, NULL, NULL, 'LPDDR5', s, 2019 FROM p UNION ALL SELECT 'TXB' || m, vendor, 'TXB' || m, NULL, NULL, NULL, 'LPDDR5', s, 2020 FROM p UNION ALL SELECT 'TXC2003X' || m, vendor, 'TXC2003X' || m, NULL, NULL, NULL, 'LPDDR5', s, 2020 FROM p)
+SELECT lower(name) AS id, name, vendor, model, codename, gpu, gpu_clock::INT AS gpu_clock, memory_type, memory_max::INT AS memory_max, year::INT AS year FROM r""")
+def layout_records(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("s"), (F.col("p_size") + 1).cast("string").alias("t"), (F.col("p_size") * 10 + 1).cast("string").alias("clock"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("m"))
+    text = lambda *parts: F.concat(*[F.col(x) if x in ("s", "t", "m", "clock") else F.lit(x) for x in parts])
+    again = F.when(F.col("p_partkey") % 2 == 0, text("<tr><th>Graphics, again</th><td>Adreno ", "t", " at 5 MHz</td><td></td><td></td></tr>")).otherwise("")
+    side = F.concat(
+        text("<h3>Chips of 2012</h3><table><tr><th> </th><th>SM", "m", "</th><th>MT", "m", "</th><th>RK", "m", "</th></tr><tr><th>GPU</th><td>Adreno ", "s", " at ", "clock", " MHz</td><td>Adreno 7 at 70 MHz</td><td>Adreno 8 at 80 MHz</td></tr>"),
+        text("<tr><th>Memory</th><td>Type</td><td>LPDDR4</td><td>LPDDR5</td><td>DDR3</td></tr><tr><th>Memory size</th><td>", "s", " GB</td><td>", "t", " GB</td></tr>"), again,
+        text("<tr><th>Launch date</th><td>May 2015</td><td>2016</td><td>n/a</td></tr><tr><td>Model number</td><td>XY1", "m", "</td><td>XY2", "m", "</td><td>XY3", "m", "</td></tr><tr><th>Codename</th><td>alpha</td><td>beta</td><td>gamma</td></tr></table>"),
+    )
+    row = lambda name, year: text(f"<tr><td>{name}", "m", f"</td><td>LPDDR5</td><td>", "s", f" GB</td><td>{year}</td></tr>")
+    upright = F.concat(F.lit("<h3>More</h3><table><tr><th>Model</th><th>Memory</th><th>RAM</th><th>Released</th></tr>"), row("TXA", "2019"), row("TXB", "2020"), row("TXC2003X", "—"), F.lit("</table>"))
+    pages = p.select(F.concat_ws("/", "p_brand", "m").alias("page"), F.concat(side, upright).alias("html"))
+    out = tables.page_records(tables.page_tables(pages, "page"), "page", F.split("page", "/")[0])
+    return out.select("id", "name", "vendor", "model", "codename", "gpu", "gpu_clock", "memory_type", "memory_max", "year")
+
+
 @query("SELECT p_brand || '/' || p_size AS page, p_name AS name, p_partkey::INT AS single FROM part WHERE p_partkey > 100")
 def html_scores(spark, sf):
     p = read(spark, sf, "part")
@@ -463,6 +485,34 @@ def bm25_stemmed(spark, sf):
     return search.search(read(spark, sf, "documents"), "these with", "doc_id", ["text"], 20, stems=True)
 
 
+def _stored(spark, sf: str) -> store.TextIndex:
+    """The documents' index in two batches: the second one indexes a third of the ids again and takes the ids of the first that are no documents away."""
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    index = store.TextIndex(spark, scratch(spark), "doc_id", ("text",), "bigint").create()
+    old = d.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("the wi with of the "), "text").alias("text"))
+    index.merge(d.where("doc_id % 3 = 1").unionByName(old).unionByName(old.withColumn("doc_id", -F.col("doc_id") - 1)))
+    index.merge(d.where("doc_id % 3 <> 1"), old.select((-F.col("doc_id") - 1).alias("id")))
+    return index
+
+
+_RANKED = ORACLE_SQL["bm25_phrase_prefix"]
+
+
+@query(f"SELECT *, 'parts' AS query FROM ({_RANKED}) UNION ALL SELECT id, score, 'words' FROM ({ORACLE_SQL['bm25_topk'].split(' ORDER BY')[0]})")
+def stored_bm25(spark, sf):
+    index = _stored(spark, sf)
+    two = [index.search(q).select("id", F.round("score", 6).alias("score"), F.lit(name).alias("query")) for name, q in (("parts", 'the wi* "of the"'), ("words", "the with"))]
+    return setops.union_all(two)
+
+
+@query(r"""WITH t AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS t FROM documents)
+SELECT id, 'two' AS words FROM t WHERE list_contains(t, 'the') AND list_contains(t, 'with') UNION ALL SELECT id, 'one' FROM t WHERE list_contains(t, 'der') UNION ALL SELECT id, 'none' FROM t WHERE list_contains(t, 'the') AND list_contains(t, 'nosuchword')
+UNION ALL SELECT id, 'all' FROM t""")
+def stored_words(spark, sf):
+    index = _stored(spark, sf)
+    return setops.union_all([index.having_all(w).withColumn("words", F.lit(k)) for k, w in (("two", ["The", "with"]), ("one", ["der"]), ("none", ["the", "nosuchword"]), ("all", []))])
+
+
 # ---------------------------------------------------------------- entity resolution
 
 
@@ -510,6 +560,22 @@ def merge_fill(spark, sf):
     return resolve.merge_records(a, read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
+# Three in three parts: records with a model that is there, with a new one, and rows that no record names. Every twelfth row wants an id that another one has.
+@query("""WITH p AS (SELECT p_partkey AS p, p_brand AS vendor, lpad(p_partkey::VARCHAR, 5, '0') AS m, p_size AS s, max(p_partkey) OVER () AS top, (p_partkey % 100) / 100.0 AS c FROM part)
+SELECT CASE WHEN p % 3 = 2 THEN 'new' || p WHEN p % 3 = 1 OR (p % 12 = 0 AND p + 3 <= top) THEN 'old' || p ELSE 'n' || p || '_sm' || m END AS id, CASE WHEN p % 3 = 1 THEN 'kept row' ELSE 'N' || p END AS name, vendor,
+CASE WHEN p % 3 = 1 THEN 'SM' ELSE 'sm' END || m AS model, CASE WHEN p % 3 = 1 AND p % 2 = 0 THEN 0 WHEN p % 3 <> 2 AND p % 2 = 1 THEN -s ELSE s END AS cores FROM p WHERE p % 3 <> 1 OR c >= 0.28""")
+def merge_into_vendors(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("vendor"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("m"), F.col("p_size").alias("s"), (F.col("p_partkey") % 100 / 100).alias("completeness"))
+    wanted = F.concat(F.lit("n"), (F.col("p") - 3).cast("string"), F.lit("_sm"), F.lpad((F.col("p") - 3).cast("string"), 5, "0"))
+    own = F.when(F.col("p") % 12 == 3, wanted).otherwise(F.concat(F.lit("old"), F.col("p").cast("string")))
+    old = p.where("p % 3 <> 2").select(own.alias("id"), F.lit("kept row").alias("name"), "vendor", F.concat(F.lit("SM"), "m").alias("model"), F.when(F.col("p") % 2 == 1, -F.col("s")).alias("cores"), "completeness")
+    new = p.where("p % 3 <> 1").select(F.concat(F.lit("new"), F.col("p").cast("string")).alias("id"), F.concat(F.lit("N"), F.col("p").cast("string")).alias("name"), "vendor", F.concat(F.lit("sm"), "m").alias("model"), F.col("s").alias("cores"), "completeness")
+    path = scratch(spark)
+    sinks.write_vendors(old, path)
+    sinks.merge_vendors(spark, path, new)
+    return spark.read.parquet(path).select("id", "name", "vendor", "model", F.coalesce("cores", F.lit(0)).alias("cores"))
+
+
 @query("""WITH p AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_type AS model, p_retailprice / 2000 AS c, p_partkey % 7 = 0 AS m FROM part),
 t AS (SELECT DISTINCT upper(trim(model)) AS m, lower(name) AS n FROM p WHERE m), s AS (SELECT DISTINCT p.id FROM p JOIN t ON upper(trim(p.model)) = t.m WHERE NOT p.m AND coalesce(c, 0) >= 0.28
 AND (contains(lower(p.name), t.n) OR contains(t.n, lower(p.name)) OR len(list_filter(string_split_regex(t.n, '\\s+'), lambda w: length(w) > 2 AND contains(lower(p.name), w))) > 0))
@@ -644,11 +710,42 @@ def processor_nodes(spark, sf):
     nodes = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 8), lambda k: node(k.cast("long"))), "")
     text = F.concat(F.lit("/ { cpus { "), nodes, F.lit('cpu@0 { compatible = "arm,cortex-a35"; }; }; other { cpu@99 { x; }; }; };'))
     text = F.when(F.col("p_partkey") % 3 == 2, F.replace(text, F.lit("arm,cortex-a35"), F.lit("own"))).otherwise(text)
-    own = p.select(F.concat(F.lit("arch/arm64/boot/dts/"), "name", F.lit(".dtsi")).alias("path"), text.alias("content"))
+    own = p.select(F.concat(F.lit("arch/arm64/boot/dts/"), "name", F.lit(".dtsi")).alias("path"), F.concat(text, F.lit(" " * 200)).alias("content"))
     board = p.select(F.concat(F.lit("arch/arm64/boot/dts/w/b"), F.col("p_partkey").cast("string"), F.lit(".dts")).alias("path"), F.concat(F.lit('#include "../'), "name", F.lit('"\n/ { };')).alias("content"))
     return devicetree.cpu_info(own.unionByName(board))
 
 
+# Boards include a short file, then two that count in one order or the other, or one that goes on to the first of them.
+@query(r"""WITH p AS (SELECT p_partkey AS p, p_size % 8 + 1 AS n, CASE WHEN p_partkey % 3 = 0 THEN 'ARMv8-A' ELSE 'ARMv8.2-A' END AS arch, CASE WHEN p_partkey % 3 = 0 THEN 'fallback' ELSE 'compatible' END AS origin, p_partkey % 5 = 0 OR p_partkey % 2 = 1 AS z FROM part),
+f AS (SELECT 'arch/arm64/boot/dts/v/' AS d, * FROM p)
+SELECT d || 'z' || p || '.dtsi' AS path, n::INT AS cores, arch AS architecture, origin AS arch_source FROM f UNION ALL SELECT d || 'a' || p || '.dtsi', 1, 'ARMv8-A', 'compatible' FROM f UNION ALL SELECT d || 's' || p || '.dtsi', 2, 'ARMv9-A', 'compatible' FROM f
+UNION ALL SELECT d || 'h' || p || '.dtsi', n::INT, arch, origin FROM f UNION ALL SELECT d || 'b' || p || '.dts', CASE WHEN z THEN n ELSE 1 END::INT, CASE WHEN z THEN arch ELSE 'ARMv8-A' END, CASE WHEN z THEN origin ELSE 'compatible' END FROM f""")
+def device_includes(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("p"), "p_partkey", (F.col("p_size") % 8).alias("last"))
+    node = lambda k, core: F.concat(F.lit("cpu@"), k, F.lit(" { reg; "), core, F.lit("}; "))
+    named = lambda core: F.lit(f'compatible = "arm,{core}"; ')
+    every = F.array_join(F.transform(F.sequence(F.lit(0), "last"), lambda k: node(k.cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(named("cortex-a78")))), "")
+    body = lambda nodes: F.concat(F.lit("/ { cpus { "), nodes, F.lit('l2 { compatible = "arm,cortex-x4"; }; }; };'))
+    wide, include = (lambda t: F.concat(t, F.lit(" " * 200))), (lambda *names: F.concat(*[F.concat(F.lit(f'#include "{n}'), "p", F.lit('.dtsi"\n')) for n in names]))
+    board = F.when(F.col("p_partkey") % 5 == 0, include("s", "h", "a")).when(F.col("p_partkey") % 2 == 1, include("s", "z", "missing", "a")).otherwise(include("a", "z"))
+    texts = {"z": wide(body(every)), "a": wide(body(node(F.lit("0"), named("cortex-a53")))), "s": F.concat(F.lit("cpus { "), node(F.lit("0"), named("cortex-x4")), node(F.lit("1"), F.lit("")), F.lit("};")), "h": wide(include("z", "a")), "b": board}
+    files = [p.select(F.concat(F.lit(f"arch/arm64/boot/dts/v/{k}"), "p", F.lit(".dts" if k == "b" else ".dtsi")).alias("path"), t.alias("content")) for k, t in texts.items()]
+    return devicetree.cpu_info(setops.union_all(files))
+
+
+# A file whose key begins the model, one that the model begins, one without processors that has a sibling, and one of another vendor.
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size % 8 + 1 END::INT AS cores, CASE WHEN p_partkey % 4 <> 3 THEN 'ARMv8.2-A' WHEN p_partkey % 3 = 0 THEN 'old' ELSE '' END AS architecture FROM part""")
+def file_candidates(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 8).alias("last"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("m"))
+    nodes = F.array_join(F.transform(F.sequence(F.lit(0), "last"), lambda k: F.concat(F.lit("cpu@"), k.cast("string"), F.lit(' { compatible = "arm,cortex-a76"; }; '))), "")
+    text = F.concat(F.lit("/ { cpus { "), nodes, F.lit("}; };" + " " * 200))
+    file = lambda k, folder, end, content: p.where(F.col("id") % 4 == k).select(F.concat(F.lit(f"arch/arm64/boot/dts/{folder}/sm"), "m", F.lit(f"{end}.dtsi")).alias("path"), content.alias("content"))
+    files = setops.union_all([file(0, "qcom", "", text), file(1, "qcom", "-ac-base", text), file(2, "qcom", "", F.lit("/ { };" + " " * 200)), file(2, "qcom", "-x", text), file(3, "mediatek", "", text), file(0, "qcom", "-ac", F.lit("cpus { cpu@0 { }; };"))])
+    vendors = spark.createDataFrame([("qcom", "Qualcomm"), ("mediatek", "MediaTek")], "dir string, vendor string")
+    chips = p.select("id", F.lit("Qualcomm").alias("vendor"), F.concat(F.lit("SM"), "m", F.lit("-AC")).alias("model"), F.lit(None).cast("int").alias("cores"), F.when(F.col("id") % 3 == 0, "old").alias("architecture"))
+    return devicetree.enrich_from_files(chips, files, vendors).select("id", F.coalesce("cores", F.lit(0)).alias("cores"), F.coalesce("architecture", F.lit("")).alias("architecture"))
+
+
 @query()
 def enrich_records(spark, sf):
     p = parts(spark, sf).withColumn("vendor", F.when(F.col("cores") % 2 == 0, "Qualcomm").otherwise("MediaTek"))

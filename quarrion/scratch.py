@@ -23,3 +23,14 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them, so that any store that Spark reads will do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, where = folder(spark, path)
+    return files.exists(where)

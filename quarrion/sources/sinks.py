@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder_exists, written
+
 # Columns of a CSV export.
 CSV_COLUMNS = ("id", "name", "vendor", "model", "architecture", "cores", "process_nm", "gpu", "year", "completeness")
 
@@ -27,18 +30,33 @@ def write_vendors(df: DataFrame, path: str, vendor: str = "vendor") -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(vendor).parquet(path)
 
 
+def merge_vendors(spark: SparkSession, path: str, new: DataFrame, aliases: DataFrame | None = None, derive: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.28) -> dict[str, int]:
+    """Merge records into the table by vendor at a path (``resolve.merge_into``), prune it, and overwrite the vendors that the records name.
+
+    Only their partitions are read and written; the result stands in a folder of its own before a
+    partition is replaced, so a failure while merging leaves the table as it was. ``derive`` is applied
+    to what is written. Gives the numbers of added, updated, renamed and pruned rows.
+    """
+    from ..operators.resolve import merge_into, prune
+
+    new = new.where("vendor is not null")
+    existing = spark.read.parquet(path).join(new.select("vendor").distinct(), "vendor", "left_semi") if folder_exists(spark, path) else new.drop("_pos").limit(0)
+    merged = written(merge_into(existing, new, aliases))
+    left = prune(merged, merged.where("_merge <> 'kept'").select("id"), least) if "completeness" in merged.columns else merged
+    left = written(left)
+    counts = {r[0]: r[1] for r in left.groupBy("_merge").count().collect()}
+    out = left.drop("_merge")
+    write_vendors(derive(out) if derive else out, path)
+    return {k: counts.get(k, 0) for k in ("added", "updated", "renamed")} | {"pruned": merged.count() - sum(counts.values())}
+
+
 def load(df: DataFrame, path: str, id_col: str = "id", order: str = "_pos", force: bool = False) -> dict:
     """Write the last record of each id as a table, unless one is there; total and count by vendor of what was given."""
     from ..operators.windows import last_wins
 
     spark = df.sparkSession
-    if not force:
-        try:
-            if not spark.read.parquet(path).isEmpty():
-                return {"total": 0, "per_vendor": {}, "skipped": True}
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+    if not force and folder_exists(spark, path) and not spark.read.schema(df.schema).parquet(path).isEmpty():
+        return {"total": 0, "per_vendor": {}, "skipped": True}
     per_vendor = {r[0]: r[1] for r in df.groupBy("vendor").count().collect()}
     last_wins(df, [id_col], [order]).drop(order).write.mode("overwrite").parquet(guard_path(path))
     return {"total": sum(per_vendor.values()), "per_vendor": per_vendor, "skipped": False}

@@ -8,8 +8,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from quarrion import cli
-from quarrion.functions import scalars
-from quarrion.operators import devicetree, enrich, extract
+from quarrion.operators import devicetree, enrich, extract, tables
 from quarrion.sources import catalog, sinks
 from quarrion.streaming import batches, limits
 
@@ -101,9 +100,8 @@ def test_tables(spark):
     assert cells.where("table_no = 0").first().heading == "Chips"
     got = {(r.table_no, r.row_no): r.fields for r in extract.standard_records(cells.where("table_no = 0"), "k").collect()}
     assert got == {(0, 1): {"model": "SM1", "gpu": "Adreno & co"}, (0, 2): {"model": "SM2"}}
-    got = {r.name: r.fields for r in extract.transposed_records(cells.where("table_no = 1"), "k").collect()}
-    assert got == {"One": {"gpu": "G1", "memory": "8 GB"}, "Two": {"gpu": "G2"}}
-    assert {r.table_no: r.transposed for r in extract.is_transposed(cells, "k", scalars.is_spec_label).collect()} == {0: False, 1: True}
+    found = tables.page_tables(spark.createDataFrame([(1, HTML), (2, None), (3, "<p>x")], "k int, html string"), "k")
+    assert {r.table_no: r.turned for r in found.select("table_no", tables.is_turned(F.col("rows")).alias("turned")).collect()} == {0: False, 1: True}
     assert extract.key_value_records(cells.where("table_no = 1"), "k").first().fields["gpu"] == "G1"
 
 
@@ -124,17 +122,31 @@ def test_device_tree(spark):
     # A .dtsi file leaves an i where the pattern takes it.
     assert got == {"SM8550I": ("sm8550i", "Snapdragon SM8550I", "Qualcomm"), "SM8550": ("sm8550", "Snapdragon SM8550", "Qualcomm"), "BCM2711": ("bcm2711", "BCM2711", "Broadcom")}
     texts = [(DTS, "x"), ("none", "x"), ("/ { cpus { cpu@0 { a; }; ", "x"), ("cpus { cpu@1 { x { y; }; }; }; cpu@2 { };", "arch/arm64/a"), ("cpus { };", "arch/arm64/b"), (None, "arch/arm64/c")]
-    got = spark.createDataFrame(texts, "t string, p string").select(devicetree.processors(F.col("t"), F.col("p")).alias("c")).collect()
+    got = spark.createDataFrame(texts, "t string, p string").select(devicetree.cpu_nodes("t").alias("n"), "p").select(devicetree.processors(F.col("n"), F.col("p")).alias("c")).collect()
     assert [tuple(r.c) for r in got] == [(2, "ARMv8.2-A", "compatible"), (None, None, None), (None, None, None), (1, "ARMv8-A", "fallback"), (None, "ARMv8-A", "fallback"), (None, None, None)]
     paths = [("../b/x.dtsi", "a/c"), ("./y", "a/"), ("z.dts", "a/b"), ("../../../q.dtsi", "a")]
     got = spark.createDataFrame(paths, "t string, f string").select(devicetree.include_path(F.col("t"), F.col("f")).alias("p")).collect()
     assert [r.p for r in got] == ["a/b/x.dtsi", "a/y.dtsi", "a/b/z.dts", "q.dtsi"]
-    files = spark.createDataFrame([(TREE[0], '#include "inc/cpu.dtsi"'), ("arch/arm64/boot/dts/qcom/inc/cpu.dtsi", DTS)], "path string, content string")
-    info = devicetree.cpu_info(files)
-    assert {r.path: r.cores for r in info.collect()} == {TREE[0]: 2, "arch/arm64/boot/dts/qcom/inc/cpu.dtsi": 2}
-    chips = spark.createDataFrame([("c", "Qualcomm", "SM8550", None, "old")], "id string, vendor string, model string, cores int, architecture string")
-    r = devicetree.enrich_from_files(chips, devicetree.file_index(tree), info, vendors).first()
-    assert (r.cores, r.architecture) == (2, "ARMv8.2-A")
+    files = spark.createDataFrame([(TREE[0], '#include "inc/cpu.dtsi"' + " " * 200), ("arch/arm64/boot/dts/qcom/inc/cpu.dtsi", DTS + " " * 200)], "path string, content string")
+    assert {r.path: r.cores for r in devicetree.cpu_info(files).collect()} == {TREE[0]: 2, "arch/arm64/boot/dts/qcom/inc/cpu.dtsi": 2}
+    chips = spark.createDataFrame([("c", "Qualcomm", "SM8550", None, "old"), ("f", "Qualcomm", "QCOM", None, None)], "id string, vendor string, model string, cores int, architecture string")
+    got = {r.id: (r.cores, r.architecture) for r in devicetree.enrich_from_files(chips, files, vendors).collect()}
+    assert got == {"c": (2, "ARMv8.2-A"), "f": (None, None)}
+
+
+def test_includes_in_the_order_of_the_text(spark):
+    cpus = lambda core, more="": f'cpus {{ cpu@0 {{ {core} }} ; l2 {{ compatible = "arm,cortex-a78-l2"; }}; {more} }};' + " " * 200
+    named = lambda core: f'compatible = "arm,{core}";'
+    inc = lambda *names: "".join(f'#include "{n}.dtsi"\n' for n in names)
+    texts = {
+        "z.dtsi": cpus(named("cortex-a78"), "cpu@1 { };"), "a.dtsi": cpus(named("cortex-a53")), "s.dtsi": "cpus { cpu@0 { }; };", "none.dtsi": cpus("reg;"), "hub.dtsi": inc("z", "a") + " " * 200,
+        "b1.dts": inc("z", "a"), "b2.dts": inc("s", "missing", "hub", "a"), "b3.dts": inc("a", "z"), "flat.dtsi": "cpus { };" + " " * 200, "dry.dtsi": " " * 200, "b4.dts": inc("flat", "dry"), "b5.dts": inc("dry", "flat"), "loop.dtsi": inc("loop") + " " * 200, "deep.dts": inc("d1"), "d1.dtsi": inc("d2") + " " * 200, "d2.dtsi": inc("d3") + " " * 200, "d3.dtsi": cpus(named("cortex-x4")),
+    }
+    files = spark.createDataFrame([(f"arch/arm64/boot/{k}", v) for k, v in texts.items()], "path string, content string")
+    got = {r.path.split("/")[-1]: (r.cores, r.architecture, r.arch_source) for r in devicetree.cpu_info(files).collect()}
+    z, a = (2, "ARMv8.2-A", "compatible"), (1, "ARMv8-A", "compatible")
+    flat = (None, "ARMv8-A", "fallback")
+    assert got == {"z.dtsi": z, "a.dtsi": a, "s.dtsi": (1, "ARMv8-A", "fallback"), "none.dtsi": (1, "ARMv8-A", "fallback"), "hub.dtsi": z, "b1.dts": z, "b2.dts": z, "b3.dts": a, "flat.dtsi": flat, "b5.dts": flat, "d3.dtsi": (1, "ARMv9-A", "compatible"), "d2.dtsi": (1, "ARMv9-A", "compatible"), "d1.dtsi": (1, "ARMv9-A", "compatible")}
 
 
 def test_batches_resume(spark, tmp_path):
@@ -194,3 +206,32 @@ def test_spec_pairs(spark):
     pairs = [(1, 0, "CPU Cores", "8"), (1, 1, "Max frequency", "3.2 GHz"), (1, 2, "Lithography", "Intel 7"), (1, 3, "L2 cache", "12 mb"), (1, 4, "GPU", "—"), (1, 5, "Launch", "Q1 2023"), (1, 6, "Memory", "LPDDR5 16 GB")]
     r = extract.spec_records(spark.createDataFrame(pairs, "k int, place int, k2 string, v string").withColumnRenamed("k", "page").withColumnRenamed("k2", "k"), "page").first()
     assert r.specs == {"cores": "8", "threads": "8", "clock": "3.2", "process_nm": "10", "l2_cache": "12 MB", "memory_type": "LPDDR5", "memory_max": "16 GB"}
+
+
+def _table(*rows):
+    """A table of rows of cells; a cell that begins with ! is a header."""
+    return "<table>" + "".join("<tr>" + "".join(f"<th>{c[1:]}</th>" if c.startswith("!") else f"<td>{c}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+
+
+def _page_records(spark, html, vendor="V"):
+    t = tables.page_tables(spark.createDataFrame([(1, html)], "k int, html string"), "k")
+    return {r.name: r for r in tables.page_records(t, "k", F.lit(vendor)).collect()}
+
+
+def test_records_that_are_columns(spark):
+    html = "<h2>Chips</h2>" + _table(
+        ["!", "!SM8550", "!SM8650", "!A5", "!SM8550"], ["!CPU", "4 cores", "6 cores", "2 cores", "9 cores"], ["!CPU config", "8 cores", "", "", ""], ["!Memory", "Type", "LPDDR4", "LPDDR5", "DDR3", "DDR4"], ["!Memory size", "8 GB"],
+        ["!AI engine", "one", "two", "three", "four"], ["!NPU", "", "late", "", ""], ["!Launched", "2021", "2022", "", ""], ["!Date of sale", "2025", "2026", "2027", "2028"], ["Model number", "AB1", "AB2", "ab", "AB4"], ["!Codename", "x", "y", "z", "w"],
+    )
+    got = _page_records(spark, html)
+    values = {n: (r.cores, r.memory_type, r.memory_max, r.npu, r.year, r.model, r.codename) for n, r in got.items()}
+    assert values == {"SM8550": (8, "LPDDR4", 8, None, 2021, "AB1", "x"), "SM8650": (6, "LPDDR5", None, "late", 2022, "AB2", "y"), "V A5": (2, "DDR3", None, None, 2027, None, "z")}
+
+
+def test_records_that_are_rows(spark):
+    html = "<h2>Chips</h2>" + _table(["!Model", "!Memory", "!RAM", "!Released"], ["SM8550", "LPDDR5", "16 GB LPDDR4", "2019"], ["SM8551", "-", "4 GB", "2020"], ["SM2003x", "", "", ""], ["SM2004x", "", "", ""], ["SM2015x", "", "", ""], ["SM8550", "DDR3", "", ""], ["only"])
+    values = {n: (r.memory_type, r.memory_max, r.year, r.cores) for n, r in _page_records(spark, html).items()}
+    assert values == {"SM8550": ("LPDDR5", 16, 2019, 8), "SM8551": (None, 4, 2020, 8), "SM2003x": (None, None, 2020, 8), "SM2004x": (None, None, 2020, 8), "SM2015x": (None, None, 2015, 8)}
+    early = "<h2>Of 2011</h2>" + _table(["!Model", "!GPU"], ["SM2001x", "a"], ["SM2002x", "b"], ["SM2003x", "c"])
+    assert {n: r.year for n, r in _page_records(spark, early).items()} == {"SM2001x": 2011, "SM2002x": 2011, "SM2003x": 2011}
+    assert _page_records(spark, "<h2>Acronyms</h2>" + html.split("</h2>")[1]) == {} and _page_records(spark, "") == {}
