@@ -32,7 +32,7 @@ BLOCK = 30_000
 TOGETHER = 8
 #: Rows that a task holds before it deals them out.
 DEALT = 200_000
-#: A bucket of more fingerprints is cut again, by parts of the bits that its mask hides.
+#: A bucket of more rows is cut again, by parts of the bits that nearness compares; that loses no pair.
 LARGE = 2_000
 #: Check bits: one of each of so many min-hashes, in longs of 64.
 CHECKS = 2
@@ -163,6 +163,20 @@ class Nearness:
             return np.bitwise_count(rows["fp"] ^ one["fp"]) <= self.radius
         return np.bitwise_count(rows["check"] ^ one["check"]).sum(1, dtype=np.int16) <= self.apart
 
+    def parts(self, rows: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+        """Keys of a bucket's rows: near ones have one of them in common."""
+        if self.apart is None:
+            hidden = [i for i in range(BITS) if not int(mask) >> i & 1]
+            for k in range(self.radius + 1):
+                yield rows["fp"] & np.uint64(sum(1 << i for i in hidden[k :: self.radius + 1]))
+            return
+        for k in range(self.apart + 1):
+            key = np.zeros(len(rows), np.uint64)
+            for c in range(CHECKS):
+                own = sum(1 << i for i in range(64) if (64 * c + i) % (self.apart + 1) == k)
+                key = _mix(key) + (rows["check"][:, c] & np.uint64(own))
+            yield key
+
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """A number for each row: the fingerprint, or a hash of fingerprint and check bits (64 bits)."""
         out = rows["fp"].astype(np.uint64)
@@ -215,12 +229,10 @@ def table_links(rows: np.ndarray, mask: np.uint64, near: Nearness) -> tuple[np.n
 
 
 def _large(rows: np.ndarray, mask: np.uint64, near: Nearness) -> tuple[list[int], list[int]]:
-    """The same for a large bucket: of radius + 1 parts of the hidden bits, a pair within the radius agrees in one at least."""
-    hidden = [i for i in range(BITS) if not int(mask) >> i & 1]
+    """The same for a large bucket, cut by parts of what nearness compares: of one part more than bits may differ, a near pair agrees in one at least."""
     left: list[int] = []
     right: list[int] = []
-    for k in range(near.radius + 1):
-        key = rows["fp"] & np.uint64(sum(1 << i for i in hidden[k :: near.radius + 1]))
+    for key in near.parts(rows, mask):
         order = np.argsort(key, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(own) > 1:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarrion.llm import negatives, sais, suffixes, whitening
+from quarrion.llm import negatives, sais, simhash, suffixes, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x string, v string, n string, row string, anchor string, key string"
 NAN, INF = float("nan"), float("inf")
@@ -178,3 +178,44 @@ def test_flat_and_empty_whitening(spark):
     for some in ([], [(1, None, 1)]):
         assert whitening.long_form(whitening.whiten(table(spark, some))).collect() == []
     assert whitening.whiten(table(spark, [(1, [1e30, -1e30], 0), (2, [0.0, 1.0], 0)])).where(F.col("deviation").isNull()).count() == 2
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+@pytest.mark.parametrize("n", [1_999, 2_001, 3_000])
+def test_links_of_a_bucket_are_those_of_its_texts(n):
+    """By check bits, whatever the bucket's size: rows far apart in the fingerprint, and chains of rows that are near, too."""
+    rng = np.random.default_rng(n)
+    rows = np.zeros(n, simhash.Nearness(6, 16).kind)
+    rows["fp"] = rng.permutation(np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    check = rng.integers(0, 2, (n // 5, 128)).repeat(5, 0)
+    check = np.concatenate([check, rng.integers(0, 2, (n - len(check), 128))])
+    for k in range(n):  # up to 12 of 128 bits each, so some pairs of a group of five are near and some are not
+        flip = rng.choice(128, rng.integers(0, 13), replace=False)
+        check[k, flip] ^= 1
+    order = rng.permutation(n)
+    rows["check"] = np.packbits(check[order].astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    near = simhash.Nearness(6, 16)
+
+    def groups(links):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in links:
+            root[find(x)] = find(y)
+        return [find(x) for x in range(n)]
+
+    bits = check[order].astype(np.int16)
+    apart = bits @ (1 - bits.T) + (1 - bits) @ bits.T
+    x, y = np.nonzero(np.triu(apart <= 16, 1))
+    want = groups(zip(x.tolist(), y.tolist()))
+    a, b = simhash.table_links(rows, np.uint64(0), near)
+    got = groups(zip(a.tolist(), b.tolist()))
+    assert len(set(want)) < n and (apart[a, b] <= 16).all()
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
