@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
+from ..operators import aggregates, articles, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
 from ..scratch import scratch
 from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
@@ -416,6 +416,26 @@ def layout_records(spark, sf):
     return out.select("id", "name", "vendor", "model", "codename", "gpu", "gpu_clock", "memory_type", "memory_max", "year")
 
 
+# Articles of three makers, with and without a section about the processor, and a table whose rows before the name say nothing.
+@query("""WITH p AS (SELECT p_partkey AS p, p_size AS s, lpad(p_partkey::VARCHAR, 5, '0') AS m, lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS n FROM part)
+SELECT 'snapdragon_8' || m || '_sm' || n AS id, 'Snapdragon 8' || m AS name, 'Qualcomm' AS vendor, 'SM' || n AS model, CASE WHEN p % 2 = 0 THEN s + 1 END::INT AS cores, NULL::INT AS threads, CASE WHEN p % 2 = 0 THEN 'ARMv8.2-A' ELSE 'ARMv9-A' END AS architecture, s::INT AS process_nm, 'Adreno 7' || m AS gpu,
+'LPDDR5X' AS memory_type, s::INT AS memory_max, s * 1000 + 500 AS modem_dl, 'Wi-Fi 7' AS wifi, NULL AS npu, NULL::DOUBLE AS clock, 2022 AS year FROM p
+UNION ALL SELECT 'dimensity_9' || m || '_mt' || n, 'Dimensity 9' || m, 'MediaTek', 'MT' || n, NULL, NULL, 'ARMv8.2-A', NULL, 'Immortalis-G715', 'LPDDR4X', NULL, NULL, NULL, CASE WHEN p % 2 = 0 THEN 'APU ' || s END, NULL, NULL FROM p
+UNION ALL SELECT 'intel_core_i7_1' || m, 'Intel Core i7-1' || m, 'Intel', '1' || m, 8, 16, NULL, NULL, NULL, 'DDR5', NULL, NULL, NULL, NULL, s + 0.5, NULL FROM p
+UNION ALL SELECT 'amd_ryzen_7_5' || m, 'AMD Ryzen 7 5' || m, 'AMD', '5' || m, (s + 1), (s + 9), NULL, 7, NULL, 'DDR4', NULL, NULL, NULL, NULL, s + 0.5, NULL FROM p""")
+def article_records(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("s"), (F.col("p_size") + 1).cast("string").alias("t"), (F.col("p_size") + 9).cast("string").alias("u"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("m"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0").alias("n"))
+    text = lambda *parts: F.concat(*[F.col(x) if x in ("s", "t", "u", "m", "n") else F.lit(x) for x in parts])
+    even = lambda a, b: F.when(F.col("p_partkey") % 2 == 0, a).otherwise(b)
+    page = lambda html: p.select(F.col("m").alias("page"), html.alias("html"))
+    snap = F.concat(text("<div class='Product-Card'><h3>Snapdragon 8", "m", ", SM", "n", "</h3>; ", "s", " nm; Adreno 7", "m", "; LPDDR5X, up to ", "s", " GB; down ", "s", ".5 Gbps; Wi-Fi 7; of 2022. "), even(text("t", "-core"), F.lit("<p class='the-cpu'>ARMv9 design</p>")), F.lit("</div><div class='card'>none</div><div>Snapdragon 1, SM1000</div>"))
+    mtk = F.concat(text("<section class=tile>Dimensity 9", "m", "; MT", "n", "; Immortalis-G715; LPDDR4X "), even(text("<h4>APU</h4><p>APU ", "s", "</p>"), F.lit("<b>x</b>")), F.lit("</section>"))
+    pc = text("<ul><li class=item>Intel Core i7-1", "m", ", 8 / 16 threads, ", "s", ".5 GHz, DDR5</li><li>Intel Core i7-999</li></ul><table><tr><td>Launched</td><td>2021</td></tr><tr><td>Processor</td><td>AMD Ryzen 7 5", "m", "</td></tr><tr><td>Cores</td><td>", "t", " / ", "u", "</td></tr><tr><td>Clock speed</td><td>", "s", ".5 GHz</td></tr><tr><td>Lithography</td><td>7 nm</td></tr><tr><td>RAM</td><td>DDR4</td></tr></table>")
+    found = [articles.phone_records(page(snap), "page", articles.QUALCOMM, "Qualcomm"), articles.phone_records(page(mtk), "page", articles.MEDIATEK, "MediaTek"), articles.processor_records(page(pc), tables.page_tables(page(pc), "page"), "page")]
+    types = {"cores": "int", "threads": "int", "architecture": "string", "process_nm": "int", "gpu": "string", "memory_type": "string", "memory_max": "int", "modem_dl": "int", "wifi": "string", "npu": "string", "clock": "double", "year": "int"}
+    return setops.union_all([articles.typed_fields(articles.first_records(f, "page"), types) for f in found])
+
+
 @query("SELECT p_brand || '/' || p_size AS page, p_name AS name, p_partkey::INT AS single FROM part WHERE p_partkey > 100")
 def html_scores(spark, sf):
     p = read(spark, sf, "part")
