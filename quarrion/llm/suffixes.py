@@ -290,14 +290,16 @@ def dealt_ranges(entries: DataFrame, width: int) -> DataFrame:
 
         def deal(batches: Iterator[pa.RecordBatch], span: int = span) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(mark, n, *band) for mark, own, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("mark", "own", "n", "ranges"))) for band in bands(own, [(r["a"], r["b"]) for r in ranges], span, width)]
+                out = [(mark, digest(own[a : b + width]), n, key, a, b) for mark, own, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("mark", "own", "n", "ranges"))) for key, a, b in bands(own, [(r["a"], r["b"]) for r in ranges], span, width)]
                 if out:
                     columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:3]), *(pa.array(c, pa.int32()) for c in columns[3:])], ["parent", "n", "key", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns[:2]), *(pa.array(c, pa.int64()) for c in columns[2:4]), *(pa.array(c, pa.int32()) for c in columns[4:])], ["parent", "unit", "n", "key", "a", "b"])
 
-        dealt = materialise(rest.mapInArrow(deal, "parent binary, n long, key long, a int, b int"), "bands")
-        weights = dealt.groupBy("key").agg(F.sum("n").alias("places"), F.sum(F.col("b") - F.col("a") + width).alias("bytes")).where("places > 1")
-        left = materialise(dealt.drop("n").join(weights.select("key", (F.col("bytes") > (HOT if span > 1 else 1 << 62)).alias("hot")), "key"), "left")
+        dealt = materialise(rest.mapInArrow(deal, "parent binary, unit binary, n long, key long, a int, b int"), "bands")
+        # Equal texts of a band are one entry, so they weigh as one.
+        units = dealt.groupBy("key", "unit").agg(F.sum("n").alias("n"), F.max(F.col("b") - F.col("a") + width).alias("bytes"))
+        weights = units.groupBy("key").agg(F.sum("n").alias("places"), F.sum("bytes").alias("bytes")).where("places > 1")
+        left = materialise(dealt.drop("n", "unit").join(weights.select("key", (F.col("bytes") > (HOT if span > 1 else 1 << 62)).alias("hot")), "key"), "left")
         found.append(left.where("not hot").drop("hot"))
         on = left.where("hot").groupBy("parent").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
         rest = entries.select("mark", "own", "n").join(on, F.col("mark") == F.col("parent")).drop("parent")
