@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, articles, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
+from ..operators import aggregates, articles, bindings, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
 from ..scratch import scratch
 from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
@@ -436,6 +436,52 @@ def article_records(spark, sf):
     return setops.union_all([articles.typed_fields(articles.first_records(f, "page"), types) for f in found])
 
 
+def _binding(**variables: str):
+    """A binding of variables to columns."""
+    return F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(F.lit("literal").alias("type"), F.col(c).alias("value"))) for k, c in variables.items()]))
+
+
+# Bindings to facts, kept as two versions of a layer, the last one merged with what stands.
+@query("""WITH b AS (SELECT p_brand AS vendor, p_partkey AS p, p_size AS s, 'sm' || lpad((p_partkey % 40)::VARCHAR, 5, '0') AS key FROM part),
+l AS (SELECT vendor, 'process_map' AS kind, key, arg_max(s, p)::VARCHAR AS value FROM b WHERE p % 7 <> 0 GROUP BY 1, 3 UNION ALL SELECT vendor, 'gpu_map', key, 'G' || max(p) FROM b GROUP BY 1, 3 UNION ALL SELECT vendor, 'architecture', '', 'A' || min(p) FROM b WHERE p % 3 = 0 GROUP BY 1),
+s AS (SELECT DISTINCT vendor, 'process_map' AS kind, 'sm00001' AS key, '99' AS value FROM b UNION ALL SELECT DISTINCT vendor, 'architecture', '', 'base' FROM b)
+SELECT vendor, kind, key, CASE WHEN kind = 'architecture' THEN coalesce(l.value, s.value) ELSE coalesce(s.value, l.value) END AS value FROM l FULL JOIN s USING (vendor, kind, key)""")
+def knowledge_versions(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("vendor"), F.col("p_partkey").alias("pos"), F.concat(F.lit("Chip "), F.concat(F.lit("SM"), F.lpad((F.col("p_partkey") % 40).cast("string"), 5, "0"))).alias("label"), F.when(F.col("p_partkey") % 7 == 0, "unknown").otherwise(F.col("p_size").cast("string")).alias("nm"))
+    p = p.withColumn("gpu", F.concat(F.lit("G"), F.col("pos").cast("string"))).withColumn("arch", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("A"), F.col("pos").cast("string"))).otherwise(""))
+    of = lambda kind, **v: p.select("vendor", F.lit(kind).alias("kind"), "pos", _binding(**v).alias("binding"))
+    every = setops.union_all([of("process_map", itemLabel="label", processNode="nm"), of("gpu_map", itemLabel="label", gpuLabel="gpu"), of("architecture", architectureLabel="arch")])
+    base = p.select("vendor", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(x).alias("key"), F.lit(v).alias("value")) for k, x, v in (("process_map", "sm00001", "99"), ("architecture", "", "base"))])).alias("f")).distinct().select("vendor", "f.*")
+    path = scratch(spark)
+    bindings.refresh(spark, path, every.where("pos % 2 = 0"))
+    bindings.refresh(spark, path, every)
+    return bindings.knowledge(spark, base, path)
+
+
+@query("""SELECT 'chip_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '_m' || p_partkey ELSE '' END AS id, 'Chip ' || p_partkey AS name, p_brand AS vendor, 'Q' || p_partkey AS qid, CASE WHEN p_partkey % 2 = 0 THEN 'M' || p_partkey END AS model, CASE WHEN p_size % 4 = 0 THEN 8 ELSE p_size END::INT AS cores,
+CASE WHEN p_partkey % 2 = 0 THEN 'ARMv8.2-A' ELSE p_type END AS architecture, p_size || 'nm' AS process, CASE WHEN p_size <= 27 THEN 2000 + p_size END::INT AS year, CASE WHEN p_size >= 10 THEN (p_size / 10)::INT || '.' || (p_size % 10) || '0 GHz' ELSE (p_size * 100) || ' MHz' END AS max_freq FROM part WHERE p_partkey % 5 <> 0""".replace("(p_size / 10)::INT", "(p_size // 10)"))
+def binding_records(spark, sf):
+    t = lambda *c: F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in c])
+    p = read(spark, sf, "part").select(
+        F.col("p_brand").alias("vendor"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 5 == 0, t("Chip series ", "p_partkey")).otherwise(t("Chip ", "p_partkey")).alias("label"), t("http://x/Q", "p_partkey").alias("item"),
+        F.when(F.col("p_partkey") % 2 == 0, t("M", "p_partkey")).otherwise("").alias("model"), F.when(F.col("p_size") % 4 == 0, "many").otherwise(t("p_size", ".0")).alias("cores"), F.when(F.col("p_partkey") % 2 == 0, "http://x/Q28053216").otherwise("http://x/Q1").alias("arch"),
+        F.col("p_type").alias("type"), F.when(F.col("p_partkey") % 3 == 0, t("about ", "p_size", "nm")).otherwise(t("p_size", ".0")).alias("nm"), F.concat(F.lit("20"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("-01-01")).alias("date"), t("p_size", "00").alias("freq"),
+    )
+    b = _binding(itemLabel="label", item="item", modelNumber="model", cores="cores", arch="arch", archLabel="type", processNode="nm", publicationDate="date", maxFreq="freq")
+    rows = p.select("vendor", "pos", b.alias("binding"))
+    return bindings.records(rows.unionByName(rows.withColumn("pos", F.col("pos") + 1_000_000).withColumn("vendor", F.lit("later")))).drop("gpu")
+
+
+# Pages of both sorts: rows count only where a page's JSON-LD gave none.
+@query("SELECT p_brand || '/' || p_partkey AS page, CASE WHEN p_partkey % 3 = 0 THEN 'said ' ELSE 'row ' END || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size + 1000 END::INT AS single FROM part")
+def score_pages(spark, sf):
+    p = read(spark, sf, "part").select("p_brand", F.col("p_partkey").cast("string").alias("k"), "p_partkey", "p_size")
+    item = lambda name, score: F.to_json(F.struct(name.alias("name"), score.cast("string").alias("singleCoreScore")))
+    said = F.when(F.col("p_partkey") % 3 == 0, item(F.concat(F.lit("said "), "k"), F.col("p_size") + 1)).when(F.col("p_partkey") % 3 == 1, item(F.lit("no score"), F.lit("none"))).otherwise("not json")
+    html = F.concat(F.lit('<script type="application/ld+json">'), said, F.lit("</script><table><tr><td>row "), "k", F.lit("</td><td>"), F.format_number(F.col("p_size") + 1000, 0), F.lit("</td></tr></table>"))
+    return bindings.page_scores(p.select(F.concat_ws("/", "p_brand", "k").alias("page"), html.alias("html")), "page").select("page", "name", "single")
+
+
 @query("SELECT p_brand || '/' || p_size AS page, p_name AS name, p_partkey::INT AS single FROM part WHERE p_partkey > 100")
 def html_scores(spark, sf):
     p = read(spark, sf, "part")
