@@ -49,6 +49,7 @@ class _Tables(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.cells: list[tuple] = []
+        self.classes: list[str] = []
         self.heading, self.table, self.open_tables = "", -1, []
         self.text: list[str] | None = None
         self.head: list[str] | None = None
@@ -56,6 +57,7 @@ class _Tables(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.table += 1
+            self.classes.append(dict(attrs).get("class") or "")
             self.open_tables.append([self.table, -1, -1])
         elif tag == "tr" and self.open_tables:
             self._close()

@@ -44,12 +44,12 @@ LABEL_KINDS = (
 
 
 def page_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, table_no, heading, rows): each table of a page with the heading before it, its rows as arrays of cells (text, head). A null page has none."""
+    """(key, table_no, heading, classes, rows): each table of a page with the heading before it, its rows as arrays of cells (text, head). A null page has none."""
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, numbers, headings, tables = [], [], [], []
+            keys, numbers, headings, classes, tables = [], [], [], [], []
             for k, text in zip(batch.column(0), batch.column(1)):
                 parser = _Tables()
                 parser.feed(text.as_py() or "")
@@ -58,10 +58,10 @@ def page_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                 for table, row, _, cell, head, heading in parser.cells:
                     found.setdefault(table, (heading, {}))[1].setdefault(row, []).append({"text": cell, "head": head})
                 for table, (heading, rows) in sorted(found.items()):
-                    keys.append(k), numbers.append(table), headings.append(heading), tables.append([rows[r] for r in sorted(rows)])
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(headings, pa.string()), pa.array(tables, _CELLS)], [key, "table_no", "heading", "rows"])
+                    keys.append(k), numbers.append(table), headings.append(heading), classes.append(parser.classes[table]), tables.append([rows[r] for r in sorted(rows)])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(headings, pa.string()), pa.array(classes, pa.string()), pa.array(tables, _CELLS)], [key, "table_no", "heading", "classes", "rows"])
 
-    return pages.select(key, html).mapInArrow(parse, f"`{key}` {kind}, table_no int, heading string, rows array<array<struct<text: string, head: boolean>>>")
+    return pages.select(key, html).mapInArrow(parse, f"`{key}` {kind}, table_no int, heading string, classes string, rows array<array<struct<text: string, head: boolean>>>")
 
 
 def is_turned(rows: Column, label: Callable[[Column], Column] = is_spec_label) -> Column:

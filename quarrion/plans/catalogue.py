@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, articles, bindings, devicetree, enrich, extract, filters, provenance, quality, resolve, search, setops, tables, windows
+from ..operators import aggregates, articles, bindings, devicetree, enrich, extract, filters, lookups, provenance, quality, resolve, search, setops, tables, windows
 from ..scratch import scratch
 from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
@@ -436,6 +436,32 @@ def article_records(spark, sf):
     return setops.union_all([articles.typed_fields(articles.first_records(f, "page"), types) for f in found])
 
 
+# Each row is known by one form of its key, some by two; what no page has comes from the catalogue.
+@query("""WITH p AS (SELECT p_partkey AS p, p_size AS s, lpad(p_partkey::VARCHAR, 5, '0') AS m FROM part)
+SELECT CASE WHEN p % 5 = 0 THEN 'both_' || m || '_x' || m WHEN p % 3 = 0 THEN 'joined_' || m || '_x' || m WHEN p % 3 = 1 THEN 'first_' || m ELSE 'second_' || m || '_x' || m END AS id,
+CASE WHEN p % 5 = 0 THEN 'Both ' WHEN p % 3 = 0 THEN 'Joined ' WHEN p % 3 = 1 THEN 'First ' ELSE 'Second ' END || m AS name, CASE WHEN p % 5 <> 0 AND p % 3 = 1 THEN 'First ' || m ELSE 'X' || m END AS model, 2010 + p % 10 AS year, s::INT AS process_nm,
+CASE WHEN p % 2 = 0 THEN s % 4 + s % 3 + 1 ELSE 0 END::INT AS cores, CASE WHEN p % 2 = 0 THEN 'Unified' END AS memory_type, CASE WHEN p % 2 = 0 THEN 'Apple GPU (' || (s % 5 + 1) || '-core)' ELSE 'G' || s END AS gpu, p % 4 <> 0 AS found FROM p""")
+def catalogue_lookup(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("s"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("m"), "p_brand")
+    t = lambda *c: F.concat(*[F.col(x).cast("string") if x in ("p", "s", "m") else F.lit(x) for x in c])
+    kinds = ((F.col("p") % 5 == 0, "Both"), (F.col("p") % 3 == 0, "Joined"), (F.col("p") % 3 == 1, "First"), (F.lit(True), "Second"))
+    pick = lambda of: F.coalesce(*[F.when(c, of(k)) for c, k in kinds])
+    name = pick(lambda k: t(f"{k} ", "m"))
+    info = p.select(pick(lambda k: t("a", "m") if k == "First" else t("b", "m") if k == "Second" else t("a", "m", "_b", "m")).alias("key"), name.alias("name"), pick(lambda k: F.lit("") if k == "First" else t("X", "m")).alias("model"), (F.col("p") % 10 + 2010).cast("int").alias("year"), t("s", " nm").alias("process"), F.lit("").alias("cpu"), t("G", "s").alias("gpu"), "p", "s")
+    # Those that both forms know are others by their later form.
+    catalogue = info.drop("p", "s").unionByName(info.where("p % 5 = 0").select(F.split("key", "_")[0].alias("key"), F.lit("wrong").alias("name"), "model", "year", "process", "cpu", "gpu"))
+    row = t("<tr><td>a", "m", "</td><td> b", "m", " </td><td>z</td></tr>")
+    html = F.concat(F.lit("<table class='big wikitable'><tr><th>n</th></tr>"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("p") % 4 != 0, row))), ""), F.lit("<tr><td>only</td><td>two</td></tr></table><table>"), F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table>"))
+    pages = p.groupBy("p_brand").agg(html.alias("html"))
+    found = lookups.matched(lookups.table_pairs(tables.page_tables(pages, "p_brand"), "p_brand"), "p_brand", catalogue).drop("p_brand").withColumn("found", F.lit(True))
+    known = info.drop("p", "s", "key").withColumn("id", text.slug(F.col("name"), F.col("model"))).withColumn("found", F.lit(False))
+    even = info.where("p % 2 = 0")
+    fact = lambda kind, v: even.select("name", F.lit(kind).alias("kind"), v.alias("value"))
+    facts = setops.union_all([fact("cores", F.concat((F.col("s") % 4).cast("string"), F.lit("+"), (F.col("s") % 3 + 1).cast("string"))), fact("gpu_cores", (F.col("s") % 5 + 1).cast("string")), fact("memory_bandwidth", F.lit("100"))])
+    out = lookups.with_facts(lookups.described(lookups.filled(found, known)), facts)
+    return out.select("id", "name", "model", "year", "process_nm", F.coalesce("cores", F.lit(0)).alias("cores"), "memory_type", "gpu", "found")
+
+
 def _binding(**variables: str):
     """A binding of variables to columns."""
     return F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(F.lit("literal").alias("type"), F.col(c).alias("value"))) for k, c in variables.items()]))
