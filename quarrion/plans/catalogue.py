@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, articles, bindings, devicetree, enrich, extract, filters, lookups, provenance, quality, resolve, search, setops, tables, windows
-from ..scratch import scratch
+from ..operators import aggregates, articles, bindings, devicetree, enrich, expectations, extract, filters, lookups, provenance, quality, resolve, search, setops, tables, windows
+from ..scratch import scratch, written
 from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
 
@@ -219,6 +219,23 @@ def drift_check(spark, sf):
     return out.withColumn("missing", F.array_join("missing", ",")).withColumn("unexpected", F.array_join("unexpected", ","))
 
 
+# Twenty fields of each brand, then one more or three others in their place; what the brand's parts have of the last ones.
+@query("""WITH b AS (SELECT DISTINCT p_brand AS source, substr(p_brand, 7)::INT % 2 AS odd FROM part), k AS (SELECT p_brand AS source, list(DISTINCT 'f' || (p_size % 30)) AS k FROM part GROUP BY 1),
+e AS (SELECT source, odd, [x FOR x IN ['f' || i FOR i IN range(0, 24)] IF (odd = 0 AND x IN ['f' || i FOR i IN range(0, 21)]) OR (odd = 1 AND x IN ['f' || i FOR i IN range(3, 23)])] AS e FROM b)
+SELECT source, CASE WHEN odd = 0 THEN 0.05 ELSE 0.3 END::DOUBLE AS ratio, odd = 1 AS changed, CASE WHEN odd = 0 THEN 'f20' ELSE 'f20,f21,f22' END AS added, round(len(list_intersect(e, k)) / len(e)::DOUBLE, 4) AS coverage, len(list_intersect(e, k)) / len(e)::DOUBLE < 0.8 AS drift FROM e JOIN k USING (source)""")
+def expectation_versions(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("source"), "p_size")
+    b = p.select("source").distinct()
+    odd = F.substring("source", 7, 9).cast("int") % 2 == 1
+    named = lambda a, z: F.transform(F.sequence(F.lit(a), F.lit(z)), lambda i: F.concat(F.lit("f"), i.cast("string")))
+    path = scratch(spark)
+    expectations.register(spark, path, b.select("source", named(0, 19).alias("expected")))
+    said = written(expectations.register(spark, path, b.select("source", F.when(odd, named(3, 22)).otherwise(named(0, 20)).alias("expected"))))
+    keys = p.select("source", F.concat(F.lit("f"), (F.col("p_size") % 30).cast("string")).alias("key"))
+    found = quality.drift(keys, expectations.current(spark, path)).select("source", "coverage", "drift")
+    return said.select("source", "ratio", "changed", F.array_join("added", ",").alias("added")).join(found, "source")
+
+
 @query("""SELECT 'missing_quality' AS rule, count(*) FILTER (coalesce(quality, 0) = 0)::BIGINT AS broken FROM """ + _LABELLED + """
 UNION ALL SELECT 'type_lang', count(*) FILTER (lang IS NOT NULL AND try_cast(lang AS BIGINT) IS NULL)::BIGINT FROM documents
 UNION ALL SELECT 'duplicate_source', count(*)::BIGINT FROM (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1)""")
