@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The fields of a catalogue record by type.
-STRING_FIELDS = """id name vendor model codename description architecture isa cluster_config max_freq process_name process gpu
-memory_type storage_type npu modem cellular video_decode video_encode display_max camera_max video_capture wifi bluetooth
-connectivity dsp usb navigation charging revision status source datasheet_url wikipedia_url wikidata_id linux_dt_compatible
-parent market_segment wifi_version pcie_version usb_version bluetooth_version gnss fingerprint display_resolution
-video_capture_max isp_config dsp_type security l2_cache l3_cache soc_id package die_size uuid""".split()
-INT_FIELDS = """cores threads clock_max clock_mid clock_min process_nm gpu_clock memory_max memory_clock memory_bus
-memory_bandwidth modem_dl modem_ul isps year charging_max_w display_max_refresh camera_max_mp arm_cores_total
-performance_cores efficiency_cores""".split()
+STRING_FIELDS = (
+    "id", "name", "vendor", "model", "codename", "description", "architecture", "isa", "cluster_config", "max_freq", "process_name", "process",
+    "gpu", "memory_type", "storage_type", "npu", "modem", "cellular", "video_decode", "video_encode", "display_max", "camera_max", "video_capture",
+    "wifi", "bluetooth", "connectivity", "dsp", "usb", "navigation", "charging", "revision", "status", "source", "datasheet_url", "wikipedia_url",
+    "wikidata_id", "linux_dt_compatible", "parent", "market_segment", "wifi_version", "pcie_version", "usb_version", "bluetooth_version", "gnss",
+    "fingerprint", "display_resolution", "video_capture_max", "isp_config", "dsp_type", "security", "l2_cache", "l3_cache", "soc_id", "package",
+    "die_size", "uuid",
+)
+INT_FIELDS = (
+    "cores", "threads", "clock_max", "clock_mid", "clock_min", "process_nm", "gpu_clock", "memory_max", "memory_clock", "memory_bus",
+    "memory_bandwidth", "modem_dl", "modem_ul", "isps", "year", "charging_max_w", "display_max_refresh", "camera_max_mp", "arm_cores_total",
+    "performance_cores", "efficiency_cores",
+)
 DOUBLE_FIELDS = ("tdp", "gpu_tflops", "ai_ops", "completeness", "ai_int8_tops", "ai_fp16_tflops")
 BOOLEAN_FIELDS = ("modem_5g_mmwave", "video_decode_av1", "video_encode_av1", "satellite_connectivity", "av1_decode")
 DATE_FIELDS = ("announced", "updated")
@@ -41,11 +46,13 @@ FIELD_WEIGHTS = (
     | dict.fromkeys(("architecture", "cores"), 4)
     | dict.fromkeys(("process_nm", "gpu", "year", "clock_max", "ai_int8_tops", "ai_fp16_tflops", "arm_cores_total"), 3)
     | dict.fromkeys(
-        """memory_type clock_min modem npu wifi bluetooth memory_clock memory_bus display_max camera_max charging cluster_config
-        market_segment charging_max_w wifi_version modem_5g_mmwave video_decode_av1 video_encode_av1 pcie_version usb_version
-        bluetooth_version satellite_connectivity gnss fingerprint display_max_refresh display_resolution camera_max_mp
-        video_capture_max isp_config dsp_type security performance_cores efficiency_cores l2_cache l3_cache soc_id package
-        die_size""".split(),
+        (
+            "memory_type", "clock_min", "modem", "npu", "wifi", "bluetooth", "memory_clock", "memory_bus", "display_max", "camera_max", "charging",
+            "cluster_config", "market_segment", "charging_max_w", "wifi_version", "modem_5g_mmwave", "video_decode_av1", "video_encode_av1",
+            "pcie_version", "usb_version", "bluetooth_version", "satellite_connectivity", "gnss", "fingerprint", "display_max_refresh",
+            "display_resolution", "camera_max_mp", "video_capture_max", "isp_config", "dsp_type", "security", "performance_cores",
+            "efficiency_cores", "l2_cache", "l3_cache", "soc_id", "package", "die_size",
+        ),
         2,
     )
 )
