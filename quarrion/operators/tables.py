@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import barrier
 from ..functions.scalars import cell_text, detect_column, heading_name, is_spec_label, is_sub_label, record_name
 from ..functions.text import clean, extract_model, slug
+from ..scratch import written
 from .extract import DEFAULT_ARCHITECTURE, DEFAULT_CORES, SKIPPED_SECTIONS, TYPED, _Tables, typed
 from .filters import NAME_PREFIXES, valid_name
 from .windows import first_wins
@@ -164,7 +165,8 @@ def page_records(tables: DataFrame, key: str, vendor: Column) -> DataFrame:
     """
     low = F.lower(F.coalesce("heading", F.lit("")))
     skipped = F.exists(F.array(*[F.lit(s) for s in SKIPPED_SECTIONS]), lambda s: low.contains(s))
-    t = barrier(tables.where(~skipped).withColumn("turned", is_turned(F.col("rows"))))
+    # Written, so that both layouts read the tables of one pass over the pages.
+    t = written(tables.where(~skipped).withColumn("turned", is_turned(F.col("rows"))))
     texts = upright_texts(t.where("not turned and size(rows) >= 2"), key, vendor).withColumn("turned", F.lit(False)).unionByName(turned_texts(t.where("turned"), key, vendor).withColumn("turned", F.lit(True)))
     texts = barrier(texts)
     # An empty text says nothing to a parser, but replaces a text that is taken as it is.
