@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalars, text
 from ..knowledge import PROCESS_NM, knowledge
-from ..operators import aggregates, articles, bindings, devicetree, enrich, expectations, extract, filters, lookups, provenance, quality, resolve, search, setops, tables, windows
+from ..operators import aggregates, articles, bindings, devicetree, enrich, expectations, extract, filters, lookups, provenance, quality, resolve, robots, search, setops, tables, windows
 from ..scratch import scratch, written
 from ..sources import catalog, sinks, store
 from ..streaming import batches, limits
@@ -760,6 +760,46 @@ def rate_limit(spark, sf):
     return limits.limit_batch(e, "user_id", "ts", "event_id", 5, 86_400.0).select("event_id", "allowed", "remaining")
 
 
+_BOUNDARY_LOG = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(date_trunc('hour', ts)) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts), event_id) AS r FROM events),
+w AS (SELECT user_id, r, event_id, s, [s] AS log, true AS allowed, 2 AS remaining FROM e WHERE r = 1
+UNION ALL SELECT k.user_id, k.r, k.event_id, k.s, CASE WHEN len(k.log) < 3 AND NOT list_contains(k.log, k.s) THEN list_append(k.log, k.s) ELSE k.log END, len(k.log) < 3,
+greatest(0, 3 - len(k.log) - (len(k.log) < 3 AND NOT list_contains(k.log, k.s))::INT)::INT
+FROM (SELECT w.user_id, n.r, n.event_id, n.s, list_filter(w.log, lambda x: x > n.s - 86400.0) AS log FROM w JOIN e n ON n.user_id = w.user_id AND n.r = w.r + 1) k)
+SELECT event_id, allowed, remaining FROM w WHERE s + 3600 <= (SELECT max(epoch_us(ts) // 3600000000 * 3600) FROM events) - 3600"""
+
+
+@query(_BOUNDARY_LOG)
+def stream_limits(spark, sf):
+    """The limiter on a stream of the events, rounded to hours so that many share a time; what the last watermark has passed is decided."""
+    apart, base = spark.newSession(), scratch(spark)
+    limits.use_state_store(apart)
+    apart.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = read(spark, sf, "events").schema
+    e = apart.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select("event_id", "user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"))
+    out = limits.limit_stream_ordered(e, "user_id", "ts", "event_id", 3, 86_400.0, inclusive=True, late="1 hour", slot=3600.0)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, allowed boolean, remaining int").parquet(f"{base}/out")
+
+
+@query("""WITH h AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages),
+k AS (SELECT host, length(host) % 5 AS k FROM h WHERE host <> ''),
+q AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)', 1) AS path, page_id % 4 AS day FROM pages)
+SELECT page_id, CASE WHEN k IS NULL OR day >= 2 THEN true WHEN k = 0 THEN starts_with(path, '/en/1') OR NOT starts_with(path, '/en/') WHEN k = 1 THEN NOT (starts_with(path, '/de/') OR starts_with(path, '/fr/'))
+WHEN k = 2 THEN day <> 1 ELSE true END AS allowed, coalesce(k <> 4, false) AND CASE WHEN k = 2 THEN day IN (0, 1) ELSE day IN (0, 1) END AS known FROM q LEFT JOIN k USING (host)""")
+def robots_allowed(spark, sf):
+    """Files of five sorts by host, read on day 0 and again on day 1 (then 403 for one sort, unreadable for another); from day 2 on none holds."""
+    day = lambda d: F.timestamp_seconds(F.lit(1_700_006_400) + 86_400 * d)
+    asked = read(spark, sf, "pages").select("page_id", "url", day(F.col("page_id") % 4).alias("ts"))
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    k, d = F.length("host") % 5, F.col("d")
+    files = asked.select(host.alias("host")).where("host <> ''").distinct().withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "host", (day(d) - F.expr("interval 1 hour")).alias("fetched"),
+        F.when((k == 2) & (d == 1), 403).when((k == 3) & (d == 1), 404).when(k == 4, 503).otherwise(200).alias("status"),
+        F.when(k == 0, "User-agent: *\nDisallow: /\n\nUser-agent: Crawler\nUser-agent: other\nAllow: /en/1\nDisallow: /en/ # all else").when(k == 1, "User-agent: *\nDisallow: /de/\nDisallow: /fr/").otherwise("").alias("text"),
+    )
+    return robots.can_fetch(asked, files, "crawler/1.0").select("page_id", "allowed", "known")
+
+
 @query("""SELECT event_id, round(greatest(0::DOUBLE, coalesce(600::DOUBLE - (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::DOUBLE / 1e6::DOUBLE, 0::DOUBLE)), 3) AS wait FROM events""")
 def pacing_gaps(spark, sf):
     return limits.gaps(read(spark, sf, "events"), "user_id", "ts", "event_id", 600.0).select("event_id", F.round("wait", 3).alias("wait"))

@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+#: State stores that come with Spark, the one with timers and maps first.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 class WindowLog:
@@ -85,6 +91,92 @@ def limit_stream(requests: DataFrame, key: str, ts: str, limit: int, window: flo
     return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts_s double, allowed boolean, remaining int", "log array<double>", "append", "EventTimeTimeout")
 
 
+class _OrderedLog(StatefulProcessor):
+    """Requests of a key wait in slots of time; a timer decides the slots that the watermark has passed, in order."""
+
+    def __init__(self, key: str, ts: str, order: str, kind: str, limit: int, window: float, inclusive: bool, slot_ms: int):
+        self.names, self.kind, self.slot_ms = (key, ts, order), kind, slot_ms
+        self.rule = (limit, window, inclusive)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "due bigint", f"at array<bigint>, number array<{self.kind}>")
+        self.log = handle.getValueState("log", "times array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for chunk in rows:
+            at, number = chunk["limit_us"].to_numpy(), chunk["limit_order"].to_numpy()
+            due = (at // (self.slot_ms * 1000) + 1) * self.slot_ms
+            for d in np.unique(due).tolist():
+                old_at, old_number = self.waiting.getValue((d,)) if self.waiting.containsKey((d,)) else ([], [])
+                here = due == d
+                self.waiting.updateValue((d,), (list(old_at) + at[here].tolist(), list(old_number) + number[here].tolist()))
+        self._next_timer()
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        log = WindowLog(*self.rule, log=self.log.get()[0] if self.log.exists() else None)
+        for due in sorted(d for (d,) in self.waiting.keys() if d <= now):
+            rows = sorted(zip(*self.waiting.getValue((due,))))
+            self.waiting.removeKey((due,))
+            out = [log.check(at / 1e6) for at, _ in rows]
+            yield pd.DataFrame({
+                self.names[0]: [key[0]] * len(rows), self.names[1]: pd.to_datetime([at for at, _ in rows], unit="us", utc=True), self.names[2]: [n for _, n in rows],
+                "allowed": [o[0] for o in out], "remaining": [o[1] for o in out], "reset": [o[2] for o in out],
+            })
+        # Nothing that comes later is before the watermark, so a log wholly older than the window is of no more use.
+        if log.log and (log.log[-1] + self.rule[1]) * 1000 > now:
+            self.log.update((list(log.log),))
+        else:
+            self.log.clear()
+        self._next_timer()
+
+    def _next_timer(self) -> None:
+        """One live timer: the earliest slot that waits, else the end of the log's window."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        slots = [d for (d,) in self.waiting.keys()]
+        if slots:
+            self.handle.registerTimer(min(slots))
+        elif self.log.exists():
+            self.handle.registerTimer(int((self.log.get()[0][-1] + self.rule[1]) * 1000) + 1)
+
+
+def limit_stream_ordered(requests: DataFrame, key: str, ts: str, order: str, limit: int, window: float, inclusive: bool = False, late: str = "1 minute", slot: float = 1.0) -> DataFrame:
+    """``limit_batch`` on a stream, whatever the order in which requests arrive: (key, ts, order, allowed, remaining, reset).
+
+    Requests wait until the watermark has passed their slot of ``slot`` seconds,
+    which no other request can enter then, and are decided by time and order.
+    So results do not depend on how the stream is cut into micro-batches; a
+    request is answered ``late`` and a slot after it at most, those later than
+    ``late`` are left out. A task holds one slot of one key and its log, the
+    rest stands in the state store, which has to be RocksDB
+    (``use_state_store``); a key's state goes when its log has left the window.
+    Requests without a key share a log; those without a time are left out.
+    """
+    kind, number = requests.schema[key].dataType.simpleString(), requests.schema[order].dataType.simpleString()
+    at = F.col(ts).cast("timestamp")
+    rows = requests.where(at.isNotNull()).select(F.col(key), F.col(order).alias("limit_order"), at.alias("limit_ts"), F.unix_micros(at).alias("limit_us")).withWatermark("limit_ts", late)
+    return rows.groupBy(key).transformWithStateInPandas(
+        _OrderedLog(key, ts, order, number, limit, window, inclusive, int(slot * 1000)),
+        f"`{key}` {kind}, `{ts}` timestamp, `{order}` {number}, allowed boolean, remaining int, reset double", "Append", "EventTime",
+    )
+
+
+def use_state_store(spark: SparkSession, wanted: str = ROCKSDB) -> str:
+    """Let the session's streams keep their state in a store, or in memory where its class cannot be loaded; returns which."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(wanted)
+        found = wanted
+    except Py4JJavaError:
+        found = IN_MEMORY
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", found)
+    return found
+
+
 def gaps(requests: DataFrame, key: str, ts: str, order: str, least: float) -> DataFrame:
     """Adds ``wait``: seconds that a request would be held back to keep ``least`` seconds from the one before it."""
     from pyspark.sql import Window
