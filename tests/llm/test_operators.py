@@ -662,71 +662,89 @@ def test_rules(spark):
         assert got[i].verdict == (best[2] if best else "allow")
 
 
-def plain_templates(pages, labels, strength=4.0, prior=0.3):
+def plain_templates(pages, labels, merge=True, strength=4.0, prior=0.3, most=8.0, z_limit=1.64):
     """(template, impurity) of each page, by loops over each host's tree."""
-    from math import exp, log, sqrt
+    from math import sqrt
 
     def general(p):
         p = regex.sub(r"^\d+(?=\.[A-Za-z0-9]{1,5}$|$)", "{n}", p)
         p = regex.sub(r"^\d{4}-\d{2}(-\d{2})?$", "{date}", p)
         return regex.sub(r"^[0-9A-Fa-f-]{12,}$", "{id}", p)
 
-    leaf = {}
+    leaf, node_n, kids, own, path, host_n, domain_n = {}, {}, {}, {}, {}, {}, {}
+    domain = lambda h: ".".join(h.split(".")[-2:])
     for i, u in pages:
-        host, path = plain_host_path(u)
-        leaf[i] = (host, tuple(general(p) for p in path.split("/") if p))
-    count = {}
-
-    def add(key, y):
-        n = count.setdefault(key, [0, 0])
-        if y is not None:
-            n[y] += 1
-
-    nodes = set()
-    for i, (host, parts) in leaf.items():
+        host, p = plain_host_path(u)
+        parts = tuple(general(x) for x in p.split("/") if x)
+        leaf[i] = (host, parts)
         y = labels.get(i)
         for k in range(1, len(parts) + 1):
-            nodes.add((host, parts[:k]))
-            add(("node", host, parts[:k]), y)
-            add(("around", host, parts[: k - 1]), y)
-        add(("host", host), y)
-        add(("domain", ".".join(host.split(".")[-2:])), y)
-        add(("path", parts), y)
-    branch = {}
-    for host, node in nodes:
-        (good, bad), (all_good, all_bad) = count["node", host, node], count["around", host, node[:-1]]
-        own, rest = good + bad, all_good + all_bad - good - bad
-        if not own or not rest:
-            branch[host, node] = "*" if own else "?"
-            continue
-        p = all_bad / (own + rest)
-        z = (bad / own - (all_bad - bad) / rest) / sqrt(max(p * (1 - p), 1e-9) * (1 / own + 1 / rest))
-        branch[host, node] = "+" if z >= 1.64 else "-" if z <= -1.64 else "*"
-    members = {}
-    for (host, node), c in branch.items():
-        members.setdefault((host, node[:-1], c), set()).add(node[-1])
-
-    def step(host, node):
-        c = branch[host, node]
-        return node[-1] if c == "?" or len(members[host, node[:-1], c]) == 1 else c
-
-    template = {i: (h, tuple(step(h, parts[:k]) for k in range(1, len(parts) + 1))) for i, (h, parts) in leaf.items()}
-    smooth = lambda n, expected: (n[1] + strength * expected) / (sum(n) + strength)
-    odds = lambda p: log((q := min(max(p, 0.02), 0.98)) / (1 - q))
+            node_n[host, parts[:k]] = node_n.get((host, parts[:k]), 0) + 1
+            below = kids.setdefault((host, parts[:k]), {})
+            child = parts[k] if k < len(parts) else ""
+            below[child] = below.get(child, 0) + 1
+        for counts, keys in ((own, [(host, parts[:k]) for k in range(1, len(parts) + 1)]), (path, [parts[:k] for k in range(1, len(parts) + 1)]), (host_n, [host]), (domain_n, [domain(host)])):
+            for key in keys:
+                n = counts.setdefault(key, [0, 0])
+                if y is not None:
+                    n[0] += y
+                    n[1] += 1
+
+    def bounded(bad, n):
+        return (bad / n * min(n, most), min(n, most)) if n else (0.0, 0.0)
+
+    kin = {}
+    for host, node in node_n:
+        mode = max((c, child) for child, c in kids[host, node].items())[1]
+        kin.setdefault((host, node[:-1], mode), []).append(node)
+    step = {(host, node): node[-1] for host, node in node_n}
+    for (host, _, mode), nodes in kin.items() if merge else ():
+        pool = {}
+        for node in nodes:
+            for child, c in kids[host, node].items():
+                pool[child] = pool.get(child, 0) + c
+        df, whole = len(pool) - 1, sum(pool.values())
+        chi = {node: sum(c * c / (node_n[host, node] * pool[child] / whole) for child, c in kids[host, node].items()) - node_n[host, node] for node in nodes}
+        alike = [node for node in nodes if chi[node] <= df + z_limit * sqrt(2 * df) + 1e-9]
+        known = {}
+        for node in alike:
+            bad, n = own[host, node]
+            known[node] = (bad, n) if n else bounded(*path[node])
+        classes = {}
+        for node in alike:
+            y, w = known[node]
+            rest_y, rest = sum(known[m][0] for m in alike if m != node), sum(known[m][1] for m in alike if m != node)
+            c = "*"
+            if w and rest:
+                share = (y + rest_y) / (w + rest)
+                z = (y / w - rest_y / rest) / sqrt(max(share * (1 - share), 1e-9) * (1 / w + 1 / rest))
+                c = "+" if z >= z_limit else "-" if z <= -z_limit else "*"
+            classes.setdefault(c, []).append(node)
+        for c, members in classes.items():
+            if len(members) > 1:
+                step.update({(host, m): c + "~" + mode for m in members})
+    smooth = lambda bad, n, expected: (bad + strength * expected) / (n + strength)
+    starts = {}
+    for host, node in node_n:
+        starts.setdefault((host, tuple(step[host, node[:k]] for k in range(1, len(node) + 1))), []).append(node)
     out = {}
-    for i, t in template.items():
-        shapes = {leaf[j] for j in leaf if template[j] == t}
-        n = [sum(labels.get(j) == y for j in leaf if template[j] == t) for y in (0, 1)]
-        above = smooth(count["host", t[0]], smooth(count["domain", ".".join(t[0].split(".")[-2:])], prior))
-        path = sum(smooth(count["path", p], prior) for _, p in shapes) / len(shapes)
-        out[i] = ("/".join(t[1]), smooth(n, 1 / (1 + exp(-(odds(above) + odds(path) - odds(prior))))))
+    for i, (host, parts) in leaf.items():
+        impurity = smooth(*host_n[host], smooth(*domain_n[domain(host)], prior))
+        template = tuple(step[host, parts[:k]] for k in range(1, len(parts) + 1))
+        elsewhere = {k: bounded(*[sum(path[m][x] - own[host, m][x] for m in starts[host, template[:k]]) for x in (0, 1)]) for k in range(1, len(parts) + 1)}
+        last = max((k for k, far in elsewhere.items() if far[1]), default=None)
+        for k in range(1, len(parts) + 1):
+            mine = [sum(own[host, m][x] for m in starts[host, template[:k]]) for x in (0, 1)]
+            far = elsewhere[k] if k == last else (0.0, 0.0)
+            impurity = smooth(mine[0] + far[0], mine[1] + far[1], impurity)
+        out[i] = ("/".join(template), impurity)
     return out
 
 
-def check_templates(spark, pages, labels):
+def check_templates(spark, pages, labels, merge=True):
     frame_ = spark.createDataFrame([(i, b) for i, b in labels.items()], "page_id long, bad int")
-    got = {r.page_id: r for r in urltree.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(3), frame_, rules=()).collect()}
-    want = plain_templates(pages, labels)
+    got = {r.page_id: r for r in urltree.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(3), frame_, rules=(), merge=merge).collect()}
+    want = plain_templates(pages, labels, merge)
     assert set(got) == set(want)
     for i, (template, impurity) in want.items():
         assert got[i].template == template and abs(got[i].impurity - impurity) < 1e-9 and got[i].verdict == ("block" if impurity >= 0.8 else "allow")
@@ -738,7 +756,21 @@ def test_templates_rejected_by_purity(spark):
     labels = {k: 1 for k in range(40)} | {100 + k: 0 for k in range(40)}
     got = check_templates(spark, pages, labels)
     assert (got[300].verdict, got[300].template) == ("block", "bad/{n}") and (got[100].verdict, got[100].template) == ("allow", "good/{n}.html")
-    assert got[205].template == "wild5/page"
+    assert got[205].template == "*~page/page"
+
+
+def test_merged_templates_decide(spark):
+    # Below "pay" children look as below "win", whose labels are bad; "docs" has others, and good labels.
+    pages = [(k, f"http://h.x/win/{k}") for k in range(30)] + [(100 + k, f"http://h.x/docs/{k}.html") for k in range(30)] + [(200 + k, f"http://h.x/pay/{k}") for k in range(10)]
+    labels = {k: 1 for k in range(30)} | {100 + k: 0 for k in range(30)}
+    got = check_templates(spark, pages, labels)
+    assert {got[200 + k].verdict for k in range(10)} == {"block"} and got[200].template == got[0].template == "*~{n}/{n}" and got[100].verdict == "allow"
+    apart = check_templates(spark, pages, labels, merge=False)
+    assert {apart[200 + k].verdict for k in range(10)} == {"allow"} and (apart[0].verdict, apart[100].verdict) == ("block", "allow")
+    # What is known of "pay" on other hosts keeps it apart from "win".
+    pages += [(300 + k, f"http://other.y/pay/{k}") for k in range(30)]
+    got = check_templates(spark, pages, labels | {300 + k: 0 for k in range(30)})
+    assert got[200].verdict == "allow" and got[200].template == "pay/{n}" and got[0].verdict == "block"
 
 
 def test_templates_of_random_trees(spark):
