@@ -363,6 +363,159 @@ def parse_memory(spark, sf):
     return read(spark, sf, "part").select("p_partkey", scalars.parse_memory(s).alias("m")).select("p_partkey", "m.*")
 
 
+def _texts(spark, sf, texts: dict[str, str]) -> DataFrame:
+    """``part`` with texts that both dialects of SQL write alike, as cells of specification sheets."""
+    return read(spark, sf, "part").select("p_partkey", *[F.expr(sql).alias(name) for name, sql in texts.items()])
+
+
+_SHEET = {
+    "modem": "CASE p_partkey % 5 WHEN 0 THEN concat('X', p_size, ' modem 2.5 Gbps, ', p_size, ' Mbps uplink') WHEN 1 THEN concat('  LTE Cat ', p_size) WHEN 2 THEN concat('down ', p_size, ' Gbps') WHEN 3 THEN concat(p_size, ' Mb/s UL and ', p_size + 1, 'Gb/s') END",
+    "radio": "CASE p_partkey % 4 WHEN 0 THEN concat('Wi-Fi ', p_size, ', Bluetooth 5.', p_size % 4, ', NFC') WHEN 1 THEN concat('802.11ac/ax, bluetooth ', p_size) WHEN 2 THEN 'WiFi and nfc' ELSE concat('Ethernet ', p_size) END",
+    "display": "CASE p_partkey % 4 WHEN 0 THEN concat(p_size + 1000, '×', p_size + 500, ' at ', p_size + 60, 'Hz') WHEN 1 THEN concat('  ', p_size, ' inch FHD ') WHEN 2 THEN concat(p_size, '×', p_size) ELSE concat(p_size, ' inch') END",
+    "camera": "CASE p_partkey % 3 WHEN 0 THEN concat(p_size, ' MP, ', p_size % 3 + 2, ' ISPs') WHEN 1 THEN concat(p_size, ' megapixels, 3 image signal processors') ELSE concat(p_size, 'MP') END",
+    "memory": "concat(CASE p_partkey % 5 WHEN 0 THEN 'lpddr4x' WHEN 1 THEN 'DDR3' WHEN 2 THEN 'LPDDR5' WHEN 3 THEN 'ddr4' ELSE 'SRAM' END, ' ', p_size, ' GB ', 100 * p_size, ' MHz ', 8 * p_size, '-bit')",
+    "video": "repeat(concat(p_name, ' '), 4)",
+    "power": "CASE WHEN p_partkey % 2 = 0 THEN concat('TDP ', p_size, ' W') ELSE concat(p_size, ' volts') END",
+    "cache": "CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '.5 mb L3') ELSE concat('L2 ', p_size, 'KB') END",
+    "most": "CASE WHEN p_partkey % 2 = 0 THEN concat('up to ', p_size, ' tb') ELSE 'none' END",
+    "clock": "CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '.2 to ', p_size + 1, '.4 GHz') ELSE concat(p_size, ' GHz') END",
+    "threads": "CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, ' / ', 2 * p_size) ELSE concat(p_size, ' cores') END",
+    "node": "CASE p_partkey % 3 WHEN 0 THEN concat(p_size, 'nm') WHEN 1 THEN concat('Intel ', CASE WHEN p_size > 25 THEN 7 ELSE 20 END) ELSE concat('N', p_size) END",
+    "value": "concat(p_size, ',', 100 + p_partkey % 900, '.5')",
+    "engine": "CASE WHEN p_partkey % 2 = 0 THEN concat('  ', p_size, ' TOPS AI engine') ELSE concat('Hexagon ', p_size) END",
+    "charge": "CASE WHEN p_partkey % 2 = 0 THEN concat('Quick Charge ', p_size, '+ fast') ELSE concat(' ', p_size, ' W charging') END",
+    "dates": "concat('1999, 2040, then ', 2005 + p_size % 20)",
+}
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'X' || p_size || ' modem 2.5 Gbps, ' || p_size || ' Mbps uplink' WHEN 1 THEN 'LTE Cat ' || p_size WHEN 2 THEN 'down ' || p_size || ' Gbps' WHEN 3 THEN p_size || ' Mb/s UL and ' || (p_size + 1) || 'Gb/s' END AS modem,
+CASE p_partkey % 5 WHEN 0 THEN 2500 WHEN 2 THEN p_size * 1000 WHEN 3 THEN p_size END::INT AS modem_dl, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 3 THEN p_size END::INT AS modem_ul,
+CASE p_partkey % 4 WHEN 0 THEN 'Wi-Fi ' || p_size WHEN 1 THEN '802.11ac' WHEN 2 THEN 'Wi-Fi' END AS wifi, CASE p_partkey % 4 WHEN 0 THEN '5.' || p_size % 4 WHEN 1 THEN p_size::VARCHAR END AS bluetooth, CASE WHEN p_partkey % 4 = 0 THEN 'NFC' END AS connectivity,
+CASE p_partkey % 4 WHEN 0 THEN (p_size + 1000) || '×' || (p_size + 500) || ' @ ' || (p_size + 60) || 'Hz' WHEN 1 THEN p_size || ' inch FHD' WHEN 2 THEN p_size || '×' || p_size END AS display,
+CASE p_partkey % 3 WHEN 0 THEN p_size || ' MP, ' || (p_size % 3 + 2) || ' ISPs' WHEN 2 THEN p_size || 'MP' END AS camera_max, CASE p_partkey % 3 WHEN 0 THEN p_size % 3 + 2 WHEN 1 THEN 3 END::INT AS isps,
+CASE p_partkey % 5 WHEN 0 THEN 'LPDDR4X' WHEN 1 THEN 'DDR3' WHEN 2 THEN 'LPDDR5' WHEN 3 THEN 'DDR4' END AS memory_type, (100 * p_size)::INT AS memory_clock, p_size::INT AS memory_max, (8 * p_size)::INT AS memory_bus,
+left(trim(repeat(p_name || ' ', 4)), 100) AS video FROM part""")
+def sheet_cells(spark, sf):
+    """Cells of modems, radios, displays, cameras, memories and videos."""
+    t, c = _texts(spark, sf, _SHEET), F.col
+    t = t.select("p_partkey", scalars.parse_modem(c("modem")).alias("a"), scalars.parse_connectivity(c("radio")).alias("b"), scalars.parse_display(c("display")).alias("display"), scalars.parse_camera(c("camera")).alias("d"), scalars.parse_memory(c("memory")).alias("e"), scalars.parse_video(c("video")).alias("video"))
+    return t.select("p_partkey", "a.*", "b.*", "display", "d.*", "e.*", "video")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END::INT AS tdp, CASE WHEN p_partkey % 2 = 0 THEN p_size || '.5 MB' ELSE p_size || ' KB' END AS cache, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' TB' END AS most,
+CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.2 ELSE p_size END::DOUBLE AS clock, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1.4 END::DOUBLE AS boost, p_size::INT AS cores, (CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END * p_size)::INT AS threads,
+CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN CASE WHEN p_size > 25 THEN 10 ELSE 14 END END::INT AS nm, (p_size * 1000 + 100 + p_partkey % 900 + 0.5)::DOUBLE AS value, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' TOPS AI engine' END AS npu,
+CASE WHEN p_partkey % 2 = 0 THEN p_size || ' TOPS' END AS ai_ops, CASE WHEN p_partkey % 2 = 0 THEN 'Quick Charge ' || p_size || '+' ELSE p_size || ' W charging' END AS charging, (2005 + p_size % 20)::INT AS year FROM part""")
+def sheet_numbers(spark, sf):
+    """Cells of powers, caches, clocks, threads, nodes, scores, engines, chargers and years."""
+    t, c = _texts(spark, sf, _SHEET), F.col
+    return t.select(
+        "p_partkey", scalars.parse_tdp(c("power")).alias("tdp"), scalars.parse_cache_size(c("cache")).alias("cache"), scalars.parse_memory_max(c("most")).alias("most"), scalars.parse_clock(c("clock")).alias("k"),
+        scalars.parse_core_thread(c("threads")).alias("t"), scalars.parse_process_node(c("node")).alias("nm"), scalars.parse_benchmark_value(c("value")).alias("value"), scalars.parse_npu(c("engine")).alias("npu"),
+        scalars.parse_ai_ops(c("engine")).alias("ai_ops"), scalars.parse_charging(c("charge")).alias("charging"), scalars.detect_year(c("dates")).alias("year"),
+    ).select("p_partkey", "tdp", "cache", "most", "k.*", "t.*", "nm", "value", "npu", "ai_ops", "charging", "year")
+
+
+_CPU = """CASE p_partkey % 4 WHEN 0 THEN concat('ARMv9 ', p_size, '-core at 2.', p_size % 10, ' GHz') WHEN 1 THEN concat(p_size % 4 + 1, 'x Cortex-A78 + ', p_size % 3 + 1, 'x 1.', p_size % 9 + 1, ' GHz Kryo')
+WHEN 2 THEN concat('plain 8 of ', p_size, ' MHz') ELSE concat(p_size % 4 + 1, '*, 3* at ', p_size + 100, ' MHz, 900 MHz, 3.0 GHz') END"""
+
+
+@query("""WITH t AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN trunc(('2.' || p_size % 10)::DOUBLE * 1000) WHEN 1 THEN trunc(('1.' || (p_size % 9 + 1))::DOUBLE * 1000) WHEN 2 THEN p_size ELSE 3000 END::INT AS top FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ARMv9-A' WHEN 1 THEN 'ARMv8.2-A' END AS architecture, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size % 4 + 1 + p_size % 3 + 1 WHEN 2 THEN 8 ELSE p_size % 4 + 4 END::INT AS cores,
+CASE p_partkey % 4 WHEN 1 THEN (p_size % 4 + 1) || '+' || (p_size % 3 + 1) WHEN 3 THEN (p_size % 4 + 1) || '+3' END AS cluster_config, CASE p_partkey % 4 WHEN 3 THEN p_size + 100 ELSE top END::INT AS clock_min,
+CASE p_partkey % 4 WHEN 3 THEN 900 END::INT AS clock_mid, top AS clock_max, CASE WHEN top >= 1000 THEN printf('%.2f', top / 1000) || ' GHz' ELSE top || ' MHz' END AS max_freq FROM t""")
+def sheet_processors(spark, sf):
+    """Texts of processors: architecture, cores from totals, clusters or multipliers, and clocks."""
+    return _texts(spark, sf, {"cpu": _CPU}).select("p_partkey", scalars.parse_cpu(F.col("cpu")).alias("c")).select("p_partkey", "c.*")
+
+
+_NAMED = {
+    "p_brand": "p_brand",
+    "chip": "CASE WHEN p_partkey % 2 = 0 THEN concat('the Snapdragon ', 600 + p_size, 'x chip') ELSE concat('chip ', p_size) END",
+    "core": "CASE p_partkey % 3 WHEN 0 THEN concat('Core i7-', 1000 + p_partkey % 9000, 'H ') WHEN 1 THEN concat('Core 999 ', 100 + p_size, 'A with words') ELSE 'Core' END",
+    "laptop": "CASE p_partkey % 4 WHEN 0 THEN concat('an Intel Core i7-', 1000 + p_partkey % 9000, 'H laptop') WHEN 1 THEN concat('an AMD Ryzen 7 ', 3000 + p_size, 'U') WHEN 2 THEN concat('with Ryzen 5 ', 3000 + p_size) ELSE concat('none ', p_size) END",
+    "apple": "CASE p_partkey % 3 WHEN 0 THEN concat('the m', p_size % 4 + 1, ' Pro') WHEN 1 THEN concat('A', 15 + p_size % 5) ELSE concat('M', p_size + 4) END",
+    "page": "concat('https://h.org/wiki/', replace(p_name, ' ', '_'), '?x=1#y')",
+    "name": "p_name",
+    "number": "CASE WHEN p_partkey % 2 = 0 THEN concat(' ', p_partkey, ' ') ELSE concat(p_partkey, ' or so') END",
+    "cell": "CASE p_partkey % 4 WHEN 0 THEN concat('Snapdragon ', p_size, ' [1] (x)') WHEN 1 THEN concat('SDM', 600 + p_size) ELSE '—' END",
+    "heading": "CASE p_partkey % 4 WHEN 2 THEN concat('The Tegra ', p_size, 'X line') WHEN 3 THEN concat('Snapdragon line ', p_size, '[edit]') END",
+    "maker": "CASE p_partkey % 4 WHEN 0 THEN 'Nvidia' WHEN 1 THEN 'NXP i.MX' WHEN 2 THEN 'Other' END",
+    "section": "CASE p_partkey % 4 WHEN 0 THEN concat('Tegra ', p_size, 'K (old)') ELSE concat('i.MX-', p_size, 'M series') END",
+}
+
+
+@query("""SELECT p_partkey, CASE WHEN starts_with(lower(p_brand), 'brand#1') THEN 'One' WHEN lower(p_brand) = 'brand#25' THEN 'TwoFive' WHEN starts_with(lower(p_brand), 'brand#2') THEN 'Two' ELSE 'Unknown' END AS vendor,
+CASE WHEN p_partkey % 2 = 0 THEN 'Snapdragon ' || (600 + p_size) || 'x' END AS token, CASE p_partkey % 3 WHEN 0 THEN (1000 + p_partkey % 9000) || 'H' WHEN 1 THEN (100 + p_size) || 'A' END AS trailing,
+CASE p_partkey % 4 WHEN 0 THEN 'Intel Core i7-' || (1000 + p_partkey % 9000) WHEN 1 THEN 'AMD Ryzen 7 ' || (3000 + p_size) WHEN 2 THEN 'Ryzen 5 ' || (3000 + p_size) END AS processor,
+CASE p_partkey % 3 WHEN 0 THEN 'M' || (p_size % 4 + 1) || ' Pro' WHEN 1 THEN 'A' || (15 + p_size % 5) END AS apple, replace(p_name, ' ', '_') AS title, 'https://h.org/api?action=parse&format=json&prop=text&page=' || replace(p_name, ' ', '%20') AS api,
+CASE WHEN p_partkey % 2 = 0 THEN p_partkey END::INT AS number, CASE p_partkey % 4 WHEN 0 THEN 'Snapdragon ' || p_size || ' (x)' WHEN 1 THEN 'SDM' || (600 + p_size) WHEN 2 THEN 'Tegra ' || p_size || 'X' ELSE 'Snapdragon line ' || p_size END AS record,
+CASE p_partkey % 4 WHEN 0 THEN 'Tegra ' || p_size || 'K' WHEN 1 THEN 'i.MX ' || p_size || 'M' END AS override FROM part""")
+def sheet_names(spark, sf):
+    """Names of vendors, models, processors, pages and records."""
+    t, c = _texts(spark, sf, _NAMED), F.col
+    return t.select(
+        "p_partkey", scalars.detect_vendor(c("p_brand"), (("Brand#1", "One"), ("BRAND#25", "TwoFive"), ("Brand#2", "Two"))).alias("vendor"), scalars.model_token(c("chip")).alias("token"), scalars.trailing_model(c("core")).alias("trailing"),
+        scalars.processor_name(c("laptop")).alias("processor"), scalars.apple_chip(c("apple")).alias("apple"), scalars.page_title(c("page")).alias("title"), scalars.api_url(c("name"), "https://h.org/api").alias("api"),
+        scalars.int_or_null(c("number")).alias("number"), scalars.record_name(c("cell"), c("heading"), ("Snapdragon",)).alias("record"), scalars.heading_name(c("maker"), c("section")).alias("override"),
+    )
+
+
+# Records whose names, models, years and memories call each rule up; both dialects of SQL read them alike.
+_RECORD = {
+    "id": "concat('id', p_partkey)",
+    "vendor": "CASE p_partkey % 7 WHEN 0 THEN 'Qualcomm' WHEN 1 THEN 'MediaTek' WHEN 2 THEN 'Samsung' WHEN 3 THEN 'Apple' WHEN 4 THEN 'HiSilicon' WHEN 5 THEN 'Rockchip' ELSE p_brand END",
+    "name": "CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' (now sold)') WHEN p_partkey % 5 = 1 THEN concat('Chip ', p_size) ELSE p_name END",
+    "model": "CASE p_partkey % 7 WHEN 0 THEN concat('SM', 7900 + 50 * (p_size % 20)) WHEN 1 THEN concat('MT', 6000 + 100 * p_size) WHEN 2 THEN concat('Exynos ', 18 + p_size % 8, '00') WHEN 4 THEN concat('Kirin ', 600 + 10 * p_size) WHEN 6 THEN '' ELSE concat('X', p_size) END",
+    "year": "CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 2005 + p_size % 20 END",
+    "memory_type": "CASE p_partkey % 4 WHEN 0 THEN 'LPDDR4X' WHEN 1 THEN 'ddr4' END",
+}
+_RECORD_SQL = "SELECT p_partkey, " + ", ".join(f"{sql} AS {name}" for name, sql in _RECORD.items()) + " FROM part"
+
+
+@query(f"""WITH r AS ({_RECORD_SQL}), c AS (SELECT *, replace(name, ' (now sold)', '') AS n FROM r)
+SELECT p_partkey, n AS name, CASE WHEN model <> '' THEN model WHEN n = 'Chip ' || regexp_extract(n, '[0-9]+$') THEN n ELSE id END AS model FROM c""")
+def fallback_models(spark, sf):
+    """Names without their notes; a model that is missing is the name if it looks like one, else the id."""
+    return enrich.clean_names(_texts(spark, sf, _RECORD)).select("p_partkey", "name", "model")
+
+
+@query(f"""WITH r AS (SELECT *, nullif(year, 0) AS y FROM ({_RECORD_SQL})),
+t AS (SELECT *, coalesce(memory_type, CASE WHEN y >= 2023 THEN 'LPDDR5X' WHEN y >= 2021 THEN 'LPDDR5' WHEN y >= 2019 THEN 'LPDDR4X' WHEN y >= 2016 THEN 'LPDDR4' WHEN y >= 2014 THEN 'LPDDR3' WHEN y >= 2012 THEN 'LPDDR2' WHEN y IS NOT NULL THEN 'LPDDR' END) AS kind FROM r)
+SELECT p_partkey, kind AS memory_type, CASE memory_type WHEN 'LPDDR4X' THEN 2133 WHEN 'ddr4' THEN 2400 ELSE CASE kind WHEN 'LPDDR5X' THEN 4266 WHEN 'LPDDR5' THEN 3200 WHEN 'LPDDR4X' THEN 2133 WHEN 'LPDDR4' THEN 1600 WHEN 'LPDDR3' THEN 933 WHEN 'LPDDR2' THEN 533 WHEN 'LPDDR' THEN 400 END END::INT AS memory_clock,
+CASE WHEN kind = 'ddr4' THEN NULL WHEN kind LIKE 'LPDDR4%' OR kind LIKE 'LPDDR5%' THEN 64 WHEN kind IS NOT NULL THEN 32 END::INT AS memory_bus FROM t""")
+def inferred_memory(spark, sf):
+    r = _texts(spark, sf, _RECORD).withColumns({"memory_clock": F.lit(None).cast("int"), "memory_bus": F.lit(None).cast("int")})
+    return enrich.infer_memory(r).select("p_partkey", "memory_type", "memory_clock", "memory_bus")
+
+
+@query(f"""WITH r AS (SELECT *, nullif(year, 0) AS y FROM ({_RECORD_SQL})) SELECT p_partkey, CASE WHEN y IS NULL THEN NULL WHEN vendor = 'Qualcomm' THEN 'Adreno GPU' WHEN vendor IN ('Samsung', 'MediaTek', 'HiSilicon') THEN 'Mali GPU'
+WHEN vendor = 'Rockchip' THEN CASE WHEN y >= 2017 THEN 'Mali-G52 MP2' WHEN y >= 2014 THEN 'Mali-T760 MP4' ELSE 'Mali-400 MP' END END AS gpu,
+CASE WHEN y >= 2017 THEN CASE WHEN vendor = 'Apple' THEN 'Neural Engine' WHEN vendor = 'Qualcomm' AND model[3:3] IN ('6', '7', '8') THEN 'Hexagon NPU' WHEN vendor = 'MediaTek' AND model[3:]::INT >= 8000 THEN 'MediaTek APU'
+WHEN vendor = 'Samsung' AND model[8:9] IN ('21', '22', '24', '25') THEN 'Samsung NPU' WHEN vendor = 'HiSilicon' AND model[7:7] IN ('7', '8', '9') THEN 'HiSilicon NPU' END END AS npu FROM r""")
+def inferred_engines(spark, sf):
+    """Graphics by vendor and year where nothing is known of the model, and neural engines."""
+    r = _texts(spark, sf, _RECORD).withColumns({"gpu": F.lit(None).cast("string"), "npu": F.lit(None).cast("string")})
+    return enrich.infer_npu(enrich.infer_gpu(r, {})).select("p_partkey", "gpu", "npu")
+
+
+@query(f"""WITH r AS (SELECT *, nullif(year, 0) AS y, try_cast(model[3:] AS INT) AS k FROM ({_RECORD_SQL})) SELECT p_partkey, CASE WHEN y IS NULL THEN NULL
+WHEN vendor = 'Qualcomm' THEN CASE WHEN k >= 8750 THEN 'Snapdragon X80 5G' WHEN k >= 8650 THEN 'Snapdragon X75 5G' WHEN k >= 8550 THEN 'Snapdragon X70 5G' WHEN k >= 8450 THEN 'Snapdragon X65 5G' WHEN k >= 8350 THEN 'Snapdragon X60 5G' WHEN k >= 8250 THEN 'Snapdragon X55 5G'
+WHEN k >= 8150 THEN 'Snapdragon X50 5G' WHEN k >= 8000 THEN 'Snapdragon X24 5G' WHEN y >= 2019 THEN 'Snapdragon 5G' WHEN y >= 2013 THEN 'Snapdragon 4G LTE' END
+WHEN vendor = 'MediaTek' THEN CASE WHEN y >= 2020 THEN 'MediaTek 5G' WHEN y >= 2015 THEN 'MediaTek 4G LTE' END WHEN vendor = 'Samsung' THEN CASE WHEN y >= 2020 THEN 'Exynos 5G' WHEN y >= 2014 THEN 'Exynos 4G LTE' END
+WHEN vendor = 'Apple' AND y >= 2019 THEN 'Apple 5G' WHEN vendor = 'HiSilicon' THEN CASE WHEN y >= 2019 THEN 'Balong 5G' WHEN y >= 2014 THEN 'Balong 4G LTE' END END AS modem FROM r""")
+def inferred_modems(spark, sf):
+    return enrich.infer_modem(_texts(spark, sf, _RECORD).withColumn("modem", F.lit(None).cast("string"))).select("p_partkey", "modem")
+
+
+@query(f"""WITH c(k, code) AS (VALUES ('SM8250', 'Kona'), ('SM8350', 'Lahaina'), ('SM8450', 'Waipio'), ('SM8550', 'Kalama'), ('SM8650', 'Pineapple'), ('SM8750', 'Pineapple')),
+a AS (SELECT p_partkey, name || ' (' || model || ')' AS alias FROM ({_RECORD_SQL}) WHERE model <> '' AND NOT contains(name, model) UNION ALL SELECT p_partkey, code FROM ({_RECORD_SQL}) JOIN c ON contains(model, k))
+SELECT p_partkey, string_agg(alias, '|' ORDER BY alias) AS aliases FROM part LEFT JOIN a USING (p_partkey) GROUP BY 1""")
+def inferred_aliases(spark, sf):
+    r = _texts(spark, sf, _RECORD).withColumn("aliases", F.lit(None).cast("array<string>"))
+    return enrich.infer_aliases(r).select("p_partkey", F.when(F.col("aliases").isNotNull(), F.array_join("aliases", "|")).alias("aliases"))
+
+
 # ---------------------------------------------------------------- pages and semi-structured data
 
 
