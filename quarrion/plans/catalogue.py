@@ -900,6 +900,59 @@ def kb_merge(spark, sf):
     return resolve.merge_layers(base, live, corrections)
 
 
+@query("""SELECT 'n' || p_partkey AS id, CASE WHEN p_partkey % 7 < 6 THEN 'e' || p_partkey END AS match_id, CASE p_partkey % 7 WHEN 0 THEN 'exact_model' WHEN 1 THEN 'alias' WHEN 2 THEN 'regex' WHEN 3 THEN 'wikidata_qid' WHEN 4 THEN 'fuzzy' WHEN 5 THEN 'name' ELSE 'no_match' END AS strategy FROM part""")
+def match_strategies(spark, sf):
+    """Every strategy finds the same part by another property: model, alias, model in the name, item, likeness, name."""
+    r = _texts(spark, sf, {
+        "p_brand": "p_brand", "digest": "md5(cast(p_partkey AS string))", "sm": "concat('SM', lpad(cast(p_partkey AS string), 6, '0'))", "k": "p_partkey % 7",
+    })
+    key, c = F.col("p_partkey").cast("string"), F.col
+    e = r.select(F.concat(F.lit("e"), key).alias("id"), c("digest").alias("name"), c("p_brand").alias("vendor"), c("sm").alias("model"), F.concat(F.lit("Q"), key).alias("wikidata_id"))
+    n = r.select(
+        F.concat(F.lit("n"), key).alias("id"), F.when(c("k") == 2, F.concat(F.lit("the "), c("sm"))).when(c("k") == 4, F.concat(F.left("digest", F.lit(31)), F.lit("z"))).when(c("k") == 5, F.upper("digest")).otherwise("unheard").alias("name"),
+        F.when(c("k") == 4, c("p_brand")).otherwise("elsewhere").alias("vendor"), F.when(c("k") == 0, F.lower("sm")).when(c("k") == 1, F.concat(F.lit("al-"), key)).otherwise("").alias("model"), F.when(c("k") == 3, F.concat(F.lit("Q"), key)).alias("wikidata_id"),
+    )
+    aliases = r.where("k = 1").select(F.concat(F.lit("AL-"), key).alias("model"), F.upper("digest").alias("alias"))
+    return resolve.match(n, e, aliases)
+
+
+@query("""SELECT c_custkey, 'x' AS set_one, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'b' END AS kept, 'b' AS forced, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'src' END AS applied, CASE WHEN c_custkey % 3 <> 0 THEN 'src' END AS applied_other,
+CASE WHEN c_custkey % 6 = 0 THEN 'shop' ELSE 'enrichment' END AS reapplied, 'enrichment' AS reapplied_other FROM customer""")
+def provenance_maps(spark, sf):
+    """One entry set, many set with and without force, whole rows tracked, and legacy entries put right."""
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "shop").otherwise("").alias("source"))
+    c = c.withColumn("provenance", F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("c_name"), F.lit("old"))))
+    get, p = provenance.get_source, F.col("provenance")
+    both = {"c_name": "b", "c_mktsegment": "b"}
+    out = c.withColumns({"set_one": get(provenance.record_field(p, "c_name", "x"), "c_name"), "kept": get(provenance.bulk_record(p, both), "c_name"), "forced": get(provenance.bulk_record(p, both, force=True), "c_name")}).select("c_custkey", "set_one", "kept", "forced")
+    done = lambda d, n: d.select("c_custkey", get(p, "c_name").alias(n), get(p, "c_mktsegment").alias(n + "_other"))
+    return out.join(done(provenance.apply(c, "src"), "applied"), "c_custkey").join(done(provenance.reapply(c, "old"), "reapplied"), "c_custkey")
+
+
+_CLAIMS = {"o_orderkey": "o_orderkey", "now": "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'a' END", "new": "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END", "now_by": "CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE 'low' END", "new_by": "CASE WHEN o_orderkey % 7 < 2 THEN 'high' WHEN o_orderkey % 7 < 4 THEN 'mid' ELSE 'last' END"}
+
+
+@query(f"""WITH p(source, rank) AS (VALUES ('high', 1), ('mid', 2)), c AS (SELECT {", ".join(f"{sql} AS {name}" for name, sql in _CLAIMS.items())} FROM orders)
+SELECT o_orderkey, CASE WHEN now = '' THEN new WHEN new IS NULL THEN now WHEN coalesce(b.rank, 9) < coalesce(a.rank, 9) THEN new ELSE now END AS value, now <> '' AND new IS NOT NULL AND now <> new AS conflict
+FROM c LEFT JOIN p a ON a.source = now_by LEFT JOIN p b ON b.source = new_by""")
+def source_priority(spark, sf):
+    """Of two values that of the source with priority: empty, equal and differing ones, sources with and without priority."""
+    o = read(spark, sf, "orders").select(*[F.expr(sql).alias(name) for name, sql in _CLAIMS.items()])
+    return o.select("o_orderkey", provenance.resolve(F.col("now"), F.col("new"), F.col("now_by"), F.col("new_by"), ["high", "mid"]).alias("value"), provenance.is_conflict(F.col("now"), F.col("new")).alias("conflict"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mt' || (6000 + p_size) WHEN 1 THEN 'rk' || (3300 + p_size) WHEN 2 THEN 'zynq' || p_size ELSE 'foo' || p_size || 'i' END AS soc,
+CASE p_partkey % 7 WHEN 0 THEN 'MediaTek MT' || p_size WHEN 1 THEN 'Snapdragon SM' || p_size WHEN 2 THEN 'Rockchip RK' || p_size WHEN 3 THEN 'i.MX' || p_size WHEN 4 THEN 'Unisoc SC' || p_size WHEN 5 THEN 'Allwinner Sun' || p_size || 'i' ELSE 'zx' || p_size END AS named FROM part""")
+def device_names(spark, sf):
+    """Models in the names of device files, and names that models have on the market."""
+    t = _texts(spark, sf, {
+        "file": "CASE p_partkey % 4 WHEN 0 THEN concat('mt', 6000 + p_size, '-board.dts') WHEN 1 THEN concat('rk', 3300 + p_size, '.dtsi') WHEN 2 THEN concat('zynq', p_size, '-zc.dts') ELSE concat('foo', p_size, '.dtsi') END",
+        "vendor": "CASE p_partkey % 4 WHEN 0 THEN 'MediaTek' WHEN 1 THEN 'Rockchip' ELSE 'Nobody' END",
+        "model": "concat(CASE p_partkey % 7 WHEN 0 THEN 'mt' WHEN 1 THEN 'sm' WHEN 2 THEN 'rk' WHEN 3 THEN 'imx' WHEN 4 THEN 'sc' WHEN 5 THEN 'sun' ELSE 'zx' END, p_size, CASE WHEN p_partkey % 7 = 5 THEN 'i' ELSE '' END)",
+    })
+    return t.select("p_partkey", devicetree.soc_name(F.col("file"), F.col("vendor")).alias("soc"), devicetree.marketing_name(F.col("model")).alias("named"))
+
+
 # ---------------------------------------------------------------- state, streams, sinks
 
 
