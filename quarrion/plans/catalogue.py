@@ -793,7 +793,11 @@ def alias_join(spark, sf):
     return resolve.match(new, parts(spark, sf).select("id", "name", "vendor"), aliases)
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '')), ' ') AS s FROM part),
+w AS (SELECT a.name, b.name AS other, a.s, b.s AS t, 0 AS i, list_transform(range(length(b.s)), lambda x: 0::BIGINT) AS r FROM n a, n b WHERE 200.0 * least(length(a.s), length(b.s)) / (length(a.s) + length(b.s)) >= 80
+UNION ALL SELECT name, other, s, t, i + 1, list_transform(range(1, length(t) + 1), lambda j: list_max(c[1:j])) FROM
+(SELECT *, list_transform(range(1, length(t) + 1), lambda j: greatest(r[j], CASE WHEN t[j] = s[i + 1] THEN 1 + CASE WHEN j = 1 THEN 0 ELSE r[j - 1] END ELSE 0 END)) AS c FROM w WHERE i < length(s)))
+SELECT name, other, round(200.0::DOUBLE * r[-1] / (length(s) + length(t)), 4) AS score FROM w WHERE i = length(s) AND 200.0 * r[-1] / (length(s) + length(t)) >= 80""")
 def fuzzy_match(spark, sf):
     n = parts(spark, sf).select("name", F.lit("v").alias("vendor")).distinct()
     side = lambda p: n.select(F.col("name").alias(p + "id"), F.col("name").alias(p + "name"), F.col("vendor").alias(p + "vendor"))
