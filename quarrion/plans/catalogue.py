@@ -516,6 +516,30 @@ def inferred_aliases(spark, sf):
     return enrich.infer_aliases(r).select("p_partkey", F.when(F.col("aliases").isNotNull(), F.array_join("aliases", "|")).alias("aliases"))
 
 
+_DATED = {
+    "vendor": "p_brand",
+    "model": "CASE p_partkey % 12 WHEN 0 THEN concat('MT', 5000 + 80 * p_size) WHEN 1 THEN concat('Kirin ', 600 + 10 * p_size) WHEN 2 THEN concat('SM', 2000 + 140 * p_size) WHEN 3 THEN concat('apq', 7100 + 40 * p_size) WHEN 4 THEN concat('RK', 3000 + 20 * p_size) WHEN 5 THEN concat('tegra', p_size) WHEN 6 THEN concat('Snapdragon ', 1 + p_size % 9, ' Gen ', 1 + p_size % 4) WHEN 7 THEN concat('OMAP', 3000 + 50 * p_size) WHEN 8 THEN concat('Atom D', 2000 + 20 * p_size) WHEN 9 THEN concat('M', 1 + p_size % 6) WHEN 11 THEN concat('Exynos ', 1000 + 30 * p_size) ELSE 'none' END",
+    "name": "CASE WHEN p_partkey % 12 = 10 THEN concat('Tegra ', p_size) ELSE 'the tegra 1 of all' END",
+    "year": "CASE p_partkey % 5 WHEN 0 THEN 2003 + p_size % 24 WHEN 1 THEN 1990 + p_size % 13 WHEN 2 THEN 2027 + p_size WHEN 3 THEN 0 END",
+}
+
+
+@query(f"""WITH r AS (SELECT *, try_cast(regexp_extract(model, '[0-9]+') AS INT) AS n FROM (SELECT p_partkey, p_size, p_partkey % 12 AS k, {", ".join(f"{sql} AS {name}" for name, sql in _DATED.items())} FROM part)),
+i AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN n >= 9900 THEN 2025 WHEN n >= 9800 THEN 2024 WHEN n >= 9200 THEN 2023 WHEN n >= 8700 THEN 2022 WHEN n >= 8300 THEN 2021 WHEN n >= 8000 THEN 2020 WHEN n >= 7900 THEN 2019 WHEN n >= 7500 THEN 2018 WHEN n >= 7000 THEN 2017 WHEN n >= 6500 THEN 2016 WHEN n >= 6000 THEN 2015 ELSE 2014 END
+WHEN 1 THEN CASE WHEN n >= 990 THEN 2019 WHEN n >= 980 THEN 2018 WHEN n >= 970 THEN 2017 WHEN n >= 960 THEN 2016 WHEN n >= 930 THEN 2015 WHEN n >= 900 THEN 2014 WHEN n >= 700 THEN 2018 ELSE 2015 END
+WHEN 2 THEN CASE WHEN n >= 8750 THEN 2025 WHEN n >= 8650 THEN 2024 WHEN n >= 8550 THEN 2023 WHEN n >= 8450 THEN 2022 WHEN n >= 8350 THEN 2021 WHEN n >= 8250 THEN 2020 WHEN n >= 8150 THEN 2019 WHEN n >= 8000 THEN 2018 ELSE 2010 + n // 1000 END
+WHEN 3 THEN CASE WHEN n >= 9000 THEN 2018 WHEN n >= 8998 THEN 2017 WHEN n >= 8996 THEN 2016 WHEN n >= 8994 THEN 2015 WHEN n >= 8974 THEN 2013 WHEN n >= 8960 THEN 2012 WHEN n >= 8900 THEN 2011 WHEN n >= 8200 THEN 2010 WHEN n >= 7600 THEN 2009 WHEN n >= 7200 THEN 2008 ELSE 2007 END
+WHEN 4 THEN 2008 + (n - 2000) // 200 WHEN 5 THEN 2008 + p_size WHEN 6 THEN CASE WHEN n >= 8 THEN 2021 ELSE 2020 END + 1 + p_size % 4 WHEN 7 THEN 2004 + 2 * (n // 1000) WHEN 8 THEN 2010 + n // 1000
+WHEN 9 THEN CASE WHEN n >= 4 THEN 2025 WHEN n = 3 THEN 2023 WHEN n = 2 THEN 2022 ELSE 2020 END WHEN 10 THEN 2008 + p_size
+ELSE CASE WHEN n >= 2500 THEN 2025 WHEN n >= 2400 THEN 2024 WHEN n >= 2200 THEN 2022 WHEN n >= 2100 THEN 2021 WHEN n >= 2000 THEN 2020 WHEN n >= 1580 THEN 2025 WHEN n >= 1480 THEN 2024 WHEN n >= 1380 THEN 2023 WHEN n >= 1280 THEN 2022 WHEN n >= 1080 THEN 2020 ELSE 2005 END END AS guess FROM r)
+SELECT p_partkey, CASE WHEN year BETWEEN 2003 AND 2026 THEN year ELSE guess END::INT AS year, CASE WHEN year BETWEEN 2003 AND 2026 THEN year WHEN guess BETWEEN 2003 AND 2026 THEN guess END::INT AS strict_year FROM i""")
+def inferred_years(spark, sf):
+    """Years out of range give way to what the model, else the name, says; strictly only if that is in range."""
+    r = _texts(spark, sf, _DATED)
+    strict = enrich.validate_year(r, strict=True).select("p_partkey", F.col("year").alias("strict_year"))
+    return enrich.validate_year(r).select("p_partkey", "year").join(strict, "p_partkey")
+
+
 # ---------------------------------------------------------------- pages and semi-structured data
 
 
