@@ -981,6 +981,46 @@ def device_names(spark, sf):
     return t.select("p_partkey", devicetree.soc_name(F.col("file"), F.col("vendor")).alias("soc"), devicetree.marketing_name(F.col("model")).alias("named"))
 
 
+@query("""WITH i AS (SELECT 'q' || p_partkey AS s, p_partkey % 3 AS kind, p_size, p_type, p_partkey FROM part WHERE p_brand = 'Brand#11')
+(SELECT s, p_size::VARCHAR AS value, 'process' AS _query_type FROM i WHERE kind < 2 ORDER BY s, p_size::VARCHAR LIMIT 500) UNION ALL
+SELECT s, p_type, 'architecture' FROM i WHERE kind = 0 UNION ALL SELECT s, 'gpu ' || p_size, 'gpu' FROM i WHERE kind < 2 AND p_partkey % 2 = 0""")
+def triple_queries(spark, sf):
+    """Three queries of patterns over (s, p, o), one under the other with their names; the first has the limit of its kind."""
+    r = _texts(spark, sf, {
+        "s": "concat('q', p_partkey)", "kind": "CASE p_partkey % 3 WHEN 0 THEN 'soc' WHEN 1 THEN 'gpu' ELSE 'book' END", "maker": "p_brand", "node": "cast(p_size AS string)", "isa": "p_type", "graphics": "CASE WHEN p_partkey % 2 = 0 THEN concat('gpu ', p_size) END",
+    })
+    names = {"kind": "instance_of", "maker": "manufacturer", "node": "node", "isa": "isa", "graphics": "gpu"}
+    triples = r.select("s", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("o")) for c, p in names.items()])).alias("t")).select("s", "t.*").where("o is not null")
+    triples = written(triples.unionByName(triples.where("p = 'node'")))  # repeated triples give one row
+    ask = lambda classes, p, limit=None: catalog.triple_query(triples, "Brand#11", classes, p, limit)
+    return catalog.union_tagged({"process": ask(["soc", "gpu"], "node", 500), "architecture": ask(["soc"], "isa"), "gpu": ask(["gpu", "soc"], "gpu")})
+
+
+@query("SELECT page_id, (page_id - 1) // 2 AS page_no FROM pages WHERE page_id % 2 = 1")
+def page_chain(spark, sf):
+    """Pages of odd numbers, each linked to the next one, from the first on."""
+    p = read(spark, sf, "pages").select("page_id", F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("u"), (F.col("page_id") + 2).cast("string")).alias("next_url"))
+    return catalog.follow_pages(p, "u1").select("page_id", "page_no")
+
+
+@query("""WITH t AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'mt' || (6000 + p_size) WHEN 1 THEN 'rk' || (3300 + p_size) ELSE 'bcm' || (2700 + p_size) END AS soc FROM part WHERE p_partkey % 4 < 2 OR (p_partkey % 4 = 2 AND p_partkey % 3 <> 0))
+SELECT DISTINCT soc AS id, CASE p_partkey % 4 WHEN 0 THEN 'MediaTek ' WHEN 1 THEN 'Rockchip ' ELSE '' END || upper(soc) AS name, CASE p_partkey % 4 WHEN 0 THEN 'MediaTek' WHEN 1 THEN 'Rockchip' ELSE 'Broadcom' END AS vendor, upper(soc) AS model, 'linux_dt' AS source FROM t""")
+def tree_records(spark, sf):
+    """Records from paths of device files: unknown folders and 32-bit twins are left out, the first path of a model counts."""
+    t = _texts(spark, sf, {"pos": "p_partkey", "path": """concat('arch/', CASE WHEN p_partkey % 3 = 0 THEN 'arm' ELSE 'arm64' END, '/boot/dts/', CASE p_partkey % 4 WHEN 0 THEN concat('mediatek/mt', 6000 + p_size, '-x.dts')
+        WHEN 1 THEN concat('rockchip/rk', 3300 + p_size, '.dts') WHEN 2 THEN concat('broadcom/bcm', 2700 + p_size, '-rpi.dts') ELSE concat('zzz/mt', p_size, '.dts') END)"""})
+    vendors = spark.createDataFrame([("mediatek", "MediaTek"), ("rockchip", "Rockchip"), ("broadcom", "Broadcom")], "dir string, vendor string")
+    return devicetree.records(t, vendors)
+
+
+@query("""SELECT lower('Base' || p_size || 'v' || p_partkey % 3) AS key, 'arch/arm64/boot/dts/' || CASE WHEN p_partkey % 2 = 0 THEN 'x/' ELSE '' END || 'Base-' || p_size || '_v' || (p_partkey % 3) || '.dtsi' AS path FROM part""")
+def include_index(spark, sf):
+    """Include files, five folders deep at least, by their names without dashes and underscores."""
+    t = _texts(spark, sf, {"path": "concat('arch/arm64/boot/dts/', CASE WHEN p_partkey % 2 = 0 THEN 'x/' ELSE '' END, 'Base-', p_size, '_v', p_partkey % 3, '.dtsi')"})
+    other = _texts(spark, sf, {"path": "CASE WHEN p_partkey % 2 = 0 THEN concat('dts/Base', p_size, '.dtsi') ELSE concat('arch/arm64/boot/dts/x/b', p_size, '.dts') END"})
+    return devicetree.file_index(t.unionByName(other))
+
+
 # ---------------------------------------------------------------- state, streams, sinks
 
 
