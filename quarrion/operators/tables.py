@@ -135,12 +135,12 @@ def turned_texts(tables: DataFrame, key: str, vendor: Column) -> DataFrame:
 
 
 def with_years(records: DataFrame, group: list[str], place: str) -> DataFrame:
-    """Fills ``year`` from the first of name, model and heading with a year from 2007 on.
+    """Fills ``year`` from the first of name, model and heading with a year from 2007 on; digits of a longer number are no year.
 
     One of 2000 to 2006 takes the year of the record before it in the table
     instead, if there are two or more before and that one has a year.
     """
-    found = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"(20[0-2]\d)", 1).try_cast("int")
+    found = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"(?<!\d)(20[0-2]\d)(?!\d)", 1).try_cast("int")
     ys = F.filter(F.array(found(F.col("name")), found(F.col("model")), found(F.col("heading"))), lambda y: y.isNotNull())
     fit = F.get(F.filter("ys", lambda y: y >= 2007), F.lit(0))
     order = Window.partitionBy(*group).orderBy(place)
