@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .rules import first_pattern
 
@@ -99,6 +101,22 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * F.get(table, n) / total)
 
 
+@F.pandas_udf(IntegerType())
+def common_letters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two texts, all of the first one's letters in one integer; for many pairs."""
+    out = []
+    for x, y in zip(a, b):
+        where: dict[str, int] = {}
+        for k, c in enumerate(x):
+            where[c] = where.get(c, 0) | 1 << k
+        full = v = (1 << len(x)) - 1
+        for c in y:
+            u = v & where.get(c, 0)
+            v = (v + u | v - u) & full
+        out.append(len(x) - v.bit_count())
+    return pd.Series(out, dtype="int32")
+
+
 def letter_counts(text: Column) -> Column:
     """How often each of the letters a to z and the digits stands in a text, in either case, and how many other characters there are."""
     low = F.lower(text)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_id, extract_model, indel_ratio, letter_counts, normal_model, slug, token_sort
+from ..functions.rules import barrier
+from ..functions.text import canonical_id, common_letters, extract_model, letter_counts, normal_model, slug, token_sort
 from ..schema import is_filled
 from ..scratch import written
 from .windows import first_wins
@@ -21,27 +22,57 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+#: Letters that the pieces of a name have at least; shorter ones tell too little.
+LEAST_PIECE = 3
+
+
+def _pieces(n: int, e: int, least: float) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """(n_len, e_len, most, piece, start, size, low, high) for names of n and e letters: the pieces of the second, of which one at least stands unbroken in the first, ``low`` to ``high`` letters further on.
+
+    ``most`` letters at most are put in or left out where the score is reached, and each of
+    them breaks one piece; so one piece more than that will do. One empty piece, which all have, where pieces would be too short; none if the lengths rule the score out.
+    """
+    common = ceil(least * (n + e) / 200.0 - 1e-9)
+    if common > min(n, e):
+        return []
+    most = n + e - 2 * common
+    if e // (most + 1) < LEAST_PIECE:
+        return [(n, e, most, 0, 0, 0, 0, 0)]
+    cuts = [e * k // (most + 1) for k in range(most + 2)]
+    return [(n, e, most, k, a, b - a, common - e, n - common) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST, scoped: bool = False) -> DataFrame:
     """(n_id, e_id, score) of names alike within a vendor, and within n_scope and e_scope if ``scoped``.
 
-    Blocked by vendor and by length: a name meets only those whose lengths
-    don't rule the score out, by bands of lengths that overlap. Names whose letter counts rule it out
-    are dropped before the score is taken, and equal names are compared once.
+    Blocked by vendor, lengths and an unbroken piece of the name (``_pieces``), so no pair that reaches the score is
+    lost. Pairs whose edit distance or letter counts rule it out are dropped before the score is taken, and equal names are compared once.
     """
-    ratio = least / (200.0 - least)  # of the lengths of two names that reach the score
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(-log(ratio) + 1e-9)).cast("int")
 
     def side(df: DataFrame, p: str) -> DataFrame:
         named = df.where((F.col(p + "name") != "") & (F.col(p + "vendor") != "")).select(F.lower(p + "vendor").alias("v"), p + "name").distinct()
         named = named.withColumn(p + "s", token_sort(F.col(p + "name"))).where(F.length(p + "s") > 0)
-        return named.withColumn(p + "len", F.length(p + "s")).withColumn(p + "letters", letter_counts(F.col(p + "s")))
+        return named.withColumn(p + "len", F.length(p + "s"))
 
     a, b = side(new, "n_"), side(old, "e_")
-    a = a.withColumn("band", F.explode(F.array(*[band(F.col("n_len")) + k for k in (-1, 0, 1)])))
-    length = F.col("n_len") + F.col("e_len")
-    common = F.aggregate(F.zip_with("n_letters", "e_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    met = a.join(b.withColumn("band", band(F.col("e_len"))), ["v", "band"]).where(F.lit(200.0) * F.least("n_len", "e_len") / length >= least).where(F.lit(200.0) * common / length >= least)
-    pairs = met.withColumn("score", indel_ratio(F.col("n_s"), F.col("e_s"))).where(F.col("score") >= least).select("v", "n_name", "e_name", "score")
+    a = written(a.join(b.select("v").distinct(), "v", "left_semi"))
+    lengths = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  as many as the longest name has letters
+    e_lengths = lengths(b, "e_len")
+    rows = [row for n in lengths(a, "n_len") for e in e_lengths for row in _pieces(n, e, least)]
+    plan = F.broadcast(a.sparkSession.createDataFrame(rows, "n_len int, e_len int, most int, piece int, start int, size int, low int, high int"))
+    key = lambda text: F.xxhash64("v", "n_len", "e_len", "piece", text)
+    places = F.sequence(F.greatest(F.lit(0), F.col("start") + F.col("low")), F.least(F.col("n_len") - F.col("size"), F.col("start") + F.col("high")))
+    found = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("n_s"), i + 1, F.col("size"))))
+    asked = a.join(plan, "n_len").select("v", "n_name", "n_s", "n_len", "e_len", "piece", "most", F.explode(found).alias("text"))
+    asked = asked.select(key(F.col("text")).alias("key"), "v", "n_name", "n_s", "most")
+    kept = b.join(plan, "e_len").select(key(F.substring(F.col("e_s"), F.col("start") + 1, F.col("size"))).alias("key"), F.col("v").alias("e_v"), "e_name", "e_s")
+    length = F.length("n_s") + F.length("e_s")
+    common = F.aggregate(F.zip_with(letter_counts(F.col("n_s")), letter_counts(F.col("e_s")), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    met = asked.join(kept, "key").where((F.col("v") == F.col("e_v")) & (F.call_function("levenshtein", F.col("n_s"), F.col("e_s"), F.col("most")) >= 0))
+    # Written, as a filter would go before the distinct and be taken for every piece that a pair has in common.
+    met = written(met.select("v", "n_name", "n_s", "e_name", "e_s").distinct()).where(F.lit(200.0) * common / length >= least)
+    scored = barrier(met.withColumn("score", F.lit(200.0) * common_letters(F.col("n_s"), F.col("e_s")) / length))
+    pairs = scored.where(F.col("score") >= least).select("v", "n_name", "e_name", "score")
     out = new.withColumn("v", F.lower("n_vendor")).join(pairs, ["v", "n_name"]).join(old.withColumn("v", F.lower("e_vendor")), ["v", "e_name"])
     return (out.where("n_scope = e_scope") if scoped else out).select("n_id", "e_id", "score")
 
@@ -49,15 +80,15 @@ def fuzzy_candidates(new: DataFrame, old: DataFrame, least: float = FUZZY_LEAST,
 def _known_aliases(e: DataFrame, aliases: DataFrame) -> DataFrame:
     """(scope, alias, e_id) of existing rows that an alias names: their name holds it or is in it, or their model is the alias.
 
-    Names' pieces of the aliases' lengths meet the aliases, aliases' pieces meet the names: joins by equality, whatever the number of either.
+    Names' pieces of the aliases' lengths meet the aliases, aliases' pieces of the names' lengths meet the names: joins by equality, whatever the number of either.
     """
     alias = aliases.select(F.lower("alias").alias("alias")).where("alias <> ''").distinct()
     named = e.where(F.coalesce("e_name", F.lit("")) != "").select("e_scope", F.lower("e_name").alias("low"), "e_id").groupBy("e_scope", "low").agg(F.min("e_id").alias("e_id"))
     lengths = [r.n for r in alias.select(F.length("alias").alias("n")).distinct().collect()]  # as many as the longest alias has letters
     piece = lambda text, n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     held = named.select("e_scope", "e_id", F.explode(F.array_distinct(F.flatten(F.array(*[piece(F.col("low"), n) for n in lengths])))).alias("alias")).join(alias, "alias") if lengths else named.select("e_scope", "e_id", F.col("low").alias("alias")).limit(0)
-    size = F.length("alias")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("alias"), i, n))))
+    sizes = [r.n for r in named.select(F.length("low").alias("n")).distinct().collect()]  # as many as the longest name has letters
+    spans = F.flatten(F.array(*[piece(F.col("alias"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
     within = alias.select("alias", F.explode(F.array_distinct(spans)).alias("low")).join(named, "low")
     models = e.select("e_scope", "e_id", F.lower("e_model").alias("alias")).join(alias, "alias")
     cols = ["e_scope", "alias", "e_id"]

@@ -45,7 +45,7 @@ def test_entry(spark):
 
 
 #: Queries whose parts' numbers have more than five digits somewhere, and years' digits.
-LONG_KEYS = ["article_records", "catalogue_lookup", "file_candidates", "merge_into_vendors", "page_records", "layout_records"]
+LONG_KEYS = ["article_records", "catalogue_lookup", "file_candidates", "merge_into_vendors", "page_records", "layout_records", "match_strategies"]
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,32 @@ def long_keys(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", LONG_KEYS)
 def test_long_keys(spark, long_keys, name):
     test_query(spark, *long_keys, name)
+
+
+def test_pieces_lose_no_pair(spark):
+    """Names of 20 to 34 letters with up to six changed, put in or left out, against every pair."""
+    import random
+
+    from quarrion.functions.text import common_letters
+    from quarrion.operators import resolve
+
+    draw = random.Random(5)
+
+    def edited(s):
+        s = list(s)
+        for _ in range(draw.randrange(7)):
+            k = draw.randrange(len(s))
+            s[k : k + 1] = draw.choice([[], [draw.choice("abcdef")], [s[k], draw.choice("abcdef")]])
+        return "".join(s)
+
+    old = ["".join(draw.choice("abcdef") for _ in range(draw.randrange(20, 35))) for _ in range(60)]
+    new = [edited(draw.choice(old)) for _ in range(120)]
+    n = spark.createDataFrame([(k, s, "v") for k, s in enumerate(new)], "n_id int, n_name string, n_vendor string")
+    e = spark.createDataFrame([(k, s, "V") for k, s in enumerate(old)], "e_id int, e_name string, e_vendor string")
+    lcs = common_letters.func
+    import pandas as pd
+
+    want = {(i, j) for i, a in enumerate(new) for j, b in enumerate(old) if 200.0 * int(lcs(pd.Series([a]), pd.Series([b]))[0]) / (len(a) + len(b)) >= 85}
+    assert {(r.n_id, r.e_id) for r in resolve.fuzzy_candidates(n, e, 85.0).collect()} == want and want
+    assert any(len(resolve._pieces(len(a), len(b), 85.0)) > 1 for a in new for b in old)
+    assert int(lcs(pd.Series(["kitten"]), pd.Series(["sitting"]))[0]) == 4
