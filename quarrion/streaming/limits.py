@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +90,12 @@ def limit_stream(requests: DataFrame, key: str, ts: str, limit: int, window: flo
     return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts_s double, allowed boolean, remaining int", "log array<double>", "append", "EventTimeTimeout")
 
 
+#: Waiting requests of a key that stand in one entry of its state, and decided ones that are given out together.
+TOGETHER = 4096
+
+
 class _OrderedLog(StatefulProcessor):
-    """Requests of a key wait in slots of time; a timer decides the slots that the watermark has passed, in order."""
+    """Requests of a key wait together, or in slots of time if they are many; a timer decides the slots that the watermark has passed, in order."""
 
     def __init__(self, key: str, ts: str, order: str, kind: str, limit: int, window: float, inclusive: bool, slot_ms: int):
         self.names, self.kind, self.slot_ms = (key, ts, order), kind, slot_ms
@@ -100,47 +103,84 @@ class _OrderedLog(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint", f"at array<bigint>, number array<{self.kind}>")
+        self.near = handle.getValueState("near", f"at array<bigint>, number array<{self.kind}>, more boolean")
+        self.far = handle.getMapState("far", "due bigint", f"at array<bigint>, number array<{self.kind}>")
         self.log = handle.getValueState("log", "times array<double>")
 
+    def _waiting(self) -> tuple[list, list, bool]:
+        """Times and numbers of the requests that wait together, and whether more of them stand in slots."""
+        if not self.near.exists():
+            return [], [], False
+        at, number, more = self.near.get()
+        return list(at), list(number), more
+
+    def _slots(self, at: list, number: list) -> dict[int, list]:
+        slots: dict[int, list] = {}
+        for pair in zip(at, number):
+            slots.setdefault((pair[0] // (self.slot_ms * 1000) + 1) * self.slot_ms, []).append(pair)
+        return slots
+
     def handleInputRows(self, key, rows, timerValues):
+        at, number, more = self._waiting()
         for chunk in rows:
-            at, number = chunk["limit_us"].to_numpy(), chunk["limit_order"].to_numpy()
-            due = (at // (self.slot_ms * 1000) + 1) * self.slot_ms
-            for d in np.unique(due).tolist():
-                old_at, old_number = self.waiting.getValue((d,)) if self.waiting.containsKey((d,)) else ([], [])
-                here = due == d
-                self.waiting.updateValue((d,), (list(old_at) + at[here].tolist(), list(old_number) + number[here].tolist()))
-        self._next_timer()
+            at += chunk["limit_us"].tolist()
+            number += chunk["limit_order"].tolist()
+            if len(at) > TOGETHER:
+                for due, pairs in self._slots(at, number).items():
+                    old_at, old_number = self.far.getValue((due,)) if self.far.containsKey((due,)) else ([], [])
+                    self.far.updateValue((due,), (list(old_at) + [a for a, _ in pairs], list(old_number) + [n for _, n in pairs]))
+                at, number, more = [], [], True
+        self._keep(at, number, more, None)
         return iter(())
 
+    def _frame(self, key, done: list[tuple]) -> pd.DataFrame:
+        at, number, allowed, remaining, reset = zip(*done)
+        return pd.DataFrame({
+            self.names[0]: [key[0]] * len(done), self.names[1]: pd.to_datetime(list(at), unit="us", utc=True), self.names[2]: list(number),
+            "allowed": list(allowed), "remaining": list(remaining), "reset": list(reset),
+        })
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         log = WindowLog(*self.rule, log=self.log.get()[0] if self.log.exists() else None)
-        for due in sorted(d for (d,) in self.waiting.keys() if d <= now):
-            rows = sorted(zip(*self.waiting.getValue((due,))))
-            self.waiting.removeKey((due,))
-            out = [log.check(at / 1e6) for at, _ in rows]
-            yield pd.DataFrame({
-                self.names[0]: [key[0]] * len(rows), self.names[1]: pd.to_datetime([at for at, _ in rows], unit="us", utc=True), self.names[2]: [n for _, n in rows],
-                "allowed": [o[0] for o in out], "remaining": [o[1] for o in out], "reset": [o[2] for o in out],
-            })
+        at, number, more = self._waiting()
+        slots = self._slots(at, number)
+        far = {d for (d,) in self.far.keys()} if more else set()
+        done: list[tuple] = []
+        for due in sorted(d for d in far | set(slots) if d <= now):
+            pairs = slots.pop(due, [])
+            if due in far:
+                pairs = pairs + list(zip(*self.far.getValue((due,))))
+                self.far.removeKey((due,))
+            done += [(a, n, *log.check(a / 1e6)) for a, n in sorted(pairs)]
+            if len(done) >= TOGETHER:
+                yield self._frame(key, done)
+                done = []
+        if done:
+            yield self._frame(key, done)
         # Nothing that comes later is before the watermark, so a log wholly older than the window is of no more use.
-        if log.log and (log.log[-1] + self.rule[1]) * 1000 > now:
+        end = int((log.log[-1] + self.rule[1]) * 1000) + 1 if log.log and (log.log[-1] + self.rule[1]) * 1000 > now else None
+        if end is not None:
             self.log.update((list(log.log),))
         else:
             self.log.clear()
-        self._next_timer()
+        left = [pair for pairs in slots.values() for pair in pairs]
+        self._keep([a for a, _ in left], [n for _, n in left], any(d > now for d in far), end)
 
-    def _next_timer(self) -> None:
-        """One live timer: the earliest slot that waits, else the end of the log's window."""
+    def _keep(self, at: list, number: list, more: bool, end: int | None) -> None:
+        """What waits, and one live timer: the earliest slot that waits, else the end of the log's window."""
+        if at or more:
+            self.near.update((at, number, more))
+        else:
+            self.near.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        slots = [d for (d,) in self.waiting.keys()]
-        if slots:
-            self.handle.registerTimer(min(slots))
-        elif self.log.exists():
-            self.handle.registerTimer(int((self.log.get()[0][-1] + self.rule[1]) * 1000) + 1)
+        due = [(min(at) // (self.slot_ms * 1000) + 1) * self.slot_ms] if at else []
+        due += [d for (d,) in self.far.keys()] if more else []
+        if due:
+            self.handle.registerTimer(min(due))
+        elif end is not None:
+            self.handle.registerTimer(end)
 
 
 def limit_stream_ordered(requests: DataFrame, key: str, ts: str, order: str, limit: int, window: float, inclusive: bool = False, late: str = "1 minute", slot: float = 1.0) -> DataFrame:
@@ -150,8 +190,8 @@ def limit_stream_ordered(requests: DataFrame, key: str, ts: str, order: str, lim
     which no other request can enter then, and are decided by time and order.
     So results do not depend on how the stream is cut into micro-batches; a
     request is answered ``late`` and a slot after it at most, those later than
-    ``late`` are left out. A task holds one slot of one key and its log, the
-    rest stands in the state store, which has to be RocksDB
+    ``late`` are left out. A task holds one slot of one key, its log and at most
+    TOGETHER of its requests beside a batch's, the rest stands in the state store, which has to be RocksDB
     (``use_state_store``); a key's state goes when its log has left the window.
     Requests without a key share a log; those without a time are left out.
     """

@@ -5,6 +5,7 @@ import random
 import time
 from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrion.operators import robots
@@ -76,3 +77,49 @@ def test_robots_of_empty_tables(spark):
     assert robots.can_fetch(none, files, "bot").count() == 0
     one = spark.createDataFrame([("https://a.org/x", dt.datetime(2024, 1, 1))], "url string, ts timestamp")
     assert [(r.allowed, r.known) for r in robots.can_fetch(one, files, "bot").collect()] == [(True, False)]
+
+
+class _State:
+    """A state of one key in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.map, self.timers = calls, None, {}, set()
+
+    def __getattr__(self, name):
+        do = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+            "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": lambda k, v: self.map.__setitem__(k, v), "removeKey": lambda k: self.map.pop(k), "keys": lambda: list(self.map),
+            "listTimers": lambda: list(self.timers), "deleteTimer": lambda t: self.timers.discard(t), "registerTimer": lambda t: self.timers.add(t),
+            "getValueState": lambda *a: _State(self.calls), "getMapState": lambda *a: _State(self.calls),
+        }[name]
+
+        def call(*a):
+            self.calls.append(name)
+            return do(*a)
+
+        return call
+
+
+@pytest.mark.parametrize("many,most", [(300, 40), (9000, None)])
+def test_slots_of_a_key_go_together(many, most):
+    """Requests in slots of their own take a few calls of the state and few frames; a key with more than TOGETHER uses slots, with the same decisions."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    at = [k * 7_000_000 for k in range(many)]
+    log = limits._OrderedLog("who", "ts", "id", "bigint", 3, 60.0, False, 5000)
+    calls = []
+    handle = _State(calls)
+    log.init(handle)
+    frame = pd.DataFrame({"limit_us": at[::-1], "limit_order": list(range(many))[::-1]})
+    log.handleInputRows(("a",), iter([frame[:100], frame[100:]]), None)
+    out = []
+    for now in (at[many // 2] // 1000, at[-1] // 1000 + 10_000):
+        assert min(handle.timers) <= now
+        out += list(log.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None))
+    rule = limits.WindowLog(3, 60.0)
+    want = [(k, rule.check(a / 1e6)[0]) for k, a in enumerate(at)]
+    got = pd.concat(out)
+    assert list(zip(got["id"].tolist(), got["allowed"].tolist())) == want
+    assert most is None or len(calls) <= most and len(out) == 2
