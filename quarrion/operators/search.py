@@ -6,17 +6,22 @@ from collections.abc import Iterator
 from functools import reduce
 from math import log
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.stem import stem
+from ..scratch import small_batches
+
+#: Words whose stems a task remembers.
+REMEMBERED = 200_000
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def fold(text: Column) -> Column:
@@ -25,11 +30,20 @@ def fold(text: Column) -> Column:
     return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
 
 
-@F.pandas_udf(StringType())
-def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stems(words: pa.Array, memory: dict[str, str]) -> pa.Array:
+    """Stems of the words, each distinct one once; the memory is emptied before it grows beyond REMEMBERED words."""
+    code = words.dictionary_encode()
+    if len(memory) + len(code.dictionary) > REMEMBERED:
+        memory.clear()
+    found = [memory.get(w) or memory.setdefault(w, stem(w)) for w in code.dictionary.to_pylist()]
+    return pa.array(found, pa.string()).take(code.indices)
+
+
+@F.arrow_udf(StringType())
+def stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     memory: dict[str, str] = {}
-    for s in batches:
-        yield s.map(lambda w: w if w is None else memory.get(w) or memory.setdefault(w, stem(w)))
+    for words in batches:
+        yield _stems(words, memory)
 
 
 def postings(df: DataFrame, id_col: str, columns: list[str], stems: bool = False) -> DataFrame:
@@ -40,6 +54,7 @@ def postings(df: DataFrame, id_col: str, columns: list[str], stems: bool = False
     docs = df.select(F.col(id_col).alias("id"), tokens(text).alias("t"))
     rows = docs.select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
     if stems:
+        small_batches(df.sparkSession)
         rows = rows.withColumn("term", stemmed("term"))
     return rows.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
 
@@ -55,11 +70,13 @@ def bm25(post: DataFrame, docs: int, mean_len: float, terms: list[str], k1: floa
     return scored.where(F.col("_terms") == len(terms)).drop("_terms")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def all_stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(StringType()))
+def all_stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     memory: dict[str, str] = {}
-    for s in batches:
-        yield s.map(lambda words: None if words is None else [memory.get(w) or memory.setdefault(w, stem(w)) for w in words])
+    for rows in batches:
+        many = rows.value_lengths()
+        ends = np.cumsum(np.r_[0, many.fill_null(0).to_numpy()]).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), _stems(rows.flatten(), memory), mask=many.is_null())
 
 
 def query_parts(query: str) -> list[tuple[str, list[str]]]:
@@ -103,6 +120,7 @@ def search(df: DataFrame, query: str, id_col: str, columns: list[str], limit: in
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
     t = tokens(fold(F.lower(text)) if stems else text)
     if stems:
+        small_batches(df.sparkSession)
         t, parts = all_stemmed(t), [(kind, words if kind == "prefix" else [stem(w) for w in words]) for kind, words in parts]
     # Through an array of one, so that no filter pulls the tokens into what looks at them one by one.
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(t)).alias("_t"))
