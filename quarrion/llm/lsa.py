@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages are weighted by TF-IDF, with document frequencies of the
-whole corpus, and a distributed randomised SVD gives the space that each block
-of at most RANK of them spans, so a space has a direction for each of its
-passages however many blocks there are. All passages of all documents are
-projected into the spaces and compared by cosine; near ones are checked by the
+whole corpus, and a distributed randomised SVD gives the latent space of each
+block of at most RANK of them: its strongest directions, as few as leave every
+passage KEPT of its norm. All passages of all documents are projected into the
+spaces and compared by cosine there; near ones are checked by the
 longest common subsequence of words and by the presence of the item's answer,
 its last part, so paraphrases are found as well as copies.
 """
@@ -26,12 +26,15 @@ from .common import materialise
 
 #: Words are kept as hashes of four bytes, whose lowest bits are the terms of the space.
 TERMS = 1 << 15
-#: Words of the benchmark that are searched for in one pass over the documents; more of them are more passes.
-PASS_WORDS = 1_000_000
+#: Words of the benchmark that are searched for in one pass over the documents; more of them are more passes. Their spaces, at most
+#: 0.6 KB for each word of a passage, are sent to the tasks together.
+PASS_WORDS = 100_000
 #: A passage is PARTS runs of STRIDE words; one begins with each run.
 STRIDE, PARTS = 16, 3
 #: Passages of the benchmark that share a space, and so its rank at most.
 RANK, OVERSAMPLE, POWER = 160, 16, 2
+#: Share of its norm that each passage keeps in the space, which has no more directions than that takes.
+KEPT = 0.7
 #: Cosine from which a passage is checked, for an item's passage that keeps its whole norm in its space.
 NEAR = 0.3
 #: Share of a passage's own weight from which it is checked as well, whatever words stand around it; a copy has all.
@@ -166,18 +169,17 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
 
 
 def _block(spark: SparkSession, cuts: list[tuple[int, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a block of passages (item's place, terms), by their space: terms, passages and the products of the two that are not zero; the norms that unit passages keep; the passages' own weights.
-
-    A space has a direction for each passage of its block, so a term that a
-    passage lacks has no product with it, and the products are few.
-    """
+    """Of a block of passages (item's place, terms): each term's row in the space, the rows (weighted, the last one of no term), unit passages, the norms that they kept, their own weights and items."""
     used, space = latent_space(spark.createDataFrame([(bytearray(t.tobytes()),) for _, t in cuts], "terms binary"), idf)
     index = np.stack([w @ space[np.searchsorted(used, t)] for t, w in (_tfidf(t, idf) for _, t in cuts)])
-    kept = np.linalg.norm(index, axis=1)
-    product = space @ (index / np.maximum(kept, 1e-9)[:, None]).T
-    t, c = np.nonzero(np.abs(product) > 1e-4)
+    norms = np.sqrt(np.cumsum(index**2, axis=1))
+    rank = min(space.shape[1], 1 + int((norms.min(axis=0) < KEPT).sum()))
+    kept, index = norms[:, rank - 1], index[:, :rank]
+    row = np.full(TERMS, len(used), np.int32)
+    row[used] = np.arange(len(used))
+    rows = np.vstack([space[:, :rank] * idf[used][:, None], np.zeros((1, rank))]).astype(np.float32)
     weight = [np.linalg.norm(idf[x] * n) for x, n in (np.unique(t, return_counts=True) for _, t in cuts)]
-    return used[t], c, product[t, c] * idf[used[t]], kept, np.array(weight)
+    return row, rows, (index / np.maximum(kept, 1e-9)[:, None]).astype(np.float32).T, kept, np.array(weight), np.array([k for k, _ in cuts])
 
 
 def _sums(part: np.ndarray) -> np.ndarray:
@@ -233,13 +235,8 @@ def _search(terms: DataFrame, keys: list[str], items: list[tuple], item_col: str
     short = lambda t: (t & (TERMS - 1)).astype(np.uint16)
     cuts = [(k, short(t[a : a + length])) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - length // 2), length // 2)]
     blocks = [_block(terms.sparkSession, cuts[a : a + RANK], idf) for a in range(0, len(cuts), RANK)]
-    own = [np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] + k * RANK for k, b in enumerate(blocks)]), np.concatenate([b[2] for b in blocks])]
-    order = np.argsort(own[0], kind="stable")
-    column, value = own[1][order].astype(np.int32), own[2][order].astype(np.float32)
-    first = np.searchsorted(own[0][order], np.arange(TERMS + 1))
-    kept, weight = np.concatenate([b[3] for b in blocks]), np.concatenate([b[4] for b in blocks])
-    near, held, owner = NEAR * kept, HELD * kept * weight, np.array([k for k, _ in cuts])
-    piece = min(500, max(40, 2_000_000 // len(cuts))) * STRIDE  # bounds the table of runs and passages
+    bounds = [(NEAR * kept, HELD * kept * weight) for *_, kept, weight, _ in blocks]
+    piece = 500 * STRIDE  # bounds the tables of words and directions, runs and passages
     square = (idf * idf).astype(np.float32)
 
     item_type = to_arrow_type(item_kind)
@@ -263,16 +260,14 @@ def _search(terms: DataFrame, keys: list[str], items: list[tuple], item_col: str
             own = (ids[start : start + piece + length] & (TERMS - 1)).astype(np.int64)
             runs = np.arange(0, len(own), STRIDE)
             norm = np.sqrt(np.maximum(_sums(np.add.reduceat(square[own], runs)), 1e-9))[:, None]
-            many = first[own + 1] - first[own]
-            at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            cell = np.repeat(np.arange(len(own)) // STRIDE, many) * len(cuts) + column[at]
-            part = _sums(np.bincount(cell, value[at], len(runs) * len(cuts)).reshape(len(runs), -1))
-            cos = part / norm
-            for p, c in zip(*np.nonzero((cos >= near) | (part >= held))):
-                k = int(owner[c])
-                best[k] = max(best.get(k, 0.0), float(cos[p, c]))
-                a = start + int(p) * STRIDE
-                spans.setdefault(k, []).append((a, a + length))
+            for (row, rows, passages, *_, owner), (near, held) in zip(blocks, bounds):
+                part = _sums(np.add.reduceat(rows[row[own]], runs)) @ passages
+                cos = part / norm
+                for p, c in zip(*np.nonzero((cos >= near) | (part >= held))):
+                    k = int(owner[c])
+                    best[k] = max(best.get(k, 0.0), float(cos[p, c]))
+                    a = start + int(p) * STRIDE
+                    spans.setdefault(k, []).append((a, a + length))
         for k, places in spans.items():
             item = items[k][1]
             margin, top, end = len(item), (0.0, 0.0), -1

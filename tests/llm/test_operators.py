@@ -632,6 +632,20 @@ def test_latent_space_is_the_svd(spark):
     assert np.linalg.norm(a[:, used] @ space) > 0.97 * np.linalg.norm(best)
 
 
+def test_space_has_fewer_directions_than_passages(spark):
+    """The space decides: it is cut to its strongest directions, and every passage keeps its share of the norm."""
+    rng = np.random.default_rng(8)
+    cuts = [(k // 2, rng.integers(0, 3000, 40).astype(np.uint16)) for k in range(60)]
+    idf = rng.uniform(0.5, 5, lsa.TERMS)
+    row, rows_, passages, kept, weight, owner = lsa._block(spark, cuts, idf)
+    rank = rows_.shape[1]
+    assert 1 < rank < 50 and passages.shape == (rank, 60) and kept.min() >= lsa.KEPT and kept.max() < 1
+    assert np.allclose(np.linalg.norm(passages, axis=0), 1, atol=1e-4) and owner.tolist() == [k // 2 for k in range(60)]
+    for c, (_, t) in enumerate(cuts):  # a passage's own cosine is what it keeps, others have less of it
+        cos = rows_[row[t]].sum(axis=0) @ passages / weight[c]
+        assert abs(cos[c] - kept[c]) < 1e-3 and cos.argmax() == c
+
+
 # ---------------------------------------------------------------- URLs
 
 
