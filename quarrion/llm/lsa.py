@@ -12,11 +12,13 @@ its last part, so paraphrases are found as well as copies.
 from __future__ import annotations
 
 import functools
+import operator
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,6 +33,8 @@ TERMS = 1 << 15
 PASS_WORDS = 100_000
 #: A passage is PARTS runs of STRIDE words; one begins with each run.
 STRIDE, PARTS = 16, 3
+#: Words that are compared together: short texts go together, a long one in pieces that overlap by a passage.
+PIECE = 500 * STRIDE
 #: Passages of the benchmark that share a space, and so its rank at most.
 RANK, OVERSAMPLE, POWER = 160, 16, 2
 #: Share of its norm that each passage keeps in the space, which has no more directions than that takes.
@@ -42,25 +46,29 @@ HELD = 0.5
 #: Shares of the item's words in common order from which it is a copy, or a paraphrase if the answer is there as well.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
 ANSWER_WORDS = 8
+#: Words of an item up to which a task keeps their places; they take a bit for each two of them.
+KNOWN = 1_000
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|#*%$&-_"
 
 
-class _Terms(dict):
-    def __missing__(self, word: str) -> int:
-        t = zlib.crc32((word.strip(_PUNCTUATION) or word).encode())
-        if len(self) >= 50_000:
-            self.clear()
-        self[word] = t
-        return t
-
-
-_terms = _Terms()
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(the words of all texts as hashes, the number of words of each); each distinct word is hashed once."""
+    low = pc.utf8_trim_whitespace(pa.array([(t or "").lower() for t in texts], pa.string()))
+    words = pc.utf8_split_whitespace(low)
+    empty = np.asarray(pc.equal(low, ""))
+    number = np.where(empty, 0, np.asarray(pc.list_value_length(words)))
+    coded = pc.list_flatten(words.filter(pa.array(~empty))).dictionary_encode()
+    bare = pc.utf8_trim(coded.dictionary, characters=_PUNCTUATION)
+    bare = pc.if_else(pc.equal(bare, ""), coded.dictionary, bare)
+    ends = np.cumsum(np.asarray(pc.binary_length(bare))).tolist()
+    data = bare.buffers()[2].to_pybytes() if ends else b""
+    hashes = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip([0, *ends], ends)), np.uint32, len(ends))
+    return hashes[np.asarray(coded.indices)], number
 
 
 def word_ids(text: str | None) -> np.ndarray:
     """Words as hashes, which the longest common subsequence compares; its terms are ``ids & (TERMS - 1)``."""
-    words = (text or "").lower().split()
-    return np.fromiter(map(_terms.__getitem__, words), np.uint32, len(words))
+    return word_hashes([text])[0]
 
 
 def term_ids(text: str | None) -> np.ndarray:
@@ -73,8 +81,10 @@ def term_table(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [word_ids(t.as_py()).tobytes() for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(data, pa.binary())], [*keys, "terms"])
+            ids, number = word_hashes(batch.column(text_col).to_pylist())
+            ends = np.append(0, np.cumsum(number)) * ids.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), data], [*keys, "terms"])
 
     return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, terms binary")
 
@@ -84,9 +94,13 @@ def document_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(TERMS + 1, np.int64), 0
+        last = np.zeros(TERMS, np.int64)  # place of each term's last word in the text
         for batch in batches:
             for data in batch.column("terms"):
-                df[np.unique(np.frombuffer(data.as_buffer(), np.uint32) & (TERMS - 1))] += 1
+                t = np.frombuffer(data.as_buffer(), np.uint32) & (TERMS - 1)
+                place = np.arange(len(t))
+                last[t] = place
+                df[t[last[t] == place]] += 1
                 n += 1
         df[TERMS] = n
         at = np.flatnonzero(df)
@@ -154,18 +168,29 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> tupl
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bit-parallel dynamic programming over the item's positions."""
+    """Length of the longest common subsequence."""
+    return _common(_places(item), len(item), text.tolist())
+
+
+def _places(item: np.ndarray) -> dict[int, int]:
+    """The places of each of an item's words, as bits."""
     where: dict[int, int] = {}
     for k, t in enumerate(item.tolist()):
         where[t] = where.get(t, 0) | 1 << k
-    full = (1 << len(item)) - 1
+    return where
+
+
+def _common(where: dict[int, int], size: int, text: list[int], share: float = 0.0) -> int:
+    """Length of the longest common subsequence, by bit-parallel dynamic programming over the item's positions; 0 if the text has less than that share of its words in any order."""
+    masks = [m for m in map(where.get, text) if m]
+    if functools.reduce(operator.or_, masks, 0).bit_count() / size < share:
+        return 0
+    full = (1 << size) - 1
     v = full
-    for t in text.tolist():
-        m = where.get(t)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    for m in masks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
 
 
 def _block(spark: SparkSession, cuts: list[tuple[int, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -182,11 +207,53 @@ def _block(spark: SparkSession, cuts: list[tuple[int, np.ndarray]], idf: np.ndar
     return row, rows, (index / np.maximum(kept, 1e-9)[:, None]).astype(np.float32).T, kept, np.array(weight), np.array([k for k, _ in cuts])
 
 
-def _sums(part: np.ndarray) -> np.ndarray:
-    """Sums of PARTS runs from each on."""
+def _groups(texts: list[np.ndarray]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Texts with their places, as many together as reach PIECE words."""
+    group, size = [], 0
+    for i, ids in enumerate(texts):
+        group.append((i, ids))
+        size += len(ids)
+        if size >= PIECE:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _runs(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """About PIECE words at a time in runs of STRIDE: (terms, a column for each run, TERMS behind a piece's end; the runs' pieces, texts and places)."""
+    pieces = [(i, a, (ids[a : a + PIECE + STRIDE * PARTS] & (TERMS - 1))) for i, ids in group for a in range(0, len(ids), PIECE)]
+    held, size = [], 0
+    for k, own in enumerate(pieces):
+        held.append(own)
+        size += len(own[2])
+        if size < PIECE and k < len(pieces) - 1:
+            continue
+        number = np.array([-(-len(t) // STRIDE) for _, _, t in held])
+        first = np.cumsum(number) - number
+        own = np.full(number.sum() * STRIDE, TERMS, np.intp)
+        for (_, _, t), f in zip(held, first.tolist()):
+            own[f * STRIDE : f * STRIDE + len(t)] = t
+        piece = np.repeat(np.arange(len(held)), number)
+        place = np.array([a for _, a, _ in held])[piece] + (np.arange(len(piece)) - first[piece]) * STRIDE
+        yield np.ascontiguousarray(own.reshape(-1, STRIDE).T), piece, np.array([i for i, _, _ in held])[piece], place
+        held, size = [], 0
+
+
+def _totals(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over each column of places."""
+    total = table[at[0]]
+    own = np.empty_like(total)
+    for k in at[1:]:
+        total += np.take(table, k, axis=0, out=own, mode="clip")
+    return total
+
+
+def _sums(part: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Sums of PARTS runs of a piece from each on."""
     total = part.copy()
     for k in range(1, PARTS):
-        total[:-k] += part[k:] if len(part) > k else 0
+        total[:-k] += part[k:] * (piece[k:] == piece[:-k])[:, None]
     return total
 
 
@@ -235,57 +302,56 @@ def _search(terms: DataFrame, keys: list[str], items: list[tuple], item_col: str
     short = lambda t: (t & (TERMS - 1)).astype(np.uint16)
     cuts = [(k, short(t[a : a + length])) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - length // 2), length // 2)]
     blocks = [_block(terms.sparkSession, cuts[a : a + RANK], idf) for a in range(0, len(cuts), RANK)]
-    bounds = [(NEAR * kept, HELD * kept * weight) for *_, kept, weight, _ in blocks]
-    piece = 500 * STRIDE  # bounds the tables of words and directions, runs and passages
-    square = (idf * idf).astype(np.float32)
+    square = np.append(idf * idf, 0).astype(np.float32)[:, None]
 
     item_type = to_arrow_type(item_kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each block: the terms' rows, one for no term too, the rows, the passages, their bounds and items
+        spaces = [(np.append(row, len(rows) - 1).astype(np.intp), rows, passages, (NEAR * kept).astype(np.float32), (HELD * kept * weight).astype(np.float32), owner) for row, rows, passages, kept, weight, owner in blocks]
+        known: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
         for batch in batches:
-            found = []
-            for i, data in enumerate(batch.column("terms")):
-                found += [(i, items[k][0], *rest) for k, *rest in _matches(np.frombuffer(data.as_buffer(), np.uint32))]
+            texts = [np.frombuffer(data.as_buffer(), np.uint32) for data in batch.column("terms")]
+            found = [(i, items[k][0], *rest) for group in _groups(texts) for i, k, *rest in _matches(group, spaces, known)]
             if found:
                 cols, at = list(zip(*found)), pa.array([f[0] for f in found])
                 held_by = [batch.column(k).take(at) for k in keys]
                 yield pa.RecordBatch.from_arrays([*held_by, pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], [*keys, item_col, "cosine", "common", "answer"])
 
-    def _matches(ids: np.ndarray) -> Iterator[tuple[int, float, float, float]]:
-        if not len(ids):
-            return
-        best: dict[int, float] = {}
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for start in range(0, len(ids), piece):  # a long text in pieces that overlap by a passage
-            own = (ids[start : start + piece + length] & (TERMS - 1)).astype(np.int64)
-            runs = np.arange(0, len(own), STRIDE)
-            norm = np.sqrt(np.maximum(_sums(np.add.reduceat(square[own], runs)), 1e-9))[:, None]
-            for (row, rows, passages, *_, owner), (near, held) in zip(blocks, bounds):
-                part = _sums(np.add.reduceat(rows[row[own]], runs)) @ passages
-                cos = part / norm
-                for p, c in zip(*np.nonzero((cos >= near) | (part >= held))):
-                    k = int(owner[c])
-                    best[k] = max(best.get(k, 0.0), float(cos[p, c]))
-                    a = start + int(p) * STRIDE
-                    spans.setdefault(k, []).append((a, a + length))
-        for k, places in spans.items():
+    def _matches(group: list[tuple[int, np.ndarray]], spaces: list[tuple], known: dict) -> Iterator[tuple[int, int, float, float, float]]:
+        best: dict[tuple[int, int], float] = {}
+        spans: dict[tuple[int, int], list[int]] = {}
+        for own, piece, text, place in _runs(group):
+            norm = np.sqrt(np.maximum(_sums(_totals(square, own), piece), 1e-9))
+            for row, rows, passages, near, held, owner in spaces:
+                part = _sums(_totals(rows, row[own]), piece) @ passages
+                bound = norm * near
+                at, c = np.divmod(np.flatnonzero(part >= np.minimum(bound, held, out=bound)), len(owner))
+                for i, k, a, x in zip(text[at].tolist(), owner[c].tolist(), place[at].tolist(), (part[at, c] / norm[at, 0]).tolist()):
+                    best[i, k] = max(best.get((i, k), 0.0), x)
+                    spans.setdefault((i, k), []).append(a)
+        ids = dict(group)
+        for (i, k), places in spans.items():
             item = items[k][1]
-            margin, top, end = len(item), (0.0, 0.0), -1
+            where, where_answer = known.get(k) or (_places(item), _places(item[-ANSWER_WORDS:]))
+            if len(item) <= KNOWN:
+                known[k] = where, where_answer
+            margin, top = len(item), (0.0, 0.0)
             merged: list[list[int]] = []
-            for a, b in sorted(places):
-                a, b = max(0, a - margin), b + margin
+            for a in sorted(places):
+                a, b = max(0, a - margin), a + length + margin
                 if merged and a <= merged[-1][1] and b - merged[-1][0] <= 4 * (length + margin):
                     merged[-1][1] = b
                 else:
                     merged.append([a, b])
-            answer = item[-ANSWER_WORDS:]
             for a, b in merged:
-                region = ids[a:b]
-                common = common_subsequence(item, region) / len(item)
+                region = ids[i][a:b].tolist()
+                common = _common(where, len(item), region, PARAPHRASE) / len(item)
                 if common >= PARAPHRASE:
-                    top = max(top, (common, common_subsequence(answer, region) / len(answer)))
+                    size = min(ANSWER_WORDS, len(item))
+                    top = max(top, (common, _common(where_answer, size, region) / size))
             if top[0] >= COPY or top[0] >= PARAPHRASE and top[1] >= ANSWER:
-                yield k, min(1.0, best[k]), top[0], top[1]
+                yield i, k, min(1.0, best[i, k]), top[0], top[1]
 
     return terms.mapInArrow(search, result)
 

@@ -616,6 +616,43 @@ def test_common_subsequence():
             for j in range(len(b)):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
         assert lsa.common_subsequence(a, b) == t[-1, -1]
+        share = np.isin(a, b).mean()  # less than that share of the item's words in any order need no count
+        assert lsa._common(lsa._places(a), len(a), b.tolist(), share) == t[-1, -1] and lsa._common(lsa._places(a), len(a), b.tolist(), share + 0.01) == 0
+
+
+def test_words_are_hashed_once(odd_texts, monkeypatch):
+    """All texts of a batch together, as one by one; each distinct word is hashed once."""
+    texts = [*odd_texts, " \u0130stanbul \u0391\u03a3 ... (a) 'a' x\u3000y\u00a0z\x85end ", "\u2003"]
+    plain = [[zlib.crc32((w.strip(lsa._PUNCTUATION) or w).encode()) for w in (t or "").lower().split()] for t in texts]
+    ids, number = lsa.word_hashes(texts)
+    assert ids.dtype == np.uint32 and ids.tolist() == sum(plain, []) and number.tolist() == [len(x) for x in plain]
+    assert all(lsa.word_ids(t).tolist() == x for t, x in zip(texts, plain)) and not len(lsa.word_hashes([])[0]) and not len(lsa.word_hashes([None, " "])[0])
+    calls = []
+    monkeypatch.setattr(lsa.zlib, "crc32", lambda data: calls.append(data) or len(calls))
+    lsa.word_hashes(["one two one", "two, one"] * 500)
+    assert len(calls) == 3  # "two," is a word of its own
+
+
+def test_short_texts_are_compared_together():
+    """Windows of many texts at once have the sums of each text by itself, and a thousand short texts take a few steps."""
+    rng = np.random.default_rng(4)
+    length = lsa.STRIDE * lsa.PARTS
+    table = np.append(rng.integers(-9, 9, (lsa.TERMS, 3)), np.zeros((1, 3), int), axis=0).astype(np.float32)
+    for sizes in ([*rng.integers(0, 120, 1000), 0], [0, 2 * lsa.PIECE + 7, 5, lsa.PIECE], [1], [0], []):
+        texts = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in sizes]
+        got, steps = [], 0
+        for group in lsa._groups(texts):
+            for own, piece, text, place in lsa._runs(group):
+                assert own.shape == (lsa.STRIDE, len(piece)) and own.size <= 3 * lsa.PIECE
+                got += zip(text.tolist(), place.tolist(), map(tuple, lsa._sums(lsa._totals(table, own), piece).tolist()))
+                steps += 1
+        assert steps <= 2 + 2 * sum(sizes) // lsa.PIECE
+        want = []
+        for i, ids in enumerate(texts):
+            for start in range(0, len(ids), lsa.PIECE):  # a piece's last windows end with it
+                own = ids[start : start + lsa.PIECE + length] & (lsa.TERMS - 1)
+                want += [(i, start + a, tuple(table[own[a : a + length]].sum(axis=0).tolist())) for a in range(0, len(own), lsa.STRIDE)]
+        assert got == want
 
 
 def test_latent_space_is_the_svd(spark):
