@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import first_match, first_prefix, number
+from .text import begins
 
 
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
@@ -304,12 +305,11 @@ def apple_chip(text: Column) -> Column:
 def record_name(cell: Column, heading: Column, prefixes: tuple[str, ...]) -> Column:
     """A record's name: the cell if it begins like one, else the heading of its section."""
     text = F.trim(F.regexp_replace(cell, r"\s*\[.*?\]\s*", " "))
-    begins = lambda c: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: c.startswith(p))
     before = lambda c: F.trim(F.split(c, r"\[")[0])
     return (
-        F.when(begins(text), before(text))
+        F.when(begins(text, prefixes), before(text))
         .when(text.rlike(r"^[A-Z][A-Za-z0-9]{2,}\d{2,}"), F.left(before(text), F.lit(60)))
-        .when(begins(heading), before(heading))
+        .when(begins(heading, prefixes), before(heading))
         .otherwise(_first(heading, r"(?i)(Tegra\s+\d\w*|i\.MX\s+[\d\w]+|Atom\s+\w+)", 1))
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,12 +30,21 @@ MODEL_PATTERNS = (
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
-def clean(text: Column) -> Column:
-    """Without tags, bracketed words and a ``(now ...)`` note, with single spaces; null if nothing is left."""
+def tidy(text: Column) -> Column:
+    """Without tags, bracketed words and a ``(now ...)`` note, with single spaces."""
     out = F.regexp_replace(text, "<[^>]+>", " ")
     out = F.regexp_replace(out, r"\[\w+\]", "")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.nullif(strip_now(out), F.lit(""))
+    return strip_now(F.trim(F.regexp_replace(out, r"\s+", " ")))
+
+
+def clean(text: Column) -> Column:
+    """A text that is tidied; null if nothing is left."""
+    return F.nullif(tidy(text), F.lit(""))
+
+
+def begins(text: Column, prefixes: Sequence[str]) -> Column:
+    """Whether a text, taken once, starts with one of the prefixes."""
+    return text.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def strip_now(text: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import begins
 from ..schema import HEAVY_FIELDS
 
 
@@ -131,5 +132,4 @@ def valid_name(c: Column) -> Column:
     """
     low = F.lower(c)
     bad = c.isin(*NO_NAME) | low.isin(*NON_NAMES) | (F.length(c) < 2) | ~c.rlike("[a-zA-Z]") | low.rlike(NAME_REJECTED) | c.rlike(ONE_WORD)
-    known = F.exists(F.array(*[F.lit(p) for p in NAME_PREFIXES]), lambda p: c.startswith(p))
-    return F.coalesce(~bad & (c.rlike(r"\d") | known), F.lit(False))
+    return F.coalesce(~bad & (c.rlike(r"\d") | begins(c, NAME_PREFIXES)), F.lit(False))

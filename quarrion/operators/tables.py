@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import barrier
 from ..functions.scalars import cell_text, detect_column, heading_name, is_spec_label, is_sub_label, record_name
-from ..functions.text import clean, extract_model, slug
+from ..functions.text import clean, extract_model, slug, tidy
 from ..scratch import written
 from .extract import DEFAULT_ARCHITECTURE, DEFAULT_CORES, SKIPPED_SECTIONS, TYPED, _Tables, typed
 from .filters import NAME_PREFIXES, valid_name
@@ -80,17 +80,22 @@ def is_turned(rows: Column, label: Callable[[Column], Column] = is_spec_label) -
     return (F.size(rows) >= 3) & blank & (F.size(data) >= 2) & ((F.size(data) > 2 * F.size(F.get(rows, F.lit(0)))) | (2 * labels >= F.size(early)))
 
 
-def aligned(row: Column, column: Column, records: Column) -> Column:
-    """A record's cell in a row: the column-th of the data cells that are no sub-labels, if there are as many as records, else the one as many places after the labels that begin the row. Null if the row is too short."""
-    label = lambda c: c["head"] | is_sub_label(c["text"])
-    data = F.filter(row, lambda c: ~label(c))
-    begin = F.array_position(F.transform(row, lambda c: ~label(c)), True)
+def unlabelled(row: Column) -> Column:
+    """For each cell of a row whether it is a data cell and no sub-label."""
+    return F.transform(row, lambda c: ~(c["head"] | is_sub_label(c["text"])))
+
+
+def aligned(row: Column, data: Column, column: Column, records: Column) -> Column:
+    """A record's text in a row of texts, ``data`` being its ``unlabelled`` cells: the column-th of these, if there are as many as records, else the one as many places after the labels that begin the row. Null if the row is too short."""
+    texts = F.filter(row, lambda c, i: F.get(data, i))
+    begin = F.array_position(data, True)
     start = F.when(begin > 0, begin - 1).otherwise(F.size(row)).cast("int")
-    return F.when(F.size(data) == records, F.get(data, column)).otherwise(F.get(row, start + column))["text"]
+    return F.when(F.size(F.filter(data, lambda d: d)) == records, F.get(texts, column)).otherwise(F.get(row, start + column))
 
 
-def label_kind(label: Column) -> Column:
-    low, out = F.lower(label), F.lit(None).cast("string")
+def label_kind(low: Column) -> Column:
+    """Kind of a row's label, which is in lower case."""
+    out = F.lit(None).cast("string")
     for kind, ways in reversed(LABEL_KINDS):
         hit = F.lit(False)
         for words in ways:
@@ -109,12 +114,15 @@ def upright_texts(tables: DataFrame, key: str, vendor: Column) -> DataFrame:
     vendors whose tables have none, else its first data cell or the heading.
     """
     kinds = F.transform(F.get("rows", F.lit(0)), lambda c: detect_column(F.lower(F.trim(c["text"]))))
-    rows = tables.select(key, "table_no", "heading", vendor.alias("vendor"), kinds.alias("kinds"), F.posexplode("rows").alias("place", "row")).where("place > 0")
+    # Behind barriers, so that a table's kinds and a cell's text are made once, not for each row or each of its uses.
+    heads = barrier(tables.select(key, "table_no", "heading", vendor.alias("vendor"), kinds.alias("kinds"), "rows"))
+    rows = heads.select(key, "table_no", "heading", "vendor", "kinds", F.posexplode("rows").alias("place", "row")).where("place > 0")
     rows = rows.select(key, "table_no", "place", "heading", "vendor", "kinds", F.filter("row", lambda c: ~c["head"]).alias("row")).where("size(row) >= 2").withColumn("first", F.col("row")[0]["text"])
-    named = rows.withColumn("cell", F.coalesce(clean(F.col("first")), F.lit("")))
+    named = barrier(rows.withColumn("cell", F.coalesce(tidy(F.col("first")), F.lit(""))))
     name = F.coalesce(heading_name(F.col("vendor"), F.col("heading")), record_name(F.col("cell"), F.coalesce("heading", F.lit("")), NAME_PREFIXES))
     named = barrier(named.withColumn("name", name)).where(valid_name(F.col("name")))
-    cells = F.filter(F.zip_with("kinds", "row", lambda k, c: F.struct(k.alias("kind"), cell_text(clean(c["text"])).alias("text"))), lambda x: x["kind"].isNotNull() & x["text"].isNotNull())
+    named = barrier(named.withColumn("row", F.transform("row", lambda c: tidy(c["text"]))))
+    cells = F.filter(F.zip_with("kinds", "row", lambda k, c: F.struct(k.alias("kind"), cell_text(c).alias("text"))), lambda x: x["kind"].isNotNull() & x["text"].isNotNull())
     return named.select(key, "table_no", "place", "vendor", "name", extract_model(F.col("first")).alias("model"), "heading", F.posexplode_outer(cells).alias("n", "c")).select("*", "c.kind", "c.text").drop("c")
 
 
@@ -128,10 +136,14 @@ def turned_texts(tables: DataFrame, key: str, vendor: Column) -> DataFrame:
     t = barrier(t.withColumn("named", F.transform("given", lambda n: F.when(doubtful(n), F.concat_ws(" ", "vendor", n)).otherwise(n))))
     t = barrier(t.withColumn("fit", F.transform("named", lambda n: F.coalesce(valid_name(n), F.lit(False)))))
     t = t.withColumn("records", F.size(F.filter("fit", lambda f: f)))
-    one = t.select(key, "table_no", "heading", "vendor", "rows", "given", "records", F.posexplode(F.arrays_zip("named", "fit")).alias("place", "x")).where("x.fit").withColumn("column", (F.array_position("given", F.get("given", F.col("place"))) - 1).cast("int"))
-    each = one.select(key, "table_no", "place", "vendor", F.col("x.named").alias("name"), "heading", "records", "column", F.posexplode("rows").alias("n", "row")).where("n > 0")
-    text = F.coalesce(clean(aligned(F.col("row"), F.col("column"), F.col("records"))), F.when(aligned(F.col("row"), F.col("column"), F.col("records")).isNotNull(), F.lit("")))
-    return each.select(key, "table_no", "place", "vendor", "name", F.lit(None).cast("string").alias("model"), "heading", "n", label_kind(clean(F.col("row")[0]["text"])).alias("kind"), text.alias("text"))
+    ones = F.transform(F.arrays_zip("named", "fit"), lambda x, i: F.struct(i.alias("place"), x["named"].alias("name"), x["fit"].alias("fit"), (F.array_position("given", F.get("given", i)) - 1).cast("int").alias("column")))
+    t = barrier(t.withColumn("ones", F.filter(ones, lambda x: x["fit"])))
+    # A row's label and data cells are looked up once, behind a barrier, and not for each record.
+    rows = t.select(key, "table_no", "heading", "vendor", "records", "ones", F.posexplode("rows").alias("n", "row")).where("n > 0 and records > 0")
+    rows = barrier(rows.select(key, "table_no", "heading", "vendor", "records", "ones", "n", F.lower(tidy(F.col("row")[0]["text"])).alias("label"), unlabelled(F.col("row")).alias("data"), F.col("row.text").alias("texts")))
+    rows = barrier(rows.withColumn("kind", label_kind(F.col("label"))))
+    each = rows.select("*", F.explode("ones").alias("x")).withColumn("cell", aligned(F.col("texts"), F.col("data"), F.col("x.column"), F.col("records")))
+    return each.select(key, "table_no", F.col("x.place").alias("place"), "vendor", F.col("x.name").alias("name"), F.lit(None).cast("string").alias("model"), "heading", "n", "kind", tidy(F.col("cell")).alias("text"))
 
 
 def with_years(records: DataFrame, group: list[str], place: str) -> DataFrame:
