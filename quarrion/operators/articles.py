@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import barrier
 from ..functions.scalars import detect_vendor, parse_ai_ops, parse_clock, parse_cpu, parse_memory_max, parse_process_node, parse_tdp, processor_name, trailing_model
 from ..functions.text import slug
+from ..scratch import written
 from .extract import _VOID, spec_records
 from .windows import first_wins
 
@@ -187,15 +189,16 @@ def articles(pages: DataFrame, key: str, maker: Maker, html: str = "html") -> Da
     return pages.select(key, html).mapInArrow(read, f"`{key}` {kind}, place int, text string, name string, model string, said map<string, string>" + "".join(f", `{c}` string" for c in columns))
 
 
-def _with(said: Column, values: dict[str, Column], over: bool = False) -> Column:
-    """A map of texts with further values; those that are there stand, or go ``over`` them."""
+def _with(df: DataFrame, said: Column, values: dict[str, Column], over: bool = False) -> DataFrame:
+    """The frame with ``fields``, a map of texts with further values; those that are there stand, or go ``over`` them. The values are made once, behind a barrier."""
     entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()]), lambda e: e["v"].isNotNull())
-    more = F.map_from_entries(entries)
-    return F.map_concat(F.map_filter(said, lambda k, _: ~F.map_contains_key(more, k)), more) if over else F.map_concat(said, F.map_filter(more, lambda k, _: ~F.map_contains_key(said, k)))
+    df, more, said = barrier(df.withColumn("_said", said).withColumn("_more", F.map_from_entries(entries))), F.col("_more"), F.col("_said")
+    fields = F.map_concat(F.map_filter(said, lambda k, _: ~F.map_contains_key(more, k)), more) if over else F.map_concat(said, F.map_filter(more, lambda k, _: ~F.map_contains_key(said, k)))
+    return df.withColumn("fields", fields)
 
 
-def _record(df: DataFrame, key: str, name: Column, vendor: Column, model: Column, said: Column) -> DataFrame:
-    return df.select(key, "place", slug(name, F.coalesce(model, F.lit(""))).alias("id"), name.alias("name"), vendor.alias("vendor"), F.coalesce(model, name).alias("model"), said.alias("fields"))
+def _record(df: DataFrame, key: str, name: Column, vendor: Column, model: Column) -> DataFrame:
+    return df.select(key, "place", slug(name, F.coalesce(model, F.lit(""))).alias("id"), name.alias("name"), vendor.alias("vendor"), F.coalesce(model, name).alias("model"), "fields")
 
 
 def phone_records(pages: DataFrame, key: str, maker: Maker, vendor: str, html: str = "html") -> DataFrame:
@@ -205,7 +208,7 @@ def phone_records(pages: DataFrame, key: str, maker: Maker, vendor: str, html: s
     the text's, else the section's (QUALCOMM) and else a usual one.
     """
     a = articles(pages, key, maker, html)
-    a = a.withColumn("_cpu", parse_cpu(F.col("cpu")))
+    a = barrier(a.withColumn("_cpu", parse_cpu(F.col("cpu"))))
     cpu = {k: F.col(f"_cpu.{k}") for k in ("architecture", "cores", "cluster_config", "clock_min", "clock_mid", "clock_max", "max_freq")}
     v8, v9 = F.col("text").contains("ARMv8"), F.col("text").contains("ARMv9")
     if maker is QUALCOMM:
@@ -214,35 +217,33 @@ def phone_records(pages: DataFrame, key: str, maker: Maker, vendor: str, html: s
     else:
         arch = F.when(v9, "ARMv9-A").otherwise("ARMv8.2-A")
         more = {"npu": F.when(F.col("npu").rlike(NPU), F.left(F.trim("npu"), F.lit(80))), "ai_ops": parse_ai_ops(F.col("npu"))}
-    return _record(a, key, F.col("name"), F.lit(vendor), F.col("model"), _with(F.col("said"), cpu | more | {"architecture": arch}, over=True))
+    return _record(_with(a, F.col("said"), cpu | more | {"architecture": arch}, over=True), key, F.col("name"), F.lit(vendor), F.col("model"))
 
 
 def processor_records(pages: DataFrame, tables: DataFrame, key: str, html: str = "html") -> DataFrame:
     """The same of pages about processors: first the tables of labels and values (``tables.page_tables``), then the articles.
 
     A table is a record if one of its labels is a name's; rows before the first
-    of these say nothing, the last of them gives the name.
+    of these say nothing, the last of them gives the name. Both are decided where the table is,
+    and such tables are written, so that pages are read once for names and values.
     """
     vendor = lambda n: detect_vendor(n, [(p, "Intel") for p in INTEL_PREFIXES] + [(p, "AMD") for p in AMD_PREFIXES])
     a = articles(pages, key, PROCESSORS, html).withColumn("name", processor_name(F.col("text"))).where("name is not null")
     text, clock = F.col("text"), parse_clock(F.col("text"))
     year = F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
     more = {"clock": clock["clock"], "boost": clock["boost"], "tdp": parse_tdp(text), "process_nm": parse_process_node(text), "memory_max": parse_memory_max(text), "year": F.when(year.between(2000, 2026), year)}
-    prose = _record(a, key, F.col("name"), vendor(F.col("name")), trailing_model(F.col("name")), _with(F.col("said"), more)).withColumn("_part", F.lit(1))
-    rows = tables.select(key, "table_no", F.posexplode("rows").alias("place", "row")).where("size(row) >= 2")
-    rows = rows.select(key, "table_no", "place", F.lower(F.trim(F.col("row")[0]["text"])).alias("k"), F.trim(F.col("row")[1]["text"]).alias("v"))
-    rows = rows.where((F.col("k") != "") & ~F.col("v").isin("—", "-", "", "N/A"))
-    naming = F.lit(False)
-    for w in NAME_LABELS:
-        naming = naming | F.col("k").contains(w)
-    rows = rows.withColumn("names", naming)
-    heads = rows.where("names").groupBy(key, "table_no").agg(F.min("place").alias("from"), F.max_by("v", "place").alias("name"))
-    whole = F.struct(key, "table_no")
-    pairs = rows.join(heads, [key, "table_no"]).where("place >= from").select(whole.alias("t"), "place", "k", "v")
+    prose = _record(_with(a, F.col("said"), more), key, F.col("name"), vendor(F.col("name")), trailing_model(F.col("name"))).withColumn("_part", F.lit(1))
+    text_at = lambda row, i: F.trim(F.get(row, F.lit(i))["text"])
+    rows = F.transform("rows", lambda row, i: F.struct(i.alias("place"), F.lower(text_at(row, 0)).alias("k"), text_at(row, 1).alias("v")))
+    shown = barrier(tables.select(key, "table_no", F.filter(rows, lambda r: (r["k"] != "") & ~r["v"].isin("—", "-", "", "N/A")).alias("pairs")))
+    names = F.filter("pairs", lambda r: r["k"].rlike("|".join(NAME_LABELS)))
+    named = barrier(shown.withColumn("names", names)).where("size(names) > 0")
+    heads = written(named.select(key, "table_no", F.element_at("names", -1)["v"].alias("name"), F.filter("pairs", lambda r: r["place"] >= F.col("names")[0]["place"]).alias("pairs")))
+    pairs = heads.select(F.struct(key, "table_no").alias("t"), F.explode("pairs").alias("r")).select("t", "r.place", "r.k", "r.v")
     specs = spec_records(pairs, "t").select(F.col(f"t.{key}").alias(key), F.col("t.table_no").alias("table_no"), "specs")
-    facts = heads.join(specs, [key, "table_no"], "left").withColumn("place", F.col("table_no"))
+    facts = heads.drop("pairs").join(specs.hint("merge"), [key, "table_no"], "left").withColumn("place", F.col("table_no"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    listed = _record(facts, key, F.col("name"), vendor(F.col("name")), trailing_model(F.col("name")), F.coalesce("specs", empty)).withColumn("_part", F.lit(0))
+    listed = _record(facts.withColumn("fields", F.coalesce("specs", empty)), key, F.col("name"), vendor(F.col("name")), trailing_model(F.col("name"))).withColumn("_part", F.lit(0))
     return listed.unionByName(prose).withColumn("place", F.col("_part") * (1 << 20) + F.col("place")).drop("_part")
 
 
